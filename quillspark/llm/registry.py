@@ -6,16 +6,41 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.tables import table
 
-from . import near_dedup
+from . import bpe, line_quality, mixing, near_dedup
 from .sql import ORACLE_SQL
 
+WORD_BPE = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the installed vocabulary files are; they're the same on every worker."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.quality(table(spark, sf_dir, "documents"))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE)))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_line_quality": op2_line_quality,
+    "op5_source_mixing": op5_source_mixing,
+    "op10_bpe": op10_bpe,
 }

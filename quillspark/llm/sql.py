@@ -30,3 +30,69 @@ FROM sets JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a
 ORACLE_SQL = {
     "op1_minhash_near_dedup": NEAR_DUPLICATES,
 }
+
+LINE_QUALITY = rf"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents),
+win AS (SELECT doc_id, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
+cover AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, source, l, sum(len(string_split(l, ' '))) AS nw
+  FROM (SELECT doc_id, source, trim(regexp_replace(translate(unnest(ls), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+', ' ', 'g')) AS l FROM d)
+  GROUP BY ALL),
+often AS (
+  SELECT lines.source, l FROM lines JOIN (SELECT source, count(DISTINCT doc_id) AS docs FROM documents GROUP BY source) h
+    ON lines.source IS NOT DISTINCT FROM h.source
+  GROUP BY lines.source, l, docs HAVING count(*) > 10 AND count(*) * 100 > docs),
+gone AS (
+  SELECT lines.doc_id, sum(nw) AS nw, sum(CASE WHEN often.l IS NULL THEN 0 ELSE nw END) AS removed
+  FROM lines LEFT JOIN often ON lines.l = often.l AND lines.source IS NOT DISTINCT FROM often.source GROUP BY lines.doc_id),
+base AS (
+  SELECT d.doc_id, len(w) AS n_words, length(replace(array_to_string(w, ''), chr(0), ' ')) AS word_chars,
+    length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+    coalesce(cover.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN cover ON cover.doc_id = d.doc_id)
+SELECT base.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CAST(coalesce(removed, 0) AS BIGINT) AS removed_words,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(removed * 100 > nw * 50, false) AS kept
+FROM base LEFT JOIN gone ON gone.doc_id = base.doc_id
+"""
+
+
+def _deal(name: str, nodes: str, parents: str, key: str) -> str:
+    """Common table expressions that deal a parent's budget among nodes with columns w, cap and budget."""
+    return f"""
+{name}_o AS (
+  SELECT *, coalesce(sum(cap) OVER (PARTITION BY {parents} ORDER BY cap / CAST(w AS DOUBLE), {key} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS spent,
+    sum(w) OVER (PARTITION BY {parents} ORDER BY cap / CAST(w AS DOUBLE), {key} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::HUGEINT AS ws FROM ({nodes})),
+{name}_f AS (
+  SELECT *, min(CASE WHEN cap * ws > (budget - spent) * w THEN spent END) OVER (PARTITION BY {parents}) AS fs,
+    arg_min(CASE WHEN cap * ws > (budget - spent) * w THEN ws END, CASE WHEN cap * ws > (budget - spent) * w THEN spent END) OVER (PARTITION BY {parents}) AS fw FROM {name}_o),
+{name} AS (SELECT *, CASE WHEN fs IS NULL OR spent < fs THEN cap ELSE least(((budget - fs) * w) // fw, cap) END AS take FROM {name}_f)"""
+
+
+MIXING = rf"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+    len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::HUGEINT AS n_tokens,
+    ['web', 'books', 'code', 'forum'][coalesce(try_cast(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS INT), 0) % 4 + 1] AS domain
+  FROM documents),
+leaves AS (SELECT domain, lang, source, sum(n_tokens)::HUGEINT AS tokens FROM docs GROUP BY ALL),
+{_deal('doms', "SELECT domain, (sum(tokens) * 2)::HUGEINT AS cap, CASE domain WHEN 'web' THEN 40 WHEN 'books' THEN 30 WHEN 'code' THEN 10 WHEN 'forum' THEN 20 ELSE 1 END::HUGEINT AS w, (SELECT sum(tokens)::HUGEINT * 60 // 100 FROM leaves) AS budget FROM leaves GROUP BY domain", '1', 'domain')},
+{_deal('lngs', "SELECT leaves.domain, lang, (sum(tokens) * 2)::HUGEINT AS cap, CASE lang WHEN 'en' THEN 50 WHEN 'fr' THEN 20 WHEN 'de' THEN 20 WHEN 'es' THEN 10 ELSE 1 END::HUGEINT AS w, any_value(doms.take) AS budget FROM leaves JOIN doms ON doms.domain = leaves.domain GROUP BY leaves.domain, lang", 'domain', 'lang')},
+{_deal('srcs', "SELECT leaves.domain, leaves.lang, source, tokens, tokens * 2 AS cap, 1::HUGEINT AS w, lngs.take AS budget FROM leaves JOIN lngs ON lngs.domain = leaves.domain AND lngs.lang = leaves.lang", 'domain, lang', 'source')},
+plan AS (SELECT domain, lang, source, CASE WHEN tokens = 0 THEN 0 ELSE take // tokens END AS passes, take - CASE WHEN tokens = 0 THEN 0 ELSE take // tokens END * tokens AS rest FROM srcs),
+marks AS (
+  SELECT docs.*, passes, rest, md5('7:' || passes || ':' || doc_id) AS mark FROM docs JOIN plan ON plan.domain = docs.domain AND plan.lang = docs.lang AND plan.source = docs.source),
+at_ AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY mark, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS pos FROM marks),
+more AS (SELECT *, greatest(0, least(n_tokens, rest - pos)) AS more FROM at_)
+SELECT doc_id, domain, lang, source, n_tokens::BIGINT AS n_tokens, (passes + CASE WHEN more > 0 THEN 1 ELSE 0 END)::BIGINT AS epochs, (passes * n_tokens + more)::BIGINT AS taken_tokens FROM more
+"""
+
+ORACLE_SQL |= {
+    "op2_line_quality": LINE_QUALITY,
+    "op5_source_mixing": MIXING,
+}
