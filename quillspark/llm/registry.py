@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.tables import table
 
-from . import bpe, line_quality, mixing, near_dedup
+from . import bpe, line_quality, mixing, near_dedup, pii
 from .sql import ORACLE_SQL
 
 WORD_BPE = "word_bpe_49k.json"
@@ -30,6 +30,10 @@ def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op3_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.spans(table(spark, sf_dir, "documents")))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_line_quality": op2_line_quality,
+    "op3_pii_disclosure": op3_pii_disclosure,
     "op5_source_mixing": op5_source_mixing,
     "op10_bpe": op10_bpe,
 }
