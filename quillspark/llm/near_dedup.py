@@ -7,8 +7,9 @@ registers rejects what can't reach the similarity; full shingle sets confirm the
 
 Groups: documents with equal sets collapse into one class first. Within a band's bucket, members are
 compared with leaders (of a salted part of the bucket, and of the bucket), not with each other. Then
-only members outside the bucket's main component meet the bucket's other components, until no pair of
-one bucket with different components is untested.
+only members outside the bucket's main component meet the bucket's other components. That join's
+condition holds the sizes and a finer sketch of one bit per register, and takes a pair in its first
+common band only, so that of a bucket's pairs none but likely links become rows.
 """
 
 from __future__ import annotations
@@ -32,25 +33,27 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: A pair goes if its best likelihood beats the best at a linked similarity by this log ratio (about 5.5 sigma).
 REJECT = 15.0
+#: Registers of the fine sketch (one bit each), and most unequal bits of a pair that may link: the mean at 0.75, 128, and 5.2 sigma.
+FINE, FINE_UNEQUAL = 1024, 183
 #: Sub-leaders per bucket.
 SALTS = 8
 #: Most document ids that are broadcast (8 bytes each); beyond it, a shuffled join takes over.
 BROADCAST_IDS = 1_000_000
 
 _rng = np.random.default_rng(20240501)
-_A = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2)
+_A = _rng.integers(0, 1 << 63, REGISTERS + FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 1 << 63, REGISTERS + FINE, dtype=np.uint64) * np.uint64(2)
 
 
-def registers(sets: list[np.ndarray]) -> np.ndarray:
-    """SetSketch registers (uint16) of non-empty sets of 64-bit hashes."""
+def registers(sets: list[np.ndarray], first: int = 0, count: int = REGISTERS) -> np.ndarray:
+    """SetSketch registers (uint16) of non-empty sets of 64-bit hashes: ``count`` of them from the hash function ``first`` on."""
     x = np.concatenate(sets)
     offsets = np.cumsum([0, *(len(s) for s in sets[:-1])])
-    least = np.empty((REGISTERS, len(sets)), dtype=np.uint64)
+    least = np.empty((count, len(sets)), dtype=np.uint64)
     t = np.empty_like(x)
-    for i in range(REGISTERS):
-        np.multiply(x, _A[i], out=t)
-        t += _B[i]
+    for i in range(count):
+        np.multiply(x, _A[first + i], out=t)
+        t += _B[first + i]
         np.minimum.reduceat(t, offsets, out=least[i])
     uniform = (least.T.astype(np.float64) + 0.5) / 2.0**64
     value = -np.log1p(-uniform) / RATE
@@ -108,6 +111,21 @@ def sketches(docs: DataFrame) -> DataFrame:
     return common.narrow(docs, "doc_id", "text").mapInArrow(_sketched, "doc_id long, n_shingles long, digest binary, regs binary")
 
 
+def _finely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [(t or "").encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
+        for run in kernel.chunks(texts, 1 << 19):
+            sets = [kernel.shingle_set(h, SHINGLE) for h in kernel.word_hashes([texts[i] for i in run])]
+            bits = np.ascontiguousarray(np.packbits(registers(sets, REGISTERS, FINE) & 1, axis=1)).view(np.int64)
+            fine = pa.ListArray.from_arrays(np.arange(len(run) + 1, dtype=np.int32) * bits.shape[1], pa.array(bits.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(run[0], len(run)), pa.array([len(s) for s in sets], pa.int64()), fine], names=["rep", "n", "fine"])
+
+
+def _few(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents of the ids (doc_id); ids are broadcast up to a checked number."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
 def _as_registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
 
@@ -148,10 +166,7 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     both = pairs.join(ra, "a").join(rb, "b").select("a", "b", "ra", "rb", "na", "nb")
     likely = common.written(both.mapInArrow(_estimated, "a long, b long"), "likely")
     ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    n = ids.count()
-    if n == 0:
-        return likely
-    texts = docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    texts = _few(docs, ids)
     ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     full = likely.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
@@ -188,34 +203,47 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     docs = common.narrow(documents, "doc_id", "text")
     sig = common.written(sketches(docs), "sketches")
     classes = sig.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    member = common.written(sig.where("digest is not null").select("doc_id", "digest", "n_shingles").join(classes, "digest").select("doc_id", "n_shingles", "rep"), "members")
+    slim = sig.select("doc_id", "digest", "n_shingles")
+    member = common.written(slim.join(classes, "digest").select("doc_id", "n_shingles", "rep").union(slim.where("digest is null").select("doc_id", "n_shingles", F.lit(None).cast("long"))), "members")
     leads = member.where("doc_id = rep").select("rep").distinct()
     reps = common.written(sig.where("digest is not null").withColumnRenamed("doc_id", "rep").join(leads, "rep", "left_semi").select("rep", "n_shingles", "regs"), "reps")
+    common.dropped(sig)
 
     width = 2 * ROWS
-    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * width + 1, F.lit(width)))))
-    bands = reps.select("rep", band.alias("band", "key")).select("rep", "key").withColumn("salt", F.pmod(F.xxhash64("rep", "key"), F.lit(SALTS)))
+    each = F.sequence(F.lit(0), F.lit(BANDS - 1))
+    band = F.posexplode(F.transform(each, lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * width + 1, F.lit(width)))))
+    bands = reps.select("rep", band.alias("band", "key")).withColumn("salt", F.pmod(F.xxhash64("rep", "key"), F.lit(SALTS)))
     parts = bands.groupBy("key", "salt").agg(F.min("rep").alias("sub"), F.count("*").alias("n"))
     tops = parts.groupBy("key").agg(F.min("sub").alias("top"), F.sum("n").alias("total")).where("total > 1").drop("total")
     leaders = parts.join(tops, "key").select("key", "salt", "sub", "top")
-    shared = common.written(bands.join(leaders, ["key", "salt"]).select("key", "rep", "sub", "top"), "shared")
+    shared = common.written(bands.join(leaders, ["key", "salt"]).select("key", "band", "rep", "sub", "top"), "shared")
     first = shared.where("rep != sub").select(F.col("sub").alias("a"), F.col("rep").alias("b")).union(shared.where("sub != top and rep = sub").select(F.col("top").alias("a"), F.col("sub").alias("b")))
     found = _links(first.distinct(), reps, docs)
     comps = components(found)
 
     owner = F.coalesce("comp", "rep")
-    marked = shared.select("key", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", owner.alias("comp"))
+    marked = shared.select("key", "band", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("key", "band", "rep", owner.alias("comp"))
     mixed = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
     open_ = common.written(marked.join(mixed, "key", "left_semi"), "open")
-    main = open_.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
-    # Keys by which a part of the bucket is outside its main component meet the other components; the main one never meets itself.
-    aside = open_.join(main, "key").where("comp != main").select("key", F.col("rep").alias("x"), F.col("comp").alias("cx"), "main")
-    other = open_.select("key", F.col("rep").alias("y"), F.col("comp").alias("cy"))
-    meet = aside.join(other, (aside["key"] == other["key"]) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))))
-    second = meet.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    fine = _few(docs, open_.select(F.col("rep").alias("doc_id")).distinct()).mapInArrow(_finely, "rep long, n long, fine array<bigint>")
+    keys = reps.select("rep", F.transform(each, lambda i: F.hash(i, F.substring(F.col("regs"), i * width + 1, F.lit(width)))).alias("keys"))
+    full = common.written(open_.join(fine.dropDuplicates(["rep"]), "rep").join(keys, "rep"), "fine")
+    main = full.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    # Members outside the main component of their bucket meet the other components; the main one never meets itself.
+    x = full.join(main, "key").where("comp != main").alias("x")
+    y = full.alias("y")
+    num, den = SIMILARITY
+    unequal = sum((F.bit_count(F.get("x.fine", F.lit(k)).bitwiseXOR(F.get("y.fine", F.lit(k)))) for k in range(FINE // 64)), F.lit(0))
+    untested = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("x.main")) | (F.col("x.rep") < F.col("y.rep")))
+    sized = (F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num)
+    earliest = F.array_position(F.zip_with("x.keys", "y.keys", lambda a, b: a == b), True) == F.col("x.band") + 1
+    meet = x.join(y, untested & sized & (unequal <= FINE_UNEQUAL) & earliest)
+    second = meet.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     late = _links(second.join(first, ["a", "b"], "left_anti"), reps, docs)
     if late.limit(1).count():
         comps = components(found.union(late))
-    result = member.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", owner.alias("component_id"))
-    alone = sig.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return result.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    common.dropped(shared, open_, full, reps)
+    some, alone = member.where("rep is not null"), member.where("rep is null")
+    result = some.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", owner.alias("component_id"))
+    result = result.union(alone.select("doc_id", "n_shingles", "doc_id"))
+    return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
