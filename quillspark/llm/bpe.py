@@ -12,7 +12,9 @@ Supports tokenizer files of one shape: BPE with a word-end suffix, NFC and lower
 from __future__ import annotations
 
 import functools
+import itertools
 import json
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Entries of a worker's chunk cache; it's emptied when full.
-CACHE = 300_000
+#: Entries of a worker's chunk cache. Once full, new chunks are held for their batch only; after four times as many, it starts anew.
+CACHE = 400_000
 #: White space of the tokenizer's patterns (Unicode White_Space), fixed values.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
@@ -63,12 +65,14 @@ class Codec:
         self.bytes = byte_alphabet()
         self.known = np.zeros(0, dtype=np.int64)
         self.fits = np.zeros(0, dtype=bool)
-        self.piece_ids: dict[str, tuple[int, ...]] = {}
         self.ids: dict[bytes, bytes] = {}
         self.decoded: dict[bytes, bytes] = {}
         self.blank = False
         self.text = [x.encode() for x in self.token]
         self.number = [b"%d" % i for i in range(len(self.token))]
+        self.mark = os.path.commonprefix(list(self.special))
+        self.pieces_out: dict[str, tuple[bytes, bytes]] = {}
+        self.forget()
 
     def symbols(self, token: str) -> list[str]:
         """Single characters; the word-end suffix belongs to the last."""
@@ -144,14 +148,13 @@ class Codec:
                 tokens = [self.token[-1 - k]] if k < 0 else [self.token[k >> 32], self.token[k & 0xFFFFFFFF]]
                 s = [x for t in tokens for x in self.symbols(t)]
                 answers.append((self.merged(s) if len(s) < 64 else self.long_merged(s)) == tokens)
-            keys_, fits = np.concatenate([self.known, new]), np.concatenate([self.fits, np.array(answers, dtype=bool)])
-            order = np.argsort(keys_)
-            self.known, self.fits = keys_[order], fits[order]
+            places = np.searchsorted(self.known, new)
+            self.known, self.fits = np.insert(self.known, places, new), np.insert(self.fits, places, answers)
             at = np.searchsorted(self.known, distinct)
         return self.fits[at][back]
 
     def learn_pieces(self, pieces: list[str]) -> None:
-        """Put the ids of new pieces into the cache: propose, verify all pairs together, merge what fails."""
+        """Put new pieces into the cache: propose, verify all pairs together, merge what fails."""
         proposals = [self.greedy(p) for p in pieces]
         keys: list[int] = []
         owner: list[int] = []
@@ -163,46 +166,79 @@ class Codec:
         right = np.ones(len(pieces), dtype=bool)
         if keys:
             right[np.array(owner)[~self.compatible(np.array(keys, dtype=np.int64))]] = False
-        for i, (p, ids) in enumerate(zip(pieces, proposals, strict=True)):
-            self.piece_ids[p] = ids if ids and right[i] else self.exact(p)
-
-    def split(self, chunk: str) -> list[str | int]:
-        """Pieces of a chunk in the byte-level alphabet, with special tokens as ids."""
-        out: list[str | int] = []
-        for part in self.cut.split(chunk) if self.cut and any(s in chunk for s in self.special) else [chunk]:
-            if part in self.special:
-                out.append(self.special[part])
-            elif part:
-                part = unicodedata.normalize("NFC", part)
-                part = part.lower() if "Σ" not in part else "".join(c.lower() for c in part)
-                out += ["".join([self.bytes[b] for b in p.encode()]) + self.suffix for p in self.pieces.findall(part)]
-        return out
+        number, text = self.number, self.text
+        for p, ids, fits in zip(pieces, proposals, right.tolist(), strict=True):
+            if not ids or not fits:
+                ids = self.exact(p)
+            self.pieces_out[p] = b" ".join([number[i] for i in ids]), b" ".join([text[i] for i in ids])
+
+    def split(self, chunk: str) -> list[str]:
+        """Pieces of a chunk in the byte-level alphabet; special tokens as they are."""
+        if self.mark and self.mark in chunk:
+            out: list[str] = []
+            for part in self.cut.split(chunk):
+                if part in self.special:
+                    out.append(part)
+                elif part:
+                    out += self.plain(part)
+            return out
+        return self.plain(chunk)
+
+    def plain(self, part: str) -> list[str]:
+        suffix = self.suffix
+        if part.isascii():
+            part = part.lower()
+            if part.isalpha():
+                return [part + suffix]
+            if part.isprintable():
+                return [p + suffix for p in self.pieces.findall(part)]
+        part = unicodedata.normalize("NFC", part)
+        part = part.lower() if "Σ" not in part else "".join(c.lower() for c in part)
+        get = self.bytes.__getitem__
+        return ["".join(map(get, p.encode())) + suffix for p in self.pieces.findall(part)]
 
     def learn(self, chunks: list[bytes]) -> None:
         split = [self.split(c.decode()) for c in chunks]
-        self.learn_pieces(list({p for s in split for p in s if isinstance(p, str) and p not in self.piece_ids}))
+        out = self.pieces_out
+        self.learn_pieces(list(set().union(*split).difference(out)))
+        ids, decoded = self.ids, self.decoded
         for c, s in zip(chunks, split, strict=True):
-            ids = [i for p in s for i in ((p,) if isinstance(p, int) else self.piece_ids[p])]
-            self.ids[c] = b" ".join([self.number[i] for i in ids])
-            self.decoded[c] = b" ".join([self.text[i] for i in ids])
-            self.blank |= not ids
+            if len(s) == 1:
+                ids[c], decoded[c] = out[s[0]]
+            else:
+                found = [x for p in s if (x := out[p])[0]]
+                ids[c], decoded[c] = b" ".join([x[0] for x in found]), b" ".join([x[1] for x in found])
+            self.blank |= not ids[c]
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         """Decimal ids joined by one space, and the decoded text, of each text."""
-        if len(self.ids) > CACHE:
-            self.ids.clear()
-            self.decoded.clear()
-            self.piece_ids.clear()
         chunks = [t.encode("utf-8", "replace").split() for t in texts]
         new = set().union(*chunks).difference(self.ids)
+        known = len(self.pieces_out)
         if new:
             self.learn(list(new))
         out = []
         for table in (self.ids, self.decoded):
             get = table.__getitem__
             out.append([b" ".join(filter(None, map(get, c)) if self.blank else map(get, c)) for c in chunks])
+        if len(self.ids) > CACHE:
+            self.passing += len(new)
+            if self.passing > 4 * CACHE:
+                self.forget()
+            else:
+                for c in new:
+                    del self.ids[c], self.decoded[c]
+                if len(self.pieces_out) > CACHE:
+                    for p in list(itertools.islice(reversed(self.pieces_out), len(self.pieces_out) - known)):
+                        del self.pieces_out[p]
         return out[0], out[1]
 
+    def forget(self) -> None:
+        self.ids.clear()
+        self.decoded.clear()
+        self.passing = 0
+        self.pieces_out = {t: (self.number[i], self.text[i]) for t, i in self.special.items()}
+
 
 @functools.cache
 def codec(path: str) -> Codec:
