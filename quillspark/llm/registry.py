@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.tables import table
 
-from . import bpe, line_quality, mixing, near_dedup, pii
+from . import bpe, lang_id, line_quality, mixing, near_dedup, pii, token_count, warc
 from .sql import ORACLE_SQL
 
 WORD_BPE = "word_bpe_49k.json"
@@ -34,10 +34,22 @@ def op3_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.spans(table(spark, sf_dir, "documents")))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.cross_fitted(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.counted(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE)))
 
@@ -46,6 +58,9 @@ QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_line_quality": op2_line_quality,
     "op3_pii_disclosure": op3_pii_disclosure,
+    "op4_language_id": op4_language_id,
     "op5_source_mixing": op5_source_mixing,
+    "op7_token_count": op7_token_count,
+    "op9_warc": op9_warc,
     "op10_bpe": op10_bpe,
 }

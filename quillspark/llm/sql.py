@@ -148,3 +148,17 @@ FROM d LEFT JOIN per ON per.doc_id = d.doc_id
 """
 
 ORACLE_SQL["op3_pii_disclosure"] = PII
+
+#: Base32 of a SHA-1: character i holds the bits from 5 i on, which lie in two hex digits.
+WARC = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h),
+b AS (
+  SELECT h, first, array_to_string(list_transform(range(0, 32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((CAST('0x' || substring(h, CAST(5 * i // 4 + 1 AS INT), 2) AS INT) >> CAST(3 - (5 * i) % 4 AS INT)) & 31) + 1 AS INT), 1)), '') AS d FROM f)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN b ON b.h = p.h
+"""
+
+ORACLE_SQL["op9_warc"] = WARC
