@@ -61,8 +61,8 @@ def dealt(nodes: DataFrame, parents: list[str], key: str) -> DataFrame:
 def budgets(leaves: DataFrame) -> DataFrame:
     """domain, lang, source, tokens, take of leaves (domain, lang, source, tokens)."""
     cap = (F.sum("tokens") * MAX_EPOCHS).cast("decimal(38,0)").alias("cap")
-    total = leaves.agg(F.expr(f"coalesce(sum(tokens) * {BUDGET_PERCENT} div 100, 0)").alias("budget"))
-    domains = leaves.groupBy("domain").agg(cap).withColumn("w", weight("domain", DOMAIN_WEIGHTS)).withColumn("root", F.lit(0)).crossJoin(F.broadcast(total))  # the total is one row
+    domains = leaves.groupBy("domain").agg(cap, F.sum("tokens").alias("tokens")).withColumn("w", weight("domain", DOMAIN_WEIGHTS)).withColumn("root", F.lit(0))
+    domains = domains.withColumn("all", F.sum("tokens").over(W.partitionBy("root"))).withColumn("budget", F.expr(f"`all` * {BUDGET_PERCENT} div 100"))
     domains = dealt(domains, ["root"], "domain").select("domain", F.col("take").alias("budget"))
     langs = leaves.groupBy("domain", "lang").agg(cap).withColumn("w", weight("lang", LANG_WEIGHTS)).join(domains, "domain")
     langs = dealt(langs, ["domain"], "lang").select("domain", "lang", F.col("take").alias("budget"))
