@@ -33,8 +33,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _block_hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each word of a lower-cased block that no word crosses."""
+def _block_hashes(b: np.ndarray, tagged: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each word of a lower-cased block that no word crosses; tagged: the low 5 bits are its bytes, 31 at most."""
     inside = np.zeros(len(b) + 2, dtype=np.int8)
     inside[1:-1] = _IS_WORD[b]
     edge = np.diff(inside)
@@ -45,7 +45,9 @@ def _block_hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     c = np.zeros(len(b) + 1, dtype=U64)
     np.cumsum((b.astype(U64) + U64(1)) * p[: len(b)], out=c[1:])
     raw = (c[ends] - c[starts]) * q[starts]
-    return starts, mix(raw + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+    size = (ends - starts).astype(U64)
+    h = mix(raw + size * U64(0xD6E8FEB86659FD93))
+    return starts, (h & ~U64(31)) | np.minimum(size, U64(31)) if tagged else h
 
 
 def _pieces(data: bytes, size: int) -> Iterator[bytes]:
@@ -63,7 +65,7 @@ def _pieces(data: bytes, size: int) -> Iterator[bytes]:
         at = end
 
 
-def word_hashes(texts: list[bytes], lower: bool = True, block: int = 1 << 20) -> list[np.ndarray]:
+def word_hashes(texts: list[bytes], lower: bool = True, block: int = 1 << 20, tagged: bool = False) -> list[np.ndarray]:
     """For each UTF-8 text the hashes of its words (``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased), in order."""
     out: list[np.ndarray] = [np.zeros(0, dtype=U64)] * len(texts)
     group: list[int] = []
@@ -72,7 +74,7 @@ def word_hashes(texts: list[bytes], lower: bool = True, block: int = 1 << 20) ->
     def flush() -> None:
         if group:
             joined = np.frombuffer(b"\n".join(texts[i] for i in group), dtype=np.uint8)
-            starts, h = _block_hashes(_LOWER[joined] if lower else joined)
+            starts, h = _block_hashes(_LOWER[joined] if lower else joined, tagged)
             bounds = np.cumsum([len(texts[i]) + 1 for i in group])
             cuts = np.searchsorted(starts, bounds)
             for i, part in zip(group, np.split(h, cuts[:-1]), strict=True):
@@ -82,7 +84,7 @@ def word_hashes(texts: list[bytes], lower: bool = True, block: int = 1 << 20) ->
     for i, t in enumerate(texts):
         if len(t) > block:
             parts = [np.frombuffer(x, dtype=np.uint8) for x in _pieces(t, block)]
-            out[i] = np.concatenate([_block_hashes(_LOWER[x] if lower else x)[1] for x in parts])
+            out[i] = np.concatenate([_block_hashes(_LOWER[x] if lower else x, tagged)[1] for x in parts])
             continue
         if held + len(t) > block:
             flush()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.tables import table
 
-from . import bpe, lang_id, line_quality, mixing, near_dedup, pii, token_count, warc
+from . import bpe, hmm, lang_id, line_quality, mixing, near_dedup, pii, token_count, warc
 from .sql import ORACLE_SQL
 
 WORD_BPE = "word_bpe_49k.json"
@@ -46,6 +46,10 @@ def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.counted(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
 
 
+def op8_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.language_model(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_source_mixing": op5_source_mixing,
     "op7_token_count": op7_token_count,
+    "op8_hidden_markov": op8_hidden_markov,
     "op9_warc": op9_warc,
     "op10_bpe": op10_bpe,
 }
