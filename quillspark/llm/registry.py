@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.tables import table
 
-from . import bpe, hmm, lang_id, line_quality, mixing, near_dedup, pii, token_count, warc
+from . import bpe, chunk_store, hmm, lang_id, line_quality, mixing, near_dedup, pii, token_count, warc
 from .sql import ORACLE_SQL
 
 WORD_BPE = "word_bpe_49k.json"
@@ -42,6 +42,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op6_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_store.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.counted(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op3_pii_disclosure": op3_pii_disclosure,
     "op4_language_id": op4_language_id,
     "op5_source_mixing": op5_source_mixing,
+    "op6_chunk_store": op6_chunk_store,
     "op7_token_count": op7_token_count,
     "op8_hidden_markov": op8_hidden_markov,
     "op9_warc": op9_warc,
