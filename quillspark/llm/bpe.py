@@ -245,8 +245,8 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encoded(documents: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (decimal, joined by one space), decoded of every row; a null or blank text has empty ones.
+def encoded(documents: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``carry``, ids (decimal, joined by one space), decoded of every row; a null or blank text has empty ones.
 
     ``path``: the tokenizer's JSON file on every worker. Memory: the cache, and batches of about 1 MB of text.
     """
@@ -255,13 +255,14 @@ def encoded(documents: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(0).to_pylist()]
             for part in kernel.chunks(texts, 1 << 20):
                 ids, decoded = own.encode([texts[i] for i in part])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part[0], len(part)), pa.array(ids, pa.binary()).cast(pa.string()), pa.array(decoded, pa.binary()).cast(pa.string())], names=["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(part[0], len(part)) for c in batch.columns[1:]), *(pa.array(x, pa.binary()).cast(pa.string()) for x in (ids, decoded))], names=[*carry, "ids", "decoded"])
 
     common.reachable(documents.sparkSession)
-    return common.narrow(documents, "doc_id", "text").mapInArrow(run, "doc_id long, ids string, decoded string")
+    rows, kinds = common.carried(documents, carry)
+    return rows.mapInArrow(run, f"{kinds}, ids string, decoded string")
 
 
 def token_count(ids):

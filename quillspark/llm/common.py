@@ -67,6 +67,12 @@ def narrow(docs: DataFrame, *cols: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in cols])
 
 
+def carried(docs: DataFrame, carry: tuple[str, ...]) -> tuple[DataFrame, str]:
+    """The text and then the columns ``carry``, and the schema of those."""
+    rows = docs.select("text", *[F.col(f"`{c}`") for c in carry])
+    return rows, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+
+
 def fold_is(col: str, modulus: int, remainder: int):
     """crc32(id as text) mod ``modulus`` = ``remainder``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit(""))) % modulus == remainder

@@ -179,8 +179,8 @@ def labelled(s: np.ndarray, sizes: np.ndarray, switch: float = SWITCH) -> np.nda
     return labels
 
 
-def identified(documents: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score (share of the letters), spans (start, end in code points, lang) of every row.
+def identified(documents: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``carry``, lang_pred, score (share of the letters), spans (start, end in code points, lang) of every row.
 
     A text without letters, an empty one or null is ``und`` with score 0 and no spans. Ties go to the first language by name.
     """
@@ -189,7 +189,7 @@ def identified(documents: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.langs, UNKNOWN], dtype=object)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(0).to_pylist()]
             for group in kernel.chunks(texts, 4 << 20):
                 found: list[tuple] = []
                 own = [texts[i] for i in group]
@@ -210,10 +210,12 @@ def identified(documents: DataFrame, model: Model) -> DataFrame:
                 offsets = np.searchsorted(text[at], np.arange(len(own) + 1)).astype(np.int32)
                 ends = (start + size)[last] if len(at) else np.zeros(0, dtype=np.int64)
                 spans = pa.StructArray.from_arrays([pa.array(start[at], pa.int32()), pa.array(ends, pa.int32()), pa.array(names[label[at]], pa.string())], names=["s", "e", "lang"])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(group[0], len(group)), pa.array(names[best], pa.string()), pa.array(share), pa.ListArray.from_arrays(offsets, spans)], names=["doc_id", "lang_pred", "score", "spans"])
+                own_columns = [c.slice(group[0], len(group)) for c in batch.columns[1:]]
+                yield pa.RecordBatch.from_arrays([*own_columns, pa.array(names[best], pa.string()), pa.array(share), pa.ListArray.from_arrays(offsets, spans)], names=[*carry, "lang_pred", "score", "spans"])
 
     common.reachable(documents.sparkSession)
-    return common.narrow(documents, "doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<s:int,e:int,lang:string>>")
+    rows, kinds = common.carried(documents, carry)
+    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double, spans array<struct<s:int,e:int,lang:string>>")
 
 
 def _offsets(texts: list[str], part: list[int]) -> np.ndarray:
