@@ -1,8 +1,468 @@
-"""Queries by name, and their SQL."""
+"""Queries by name, and their SQL.
+
+The test tables hold no requests or résumés. Mapping: documents = source texts, events = event log (user = request,
+error = failed, purchase = ready, signup = claimed), orders = request queue, lineitem = versions, conversations =
+comments, benchmark = required facts, part = skill terms. ``as_of`` is the latest time in the data.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.functions import scalars, text
+from quillspark.operators import coverage, intents, lifecycle, limits, ops, packing, profile, qa, sanitize, segment, taxonomy
+from quillspark.plans.sql import ORACLE_SQL
+from quillspark.sources.files import download_name, safe_file_name, updated
+from quillspark.sources.query import TableQuery
+from quillspark.streaming import events as stream
+from quillspark.tables import table
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable) -> Callable:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def requests(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as requests: O submitted, P processing, F failed."""
+    o = table(spark, d, "orders")
+    status = F.when(F.col("o_orderstatus") == "O", "submitted").when(F.col("o_orderstatus") == "P", "processing").otherwise("failed")
+    priority = F.when(F.col("o_orderpriority") == "1-URGENT", "urgent").when(F.col("o_orderpriority") == "2-HIGH", "high").otherwise("normal")
+    when = F.col("o_orderdate")
+    processing = status == "processing"
+    return o.select(
+        F.col("o_orderkey").alias("id"),
+        status.alias("status"),
+        priority.alias("priority"),
+        F.when(F.col("o_orderkey") % 7 == 0, "").otherwise("NAME").alias("candidate_first_name"),
+        F.when(processing, when).alias("worker_locked_at"),
+        F.when(processing, F.lit("w0")).alias("worker_locked_by"),
+        (F.col("o_orderkey") % 5).cast("int").alias("worker_attempts"),
+        F.lit(None).cast("string").alias("last_error"),
+        when.alias("created_at"),
+        when.alias("submitted_at"),
+        F.when(processing, when).alias("started_at"),
+        when.alias("updated_at"),
+    )
+
+
+def as_of(d: DataFrame, column: str):
+    return F.lit(d.agg(F.max(column)).first()[0])
+
+
+def log(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").withColumnRenamed("props", "payload").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    """Documents have no blank lines, so their lines are the blocks."""
+    return segment.blocks(table(spark, d, "documents"), separator="\n")
+
+
+@query
+def source_profile(spark, d):
+    return profile.profiled(table(spark, d, "documents").select("doc_id", "text")).drop("text")
+
+
+@query
+def review_gate(spark, d):
+    p = profile.profiled(table(spark, d, "documents").select("text"))
+    return p.groupBy("profile").agg(F.count("*").alias("n"), F.count_if("needs_review").alias("review"))
+
+
+@query
+def profile_distribution(spark, d):
+    p = profile.profiled(table(spark, d, "documents").select("source", "text"))
+    return p.groupBy("source", "profile").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+
+
+@query
+def pii_redaction_counts(spark, d):
+    kinds = {k: sanitize.CONTACTS[k] for k in ("email", "phone", "linkedin", "github")}
+    got = sanitize.redacted(text.text_of(F.col("text")), kinds)
+    return table(spark, d, "documents").select("doc_id", *[v.cast("long").alias(k) for k, v in got.items() if k != "text"])
+
+
+@query
+def sanitized_documents(spark, d):
+    return sanitize.sanitised(table(spark, d, "documents")).withColumn("clean_text", F.md5("clean_text"))
+
+
+@query
+def line_fates(spark, d):
+    return sanitize.sanitised_lines(table(spark, d, "documents")).groupBy("fate").agg(F.count("*").alias("n"), F.sum("n_email").alias("emails"))
+
+
+@query
+def line_blocks(spark, d):
+    return lines(spark, d).drop("block")
+
+
+@query
+def section_carry_forward(spark, d):
+    return segment.carried(lines(spark, d)).groupBy("section").agg(F.count("*").alias("n"), F.count("header").alias("headers"))
+
+
+@query
+def section_types(spark, d):
+    """The fold over inline documents with real headings."""
+    rows = [(1, ["Jane", "COMPÉTENCES", "Java, SQL", "Expériences", "2019 - 2021 Développeur", "Livrables clés", "Langues", "Anglais"]), (2, ["Profil", "2018 à 2020 consultant", "Missions principales du projet", "texte"]), (3, [])]
+    found = segment.sections(spark.createDataFrame(rows, "doc_id long, blocks array<string>"))
+    return found.select("doc_id", F.array_join("types", ",").alias("types"))
+
+
+@query
+def long_doc_chunks(spark, d):
+    return segment.chunks(table(spark, d, "documents"))
+
+
+@query
+def normalized_text(spark, d):
+    n = text.fidelity(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.length(n).cast("long").alias("chars"), F.md5(n).alias("digest"))
+
+
+@query
+def fingerprint_duplicates(spark, d):
+    f = table(spark, d, "documents").select("doc_id", text.fingerprint(F.col("text")).alias("fingerprint"))
+    return f.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+
+
+@query
+def required_fact_coverage(spark, d):
+    return coverage.facts_found(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "text", "doc_id", "text")
+
+
+@query
+def block_coverage(spark, d):
+    """The first turn of a conversation as required block, the second as rendered text."""
+    c = table(spark, d, "conversations")
+    a = c.where("turn = 0").select("conv_id", F.col("text").alias("block"))
+    b = c.where("turn = 1").select("conv_id", F.col("text").alias("body"))
+    return coverage.missing_blocks(a.join(b, "conv_id"), "block", "body").select("conv_id", "overlap")
+
+
+@query
+def placeholder_repetition(spark, d):
+    """Lines of the documents and, since those hold none, inline ones."""
+    rows = [(-1, "Analyse des besoins 1\nAnalyse des besoins 2\n• Analyse des besoins 3."), (-2, "Atelier technique 1\nAtelier technique 9\nAtelier technique 20"), (-3, "Mission longue suite 1\nMission longue suite 2\nMission longue suite 3")]
+    own = spark.createDataFrame(rows, "doc_id long, text string")
+    found = coverage.placeholders(table(spark, d, "documents").select("doc_id", "text").union(own))
+    return found.select("doc_id", "base", F.array_join("numbers", ",").alias("numbers"))
+
+
+@query
+def issue_summary(spark, d):
+    codes = spark.createDataFrame([("error", "source_fact_missing"), ("click", "source_coverage_missing_skill"), ("view", "summary_reworded")], "event_type string, code string")
+    return coverage.issue_summary(log(spark, d).join(F.broadcast(codes), "event_type"), "user_id").withColumn("codes", F.array_join("codes", ","))
+
+
+@query
+def claim_queue_topk(spark, d):
+    r = requests(spark, d)
+    now = as_of(r, "created_at")
+    return lifecycle.claimed(r, "w1", now, 10).where("worker_locked_by = 'w1'").select("id", "priority", "status", "worker_attempts")
+
+
+@query
+def requeued_requests(spark, d):
+    r = requests(spark, d)
+    return lifecycle.requeued(r, as_of(r, "created_at")).groupBy("status").agg(F.count("*").alias("n"), F.sum("worker_attempts").cast("long").alias("attempts"))
+
+
+@query
+def unlocked_request(spark, d):
+    r = requests(spark, d)
+    some = r.where("status = 'failed'").agg(F.min("id")).first()[0]
+    after, events = lifecycle.unlocked(r, some, as_of(r, "created_at"))
+    return after.where(F.col("id") == some).join(events.withColumnRenamed("request_id", "id"), "id").select("id", "status", "worker_attempts", "event_type", F.get_json_object("payload", "$.from_status").alias("from_status"))
+
+
+@query
+def latest_version(spark, d):
+    v = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return lifecycle.latest(v, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query
+def version_numbers(spark, d):
+    v = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    return lifecycle.numbered(v, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").groupBy("l_orderkey").agg(F.max("version_number").alias("versions"))
+
+
+@query
+def version_gate(spark, d):
+    v = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "O", "ready").when(F.col("o_orderstatus") == "P", "draft_ready").otherwise("qa_failed").alias("s"), F.when(F.col("o_orderkey") % 3 == 0, "passed").when(F.col("o_orderkey") % 3 == 1, "draft").otherwise("failed").alias("q"))
+    gate = lifecycle.version_gate(F.col("s"), F.col("q"), F.col("o_orderkey") % 4 > 0)
+    return v.select(gate.alias("violation")).groupBy("violation").agg(F.count("*").alias("n"))
+
+
+@query
+def latest_event_badge(spark, d):
+    """The 50 latest orders with the last event of their customer."""
+    newest = table(spark, d, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(50)
+    last = lifecycle.latest(log(spark, d).select("user_id", "ts", "event_id", "event_type"), "user_id", "ts", "event_id")
+    return newest.join(last, newest["o_custkey"] == last["user_id"], "left").select("o_orderkey", "event_id", "event_type")
+
+
+@query
+def dashboard_kpis(spark, d):
+    r = requests(spark, d).orderBy(F.desc("created_at"), F.desc("id")).limit(50)
+    count = lambda c: F.count_if(c)
+    return r.agg(F.count("*").alias("total"), count(F.col("status").isin(*lifecycle.IN_PROGRESS)).alias("in_progress"), count(F.col("status") == "failed").alias("failed"), count(F.col("priority") == "urgent").alias("urgent"))
+
+
+@query
+def queue_stats(spark, d):
+    return requests(spark, d).rollup("status").agg(F.count("*").alias("n")).select(F.coalesce("status", F.lit("total")).alias("state"), "n")
+
+
+@query
+def stale_processing(spark, d):
+    r = requests(spark, d)
+    return lifecycle.stale(r, as_of(r, "created_at"), 60 * 24 * 365).select("id")
+
+
+@query
+def retryable_requests(spark, d):
+    r = requests(spark, d)
+    return lifecycle.retryable(r, as_of(r, "updated_at"), 24 * 365).select("id")
+
+
+@query
+def low_scores(spark, d):
+    k = scalars.json_number(F.col("payload"), "$.k")
+    return log(spark, d).withColumn("score", k).where("score < 60").orderBy(F.desc("ts")).limit(20).select("event_id", "score")
+
+
+@query
+def status_digest(spark, d):
+    known = {"error": "failed", "purchase": "ready", "signup": "processing", "click": "draft_ready"}
+    status = F.lit("mystery")
+    for k, v in known.items():
+        status = F.when(F.col("event_type") == k, v).otherwise(status)
+    e = log(spark, d).select(status.alias("status"))
+    return ops.by_status(e).crossJoin(F.broadcast(ops.rates(e)))  # the rates are one row
+
+
+@query
+def top_error_prefixes(spark, d):
+    e = log(spark, d).select(F.when(F.col("event_type") == "error", "failed").otherwise("ready").alias("status"), F.col("payload").alias("last_error"))
+    return ops.top_errors(e)
+
+
+@query
+def source_profile_by_time(spark, d):
+    e = log(spark, d)
+    recent = e.where(F.col("ts") > as_of(e, "ts") - F.expr("interval 7 days"))
+    return recent.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(scalars.json_number(F.col("payload"), "$.k", "long")).alias("k"))
+
+
+@query
+def event_sequences(spark, d):
+    s = ops.summaries(log(spark, d), "user_id", ("error", "purchase"), "signup")
+    return s.select("user_id", "n", F.md5("sequence").alias("sequence"), "terminal", "first_profile")
+
+
+@query
+def incident_signatures(spark, d):
+    s = ops.summaries(log(spark, d), "user_id", ("error", "purchase"), "signup").where("terminal = 'error'")
+    issues = F.when(F.col("n") > 10, F.array(F.lit("many_events"))).otherwise(F.array().cast("array<string>"))
+    sig = ops.signature(F.lit("failed"), F.when(F.col("user_id") % 2 == 0, "contact_leak"), issues, F.when(F.col("first_profile").isNotNull(), "normal"), F.col("user_id") % 3 == 0)
+    return ops.incidents(s.select(F.col("user_id").alias("id"), sig.alias("signature")))
+
+
+@query
+def incident_recommendations(spark, d):
+    s = ops.summaries(log(spark, d), "user_id", ("error", "purchase"), "signup")
+    category = F.when(F.col("user_id") % 3 == 0, "contact_leak").when(F.col("user_id") % 3 == 1, "source_fidelity").otherwise("transient_model_failure")
+    issues = F.when(F.col("n") > 10, F.array(F.lit("source_coverage_missing_experience_item"))).otherwise(F.array().cast("array<string>"))
+    r = ops.recommendations(category, issues, F.when(F.col("terminal") == "error", "failed").otherwise("needs_human_review"), F.lit("normal"), F.col("user_id") % 5 > 0)
+    return s.select(F.explode(r).alias("recommendation")).groupBy("recommendation").agg(F.count("*").alias("n"))
+
+
+@query
+def history_anti_join(spark, d):
+    e = log(spark, d)
+    return ops.unseen(e.where("event_type = 'error'").select("user_id").distinct(), e.where("event_type = 'purchase'"), "user_id")
+
+
+@query
+def stage_durations(spark, d):
+    s = ops.stage_durations(log(spark, d), "user_id")
+    return s.groupBy("event_type").agg(F.count("seconds").alias("n"), F.sum((F.col("seconds") * 1e6).cast("long")).alias("micros"))
+
+
+@query
+def rate_limit_sliding(spark, d):
+    got = limits.rate_limited(log(spark, d), ["user_id", "event_type"], 3, 6 * 3600 * 1_000_000)
+    return got.select("event_id", "calls", "allowed", "remaining")
+
+
+@query
+def dup_suppression(spark, d):
+    return limits.suppressed(log(spark, d), ["user_id", "event_type"], 3600 * 1_000_000).select("event_id", "kept")
+
+
+@query
+def uppercase_and_glyph_qa(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", F.round(text.uppercase_ratio(t), 6).alias("uppercase"), F.coalesce(sanitize.bad_glyphs(t), F.lit(False)).alias("bad_glyphs"), F.coalesce(sanitize.looks_like_contact(t), F.lit(False)).alias("contact"))
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in pages of 3,300 characters; blocks are the lines, the used ratio is of 3,600 characters."""
+    size = 3300
+    n = F.greatest(F.lit(1), F.ceil(F.length("text") / size)).cast("int")
+    p = table(spark, d, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(1), n)).alias("page"))
+    body = F.substring(F.col("text"), (F.col("page") - 1) * size + 1, F.lit(size))
+    return p.select("doc_id", "page", F.length(body).alias("char_count"), F.size(F.split(body, "\n")).alias("block_count")).withColumn("used_ratio", F.least(F.lit(1.0), F.col("char_count") / 3600))
+
+
+@query
+def page_issues(spark, d):
+    return qa.layout_issues(pages(spark, d))
+
+
+@query
+def page_metrics_score(spark, d):
+    return qa.taste(pages(spark, d))
+
+
+@query
+def packing_breaks(spark, d):
+    v = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_partkey"))).alias("x"))
+    heights = F.transform("x", lambda i: F.lit(2) + packing.item_units((i["l_quantity"] * 8).cast("int")))
+    return v.select("l_orderkey", F.array_join(packing.page_breaks(heights, 9), ",").alias("breaks"))
+
+
+@query
+def layout_variants(spark, d):
+    v = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("pages"), F.sum((F.col("l_quantity") > 40).cast("int")).alias("dense"), F.sum((F.col("l_quantity") < 5).cast("int")).alias("sparse"))
+    score = qa.layout_score(F.lit(0), F.lit(0), F.lit(0), F.col("sparse"), F.col("dense"), F.col("pages"))
+    return qa.best_variant(v.select("l_orderkey", score.alias("score"), F.col("l_linenumber").alias("ord")), "l_orderkey")
+
+
+@query
+def qa_status(spark, d):
+    p = qa.layout_issues(pages(spark, d)).groupBy("doc_id").agg(F.collect_set("code").alias("codes"))
+    docs = table(spark, d, "documents").select("doc_id").join(p, "doc_id", "left").withColumn("codes", F.coalesce("codes", F.array().cast("array<string>")))
+    s = qa.status(F.when(F.col("doc_id") % 11 == 0, 1).otherwise(0), F.lit(True), F.lit(True), F.lit(1), F.col("codes"), F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0))
+    score = qa.final_score(F.size("codes"), F.col("doc_id") % 2 == 0)
+    return docs.select(s.alias("status"), score.alias("score")).groupBy("status", "score").agg(F.count("*").alias("n"))
+
+
+@query
+def eval_assertions(spark, d):
+    """Cases demand two words, forbid one, and hold a page limit."""
+    docs = table(spark, d, "documents")
+    cases = docs.select(F.col("doc_id").alias("id"), F.lit("ready").alias("expected_status"), F.array(F.lit("the"), F.lit("and")).alias("required_terms"), F.lit("(?i)token").alias("forbidden"), F.lit(2).alias("max_pages"))
+    results = docs.where("doc_id % 10 > 0").select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "en", "ready").otherwise("failed").alias("status"), "text", F.ceil(F.col("n_chars") / 3000).alias("pages"))
+    return qa.evaluated(cases, results).select("id", "passed", F.array_join("failures", ",").alias("failures"))
+
+
+@query
+def revision_intents(spark, d):
+    rows = [("remonter la mission en page 1",), ("ajouter une mission et remonter le bloc",), ("tout refaire",), ("merci",), ("",), (None,)]
+    own = spark.createDataFrame(rows, "text string")
+    c = table(spark, d, "conversations").select("text").union(own)
+    return c.select(intents.revision_intent(F.col("text")).alias("intent"), intents.instruction_intent(F.col("text")).alias("instruction")).groupBy("intent", "instruction").agg(F.count("*").alias("n"))
+
+
+@query
+def error_taxonomy(spark, d):
+    rows = [("Coordonnées détectées : email",), ("Texte source trop court",), ("primary_category_source_fidelity",), ("page_too_dense page 3",), ("logo manquant",), ("timeout",), ("Prénom candidat absent",), (None,)]
+    own = spark.createDataFrame(rows, "text string")
+    e = table(spark, d, "conversations").select("text").union(own)
+    return e.select(intents.error_category(F.col("text")).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query
+def issue_code_extraction(spark, d):
+    rows = [(1, "failed fidelity_issues=[a_b, 'c'] hard_count=2 soft_count=1"), (2, "none"), (3, None)]
+    m = F.col("message")
+    hard, soft = intents.issue_counts(m)
+    return spark.createDataFrame(rows, "id int, message string").select("id", F.array_join(intents.issue_codes(m), ",").alias("codes"), hard.alias("hard"), soft.alias("soft"))
+
+
+@query
+def skills_dedup(spark, d):
+    p = table(spark, d, "part").select("p_brand", F.col("p_partkey").alias("ord"), F.col("p_name").alias("value"), F.col("p_type").alias("category"))
+    return taxonomy.deduplicated(p, "p_brand").select("p_brand", "skill_key", "value", "ord")
+
+
+@query
+def skill_groups(spark, d):
+    p = table(spark, d, "part").select("p_brand", F.col("p_partkey").alias("ord"), F.col("p_name").alias("value"), F.col("p_type").alias("category"))
+    return taxonomy.grouped(p, "p_brand").select("p_brand", "category", "part", F.array_join("values", ",").alias("values"))
+
+
+@query
+def skill_categories(spark, d):
+    rows = [("Docker, Kubernetes",), ("PostgreSQL; Redis / Oracle",), ("Méthodes Agile (Scrum, Safe)",), ("Jardinage",)]
+    own = spark.createDataFrame(rows, "value string").select(F.explode(taxonomy.split_values(F.col("value"))).alias("value"))
+    every = own.union(table(spark, d, "part").select("p_name").distinct())
+    return every.select("value", taxonomy.category(F.col("value")).alias("category"))
+
+
+@query
+def language_merge(spark, d):
+    rows = table(spark, d, "documents").select("source", F.when(F.col("doc_id") % 2 == 0, F.upper("lang")).otherwise(F.col("lang")).alias("name"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("B"), (F.col("doc_id") % 2 + 1).cast("string"))).alias("level"), F.col("doc_id").alias("ord"))
+    return taxonomy.merged_languages(rows, "source")
+
+
+@query
+def table_query(spark, d):
+    q = TableQuery(table(spark, d, "orders")).select("o_orderkey, o_totalprice").eq("o_orderstatus", "F").in_("o_orderpriority", ["1-URGENT", "2-HIGH"]).like("o_orderpriority", "1%")
+    return q.order("o_totalprice", desc=True).order("o_orderkey").limit(25).frame()
+
+
+@query
+def visible_requests(spark, d):
+    """Rows of owners in a whitelist."""
+    allowed = table(spark, d, "customer").where(F.lower("c_mktsegment") == "building").select(F.col("c_custkey").alias("o_custkey"))
+    return table(spark, d, "orders").join(allowed, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
+
+
+@query
+def request_detail(spark, d):
+    """Requests with the number, total and newest of their versions."""
+    v = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("versions"), F.max("l_linenumber").alias("newest"))
+    o = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
+    return o.join(v, o["o_orderkey"] == v["l_orderkey"], "left").select("o_orderkey", F.coalesce("versions", F.lit(0)).alias("versions"), "newest")
+
+
+@query
+def snapshot_update(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    return updated(o, F.col("o_orderkey") % 10 == 0, {"o_orderstatus": F.lit("X")}).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query
+def string_scalars(spark, d):
+    c = F.concat(F.col("p_name"), F.lit(" É/ç & "), F.col("p_brand"))
+    return table(spark, d, "part").select("p_partkey", text.safe_code(c).alias("code"), text.slug(c).alias("slug"), text.escaped(c).alias("escaped"), text.first_name(c).alias("first_name"), safe_file_name(c).alias("file"), download_name(c, F.col("p_size")).alias("download"))
+
+
+@query
+def numeric_scalars(spark, d):
+    o, p = F.col("o_orderkey"), F.col("o_totalprice")
+    return table(spark, d, "orders").select("o_orderkey", scalars.bounded_score(p / 4000).alias("score"), scalars.backoff(o % 9 + 1).alias("backoff"), scalars.ceil_div(o, 116).alias("pages"), F.round(scalars.safe_ratio(o, o % 3), 6).alias("ratio"))
+
+
+@query
+def stream_failure_counts(spark, d):
+    """The event log as a stream, drained once; the windows' counts are few."""
+    counts = stream.failure_counts(stream.read(spark, d, pattern="events.parquet"))
+    name = f"failures_{uuid.uuid4().hex}"
+    q = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).select(F.unix_micros("start").alias("start"), "n")
