@@ -24,6 +24,8 @@ ADDRESS = r"(?iu)^\s*(?:adresse|domicile|domicili[ée]|habite)(?![\p{L}\p{N}_])"
 BUSINESS = "mission|chez|client|exp[ée]rience|projet|remote|full-stack"
 PUNCTUATION = r"^[\s,;:|/\\•\-–—()\[\].]+$"
 HEADER_LINES, LEAST_CHARS, SHRUNK = 25, 400, 0.55
+#: A line without this holds no contact of the kind.
+NEEDS = {"email": "@", "phone": r"0[67]|\+33", "linkedin": r"(?i)linkedin\.com|lnkd\.in", "github": r"(?i)github\.com", "url": r"(?i)://|www\.|\.[a-z]{2}"}
 RESIDUE = (
     (r"(?iu)\(\s*(?:lien|site|url|portfolio|linkedin|github|contact)\s*:?\s*\)", ""),
     (r"(?iu)\b(?:lien|url)\s*:\s*(?=$|[),.;])", ""),
@@ -36,13 +38,13 @@ RESIDUE = (
 )
 
 
-def redacted(text: Column, kinds: dict[str, str] = CONTACTS) -> dict[str, Column]:
-    """text: without contacts, removed kind by kind; n_<kind>: matches on the text that earlier kinds left."""
-    out: dict[str, Column] = {}
+def redacted(rows: DataFrame, text: str, kinds: dict[str, str] = CONTACTS) -> DataFrame:
+    """``text`` without contacts, removed kind by kind, and n_<kind>: matches on the text that earlier kinds left."""
     for kind, pattern in kinds.items():
-        out[f"n_{kind}"] = F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, "")
-    return out | {"text": text}
+        some = F.coalesce(F.col(text).rlike(NEEDS[kind]), F.lit(False))
+        rows = rows.withColumn(f"n_{kind}", F.when(some, F.regexp_count(text, F.lit(pattern))).otherwise(0).cast("long"))
+        rows = rows.withColumn(text, F.when(F.col(f"n_{kind}") > 0, F.regexp_replace(text, pattern, "")).otherwise(F.col(text)))
+    return rows
 
 
 def tidied(text: Column) -> Column:
@@ -66,16 +68,18 @@ def sanitised_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     depends on the raw line alone, so a lookup of the neighbour within the row's own array is enough: no window, no shuffle.
     """
     lines = F.transform(F.split(F.regexp_replace(text_of(F.col(text)), "\r\n?", "\n"), "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
-    d = docs.select(key, lines.alias("_lines")).select(key, F.posexplode("_lines").alias("ord", "line"), "_lines")
-    d = d.withColumn("_before", F.when(F.col("ord") > 0, F.get("_lines", F.col("ord") - 1)).otherwise("")).drop("_lines")
     bare = lambda c: F.regexp_replace(c, r"(?U)^[^\w]+", "")
-    a, b = bare(F.col("line")), bare(F.col("_before"))
-    before = ~noise_line(F.col("_before")) & ~F.col("_before").rlike(LABEL) & (b.rlike(ADDRESS) | (b.rlike(STREET) & (F.col("ord") - 1 < HEADER_LINES))) & (F.col("_before").rlike(STREET) | F.col("_before").rlike(ADDRESS))
-    address = a.rlike(ADDRESS) | ((F.col("ord") < HEADER_LINES) & (a.rlike(STREET) | (a.rlike(CITY) & (before | ~a.rlike(word(BUSINESS))))))
-    d = d.withColumn("_fate", F.when(F.col("line") == "", "blank").when(noise_line(F.col("line")), "noise").when(F.col("line").rlike(LABEL), "label").when(address, "address"))
-    left = redacted(F.col("line"))
-    rest = F.col("_fate").isNull()
-    d = d.withColumns({k: F.when(rest, v).otherwise(0).cast("long") for k, v in left.items() if k != "text"} | {"cleaned": F.when(rest, tidied(left["text"]))})
+
+    def facts(x: Column, i: Column) -> Column:
+        plain = F.when(x == "", "blank").when(noise_line(x), "noise").when(x.rlike(LABEL), "label")
+        prefix, street = bare(x).rlike(ADDRESS), (i < HEADER_LINES) & bare(x).rlike(STREET)
+        return F.struct(x.alias("line"), plain.alias("fate"), (prefix | street).alias("address"), (plain.isNull() & (prefix | street) & (x.rlike(STREET) | x.rlike(ADDRESS))).alias("opens"))
+
+    d = docs.select(key, F.transform(lines, facts).alias("_f"))
+    d = d.select(key, F.posexplode("_f").alias("ord", "x"), "_f").select(key, "ord", "x.*", F.coalesce(F.get("_f", F.col("ord") - 1)["opens"], F.lit(False)).alias("_before"))
+    city = (F.col("ord") < HEADER_LINES) & F.col("line").rlike(CITY) & (F.col("_before") | ~bare(F.col("line")).rlike(word(BUSINESS)))
+    d = d.withColumn("_fate", F.coalesce("fate", F.when(F.col("address") | city, "address"))).drop("fate", "address", "opens")
+    d = redacted(d.withColumn("cleaned", F.when(F.col("_fate").isNull(), F.col("line"))), "cleaned").withColumn("cleaned", tidied(F.col("cleaned")))
     gone = (F.col("cleaned") == "") | F.col("cleaned").rlike(PUNCTUATION) | F.col("cleaned").rlike(LABEL)
     return d.withColumn("fate", F.coalesce("_fate", F.when(gone, "empty").otherwise("kept"))).drop("_fate", "_before")
 

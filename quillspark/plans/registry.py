@@ -87,8 +87,7 @@ def profile_distribution(spark, d):
 @query
 def pii_redaction_counts(spark, d):
     kinds = {k: sanitize.CONTACTS[k] for k in ("email", "phone", "linkedin", "github")}
-    got = sanitize.redacted(text.text_of(F.col("text")), kinds)
-    return table(spark, d, "documents").select("doc_id", *[v.cast("long").alias(k) for k, v in got.items() if k != "text"])
+    return sanitize.redacted(table(spark, d, "documents").select("doc_id", text.text_of(F.col("text")).alias("text")), "text", kinds).drop("text")
 
 
 @query
