@@ -158,9 +158,9 @@ def labelled(s: np.ndarray, sizes: np.ndarray, switch: float = SWITCH) -> np.nda
     for t in range(longest):
         m = active[t]
         rows = base[:m] + t
+        final[m : len(delta)] = delta[m:]
+        delta = delta[:m]
         if t:
-            final[m : len(delta)] = delta[m:]
-            delta = delta[:m]
             top = delta.argmax(1)
             best = delta[np.arange(m), top][:, None] - switch
             stay = delta >= best
