@@ -142,7 +142,7 @@ def write(pages: DataFrame, to: str) -> list[dict]:
     few = firsts.count() <= BROADCAST_DIGESTS
     bounds = _bounds(marked)
     n = len(bounds) + 1
-    at = F.coalesce(F.expr(_step("page_id", bounds)), F.lit(0))
+    at = F.when(F.col("page_id").isNull(), 0).otherwise(F.expr(_step("page_id", bounds)))
     out = rows.join(F.broadcast(firsts) if few else firsts, "sha", "left").select(at.alias("shard"), "page_id", "url", "html", "first")
     out = out.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "page_id", "html", "url")
     temp = f"{to}/_temporary"
@@ -196,9 +196,6 @@ def write(pages: DataFrame, to: str) -> list[dict]:
 
 def _step(col: str, bounds: list[int]) -> str:
     """SQL for how many of the sorted bounds are at most the column: a balanced tree of comparisons."""
-    if not bounds:
-        return f"if({col} is null, null, 0)"
-
     def tree(a: int, b: int) -> str:
         if a == b:
             return str(a)

@@ -69,7 +69,7 @@ def test_shards():
 
     bounds = [5, 9, 100, 101]
     for i in (-1, 4, 5, 8, 9, 99, 100, 101, 500):
-        assert duckdb.sql(f"select {warc._step('x', bounds).replace('L', '')} from (select {i} as x)").fetchone()[0] == warc.shard_of(i, bounds)
+        assert duckdb.sql(f"select {warc._step('x', bounds).replace('L', '')} from (select {i} as x)").fetchall() == [(warc.shard_of(i, bounds),)]
 
 
 def test_empty(spark, tmp_path: Path):
