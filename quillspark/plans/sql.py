@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quillspark.functions.text import ACCENTED, PLAIN
-from quillspark.operators import qa, sanitize, segment
+from quillspark.operators import intents, qa, sanitize, segment
 from quillspark.operators.profile import ATS_WORDS, MISSION_WORDS
 from quillspark.operators.taxonomy import KEYWORDS
 
@@ -215,3 +215,36 @@ ORACLE_SQL: dict[str, str] = {
         SELECT o_orderkey, CAST(least(greatest(round_even(o_totalprice / 4000, 0), 0), 100) AS INT) AS score, least(10.0 * pow(2, o_orderkey % 9), 300) AS backoff, (o_orderkey + 115) // 116 AS pages, round(o_orderkey / greatest(o_orderkey % 3, 1), 6) AS ratio FROM orders""",
     "stream_failure_counts": "SELECT epoch_us(date_trunc('hour', ts)) AS start, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1",
 }
+
+SQUEEZED = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
+TAXONOMY = rf"trim(regexp_replace(lower({fold("coalesce(text, '')")}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
+ERRORS = " ".join(f"WHEN regexp_matches(t, '{has(w)}') THEN '{k}'" for k, w in intents.ERRORS)
+
+ORACLE_SQL |= {
+    "revision_intents": f"""
+        SELECT CASE WHEN regexp_matches(s, '{has(intents.RESET)}') THEN 'reset' WHEN regexp_matches(s, '{has(intents.CONTENT)}') THEN 'content' WHEN regexp_matches(s, '{has(intents.LAYOUT)}') THEN 'layout_only' ELSE 'unknown' END AS intent,
+          CASE WHEN regexp_matches(t, '{has(intents.SHORT)}') AND NOT regexp_matches(t, '{has(intents.NO_COMPACTION)}') THEN 'explicit_short_version' WHEN regexp_matches(t, '{has(intents.REWRITE)}') THEN 'explicit_rewrite'
+            WHEN regexp_matches(t, '{has(intents.TARGETED)}') THEN 'targeted_edit' ELSE 'complete_faithful' END AS instruction, count(*) AS n
+        FROM (SELECT {SQUEEZED} AS s, coalesce(text, '') AS t FROM (SELECT text FROM conversations UNION ALL SELECT unnest(['remonter la mission en page 1', 'ajouter une mission et remonter le bloc', 'tout refaire', 'merci', '', NULL]))) GROUP BY ALL""",
+    "error_taxonomy": f"""
+        SELECT CASE WHEN len(f) > 0 AND len(list_filter(f, lambda x: x <> 'source_fidelity')) = 0 THEN 'source_fidelity' {ERRORS} ELSE 'transient_model_failure' END AS category, count(*) AS n
+        FROM (SELECT *, regexp_extract_all(t, '(?:primary|fallback)_category_?\\s*([a-z_]+)', 1) AS f FROM (SELECT {TAXONOMY} AS t FROM (SELECT text FROM conversations UNION ALL
+          SELECT unnest(['Coordonnées détectées : email', 'Texte source trop court', 'primary_category_source_fidelity', 'page_too_dense page 3', 'logo manquant', 'timeout', 'Prénom candidat absent', NULL])))) GROUP BY ALL""",
+    "long_doc_chunks": """
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        l AS (SELECT doc_id, i, length(ls[i]) AS n FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d WHERE length(t) > 7000)),
+        c AS (
+          SELECT doc_id, i, n, n + 1 AS used, 1 AS part FROM l WHERE i = 1
+          UNION ALL SELECT l.doc_id, l.i, l.n, CASE WHEN c.used > 0 AND c.used + l.n > 7000 THEN l.n + 1 ELSE c.used + l.n + 1 END, c.part + CASE WHEN c.used > 0 AND c.used + l.n > 7000 THEN 1 ELSE 0 END
+          FROM c JOIN l ON l.doc_id = c.doc_id AND l.i = c.i + 1)
+        SELECT doc_id, CAST(part AS INT) AS part, CAST(sum(n) + count(*) - 1 AS BIGINT) AS chars, count(*) AS lines FROM c GROUP BY doc_id, part
+        UNION ALL SELECT doc_id, 1, length(t), len(ls) FROM d WHERE length(t) <= 7000""",
+    "packing_breaks": """
+        WITH RECURSIVE h AS (
+          SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_partkey) - 1 AS i, CAST(2 + greatest(1, least(3, (CAST(floor(l_quantity * 8) AS INT) + 115) // 116)) AS INT) AS h FROM lineitem),
+        p AS (
+          SELECT l_orderkey, i, least(h, 9) AS used, '' AS breaks FROM h WHERE i = 0
+          UNION ALL SELECT h.l_orderkey, h.i, CASE WHEN fits THEN p.used + h.h ELSE least(h.h, 9) END, CASE WHEN fits THEN p.breaks WHEN p.breaks = '' THEN CAST(h.i AS VARCHAR) ELSE p.breaks || ',' || h.i END
+          FROM p JOIN h ON h.l_orderkey = p.l_orderkey AND h.i = p.i + 1, LATERAL (SELECT p.used + h.h <= 9 OR (p.used < 10 AND p.used + h.h <= 12) AS fits))
+        SELECT l_orderkey, breaks FROM p QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY i DESC) = 1""",
+}
