@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import scalars, text
-from quillspark.operators import coverage, intents, lifecycle, limits, ops, packing, profile, qa, sanitize, segment, taxonomy
+from quillspark.operators import coverage, intents, layout, lifecycle, limits, ops, packing, profile, qa, sanitize, segment, structured, taxonomy
 from quillspark.plans.sql import ORACLE_SQL
 from quillspark.sources.files import download_name, safe_file_name, updated
 from quillspark.sources.query import TableQuery
@@ -336,6 +336,43 @@ def page_metrics_score(spark, d):
     return qa.taste(pages(spark, d))
 
 
+@query
+def page_overflow(spark, d):
+    """Line items as text blocks of a page 100 points wide and high."""
+    q = F.col("l_quantity")
+    b = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", q.cast("double").alias("x0"), (q * 2).cast("double").alias("y0"), (q + 50).cast("double").alias("x1"), (q * 2 + 10).cast("double").alias("y1"), F.lit(100.0).alias("width"), F.lit(100.0).alias("height"))
+    return layout.overflow(b).groupBy("l_orderkey", "side").agg(F.count("*").alias("n"))
+
+
+@query
+def zone_plan(spark, d):
+    kind = F.when(F.col("l_returnflag") == "R", "skills").when(F.col("l_returnflag") == "A", "education").otherwise("experience")
+    b = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("ord"), F.col("l_partkey").cast("string").alias("block_id"), kind.alias("type"), F.col("l_quantity").alias("estimated_lines"), (F.col("l_linestatus") == "O").alias("required"))
+    return layout.zones(b).select("doc_id", "zone", F.size("block_ids").cast("long").alias("blocks"), F.array_join("block_ids", ",").alias("block_ids"))
+
+
+@query
+def retry_options(spark, d):
+    p = qa.layout_issues(pages(spark, d)).groupBy("doc_id").agg(F.collect_set("code").alias("codes"))
+    o = layout.retry_options(F.col("codes"))
+    return p.where(o.isNotNull()).select("doc_id", o["force_new_page"].alias("force_new_page"), o["dense_chars"].alias("dense_chars"), o["reserve"].alias("reserve"))
+
+
+@query
+def contact_paths(spark, d):
+    """Contacts by JSON path in structured documents made of the texts: the first line as title, all lines as items."""
+    docs = table(spark, d, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("ls"))
+    none = lambda kind: F.lit(None).cast(kind)
+    parts = docs.select("doc_id", none("string").alias("name"), F.get("ls", F.lit(0)).alias("title"), none("array<struct<date:string,degree:string,school:string>>").alias("formations"), F.array(F.struct(F.lit("c").alias("category"), F.col("ls").alias("items"))).alias("skills"), none("array<struct<date:string,role:string,sections:array<struct<heading:string,content:array<string>>>>>").alias("experiences"))
+    return structured.contacts_in(parts).select("doc_id", F.array_join("categories", ",").alias("categories"), F.size("paths").cast("long").alias("paths"))
+
+
+@query
+def heading_kinds(spark, d):
+    rows = [(1, "COMPÉTENCES :"), (2, "Profil senior orienté résultats et équipes"), (3, "Formations"), (4, "Missions"), (5, "Environnement technique: AWS")]
+    return spark.createDataFrame(rows, "id int, line string").select("id", structured.heading_kind(F.col("line")).alias("kind"))
+
+
 @query
 def packing_breaks(spark, d):
     v = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_partkey"))).alias("x"))

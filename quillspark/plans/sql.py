@@ -247,4 +247,20 @@ ORACLE_SQL |= {
           UNION ALL SELECT h.l_orderkey, h.i, CASE WHEN fits THEN p.used + h.h ELSE least(h.h, 9) END, CASE WHEN fits THEN p.breaks WHEN p.breaks = '' THEN CAST(h.i AS VARCHAR) ELSE p.breaks || ',' || h.i END
           FROM p JOIN h ON h.l_orderkey = p.l_orderkey AND h.i = p.i + 1, LATERAL (SELECT p.used + h.h <= 9 OR (p.used < 10 AND p.used + h.h <= 12) AS fits))
         SELECT l_orderkey, breaks FROM p QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY i DESC) = 1""",
+    "page_overflow": """
+        SELECT l_orderkey, side, count(*) AS n FROM (
+          SELECT l_orderkey, unnest(list_filter([CASE WHEN l_quantity < 22.5 THEN 'left' END, CASE WHEN l_quantity * 2 < 22.5 THEN 'top' END, CASE WHEN l_quantity + 50 > 77.5 THEN 'right' END, CASE WHEN l_quantity * 2 + 10 > 77.5 THEN 'bottom' END], lambda x: x IS NOT NULL)) AS side FROM lineitem)
+        GROUP BY ALL""",
+    "zone_plan": """
+        SELECT l_orderkey AS doc_id, CASE WHEN l_returnflag IN ('R', 'A') AND l_quantity <= 14 THEN 'right_sidebar' ELSE 'main' END AS zone, count(*) AS blocks, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS block_ids
+        FROM lineitem WHERE l_linestatus = 'O' GROUP BY ALL""",
+    "retry_options": f"""
+        SELECT doc_id, NOT sparse AS force_new_page, CASE WHEN sparse THEN 2850 ELSE 2600 END AS dense_chars, CASE WHEN sparse THEN 130 ELSE 170 END AS reserve FROM (
+          SELECT doc_id, bool_or(code IN ('last_page_sparse', 'page_too_sparse')) AS sparse, bool_or(code = 'page_too_dense') AS dense FROM {ISSUES} GROUP BY doc_id) WHERE sparse OR dense""",
+    "contact_paths": rf"""
+        SELECT doc_id, array_to_string(list_sort(list_distinct(list(c))), ',') AS categories, count(*) AS paths FROM (
+          SELECT doc_id, CASE WHEN regexp_matches(x, '{PIECE["email"]}') THEN 'email' WHEN regexp_matches(x, '(?:\+33|\b0[67])(?:[ .-]?[0-9]{{2}}){{4}}\b') THEN 'phone_fr' WHEN regexp_matches(x, '(?i)linkedin\.com/\S+|lnkd\.in/\S+') THEN 'linkedin_profile'
+            WHEN regexp_matches(x, '(?i)\bgithub\.com/\S+') THEN 'github_profile' WHEN regexp_matches(x, '(?i)https?://\S+|www\.\S+') THEN 'url' END AS c
+          FROM (SELECT doc_id, unnest(list_concat([string_split(text, chr(10))[1]], string_split(text, chr(10)))) AS x FROM documents)) WHERE c IS NOT NULL GROUP BY doc_id""",
+    "heading_kinds": "SELECT * FROM (VALUES (1, 'skills'), (2, NULL), (3, 'education'), (4, 'experience'), (5, NULL)) v(id, kind)",
 }
