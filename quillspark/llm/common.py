@@ -14,6 +14,7 @@ WS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_dir: list[str] = []
+_made: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +41,7 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
+    _made.add(path)
     return out
 
 
@@ -52,6 +54,14 @@ def dropped(*tables: DataFrame) -> None:
     """Delete tables that ``written`` made, once nothing reads them."""
     for t in tables:
         delete_path(t.sparkSession, t.written_path)
+        _made.discard(t.written_path)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Delete all tables that this process has written, when no result that reads them is needed any more."""
+    for path in list(_made):
+        delete_path(spark, path)
+        _made.discard(path)
 
 
 def reachable(spark: SparkSession) -> None:

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common, kernel
@@ -33,10 +34,12 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: A pair goes if its best likelihood beats the best at a linked similarity by this log ratio (about 5.5 sigma).
 REJECT = 15.0
-#: Registers of the fine sketch (one bit each), and most unequal bits of a pair that may link: the mean at 0.75, 128, and 5.2 sigma.
-FINE, FINE_UNEQUAL = 1024, 183
+#: Registers of the fine sketch (one bit each), and most unequal bits of a pair that may link: the mean at 0.75, 128, and 4.5 sigma.
+FINE, FINE_UNEQUAL = 1024, 176
 #: Sub-leaders per bucket.
 SALTS = 8
+#: Leaders with which a member is compared in the first step.
+LEADERS = 4
 #: Most document ids that are broadcast (8 bytes each); beyond it, a shuffled join takes over.
 BROADCAST_IDS = 1_000_000
 
@@ -165,7 +168,7 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     rb = reps.select(F.col("rep").alias("b"), F.col("regs").alias("rb"), F.col("n_shingles").alias("nb"))
     both = pairs.join(ra, "a").join(rb, "b").select("a", "b", "ra", "rb", "na", "nb")
     likely = common.written(both.mapInArrow(_estimated, "a long, b long"), "likely")
-    ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
     texts = _few(docs, ids)
     ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
@@ -218,19 +221,39 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     leaders = parts.join(tops, "key").select("key", "salt", "sub", "top")
     shared = common.written(bands.join(leaders, ["key", "salt"]).select("key", "band", "rep", "sub", "top"), "shared")
     first = shared.where("rep != sub").select(F.col("sub").alias("a"), F.col("rep").alias("b")).union(shared.where("sub != top and rep = sub").select(F.col("top").alias("a"), F.col("sub").alias("b")))
-    found = _links(first.distinct(), reps, docs)
+    # Of a member's leaders (at most two per band) those of most bands; what this leaves untested is left to the exact step below.
+    best = W.partitionBy("b").orderBy(F.desc("n"), "a")
+    first = first.groupBy("a", "b").agg(F.count("*").alias("n")).withColumn("i", F.row_number().over(best)).where(F.col("i") <= LEADERS).select("a", "b")
+    first = common.written(first, "first")
+    found = _links(first, reps, docs)
     comps = components(found)
 
     owner = F.coalesce("comp", "rep")
-    marked = shared.select("key", "band", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("key", "band", "rep", owner.alias("comp"))
-    mixed = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
-    open_ = common.written(marked.join(mixed, "key", "left_semi"), "open")
+
+    def unsettled(comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of the buckets that still have more than one component, and each such bucket's main one."""
+        marked = shared.select("key", "band", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("key", "band", "rep", owner.alias("comp"))
+        mixed = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
+        rows = common.written(marked.join(mixed, "key", "left_semi"), "open")
+        sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high"))
+        return rows, sizes.groupBy("key").agg(F.max_by(F.struct("comp", "low", "high"), F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"), "m.low", "m.high")
+
+    # Members outside a bucket's main component are first compared with two members of that, to settle most of them cheaply.
+    before, main = unsettled(comps)
+    ends = before.join(main, "key").where("comp != main").select("rep", F.explode(F.array("low", "high")).alias("y")).where("rep != y")
+    ends = ends.select(F.least("rep", "y").alias("a"), F.greatest("rep", "y").alias("b"), "rep").groupBy("a", "b", "rep").agg(F.count("*").alias("n"))
+    ends = ends.withColumn("i", F.row_number().over(W.partitionBy("rep").orderBy(F.desc("n"), "a", "b"))).where(F.col("i") <= LEADERS).select("a", "b").distinct()
+    tested = common.written(ends.join(first, ["a", "b"], "left_anti"), "second")
+    found = common.written(found.union(_links(tested, reps, docs)), "found")
+    tested = first.union(tested)
+    comps = components(found)
+    open_, main = unsettled(comps)
+    common.dropped(before)
     fine = _few(docs, open_.select(F.col("rep").alias("doc_id")).distinct()).mapInArrow(_finely, "rep long, n long, fine array<bigint>")
     keys = reps.select("rep", F.transform(each, lambda i: F.hash(i, F.substring(F.col("regs"), i * width + 1, F.lit(width)))).alias("keys"))
     full = common.written(open_.join(fine.dropDuplicates(["rep"]), "rep").join(keys, "rep"), "fine")
-    main = full.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
     # Members outside the main component of their bucket meet the other components; the main one never meets itself.
-    x = full.join(main, "key").where("comp != main").alias("x")
+    x = full.join(main.select("key", "main"), "key").where("comp != main").alias("x")
     y = full.alias("y")
     num, den = SIMILARITY
     unequal = sum((F.bit_count(F.get("x.fine", F.lit(k)).bitwiseXOR(F.get("y.fine", F.lit(k)))) for k in range(FINE // 64)), F.lit(0))
@@ -239,10 +262,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     earliest = F.array_position(F.zip_with("x.keys", "y.keys", lambda a, b: a == b), True) == F.col("x.band") + 1
     meet = x.join(y, untested & sized & (unequal <= FINE_UNEQUAL) & earliest)
     second = meet.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    late = _links(second.join(first, ["a", "b"], "left_anti"), reps, docs)
+    late = _links(second.join(tested, ["a", "b"], "left_anti"), reps, docs)
     if late.limit(1).count():
         comps = components(found.union(late))
-    common.dropped(shared, open_, full, reps)
+    common.dropped(shared, open_, full, reps, first)
     some, alone = member.where("rep is not null"), member.where("rep is null")
     result = some.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", owner.alias("component_id"))
     result = result.union(alone.select("doc_id", "n_shingles", "doc_id"))
