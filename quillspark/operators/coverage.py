@@ -10,8 +10,12 @@ from quillspark.functions.text import contains_fact, fidelity, text_of, tokens
 # Least overlap, and the rule for numbered placeholders.
 LEAST_OVERLAP, LEAST_BASE, LEAST_NUMBERS, SPAN_SLACK = 0.65, 8, 3, 2
 PLACEHOLDER = r"^(.{8,}?)[\s\x{a0}]+([1-9][0-9]?)$"
-#: Severity of issue codes; a code in neither list is hard.
-SOFT_CODES = ("source_coverage_missing_skill", "source_coverage_missing_language", "summary_reworded")
+# Issue codes that leave a draft; any other code is hard.
+SOFT_CODES = (
+    "title_absent_from_source", "experience_location_missing_from_json", "experience_misclassified_as_formation", "experience_content_rewritten_or_absent_from_source",
+    "source_coverage_missing_section", "synthetic_technical_environment", "source_coverage_missing_experience_item", "headerless_experience_sections",
+    "company_highlight_absent_from_source", "experience_role_fact_absent_from_source", "experience_date_absent_from_source",
+)
 
 
 def facts_found(facts: DataFrame, texts: DataFrame, fact_id: str, fact: str, text_id: str, text: str, least: int = 4) -> DataFrame:

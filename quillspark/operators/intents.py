@@ -26,7 +26,7 @@ NO_COMPACTION = r"ne\s+pas\s+(?:compacter|condenser|r[ée]sumer|synth[ée]tiser|
 SHORT = r"version\s+courte|cv\s+court|cv\s+synth[ée]tique|client\s+short|raccourci[rs]?|raccourcir|r[ée]sumer(?:\s+(?:le\s+)?cv)?|r[ée]sum[ée]\s+(?:du|de\s+ce)\s+cv|synth[ée]tiser|synth[èe]se|condens(?:er|ation|é|e)|compacter|all[ée]ger|tenir\s+en\s+(?:[0-9]+|deux|trois)\s+pages?|(?:[0-9]+|deux|trois)\s+pages?\s+max"
 REWRITE = r"r[ée][ée]cri(?:s|re|t|ture)|rewrite|reformul(?:e|er|ation)|am[ée]liore\s+(?:l['’]?|la\s+|le\s+)?(?:pr[ée]sentation|accroche|profil|r[ée]sum[ée])"
 TARGETED = r"(?s)(?:corrige|corriger|modifie|modifier|change|changer|remplace|remplacer|ajoute|ajouter|supprime|supprimer|retire|retirer|mets\s+[àa]\s+jour|mettre\s+[àa]\s+jour)\b.{0,120}\b(?:titre|pr[ée]sentation|profil|r[ée]sum[ée]|comp[ée]tences?|formation|exp[ée]rience|mission|date|client|entreprise|stack|outil|certification)"
-REVISION_CATEGORIES = ("layout", "content", "typo", "branding", "other")
+REVISION_CATEGORIES = ("layout_sparse_page", "missing_content", "fidelity_issue", "skills_classification", "contact_leak", "other")
 
 
 def revision_intent(body: Column) -> Column:
@@ -44,9 +44,10 @@ def instruction_intent(text: Column) -> Column:
 
 
 def synthesis_mode(mode: Column, instructions: Column) -> Column:
-    m = F.lower(F.trim(F.coalesce(mode, F.lit("complete"))))
+    """complete unless the instructions ask for a short version; then urgent if they say so, else standard. A faithful mode stays complete."""
+    faithful = F.lower(F.trim(F.coalesce(mode, F.lit("complete")))).isin("faithful", "fidèle", "fidele", "full")
     short = instruction_intent(instructions) == "explicit_short_version"
-    return F.when(m.isin("faithful", "fidèle", "fidele", "full"), "complete").when(short, "standard").when(m.isin("standard", "urgent"), m).otherwise("complete")
+    return F.when(faithful | ~short, "complete").when(F.lower(text_of(instructions)).contains("urgent"), "urgent").otherwise("standard")
 
 
 def moves_from_last_page(body: Column) -> Column:
@@ -74,5 +75,5 @@ def issue_counts(message: Column) -> tuple[Column, Column]:
 
 
 def revision_category(value: Column) -> Column:
-    v = F.lower(F.trim(text_of(value)))
+    v = F.trim(text_of(value))
     return F.when(v.isin(*REVISION_CATEGORIES), v).otherwise("other")

@@ -69,11 +69,14 @@ def retryable(requests: DataFrame, as_of: Column, hours: int = 1) -> DataFrame:
     return requests.where(F.col("status").isin(*RETRYABLE) & (F.col("updated_at") < as_of - F.expr(f"interval {hours} hours"))).orderBy("updated_at")
 
 
-def version_gate(status: Column, qa_status: Column, has_pdf: Column) -> Column:
-    """A code for combinations that mustn't be saved, else null."""
+def version_gate(status: Column, qa_status: Column, passed: Column) -> Column:
+    """A code for the six combinations of request status, QA status and QA report that mustn't be saved, else null."""
+    ok = F.coalesce(passed, F.lit(False))
     return (
-        F.when((status == "ready") & (qa_status != "passed"), "ready_without_passed_qa")
+        F.when(~status.isin("ready", "draft_ready"), "unsupported_status")
+        .when(~qa_status.isin("passed", "draft"), "unsupported_qa_status")
+        .when((status == "ready") & (qa_status != "passed"), "ready_without_passed_qa")
         .when((status == "draft_ready") & (qa_status != "draft"), "draft_without_draft_qa")
-        .when((status == "qa_failed") & (qa_status != "failed"), "failed_without_failed_qa")
-        .when(status.isin("ready", "draft_ready") & ~has_pdf, "ready_without_file")
+        .when((status == "ready") & ~ok, "ready_without_passing_report")
+        .when((status == "draft_ready") & ok, "draft_with_passing_report")
     )

@@ -160,7 +160,7 @@ def placeholder_repetition(spark, d):
 
 @query
 def issue_summary(spark, d):
-    codes = spark.createDataFrame([("error", "source_fact_missing"), ("click", "source_coverage_missing_skill"), ("view", "summary_reworded")], "event_type string, code string")
+    codes = spark.createDataFrame([("error", "source_fact_missing"), ("click", "source_coverage_missing_section"), ("view", "title_absent_from_source")], "event_type string, code string")
     return coverage.issue_summary(log(spark, d).join(F.broadcast(codes), "event_type"), "user_id").withColumn("codes", F.array_join("codes", ","))
 
 

@@ -119,7 +119,7 @@ ORACLE_SQL: dict[str, str] = {
     "placeholder_repetition": "SELECT -1 AS doc_id, 'analyse des besoins' AS base, '1,2,3' AS numbers",
     "issue_summary": """
         SELECT user_id, count(*) FILTER (event_type = 'error') AS hard_count, count(*) FILTER (event_type <> 'error') AS soft_count,
-          array_to_string(list_sort(list_distinct(list(CASE event_type WHEN 'error' THEN 'source_fact_missing' WHEN 'click' THEN 'source_coverage_missing_skill' ELSE 'summary_reworded' END))), ',') AS codes
+          array_to_string(list_sort(list_distinct(list(CASE event_type WHEN 'error' THEN 'source_fact_missing' WHEN 'click' THEN 'source_coverage_missing_section' ELSE 'title_absent_from_source' END))), ',') AS codes
         FROM events WHERE event_type IN ('error', 'click', 'view') GROUP BY user_id""",
     "claim_queue_topk": f"""
         SELECT id, priority, 'processing' AS status, attempts + 1 AS worker_attempts FROM {REQUEUED}
@@ -130,8 +130,8 @@ ORACLE_SQL: dict[str, str] = {
     "latest_version": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC) = 1",
     "version_numbers": "SELECT l_orderkey, CAST(count(*) AS INT) AS versions FROM lineitem GROUP BY l_orderkey",
     "version_gate": """
-        SELECT CASE WHEN s = 'ready' AND q <> 'passed' THEN 'ready_without_passed_qa' WHEN s = 'draft_ready' AND q <> 'draft' THEN 'draft_without_draft_qa' WHEN s = 'qa_failed' AND q <> 'failed' THEN 'failed_without_failed_qa'
-          WHEN s IN ('ready', 'draft_ready') AND k % 4 = 0 THEN 'ready_without_file' END AS violation, count(*) AS n
+        SELECT CASE WHEN s = 'qa_failed' THEN 'unsupported_status' WHEN q = 'failed' THEN 'unsupported_qa_status' WHEN s = 'ready' AND q <> 'passed' THEN 'ready_without_passed_qa' WHEN s = 'draft_ready' AND q <> 'draft' THEN 'draft_without_draft_qa'
+          WHEN s = 'ready' AND k % 4 = 0 THEN 'ready_without_passing_report' WHEN s = 'draft_ready' AND k % 4 > 0 THEN 'draft_with_passing_report' END AS violation, count(*) AS n
         FROM (SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'O' THEN 'ready' WHEN 'P' THEN 'draft_ready' ELSE 'qa_failed' END AS s, CASE o_orderkey % 3 WHEN 0 THEN 'passed' WHEN 1 THEN 'draft' ELSE 'failed' END AS q FROM orders) GROUP BY 1""",
     "latest_event_badge": """
         SELECT o_orderkey, event_id, event_type FROM (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50)
