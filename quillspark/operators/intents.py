@@ -26,6 +26,8 @@ NO_COMPACTION = r"ne\s+pas\s+(?:compacter|condenser|r[ée]sumer|synth[ée]tiser|
 SHORT = r"version\s+courte|cv\s+court|cv\s+synth[ée]tique|client\s+short|raccourci[rs]?|raccourcir|r[ée]sumer(?:\s+(?:le\s+)?cv)?|r[ée]sum[ée]\s+(?:du|de\s+ce)\s+cv|synth[ée]tiser|synth[èe]se|condens(?:er|ation|é|e)|compacter|all[ée]ger|tenir\s+en\s+(?:[0-9]+|deux|trois)\s+pages?|(?:[0-9]+|deux|trois)\s+pages?\s+max"
 REWRITE = r"r[ée][ée]cri(?:s|re|t|ture)|rewrite|reformul(?:e|er|ation)|am[ée]liore\s+(?:l['’]?|la\s+|le\s+)?(?:pr[ée]sentation|accroche|profil|r[ée]sum[ée])"
 TARGETED = r"(?s)(?:corrige|corriger|modifie|modifier|change|changer|remplace|remplacer|ajoute|ajouter|supprime|supprimer|retire|retirer|mets\s+[àa]\s+jour|mettre\s+[àa]\s+jour)\b.{0,120}\b(?:titre|pr[ée]sentation|profil|r[ée]sum[ée]|comp[ée]tences?|formation|exp[ée]rience|mission|date|client|entreprise|stack|outil|certification)"
+MOVES = "remont(?:e|er)|montez?|descend(?:s|re)?|d[eé]plac(?:e|er)|mets?|mettre|rapproch(?:e|er)"
+PAGE_REFERENCE = r"page\s*[0-9]+|derni[eè]re\s+page|premi[eè]re\s+page"
 REVISION_CATEGORIES = ("layout_sparse_page", "missing_content", "fidelity_issue", "skills_classification", "contact_leak", "other")
 
 
@@ -52,7 +54,7 @@ def synthesis_mode(mode: Column, instructions: Column) -> Column:
 
 def moves_from_last_page(body: Column) -> Column:
     t = text_of(body)
-    return t.rlike(word(r"derni[eè]re\s+page")) & t.rlike(word(r"remont(?:e|er)|d[eé]plac(?:e|er)|mont(?:e|er)|mets?|mettre"))
+    return t.rlike(word(PAGE_REFERENCE)) & t.rlike(word(MOVES))
 
 
 def error_category(message: Column) -> Column:

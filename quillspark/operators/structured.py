@@ -143,15 +143,15 @@ def integrity_issues(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(key, F.explode(F.array_compact(codes)).alias("code"))
 
 
-def skills_lines(text: Column, start: str = "comp[ée]tences?|skills", stop: str = "exp[ée]riences?|formations?|langues?|profil") -> Column:
+def skills_lines(text: Column, start: str | None = None, stop: str | None = None) -> Column:
     """Lines with text after the first skills heading, up to the next other heading once a line is there."""
     lines = F.filter(F.transform(F.split(text_of(text), "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
-    head = lambda words: rf"(?iu)^(?:{words})(?:\s+\p{{L}}+)?\s*:?$"
+    start, stop = start or SKILLS_START, stop or SKILLS_STOP
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
-        ends = (a["at"] == 1) & (F.size(a["out"]) > 0) & x.rlike(head(stop))
-        at = F.when((a["at"] == 0) & x.rlike(head(start)), 1).when(ends, 2).otherwise(a["at"])
+        ends = (a["at"] == 1) & (F.size(a["out"]) > 0) & x.rlike(stop)
+        at = F.when((a["at"] == 0) & x.rlike(start), 1).when(ends, 2).otherwise(a["at"])
         return F.struct(at.alias("at"), F.when((a["at"] == 1) & ~ends, F.concat(a["out"], F.array(x))).otherwise(a["out"]).alias("out"))
 
     return F.aggregate(lines, state, step, lambda a: a["out"])
@@ -201,7 +201,9 @@ HEADINGS = (
     ("experience", "exp[ée]riences?|exp[ée]riences? professionnelles?|parcours professionnel|missions?"),
 )
 MONTHS = "janvier|février|fevrier|mars|avril|mai|juin|juillet|août|aout|septembre|octobre|novembre|décembre|decembre"
-ROLE_WORDS = "d[ée]veloppeur|consultant|architecte|ing[ée]nieur|chef de projet|tech lead|lead|manager|analyste"
+ROLE_WORDS = r"cdi|cdd|freelance|stage|consultant|consultante|développeur|developpeur|engineer|lead|tech\s*lead|business\s*analyst|rpa|chef\s+de\s+projet"
+SKILLS_START = r"(?iu)^comp[ée]tences(?:\s+techniques?)?$"
+SKILLS_STOP = r"(?iu)^(?:exp[ée]riences?|parcours|missions?|formations?|dipl[oô]mes?|certifications?|langues?|centres?\s+d['’]int[ée]r[êe]t|loisirs?|projets?|r[ée]alisations?|coordonn[ée]es?|contact)(?![\p{L}\p{N}_])"
 
 
 def experience_start(line: Column) -> Column:
