@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Entries of a worker's chunk cache. Once full, new chunks are held for their batch only; after four times as many, it starts anew.
-CACHE = 400_000
+CACHE = 250_000
 #: White space of the tokenizer's patterns (Unicode White_Space), fixed values.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
@@ -240,9 +240,8 @@ class Codec:
         self.pieces_out = {t: (self.number[i], self.text[i]) for t, i in self.special.items()}
 
 
-@functools.cache
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return common.worker_model(("bpe", path), lambda: Codec(path))
 
 
 def encoded(documents: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _own_dir: list[str] = []
 _made: set[str] = set()
+_worker: dict[object, object] = {}
+
+
+def worker_model(key: object, make: Callable[[], object]) -> object:
+    """What a Python worker holds between tasks (a vocabulary and its caches): one at a time, since Spark uses workers for stage after stage."""
+    if key not in _worker:
+        _worker.clear()
+        _worker[key] = make()
+    return _worker[key]
 
 
 def shared_dir(spark: SparkSession) -> str:

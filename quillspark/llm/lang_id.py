@@ -8,7 +8,6 @@ with a penalty for each switch of language, labels spans; the language of most l
 
 from __future__ import annotations
 
-import functools
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,8 +36,11 @@ SCRIPTS = (
 N_SCRIPTS = 15
 
 
-@functools.cache
 def tables() -> tuple[np.ndarray, np.ndarray]:
+    return common.worker_model("letters", letter_tables)
+
+
+def letter_tables() -> tuple[np.ndarray, np.ndarray]:
     """Of each code point: its lower-case code point, 0 if it's no letter; its script."""
     lower = np.zeros(sys.maxunicode + 1, dtype=np.uint32)
     for i in range(0x30000):
@@ -104,7 +106,7 @@ def trained(rows: DataFrame) -> DataFrame:
             for lang in set(langs):
                 own = [t for t, x in zip(texts, langs, strict=True) if x == lang and t]
                 counts = held.setdefault(lang, np.zeros(BUCKETS + N_SCRIPTS, dtype=np.int64))
-                for part in kernel.chunks(own, 1 << 20):
+                for part in kernel.chunks(own, 1 << 19):
                     w = cut([own[i] for i in part])
                     for g in w.grams:
                         counts[:BUCKETS] += np.bincount(g, minlength=BUCKETS)
@@ -190,10 +192,10 @@ def identified(documents: DataFrame, model: Model, carry: tuple[str, ...] = ("do
         names = np.array([*model.langs, UNKNOWN], dtype=object)
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
-            for group in kernel.chunks(texts, 4 << 20):
+            for group in kernel.chunks(texts, 2 << 20):
                 found: list[tuple] = []
                 own = [texts[i] for i in group]
-                for part in kernel.chunks(own, 1 << 20):
+                for part in kernel.chunks(own, 1 << 19):
                     w = cut([own[i] for i in part])
                     found.append((scores(w, model), w.text + part[0], w.start - _offsets(own, part)[w.text], w.size))
                 s, text, start, size = (np.concatenate(x) for x in zip(*found, strict=True))

@@ -11,7 +11,6 @@ before a text). Line feeds, which no piece holds, cut words further: a best path
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import ahocorasick
@@ -89,9 +88,8 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
 
 
-@functools.cache
 def counts(path: str) -> Counts:
-    return Counts(vocabulary(path))
+    return common.worker_model(("counts", path), lambda: Counts(vocabulary(path)))
 
 
 def counted(documents: DataFrame, path: str) -> DataFrame:
