@@ -1,8 +1,8 @@
 """Quality rules with cross-document line frequency; DataFrame functions only.
 
 Base counts come from each whole text alone. The method hashes every normalised line, counts the distinct
-documents of each host (``source``) that hold it, marks lines above the host's limit, and rejects documents
-that those lines make up for the most part.
+documents of each host (``source``) that hold it, removes lines above the host's limits (``cleaned``), and rejects
+documents that lose the most part of their words.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ MIN_WORDS = 50
 LINE_DOCS, LINE_PERCENT = 10, 1
 #: A document is depleted if more than this share (per cent) of its words stands in removed lines.
 DEPLETED_PERCENT = 50
+#: Most frequent lines that are broadcast; beyond it, a shuffled join takes over.
+BROADCAST_LINES = 10_000
 SYMBOLS = "#*$%&|<>"
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,36 +64,55 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return d.withColumn("n_repeat_words", _long(F.coalesce(covered, F.lit(0)))).drop("_h", "_s", "_p")
 
 
-def line_counts(docs: DataFrame) -> DataFrame:
-    """host, line (hash), doc_id, words: the words that a document has in each distinct normalised line."""
+def held_lines(docs: DataFrame) -> DataFrame:
+    """host, line (hash), doc_id of each distinct normalised line of a document."""
     line = F.explode(F.split(F.coalesce("text", F.lit("")), "\n"))
     each = docs.select("doc_id", F.col("source").alias("host"), line.alias("l")).withColumn("l", normalised(F.col("l"))).where("l != ''")
-    each = each.select("host", F.xxhash64("l").alias("line"), "doc_id", (F.length("l") - F.length(F.translate("l", " ", "")) + 1).alias("words"))
-    return each.groupBy("host", "line", "doc_id").agg(F.sum("words").alias("words"))
+    return each.select("host", F.xxhash64("l").alias("line"), "doc_id").distinct()
 
 
-def depleted(docs: DataFrame) -> DataFrame:
-    """doc_id, words, removed_words, depleted of each doc_id with a word in its text."""
-    lines = common.written(line_counts(docs), "lines")
-    hosts = docs.groupBy(F.col("source").alias("host")).agg(F.countDistinct("doc_id").alias("docs"))
+def frequent(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """h (host), l: the lines above their host's limits; written."""
+    hosts = docs.groupBy(F.col("source").alias("h")).agg(F.countDistinct("doc_id").alias("docs"))
     counts = lines.groupBy("host", "line").agg(F.count("*").alias("n"))
     often = counts.where(F.col("n") > LINE_DOCS)
-    often = often.join(hosts, often["host"].eqNullSafe(hosts["host"])).where(F.col("n") * 100 > F.col("docs") * LINE_PERCENT).select(often["host"], "line")
-    marked = lines.join(often.withColumnRenamed("host", "h").withColumnRenamed("line", "l"), (F.col("line") == F.col("l")) & F.col("host").eqNullSafe(F.col("h")), "left")
-    per_doc = marked.groupBy("doc_id").agg(F.sum("words").alias("words"), F.sum(F.when(F.col("l").isNotNull(), F.col("words")).otherwise(0)).alias("removed_words"))
-    return per_doc.withColumn("depleted", F.col("removed_words") * 100 > F.col("words") * DEPLETED_PERCENT)
+    often = often.join(hosts, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") * 100 > F.col("docs") * LINE_PERCENT)
+    return common.written(often.select("h", F.col("line").alias("l")), "often")
+
+
+def cleaned(documents: DataFrame) -> DataFrame:
+    """``documents`` with the lines above their host's limits taken out of each text; the others stay as they are, in order.
+
+    A null text stays null. Rows that repeat a doc_id are one document for line counts. Few frequent lines are
+    broadcast by host; beyond ``BROADCAST_LINES`` each document gets its own ones by a shuffled join.
+    """
+    docs = common.narrow(documents, "doc_id", "text", "source")
+    lines = common.written(held_lines(docs), "lines")
+    often = frequent(docs, lines)
+    if often.count() <= BROADCAST_LINES:
+        gone = F.broadcast(often.groupBy(F.col("h").alias("_host")).agg(F.collect_set("l").alias("_gone")))
+        d = documents.join(gone, F.col("source").eqNullSafe(F.col("_host")), "left")
+    else:
+        held = lines.join(often, (F.col("line") == F.col("l")) & F.col("host").eqNullSafe(F.col("h")))
+        gone = held.groupBy(F.col("doc_id").alias("_id"), F.col("host").alias("_host")).agg(F.collect_set("line").alias("_gone"))
+        d = documents.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_host")), "left")
+    stays = lambda x: ~F.array_contains("_gone", F.xxhash64(normalised(x)))
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), stays), "\n"))
+    return d.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns])
 
 
 def quality(documents: DataFrame) -> DataFrame:
     """The base counts, base_failed, removed_words and kept of every row of ``documents`` (doc_id, text, source).
 
-    A null text is an empty one. Rows that repeat a doc_id (null included) are one document for line
-    counts and depletion, and keep base counts of their own. A null source is a host of its own.
+    removed_words are the words that ``cleaned`` takes out. A null text is an empty one. Rows that repeat a
+    doc_id (null included) are one document for line counts and depletion, and keep base counts of their own.
+    A null source is a host of its own.
     """
-    docs = common.narrow(documents, "doc_id", "text", "source")
-    base = base_counts(docs.select("doc_id", "text")).drop("text")
+    docs = common.narrow(documents, "doc_id", "text", "source").withColumn("whole", F.col("text"))
+    d = cleaned(docs).select("doc_id", F.col("whole").alias("text"), _long(F.size(words(F.coalesce("text", F.lit(""))))).alias("_left"))
+    base = common.written(base_counts(d).drop("text"), "base")
     base = base.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
-    gone = depleted(docs).select(F.col("doc_id").alias("_id"), "removed_words", "depleted")
-    out = base.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
-    kept = ~F.col("base_failed") & ~F.coalesce("depleted", F.lit(False))
-    return out.withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long")).withColumn("kept", kept).drop("depleted")
+    lost = base.groupBy(F.col("doc_id").alias("_id")).agg(F.sum("n_words").alias("_words"), F.sum(F.col("n_words") - F.col("_left")).alias("removed_words"))
+    out = base.join(lost, F.col("doc_id").eqNullSafe(F.col("_id")))
+    kept = ~F.col("base_failed") & ~(F.col("removed_words") * 100 > F.col("_words") * DEPLETED_PERCENT)
+    return out.withColumn("kept", kept).drop("_id", "_left", "_words")
