@@ -1,19 +1,20 @@
 """Hidden Markov language model over words.
 
-Tokens are hashed words and an end per text. Counts of all training tokens are grouped in Spark. Symbols of the
-model are the head (tokens with at least N / ``HEAD`` of the N training tokens, so never more than ``HEAD``, and
-at least ``HEAD_COUNT``) and one class per word length for all others; a word of a class has its add-one share.
-
-Baum-Welch: each pass runs over all training texts; forward-backward sums of segments of ``SEGMENT`` tokens
-are added up per partition, then across partitions. Scoring is the scaled forward recursion over the whole text.
-Counts of tokens outside the head stay distributed: a join by token brings them to the texts.
+Tokens are hashed words and an end per text. Counts of all training tokens are grouped in Spark. Every token with
+``HEAD_COUNT`` training tokens has emissions of its own, whatever the table's size; the others share one class per
+word length, where a word has its add-one share. The head (at least N / ``HEAD`` of the N training tokens, so never
+more than ``HEAD`` tokens) is broadcast; emissions of the other tokens stay in a table, and a join by token brings
+them to blocks of texts.
+
+Baum-Welch: each pass runs over all training texts, with forward and backward values carried over whole texts;
+sums are added up per partition or token, then in Spark. Scoring is the scaled forward recursion over the whole text.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +85,9 @@ class Vocabulary:
     class_words: np.ndarray
     tokens: int
     words: int
+    #: h, c of the tokens outside the head that have emissions of their own (None: there are none), and sum(c + 0.5).
+    more: DataFrame | None = None
+    more_base: float = 0.0
 
     def __post_init__(self):
         self.places = np.searchsorted(self.keys, np.arange((1 << 16) + 1, dtype=np.uint64) << np.uint64(48)) if len(self.keys) else np.zeros((1 << 16) + 1, dtype=np.int64)
@@ -115,16 +119,23 @@ def in_head(n: int) -> Column:
     return (F.col("c") * HEAD >= n) & (F.col("c") >= HEAD_COUNT)
 
 
+def apart(n: int) -> Column:
+    """Tokens outside the head with emissions of their own."""
+    return ~in_head(n) & (F.col("c") >= HEAD_COUNT)
+
+
 def vocabulary(counts: DataFrame) -> Vocabulary:
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     head = counts.where(in_head(n)).toPandas()  # at most HEAD rows
-    tail = counts.where(~in_head(n)).groupBy(F.col("h").bitwiseAND(31).alias("k")).agg(F.sum("c"), F.count("*")).collect()
+    tail = counts.where(F.col("c") < HEAD_COUNT).groupBy(F.col("h").bitwiseAND(31).alias("k")).agg(F.sum("c"), F.count("*")).collect()
+    more = counts.where(apart(n))
+    base = more.agg(F.sum(F.col("c") + 0.5)).first()[0]
     keys = head["h"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(keys)
     sums = np.zeros((2, CLASSES), dtype=np.int64)
     for k, c, w in tail:
         sums[:, k] = c, w
-    return Vocabulary(keys[order], head["c"].to_numpy(dtype=np.int64)[order], sums[0], sums[1], n, v)
+    return Vocabulary(keys[order], head["c"].to_numpy(dtype=np.int64)[order], sums[0], sums[1], n, v, more if base else None, base or 0.0)
 
 
 @dataclass
@@ -133,23 +144,72 @@ class Chain:
     move: np.ndarray
     emit: np.ndarray
     share: np.ndarray
+    #: h, c, e0.. of the tokens outside the head with emissions of their own.
+    more: DataFrame | None = None
+
+
+EACH = [f"e{k}" for k in range(STATES)]
+SUMS = [f"g{k}" for k in range(STATES)]
+
+
+def _uneven(ids: np.ndarray) -> np.ndarray:
+    return 0.5 + np.stack([kernel.mix(ids + np.uint64(7919 * (s + 1))) / 2.0**64 for s in range(STATES)], axis=1)
+
+
+def _begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        e = (batch.column(1).to_numpy(zero_copy_only=False) + 0.5)[:, None] * _uneven(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, e.T)], names=["h", "c", *EACH])
+
+
+def _shared(emit: np.ndarray, more: DataFrame | None) -> tuple[np.ndarray, DataFrame | None]:
+    """Both parts of the emissions, divided by each state's sum over them."""
+    total = emit.sum(0)
+    if more is not None:
+        more = common.written(more, "emissions")
+        total = total + np.array(more.agg(*[F.sum(e) for e in EACH]).first(), dtype=float)
+        path = more.written_path
+        more = more.select("h", "c", *[(F.col(e) / float(t)).alias(e) for e, t in zip(EACH, total, strict=True)])
+        more.written_path = path
+    return emit / total, more
 
 
 def begun(v: Vocabulary) -> Chain:
     """Symbol frequencies, made unequal per state by each symbol's hash; states that tend to stay."""
     base = np.concatenate([v.counts, v.class_tokens]) + 0.5
     ids = np.concatenate([v.keys, np.arange(CLASSES, dtype=np.uint64)])
-    noise = np.stack([kernel.mix(ids + np.uint64(7919 * (s + 1))) / 2.0**64 for s in range(STATES)], axis=1)
-    emit = base[:, None] * (0.5 + noise)
+    more = None if v.more is None else v.more.select("h", "c").mapInArrow(_begun, "h long, c long, " + ", ".join(f"{e} double" for e in EACH))
+    emit, more = _shared(base[:, None] * _uneven(ids), more)
     even = np.full(STATES, 1 / STATES)
-    return Chain(even, 0.7 * np.eye(STATES) + 0.3 / STATES, emit / emit.sum(0), even)
+    return Chain(even, 0.7 * np.eye(STATES) + 0.3 / STATES, emit, even, more)
+
+
+def _borders(b: np.ndarray, f: np.ndarray, m: Chain) -> tuple[np.ndarray, np.ndarray]:
+    """Forward values before each segment, and backward values after it up to a factor, of a stream cut into segments."""
+    rows = b.shape[1]
+    through, last, whole = np.repeat(np.eye(STATES)[None], rows, 0), np.zeros((rows, STATES)), np.ones(rows, dtype=bool)
+    for t in range(len(b)):
+        whole &= ~f[t]
+        to = (through.reshape(-1, STATES) @ m.move).reshape(through.shape) * b[t][:, None, :]
+        through = np.where(whole[:, None, None], to / to.sum((1, 2))[:, None, None], through)
+        last = last @ m.move * b[t]
+        last[f[t]] = m.start * b[t][f[t]]
+        last /= np.maximum(last.sum(1), 1e-300)[:, None]
+    before, after = np.full((rows, STATES), 1 / STATES), np.ones((rows, STATES))
+    for r in range(rows - 1):
+        a = before[r] @ through[r] if whole[r] else last[r]
+        before[r + 1] = a / a.sum()
+    for r in range(rows - 1, 0, -1):
+        a = through[r] @ after[r] if whole[r] else through[r].sum(1)
+        after[r - 1] = a / a.sum()
+    return before, after
 
 
 def expected(sym: np.ndarray, first: np.ndarray, m: Chain) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Expected emissions (symbol, state), moves, starts and state counts of a stream of tokens, cut into segments.
+    """Expected emissions (symbol, state), moves, starts and state counts of a stream of tokens.
 
-    ``first`` marks the first token of a text, which follows no other; a segment's first token otherwise
-    has the states' shares of the last pass before it.
+    ``first`` marks the first token of a text, which follows no other. The stream is cut into segments that
+    advance together; what crosses their borders is found first, so that results are those of whole texts.
     """
     n = len(sym)
     rows = -(-n // SEGMENT)
@@ -159,43 +219,106 @@ def expected(sym: np.ndarray, first: np.ndarray, m: Chain) -> tuple[np.ndarray,
     b = m.emit[s]
     if pad:
         b[SEGMENT - pad :, -1] = 1.0
+    before, after = _borders(b, f, m)
     alpha, scale = np.empty_like(b), np.empty((SEGMENT, rows))
     for t in range(SEGMENT):
-        prior = np.repeat(m.share[None], rows, 0) if t == 0 else alpha[t - 1] @ m.move
+        prior = (before if t == 0 else alpha[t - 1]) @ m.move
         prior[f[t]] = m.start
         a = prior * b[t]
         scale[t] = a.sum(1)
         alpha[t] = a / scale[t][:, None]
     moves = np.zeros((STATES, STATES))
-    beta = np.ones((rows, STATES))
+    ends = alpha[-1].copy()
+    beta = after / (ends * after).sum(1)[:, None]
     gamma = alpha  # overwritten from the end
+    gamma[-1] = ends * beta
     for t in range(SEGMENT - 2, -1, -1):
         w = b[t + 1] * beta / scale[t + 1][:, None]
         go = ~f[t + 1]
         moves += alpha[t][go].T @ w[go]
-        gamma[t + 1] = alpha[t + 1] * beta
+        if t < SEGMENT - 2:
+            gamma[t + 1] = alpha[t + 1] * beta
         beta = np.where(go[:, None], w @ m.move.T, 1.0)
+    go = ~f[0][1:]
+    moves += ends[:-1][go].T @ (b[0] * beta / scale[0][:, None])[1:][go]
     gamma[0] = alpha[0] * beta
     g = gamma.transpose(1, 0, 2).reshape(-1, STATES)[:n]
     emitted = np.stack([np.bincount(sym, weights=g[:, k], minlength=len(m.emit)) for k in range(STATES)], axis=1)
     return emitted, m.move * moves, g[first].sum(0), g.sum(0)
 
 
+def _encoded(v: Vocabulary) -> Callable:
+    """Blocks of texts as symbols; a token outside the head is the number of symbols plus its place in ``rare``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = _texts(batch.column(1))
+            for part in kernel.chunks(texts, 4 << 20):
+                own = tokens([texts[i] for i in part])
+                sizes, h = np.array([len(x) for x in own], dtype=np.int32), np.concatenate(own)
+                sym = v.lookup(h)
+                out = sym >= len(v.keys)
+                rare, place = np.unique(h[out], return_inverse=True)
+                sym[out] = v.symbols + place
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (batch.column(0).slice(part[0], len(part)).cast(pa.int64()), pa.array(rare.view(np.int64)))]
+                yield pa.RecordBatch.from_arrays([lists[0], pa.array([sizes.tobytes()]), pa.array([pa.compress(sym.astype(np.int32).tobytes(), "zstd", asbytes=True)]), lists[1]], names=["ids", "sizes", "sym", "rare"])
+
+    return run
+
+
+def blocks(documents: DataFrame, v: Vocabulary) -> tuple[DataFrame, DataFrame | None]:
+    """Blocks of texts, and (block, h) of the tokens in them whose emissions are in a table."""
+    rows = documents.mapInArrow(_encoded(replace(v, more=None)), "ids array<bigint>, sizes binary, sym binary, rare array<bigint>")
+    rows = common.written(rows.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    if v.more is None:
+        return rows, None
+    return rows, common.written(rows.select("block", F.explode("rare").alias("h")).join(v.more.select("h"), "h"), "uses")
+
+
+def _supplied(rows: DataFrame, uses: DataFrame | None, m: Chain) -> DataFrame:
+    """The blocks with the emissions of their tokens outside the head."""
+    own = "array<struct<h:bigint," + ",".join(f"{e}:float" for e in EACH) + ">>"
+    if uses is None:
+        return rows.select("ids", "sizes", "sym", "rare", F.array().cast(own).alias("own"))
+    found = uses.join(m.more, "h").groupBy("block").agg(F.collect_list(F.struct("h", *[F.col(e).cast("float").alias(e) for e in EACH])).alias("own"))
+    return rows.join(found, "block", "left").select("ids", "sizes", "sym", "rare", F.coalesce("own", F.array().cast(own)).alias("own"))
+
+
+def _unpacked(batch: pa.RecordBatch, v: Vocabulary, m: Chain) -> Iterator[tuple]:
+    """Per block: its ids, sizes, symbols, hashes outside the head, hashes with own emissions, and a chain with those after the others."""
+    for i in range(batch.num_rows):
+        sizes = np.frombuffer(batch.column(1)[i].as_py(), dtype=np.int32).astype(np.int64)
+        sym = np.frombuffer(pa.decompress(batch.column(2)[i].as_py(), 4 * int(sizes.sum()), "zstd"), dtype=np.int32).astype(np.int64)
+        rare = batch.column(3)[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+        own = batch.column(4)[i].values
+        h = own.field(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        order = np.argsort(h)
+        h, e = h[order], np.stack([own.field(k + 1).to_numpy(zero_copy_only=False) for k in range(STATES)], axis=1)[order]
+        to = len(v.keys) + (rare & np.uint64(31)).astype(np.int64)
+        if len(h):
+            at = np.minimum(np.searchsorted(h, rare), len(h) - 1)
+            to = np.where(h[at] == rare, v.symbols + at, to)
+        local = np.concatenate([np.arange(v.symbols), to])[sym]
+        yield batch.column(0)[i].values, sizes, sym, local, rare, h, replace(m, emit=np.concatenate([m.emit, e]))
+
+
 def _pass(v: Vocabulary, m: Chain) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [np.zeros((v.symbols, STATES)), np.zeros((STATES, STATES)), np.zeros(STATES), np.zeros(STATES)]
+        out = lambda i, h, rows: pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), h, *(pa.array(rows[:, k]) for k in range(STATES))], names=["i", "h", *SUMS])
         for batch in batches:
-            texts = _texts(batch.column(0))
-            for part in kernel.chunks(texts, 2 << 20):
-                own = tokens([texts[i] for i in part])
-                first = np.zeros(sum(map(len, own)), dtype=bool)
-                first[np.cumsum([0, *map(len, own[:-1])])] = True
-                for x, y in zip(total, expected(v.lookup(np.concatenate(own)), first, m), strict=True):
+            for _, sizes, _, sym, _, h, chain in _unpacked(batch, v, m):
+                first = np.zeros(len(sym), dtype=bool)
+                first[np.cumsum(sizes) - sizes] = True
+                emitted, *others = expected(sym, first, chain)
+                for x, y in zip(total, [emitted[: v.symbols], *others], strict=True):
                     x += y
+                if len(h):
+                    yield out(np.full(len(h), v.symbols), pa.array(h.view(np.int64)), emitted[v.symbols :])
         rows = np.concatenate([total[1], total[2][None], total[3][None], total[0]])
         ids = np.concatenate([np.arange(-STATES - 2, 0), np.arange(v.symbols)])
         some = np.flatnonzero(rows.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[some], pa.int64()), *(pa.array(rows[some, k]) for k in range(STATES))], names=["i", *(f"g{k}" for k in range(STATES))])
+        yield out(ids[some], pa.nulls(len(some), pa.int64()), rows[some])
 
     return run
 
@@ -203,15 +326,29 @@ def _pass(v: Vocabulary, m: Chain) -> Callable:
 def trained(train: DataFrame, v: Vocabulary, passes: int = PASSES) -> Chain:
     """Baum-Welch over all training texts; the sums that reach the driver have a row per symbol of the head and class."""
     m = begun(v)
-    sums = [F.sum(f"g{k}").alias(f"g{k}") for k in range(STATES)]
+    if not passes:
+        return m
     base = np.concatenate([v.counts, v.class_tokens]) + 0.5
+    part = PRIOR / (base.sum() + v.more_base)
+    rows, uses = blocks(train.select(F.lit(None).cast("long").alias("doc_id"), "text"), v)
+    slim = replace(v, more=None)
     for _ in range(passes):
-        found = train.select("text").mapInArrow(_pass(v, m), "i long, " + ", ".join(f"g{k} double" for k in range(STATES))).groupBy("i").agg(*sums).toPandas()
+        found = _supplied(rows, uses, m).mapInArrow(_pass(slim, replace(m, more=None)), "i long, h long, " + ", ".join(f"{g} double" for g in SUMS))
+        found = found if v.more is None else common.written(found, "sums")
+        head = found.where("h is null").groupBy("i").agg(*[F.sum(g).alias(g) for g in SUMS]).toPandas()
         got = np.zeros((v.symbols + STATES + 2, STATES))
-        got[found["i"].to_numpy(dtype=int) + STATES + 2] = found[[f"g{k}" for k in range(STATES)]]
+        got[head["i"].to_numpy(dtype=int) + STATES + 2] = head[SUMS]
         move, start, share = got[:STATES] + 0.1, got[STATES] + 0.1, got[STATES + 1] + 0.1
-        emit = got[STATES + 2 :] + PRIOR * (base / base.sum())[:, None]
-        m = Chain(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0), share / share.sum())
+        more = None
+        if v.more is not None:
+            sums = found.where("h is not null").groupBy("h").agg(*[F.sum(g).alias(g) for g in SUMS])
+            more = v.more.join(sums, "h").select("h", "c", *[(F.col(g) + F.lit(part) * (F.col("c") + 0.5)).alias(e) for g, e in zip(SUMS, EACH, strict=True)])
+        emit, more = _shared(got[STATES + 2 :] + part * base[:, None], more)
+        if more is not None:
+            common.dropped(found, m.more)
+            train.sparkSession._jvm.System.gc()  # Spark deletes the shuffle files of plans that the driver has let go
+        m = Chain(start / start.sum(), move / move.sum(1, keepdims=True), emit, share / share.sum(), more)
+    common.dropped(*[t for t in (rows, uses) if t is not None])
     return m
 
 
@@ -238,18 +375,13 @@ def _scored(v: Vocabulary, m: Chain) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _texts(batch.column(1))
-            for part in kernel.chunks(texts, 4 << 20):
-                own = tokens([texts[i] for i in part])
-                sizes = np.array([len(x) for x in own])
-                h = np.concatenate(own)
-                sym = v.lookup(h)
-                rare = sym >= len(v.keys)
-                text = np.repeat(np.arange(len(own)), sizes)
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(text[rare], minlength=len(own)))]).astype(np.int32)
-                tail = pa.ListArray.from_arrays(offsets, pa.array(h[rare].view(np.int64)))
-                arrays = [batch.column(0).slice(part[0], len(part)), pa.array(sizes), pa.array(np.bincount(text, weights=logs[sym], minlength=len(own))), pa.array(forward(sym, sizes, m)), tail]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "base", "model", "tail"])
+            for ids, sizes, sym, local, rare, _, chain in _unpacked(batch, v, m):
+                out = sym >= v.symbols
+                text = np.repeat(np.arange(len(sizes)), sizes)
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(text[out], minlength=len(sizes)))]).astype(np.int32)
+                tail = pa.ListArray.from_arrays(offsets, pa.array(rare[sym[out] - v.symbols].view(np.int64)))
+                base = np.bincount(text, weights=np.where(out, 0.0, logs[np.where(out, 0, sym)]), minlength=len(sizes))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(base), pa.array(forward(local, sizes, chain)), tail], names=["doc_id", "n_tokens", "base", "model", "tail"])
 
     return run
 
@@ -257,13 +389,16 @@ def _scored(v: Vocabulary, m: Chain) -> Callable:
 def scored(documents: DataFrame, counts: DataFrame, v: Vocabulary, m: Chain) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of every row of ``documents`` (doc_id, text); a null text is empty."""
     common.reachable(documents.sparkSession)
-    rows = common.narrow(documents, "doc_id", "text").mapInArrow(_scored(v, m), "doc_id long, n_tokens long, base double, model double, tail array<bigint>")
+    whole, uses = blocks(common.narrow(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")), v)
+    found = _supplied(whole, uses, m)
+    rows = found.mapInArrow(_scored(replace(v, more=None), replace(m, more=None)), "doc_id long, n_tokens long, base double, model double, tail array<bigint>")
     rows = common.written(rows.withColumn("uid", F.monotonically_increasing_id()), "scored")
+    common.dropped(*[t for t in (whole, uses) if t is not None])
     each = rows.select("uid", F.explode("tail").alias("h")).join(counts.where(~in_head(v.tokens)), "h", "left")
     c = F.coalesce("c", F.lit(0)) + 1
     whole = [math.log10(t + w + 1) for t, w in zip(v.class_tokens.tolist(), v.class_words.tolist(), strict=True)]
     part = F.log10(c) - F.get(F.array(*[F.lit(x) for x in whole]), F.col("h").bitwiseAND(31).cast("int"))
-    sums = each.groupBy("uid").agg(F.count("c").alias("known"), F.sum(F.log10(c / F.lit(float(v.tokens + v.words + 1)))).alias("more"), F.sum(part).alias("inside"))
+    sums = each.groupBy("uid").agg(F.count("c").alias("known"), F.sum(F.log10(c / F.lit(float(v.tokens + v.words + 1)))).alias("more"), F.sum(F.when(c <= HEAD_COUNT, part)).alias("inside"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     return rows.select("uid", "doc_id", "n_tokens", "base", "model", F.size("tail").alias("rare")).join(sums, "uid", "left").select(
         "doc_id",
