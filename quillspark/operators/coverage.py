@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import contains_fact, fidelity, text_of, tokens
+from quillspark.functions.text import contains_fact, fidelity, substantial_tokens, text_of, tokens
 
 # Least overlap, and the rule for numbered placeholders.
 LEAST_OVERLAP, LEAST_BASE, LEAST_NUMBERS, SPAN_SLACK = 0.65, 8, 3, 2
@@ -18,20 +18,29 @@ SOFT_CODES = (
 )
 
 
-def facts_found(facts: DataFrame, texts: DataFrame, fact_id: str, fact: str, text_id: str, text: str, least: int = 4) -> DataFrame:
-    """fact_id, text_id of facts contained in a text by tokens or as a substring.
+def grams(c: Column) -> Column:
+    """Distinct runs of three characters."""
+    return F.when(F.length(c) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
 
-    Blocking by the fact's rarest token: a text must hold it, so facts meet texts by an equality
-    join on one token. Facts without a token of ``least`` letters match nothing here.
+
+def facts_found(facts: DataFrame, texts: DataFrame, fact_id: str, fact: str, text_id: str, text: str) -> DataFrame:
+    """fact_id, text_id of facts contained in a text as a substring, or by tokens of three or more letters anywhere in it or in its spaceless form.
+
+    Blocking by the rarest run of three characters of the fact's tokens: a text or its spaceless form must hold
+    it, so facts meet texts by an equality join on one run. A fact without such a token is in every text;
+    an empty one matches nothing here.
     """
-    f = facts.select(F.col(fact_id).alias("fact_id"), fidelity(F.col(fact)).alias("fact"))
+    f = facts.select(F.col(fact_id).alias("fact_id"), fidelity(F.col(fact)).alias("fact")).where("fact != ''")
     t = texts.select(F.col(text_id).alias("text_id"), fidelity(F.col(text)).alias("hay"))
-    held = t.select("text_id", F.explode(F.array_distinct(F.split("hay", " "))).alias("token")).where(F.length("token") >= least)
-    words = f.select("fact_id", F.explode(F.array_distinct(F.split("fact", " "))).alias("token")).where(F.length("token") >= least)
-    known = held.join(words.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
-    rarest = words.join(known, "token", "left").groupBy("fact_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), F.col("token")))["token"].alias("token"))
-    pairs = held.join(rarest, "token").select("fact_id", "text_id").join(f, "fact_id").join(t, "text_id")
-    return pairs.where(contains_fact(F.col("hay"), F.col("fact"))).select("fact_id", "text_id")
+    runs = f.select("fact_id", F.explode(F.array_distinct(F.flatten(F.transform(substantial_tokens(F.col("fact")), grams)))).alias("run"))
+    held = t.select("text_id", F.explode(F.array_union(grams(F.col("hay")), grams(F.replace("hay", F.lit(" "), F.lit(""))))).alias("run"))
+    held = held.join(runs.select("run").distinct(), "run", "left_semi")
+    known = held.groupBy("run").agg(F.count("*").alias("n"))
+    rarest = runs.join(known, "run", "left").groupBy("fact_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), F.col("run")))["run"].alias("run"))
+    pairs = held.join(rarest, "run").select("fact_id", "text_id").distinct().join(f, "fact_id").join(t, "text_id")
+    found = pairs.where(contains_fact(F.col("hay"), F.col("fact"))).select("fact_id", "text_id")
+    short = f.where(F.size(substantial_tokens(F.col("fact"))) == 0)
+    return found.unionByName(short.select("fact_id").crossJoin(t.select("text_id")))
 
 
 def overlap(block: Column, text: Column) -> Column:
