@@ -15,6 +15,8 @@ from quillspark.tables import table
 
 #: SQL can't express the language model of the first stage nor the tokenizer of the last.
 ORACLE_SQL = None
+#: A word and the white space before it.
+UPTO_WORD = r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +40,15 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its leaf's epochs take it, whole or in part."""
-    taken = mixing.mixed(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("epochs").cast("int").alias("_epochs")).where("_epochs > 0")
-    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_epochs")))).select(*docs.columns)
+    """Each row as often as its leaf's epochs take it; the last one of a leaf's prefix ends after its taken tokens, and ``n_chars`` follows."""
+    rows = common.written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    taken = mixing.mixed(rows, ("_row",)).where("epochs > 0").select("_row", F.col("n_tokens").alias("_n"), F.col("epochs").cast("int").alias("_epochs"), F.col("taken_tokens").alias("_taken"))
+    out = rows.join(taken, "_row").withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_epochs"))))
+    due = (F.col("_taken") - (F.col("_epoch") - 1) * F.col("_n")).cast("int")
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(UPTO_WORD), 0), F.lit(1), due), "")
+    out = out.withColumn("text", F.when(due < F.col("_n"), part).otherwise(F.col("text")))
+    chars = F.when(due < F.col("_n"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", chars).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

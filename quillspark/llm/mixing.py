@@ -70,15 +70,15 @@ def budgets(leaves: DataFrame) -> DataFrame:
     return dealt(sources, ["domain", "lang"], "source").select("domain", "lang", "source", "tokens", "take")
 
 
-def sized(documents: DataFrame, tokens: Column | None = None) -> DataFrame:
-    """doc_id, domain, lang, source, n_tokens (white-space words unless given) of each row; null names are ``unknown``."""
+def sized(documents: DataFrame, tokens: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``carry``, doc_id, domain, lang, source, n_tokens (white-space words unless given) of each row; null names are ``unknown``."""
     n = tokens if tokens is not None else F.size(F.filter(F.split(F.coalesce("text", F.lit("")), common.WS), lambda w: w != ""))
     unknown = [F.coalesce(c, F.lit("unknown")).alias(c) for c in ("lang", "source")]
-    return documents.select("doc_id", *unknown, n.cast("long").alias("n_tokens")).withColumn("domain", domain_of(F.col("source")))
+    return documents.select(*carry, "doc_id", *unknown, n.cast("long").alias("n_tokens")).withColumn("domain", domain_of(F.col("source")))
 
 
-def mixed(documents: DataFrame) -> DataFrame:
-    """doc_id, domain, lang, source, n_tokens, epochs, taken_tokens of every row of ``documents`` (doc_id, text, lang, source).
+def mixed(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``carry``, doc_id, domain, lang, source, n_tokens, epochs, taken_tokens of every row of ``documents`` (doc_id, text, lang, source).
 
     epochs: how many times the document is taken whole or in part; taken_tokens: over all epochs (the last
     document of a leaf's prefix may be taken in part). Order within an epoch: md5 of seed, epoch and
@@ -87,7 +87,7 @@ def mixed(documents: DataFrame) -> DataFrame:
     A leaf is summed by 4096 buckets of that order; only rows of the one bucket per leaf in which the prefix
     ends are sorted, so that no leaf meets in one task.
     """
-    docs = common.written(sized(common.narrow(documents, "doc_id", "text", "lang", "source")), "sized")
+    docs = common.written(sized(common.narrow(documents, *carry, "doc_id", "text", "lang", "source"), carry=carry), "sized")
     leaf = ["domain", "lang", "source"]
     leaves = docs.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens"))
     plan = budgets(leaves).withColumn("passes", F.expr("if(tokens = 0, 0L, take div tokens)")).withColumn("rest", F.col("take") - F.col("passes") * F.col("tokens"))
@@ -104,4 +104,4 @@ def mixed(documents: DataFrame) -> DataFrame:
     edge = rows.where("before < rest and before + held > rest").withColumn("at", F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     edge = edge.withColumn("more", F.greatest(F.lit(0), F.least("n_tokens", F.col("rest") - F.col("at")))).drop("at")
     out = whole.unionByName(none).unionByName(edge)
-    return out.select("doc_id", *leaf, "n_tokens", (F.col("passes") + (F.col("more") > 0).cast("long")).alias("epochs"), (F.col("passes") * F.col("n_tokens") + F.col("more")).alias("taken_tokens"))
+    return out.select(*carry, "doc_id", *leaf, "n_tokens", (F.col("passes") + (F.col("more") > 0).cast("long")).alias("epochs"), (F.col("passes") * F.col("n_tokens") + F.col("more")).alias("taken_tokens"))
