@@ -5,22 +5,22 @@ distributed hashes, on an exponentially spaced scale (SetSketch). Registers merg
 equal registers propose pairs; the pairwise likelihood of the counts of larger, smaller and equal
 registers rejects what can't reach the similarity; full shingle sets confirm the rest.
 
-Groups: documents with equal sets collapse into one class first. Within a band's bucket, members are
+Groups: documents with equal sets collapse into one node first. Within a band's bucket, members are
 compared with leaders (of a salted part of the bucket, and of the bucket), not with each other. Then
-only members outside the bucket's main component meet the bucket's other components. That join's
-condition holds the sizes and a finer sketch of one bit per register, and takes a pair in its first
-common band only, so that of a bucket's pairs none but likely links become rows.
+only members outside the bucket's main component meet the bucket's other components, each pair in its
+first common band. That join's condition holds the sizes, a finer sketch of one bit per register and, for
+members that pass these with any other, the full sets: of a bucket's pairs none but links become rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -101,7 +101,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     pa.array([ids[i] for i in run], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([next(regs).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ],
                 names=["doc_id", "n_shingles", "digest", "regs"],
@@ -114,19 +114,42 @@ def sketches(docs: DataFrame) -> DataFrame:
     return common.narrow(docs, "doc_id", "text").mapInArrow(_sketched, "doc_id long, n_shingles long, digest binary, regs binary")
 
 
-def _finely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [(t or "").encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
-        for run in kernel.chunks(texts, 1 << 19):
-            sets = [kernel.shingle_set(h, SHINGLE) for h in kernel.word_hashes([texts[i] for i in run])]
-            bits = np.ascontiguousarray(np.packbits(registers(sets, REGISTERS, FINE) & 1, axis=1)).view(np.int64)
-            fine = pa.ListArray.from_arrays(np.arange(len(run) + 1, dtype=np.int32) * bits.shape[1], pa.array(bits.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(run[0], len(run)), pa.array([len(s) for s in sets], pa.int64()), fine], names=["rep", "n", "fine"])
+def _digest(x: np.ndarray) -> bytes:
+    return hashlib.blake2b(x.tobytes(), digest_size=16).digest()
+
+
+def _lists(values: np.ndarray, sizes: list[int]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.cumsum([0, *sizes]).astype(np.int32), pa.array(values.view(np.int64)))
+
 
+def _listed(fine: bool) -> Callable:
+    """Of each text with words its digest and, as longs, its set or the fine sketch of it."""
 
-def _few(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents of the ids (doc_id); ids are broadcast up to a checked number."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [(t or "").encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
+            for part in kernel.chunks(texts, 1 << 19):
+                sets = [kernel.shingle_set(h, SHINGLE) for h in kernel.word_hashes([texts[i] for i in part])]
+                some = [i for i, s in zip(part, sets, strict=True) if len(s)]
+                sets = [s for s in sets if len(s)]
+                if not sets:
+                    continue
+                if fine:
+                    bits = np.ascontiguousarray(np.packbits(registers(sets, REGISTERS, FINE) & 1, axis=1)).view(np.int64)
+                    values = _lists(bits.ravel(), [FINE // 64] * len(sets))
+                else:
+                    values = _lists(np.concatenate(sets), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array([_digest(s) for s in sets], pa.binary()), values], names=["doc_id", "digest", "s"])
+
+    return run
+
+
+def _of_nodes(docs: DataFrame, nodes: DataFrame, fine: bool = False) -> DataFrame:
+    """node, s (array of longs) of ``nodes`` (node, doc_id, digest); a document's other texts of the same id don't have that digest."""
+    ids = nodes.select("doc_id").distinct()
+    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    found = texts.mapInArrow(_listed(fine), "doc_id long, digest binary, s array<bigint>")
+    return found.join(nodes, ["doc_id", "digest"]).select("node", "s").dropDuplicates(["node"])
 
 
 def _as_registers(column: pa.Array) -> np.ndarray:
@@ -141,40 +164,24 @@ def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _similar(x: str, y: str) -> Column:
+    """Sets (arrays of distinct longs) that are similar enough."""
     num, den = SIMILARITY
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        texts = {}
-        for ids, column in ((a, 2), (b, 3)):
-            for i, t in zip(ids, batch.column(column), strict=True):
-                if i not in held and i not in texts:
-                    texts[i] = t.as_py().encode("utf-8", "replace")
-        for i, h in zip(texts, kernel.word_hashes(list(texts.values())), strict=True):
-            held[i] = kernel.shingle_set(h, SHINGLE)
-        keep = []
-        for i, j in zip(a, b, strict=True):
-            x, y = held[i], held[j]
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(den * both >= num * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
-        held = {i: held[i] for i in {a[-1], b[-1]}} if a else {}
-
-
-def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    both, total = F.size(F.array_intersect(x, y)), F.size(x) + F.size(y)
+    return both * (num + den) >= total * num
+
+
+def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Of candidate pairs (a < b), those whose sets are similar enough; written."""
-    ra = reps.select(F.col("rep").alias("a"), F.col("regs").alias("ra"), F.col("n_shingles").alias("na"))
-    rb = reps.select(F.col("rep").alias("b"), F.col("regs").alias("rb"), F.col("n_shingles").alias("nb"))
+    ra = nodes.select(F.col("node").alias("a"), F.col("regs").alias("ra"), F.col("n_shingles").alias("na"))
+    rb = nodes.select(F.col("node").alias("b"), F.col("regs").alias("rb"), F.col("n_shingles").alias("nb"))
     both = pairs.join(ra, "a").join(rb, "b").select("a", "b", "ra", "rb", "na", "nb")
     likely = common.written(both.mapInArrow(_estimated, "a long, b long"), "likely")
-    ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    texts = _few(docs, ids)
-    ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    full = likely.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
-    out = common.written(full.mapInArrow(_confirmed, "a long, b long"), "links")
-    common.dropped(likely)
+    ids = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+    sets = common.written(_of_nodes(docs, nodes.join(ids, "node", "left_semi").select("node", "doc_id", "digest")), "sets")
+    sa, sb = (sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+    out = common.written(likely.join(sa, "a").join(sb, (likely["b"] == sb["b"]) & _similar("sa", "sb")).select("a", likely["b"]), "links")
+    common.dropped(likely, sets)
     return out
 
 
@@ -196,77 +203,112 @@ def components(links: DataFrame) -> DataFrame:
             return now.select("id", "comp")
 
 
+def _same_ids(member: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes of rows that repeat a doc_id."""
+    ends = member.where("node is not null and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a != last").select("doc_id", "a")
+    return member.join(ends, "doc_id").where("node != a").select("a", F.col("node").alias("b")).distinct()
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``documents`` (doc_id, text).
 
     Rows without words, and rows with a null text, are linked with nothing: component_id is their doc_id.
-    Rows that repeat a doc_id are one node of the graph. A null doc_id takes part through equal sets only;
-    its component_id is the smallest doc_id of its class, or null, and it's kept only if that is null.
+    Nodes of the graph are distinct shingle sets; rows that repeat a doc_id link their sets, and so are in one
+    component. A null doc_id takes part through equal sets only; its component_id is the smallest doc_id of
+    that set's component, or null, and it's kept only if that is null.
     """
     docs = common.narrow(documents, "doc_id", "text")
-    sig = common.written(sketches(docs), "sketches")
-    classes = sig.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    sig = common.written(sketches(docs).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    classes = sig.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min(F.when(F.col("doc_id").isNotNull(), F.col("row"))).alias("node"))
     slim = sig.select("doc_id", "digest", "n_shingles")
-    member = common.written(slim.join(classes, "digest").select("doc_id", "n_shingles", "rep").union(slim.where("digest is null").select("doc_id", "n_shingles", F.lit(None).cast("long"))), "members")
-    leads = member.where("doc_id = rep").select("rep").distinct()
-    reps = common.written(sig.where("digest is not null").withColumnRenamed("doc_id", "rep").join(leads, "rep", "left_semi").select("rep", "n_shingles", "regs"), "reps")
+    none = F.lit(None).cast("long")
+    member = slim.join(classes, "digest").select("doc_id", "n_shingles", "rep", "node").union(slim.where("digest is null").select("doc_id", "n_shingles", none, none))
+    member = common.written(member, "members")
+    leads = classes.where("node is not null").select("node", "rep")
+    nodes = common.written(sig.withColumnRenamed("row", "node").join(leads, "node").select("node", "rep", "doc_id", "digest", "n_shingles", "regs"), "nodes")
     common.dropped(sig)
 
     width = 2 * ROWS
     each = F.sequence(F.lit(0), F.lit(BANDS - 1))
-    band = F.posexplode(F.transform(each, lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * width + 1, F.lit(width)))))
-    bands = reps.select("rep", band.alias("band", "key")).withColumn("salt", F.pmod(F.xxhash64("rep", "key"), F.lit(SALTS)))
-    parts = bands.groupBy("key", "salt").agg(F.min("rep").alias("sub"), F.count("*").alias("n"))
+    keys = F.transform(each, lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * width + 1, F.lit(width))))
+    bands = nodes.select("node", F.posexplode(keys).alias("band", "key")).withColumn("salt", F.pmod(F.xxhash64("node", "key"), F.lit(SALTS)))
+    parts = bands.groupBy("key", "salt").agg(F.min("node").alias("sub"), F.count("*").alias("n"))
     tops = parts.groupBy("key").agg(F.min("sub").alias("top"), F.sum("n").alias("total")).where("total > 1").drop("total")
     leaders = parts.join(tops, "key").select("key", "salt", "sub", "top")
-    shared = common.written(bands.join(leaders, ["key", "salt"]).select("key", "band", "rep", "sub", "top"), "shared")
-    first = shared.where("rep != sub").select(F.col("sub").alias("a"), F.col("rep").alias("b")).union(shared.where("sub != top and rep = sub").select(F.col("top").alias("a"), F.col("sub").alias("b")))
+    shared = common.written(bands.join(leaders, ["key", "salt"]).select("key", "band", "node", "sub", "top"), "shared")
+    first = shared.where("node != sub").select(F.col("sub").alias("a"), F.col("node").alias("b")).union(shared.where("sub != top and node = sub").select(F.col("top").alias("a"), F.col("sub").alias("b")))
     # Of a member's leaders (at most two per band) those of most bands; what this leaves untested is left to the exact step below.
     best = W.partitionBy("b").orderBy(F.desc("n"), "a")
     first = first.groupBy("a", "b").agg(F.count("*").alias("n")).withColumn("i", F.row_number().over(best)).where(F.col("i") <= LEADERS).select("a", "b")
     first = common.written(first, "first")
-    found = _links(first, reps, docs)
+    found = common.written(_links(first, nodes, docs).union(_same_ids(member)), "found")
     comps = components(found)
 
-    owner = F.coalesce("comp", "rep")
+    owner = F.coalesce("comp", "node")
 
     def unsettled(comps: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Rows of the buckets that still have more than one component, and each such bucket's main one."""
-        marked = shared.select("key", "band", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("key", "band", "rep", owner.alias("comp"))
+        marked = shared.select("key", "band", "node").join(comps.withColumnRenamed("id", "node"), "node", "left").select("key", "band", "node", owner.alias("comp"))
         mixed = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
         rows = common.written(marked.join(mixed, "key", "left_semi"), "open")
-        sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high"))
+        sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"))
         return rows, sizes.groupBy("key").agg(F.max_by(F.struct("comp", "low", "high"), F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"), "m.low", "m.high")
 
     # Members outside a bucket's main component are first compared with two members of that, to settle most of them cheaply.
     before, main = unsettled(comps)
-    ends = before.join(main, "key").where("comp != main").select("rep", F.explode(F.array("low", "high")).alias("y")).where("rep != y")
-    ends = ends.select(F.least("rep", "y").alias("a"), F.greatest("rep", "y").alias("b"), "rep").groupBy("a", "b", "rep").agg(F.count("*").alias("n"))
-    ends = ends.withColumn("i", F.row_number().over(W.partitionBy("rep").orderBy(F.desc("n"), "a", "b"))).where(F.col("i") <= LEADERS).select("a", "b").distinct()
-    tested = common.written(ends.join(first, ["a", "b"], "left_anti"), "second")
-    found = common.written(found.union(_links(tested, reps, docs)), "found")
-    tested = first.union(tested)
+    ends = before.join(main, "key").where("comp != main").select("node", F.explode(F.array("low", "high")).alias("y")).where("node != y")
+    ends = ends.select(F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b"), "node").groupBy("a", "b", "node").agg(F.count("*").alias("n"))
+    ends = ends.withColumn("i", F.row_number().over(W.partitionBy("node").orderBy(F.desc("n"), "a", "b"))).where(F.col("i") <= LEADERS).select("a", "b").distinct()
+    found = common.written(found.union(_links(ends.join(first, ["a", "b"], "left_anti"), nodes, docs)), "found")
     comps = components(found)
     open_, main = unsettled(comps)
-    common.dropped(before)
-    fine = _few(docs, open_.select(F.col("rep").alias("doc_id")).distinct()).mapInArrow(_finely, "rep long, n long, fine array<bigint>")
-    keys = reps.select("rep", F.transform(each, lambda i: F.hash(i, F.substring(F.col("regs"), i * width + 1, F.lit(width)))).alias("keys"))
-    full = common.written(open_.join(fine.dropDuplicates(["rep"]), "rep").join(keys, "rep"), "fine")
-    # Members outside the main component of their bucket meet the other components; the main one never meets itself.
-    x = full.join(main.select("key", "main"), "key").where("comp != main").alias("x")
-    y = full.alias("y")
+    fine = _of_nodes(docs, nodes.join(open_.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "digest"), fine=True)
+    about = nodes.select("node", F.col("n_shingles").alias("n"), keys.alias("keys"))
+    full = common.written(open_.join(fine.withColumnRenamed("s", "fine"), "node").join(about, "node").join(main.select("key", "main"), "key"), "fine")
+    common.dropped(shared, before, open_, first)
+    comps = _late(docs, nodes, full, found, comps)
+    low = comps.withColumnRenamed("id", "node").join(nodes.select("node", "rep"), "node")
+    least = low.groupBy("comp").agg(F.min("rep").alias("least"))
+    labels = common.written(low.join(least, "comp").select("node", "least"), "labels")
+    common.dropped(full, nodes, found)
+    some, alone = member.where("rep is not null"), member.where("rep is null")
+    result = some.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("least", "rep").alias("component_id"))
+    result = result.union(alone.select("doc_id", "n_shingles", "doc_id"))
+    return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _late(docs: DataFrame, nodes: DataFrame, full: DataFrame, found: DataFrame, comps: DataFrame) -> DataFrame:
+    """The components once members outside the main component of a bucket have met its other components.
+
+    Two semi-joins keep the members that the sizes and the fine sketch pair with any other; only those get their
+    sets, which decide in the conditions of the joins after that. Whether a member links with the main component
+    is a semi-join too; links between the other components, as they are by then, are the only pairs that become
+    rows. The main component never meets itself.
+    """
     num, den = SIMILARITY
     unequal = sum((F.bit_count(F.get("x.fine", F.lit(k)).bitwiseXOR(F.get("y.fine", F.lit(k)))) for k in range(FINE // 64)), F.lit(0))
-    untested = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("x.main")) | (F.col("x.rep") < F.col("y.rep")))
+    untested = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
     sized = (F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num)
     earliest = F.array_position(F.zip_with("x.keys", "y.keys", lambda a, b: a == b), True) == F.col("x.band") + 1
-    meet = x.join(y, untested & sized & (unequal <= FINE_UNEQUAL) & earliest)
-    second = meet.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    late = _links(second.join(tested, ["a", "b"], "left_anti"), reps, docs)
+    meet = untested & sized & (unequal <= FINE_UNEQUAL) & earliest
+    outside = full.where("comp != main")
+    x = common.written(outside.alias("x").join(full.alias("y"), meet, "left_semi"), "outside")
+    y = common.written(full.alias("y").join(x.alias("x"), meet, "left_semi"), "inside")
+    need = x.select("node").union(y.select("node")).distinct()
+    sets = common.written(_of_nodes(docs, nodes.join(need, "node", "left_semi").select("node", "doc_id", "digest")), "sets")
+    like = meet & _similar("x.s", "y.s")
+    full_x, full_y = (common.written(t.join(sets, "node"), "members") for t in (x, y.where("comp != main")))
+    main = y.where("comp = main").join(sets, "node")
+    joined = full_x.alias("x").join(main.alias("y"), like, "left_semi").select(F.least("node", "main").alias("a"), F.greatest("node", "main").alias("b")).distinct()
+    joined = common.written(joined, "joined")
+    found = found.union(joined)
+    if joined.limit(1).count():
+        comps = components(found)
+    now = comps.withColumnRenamed("id", "node").withColumnRenamed("comp", "now")
+    ends = [t.drop("comp").join(now, "node", "left").withColumn("comp", F.coalesce("now", "node")) for t in (full_x, full_y)]
+    pair = ends[0].alias("x").join(ends[1].alias("y"), like)
+    late = common.written(pair.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "late")
     if late.limit(1).count():
         comps = components(found.union(late))
-    common.dropped(shared, open_, full, reps, first)
-    some, alone = member.where("rep is not null"), member.where("rep is null")
-    result = some.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", owner.alias("component_id"))
-    result = result.union(alone.select("doc_id", "n_shingles", "doc_id"))
-    return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    common.dropped(x, y, sets, full_x, full_y, joined, late)
+    return comps
