@@ -103,7 +103,7 @@ def _found(kind: str, pattern: str, where: str) -> str:
     return rf"""
 {kind}_m AS (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS hits, string_split_regex(t, '{pattern}') AS gaps FROM d WHERE regexp_matches(t, '{pattern}')),
 {kind} AS (
-  SELECT doc_id, '{kind}' AS kind, hits[i] AS v, gaps[i] AS before, gaps[i+1] AS after,
+  SELECT doc_id, '{kind}' AS kind, hits[i] AS v,
     list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0) AS s
   FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM {kind}_m)
   WHERE {where})"""
@@ -120,29 +120,34 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 {_found("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15")},
 base AS (
   SELECT *, s + length(v) AS e, CASE kind WHEN 'email' THEN 1 WHEN 'ip' THEN 2 WHEN 'card' THEN 3 ELSE 4 END AS o,
-    kind || ':' || CASE kind WHEN 'email' THEN lower(v) WHEN 'ip' THEN v ELSE regexp_replace(v, '[^0-9]', '', 'g') END AS c,
-    list_filter(string_split_regex(string_split(before, chr(10))[-1], '[\x20\x09-\x0D]+'), lambda x: x <> '') AS lw,
-    list_filter(string_split_regex(string_split(after, chr(10))[1], '[\x20\x09-\x0D]+'), lambda x: x <> '') AS rw
+    kind || ':' || CASE kind WHEN 'email' THEN lower(v) WHEN 'ip' THEN v ELSE regexp_replace(v, '[^0-9]', '', 'g') END AS c
   FROM (SELECT * FROM email UNION ALL SELECT * FROM ip UNION ALL SELECT * FROM card UNION ALL SELECT * FROM phone)),
-near AS (SELECT DISTINCT doc_id, c, unnest(regexp_extract_all(lower(array_to_string(list_concat(lw[-5:], rw[1:5]), ' ')), '\p{{L}}+')) AS t FROM base),
-pairs AS (SELECT c, t, count(*) AS n_ct FROM near GROUP BY c, t HAVING count(*) >= 3),
-n_c AS (SELECT c, count(DISTINCT doc_id) AS n_c FROM base GROUP BY c),
-n_t AS (SELECT t, count(DISTINCT doc_id) AS n_t FROM (SELECT doc_id, unnest(regexp_extract_all(lower(t), '\p{{L}}+')) AS t FROM d) WHERE t IN (SELECT t FROM pairs) GROUP BY t),
+n_c AS (SELECT c, count(DISTINCT doc_id) AS n_c FROM base GROUP BY c HAVING count(DISTINCT doc_id) >= 3),
+plain AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(t), '\p{{L}}+')) AS t FROM d),
+held AS (SELECT doc_id, t FROM plain UNION SELECT doc_id, left(t, 3) || '*' FROM plain WHERE length(t) > 3),
+pairs AS (SELECT c, t, count(*) AS n_ct FROM (SELECT DISTINCT doc_id, c FROM base JOIN n_c USING (c)) JOIN held USING (doc_id) GROUP BY c, t HAVING count(*) >= 3),
+n_t AS (SELECT t, count(*) AS n_t FROM held WHERE t IN (SELECT t FROM pairs) GROUP BY t),
 n AS (SELECT count(DISTINCT doc_id) AS n FROM documents),
-rules AS (SELECT pairs.c, pairs.t FROM pairs JOIN n_c ON n_c.c = pairs.c JOIN n_t ON n_t.t = pairs.t, n WHERE n_c < n AND log2(n_ct * n / (n_c * n_t)) / log2(n / n_c) >= 0.8),
-own AS (SELECT DISTINCT doc_id, t FROM base JOIN rules ON rules.c = base.c),
+shares AS (
+  SELECT c, t, log2(n_ct * n / (n_c * n_t)) / log2(n / n_c) AS share FROM pairs JOIN n_c USING (c) JOIN n_t USING (t), n WHERE n_c < n),
+rules AS (
+  SELECT x.c, x.t, x.share >= 0.95 OR length(x.t) <= 3 OR coalesce(y.share >= 0.8, false) AS gone
+  FROM shares x LEFT JOIN shares y ON y.c = x.c AND y.t = left(x.t, 3) || '*' WHERE x.share >= 0.8 AND x.t NOT LIKE '%*'),
+own AS (SELECT doc_id, t, bool_or(gone) AS gone FROM base JOIN rules ON rules.c = base.c GROUP BY doc_id, t),
 words AS (
   SELECT doc_id, lower(hits[i]) AS v, length(hits[i]) AS n, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0) AS s
   FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '\p{{L}}+') AS hits, string_split_regex(t, '\p{{L}}+') AS gaps FROM d WHERE doc_id IN (SELECT doc_id FROM own)))),
 term AS (
-  SELECT words.doc_id, words.s, words.s + words.n AS e FROM words JOIN own ON own.doc_id = words.doc_id AND own.t = words.v
+  SELECT words.doc_id, words.s, words.s + words.n AS e, own.gone FROM words JOIN own ON own.doc_id = words.doc_id AND own.t = words.v
   WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = words.doc_id AND base.s < words.s + words.n AND words.s < base.e)),
 listed AS (
-  SELECT doc_id, o, s, kind || ':' || s || ':' || e AS x FROM base UNION ALL SELECT doc_id, 5, s, 'term:' || s || ':' || e FROM term),
+  SELECT doc_id, o, s, kind || ':' || s || ':' || e AS x, false AS gone FROM base UNION ALL SELECT doc_id, 5, s, 'term:' || s || ':' || e, gone FROM term),
 per AS (
   SELECT doc_id, count(*) FILTER (o = 1) AS n_email, count(*) FILTER (o = 2) AS n_ip, count(*) FILTER (o = 3) AS n_card, count(*) FILTER (o = 4) AS n_phone,
+    count(*) FILTER (o = 5 AND gone) AS n_removed, count(*) FILTER (o = 5 AND NOT gone) AS n_generalised,
     string_agg(x, ',' ORDER BY o, s) FILTER (o < 5) AS b, string_agg(x, ',' ORDER BY o, s) AS a FROM listed GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+  coalesce(n_removed, 0) AS n_removed, coalesce(n_generalised, 0) AS n_generalised,
   sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans
 FROM d LEFT JOIN per ON per.doc_id = d.doc_id
 """
