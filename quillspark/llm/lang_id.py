@@ -31,7 +31,7 @@ SCRIPTS = (
     (0x41, 1), (0x250, 1), (0x370, 2), (0x400, 3), (0x530, 4), (0x590, 5), (0x600, 6), (0x780, 0), (0x900, 7), (0x980, 8), (0xA00, 0), (0xB80, 9),
     (0xC00, 0), (0xE00, 10), (0xE80, 0), (0x10A0, 11), (0x1100, 12), (0x1200, 0), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x2C60, 1), (0x2C80, 0),
     (0x3040, 13), (0x3100, 0), (0x3130, 12), (0x3190, 0), (0x3400, 14), (0xA000, 0), (0xAC00, 12), (0xD7B0, 0), (0xF900, 14), (0xFB00, 1), (0xFB10, 0),
-    (0xFF21, 1), (0xFF66, 13), (0xFFA0, 12), (0xFFE0, 0), (0x20000, 14), (0x30000, 0),
+    (0xFF21, 1), (0xFF66, 13), (0xFFA0, 12), (0xFFE0, 0), (0x20000, 14), (0x40000, 0),
 )
 N_SCRIPTS = 15
 
@@ -43,7 +43,7 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
 def letter_tables() -> tuple[np.ndarray, np.ndarray]:
     """Of each code point: its lower-case code point, 0 if it's no letter; its script."""
     lower = np.zeros(sys.maxunicode + 1, dtype=np.uint32)
-    for i in range(0x30000):
+    for i in range(sys.maxunicode + 1):
         c = chr(i)
         if c.isalpha():
             low = c.lower()
@@ -120,7 +120,7 @@ def trained(rows: DataFrame) -> DataFrame:
 
 
 def fitted(rows: DataFrame) -> Model:
-    """The model of all training rows: at most languages x (``BUCKETS`` + scripts) counts reach the driver."""
+    """The model of all training rows: at most languages x (``BUCKETS`` + scripts) counts reach the driver, 0.5 MB of model per language every task."""
     found = trained(rows.where("lang is not null and text is not null")).toPandas()
     langs = sorted(found["lang"].unique())
     counts = np.zeros((len(langs), BUCKETS + N_SCRIPTS))
