@@ -2,12 +2,12 @@
 
 Tokens are hashed words and an end per text. Counts of all training tokens are grouped in Spark. Every token with
 ``HEAD_COUNT`` training tokens has emissions of its own, whatever the table's size; the others share one class per
-word length, where a word has its add-one share. The head (at least N / ``HEAD`` of the N training tokens, so never
-more than ``HEAD`` tokens) is broadcast; emissions of the other tokens stay in a table, and a join by token brings
-them to blocks of texts.
+word length, where a word has its add-one share. The head (the most frequent tokens, never more than ``HEAD``) goes
+to every task; emissions of the other tokens stay in a table, and a join by token brings them to blocks of texts.
 
 Baum-Welch: each pass runs over all training texts, with forward and backward values carried over whole texts;
-sums are added up per partition or token, then in Spark. Scoring is the scaled forward recursion over the whole text.
+sums are added up per partition or token, then in Spark. It ends once a pass raises the likelihood of a token by
+less than ``GAIN`` (log10) over the pass before, and after ``PASSES`` passes in any case. Scoring is the scaled forward recursion over the whole text.
 """
 
 from __future__ import annotations
@@ -23,8 +23,12 @@ from pyspark.sql import functions as F
 
 from . import common, kernel
 
-STATES, PASSES, SEGMENT = 4, 3, 64
+STATES, PASSES, SEGMENT = 4, 4, 64
+#: log10 per token.
+GAIN = 1e-3
 HEAD, HEAD_COUNT = 1 << 20, 5
+#: Steps of the counts, per doubling, at one of which the head ends.
+STEPS = 8
 CLASSES = 32
 #: Tokens without a training count, per state, that smooth the emissions in proportion to symbol counts.
 PRIOR = 10.0
@@ -85,6 +89,8 @@ class Vocabulary:
     class_words: np.ndarray
     tokens: int
     words: int
+    #: Least count of the head.
+    least: int = HEAD_COUNT
     #: h, c of the tokens outside the head that have emissions of their own (None: there are none), and sum(c + 0.5).
     more: DataFrame | None = None
     more_base: float = 0.0
@@ -115,27 +121,32 @@ class Vocabulary:
         return out
 
 
-def in_head(n: int) -> Column:
-    return (F.col("c") * HEAD >= n) & (F.col("c") >= HEAD_COUNT)
-
-
-def apart(n: int) -> Column:
-    """Tokens outside the head with emissions of their own."""
-    return ~in_head(n) & (F.col("c") >= HEAD_COUNT)
+def head_least(counts: DataFrame) -> int:
+    """The least count, among the starts of steps, that at most ``HEAD`` tokens reach."""
+    step = F.floor(F.log2("c") * STEPS).alias("step")
+    sizes = counts.where(F.col("c") >= HEAD_COUNT).groupBy(step).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect()  # at most 64 * STEPS rows
+    held, least = 0, 1 << 62
+    for r in sorted(sizes, key=lambda r: -r["step"]):
+        held += r["n"]
+        if held > HEAD:
+            return least
+        least = r["least"]
+    return HEAD_COUNT
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = counts.where(in_head(n)).toPandas()  # at most HEAD rows
+    least = head_least(counts)
+    head = counts.where(F.col("c") >= least).toPandas()  # at most HEAD rows
     tail = counts.where(F.col("c") < HEAD_COUNT).groupBy(F.col("h").bitwiseAND(31).alias("k")).agg(F.sum("c"), F.count("*")).collect()
-    more = counts.where(apart(n))
+    more = counts.where((F.col("c") < least) & (F.col("c") >= HEAD_COUNT))
     base = more.agg(F.sum(F.col("c") + 0.5)).first()[0]
     keys = head["h"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(keys)
     sums = np.zeros((2, CLASSES), dtype=np.int64)
     for k, c, w in tail:
         sums[:, k] = c, w
-    return Vocabulary(keys[order], head["c"].to_numpy(dtype=np.int64)[order], sums[0], sums[1], n, v, more if base else None, base or 0.0)
+    return Vocabulary(keys[order], head["c"].to_numpy(dtype=np.int64)[order], sums[0], sums[1], n, v, least, more if base else None, base or 0.0)
 
 
 @dataclass
@@ -205,8 +216,8 @@ def _borders(b: np.ndarray, f: np.ndarray, m: Chain) -> tuple[np.ndarray, np.nda
     return before, after
 
 
-def expected(sym: np.ndarray, first: np.ndarray, m: Chain) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Expected emissions (symbol, state), moves, starts and state counts of a stream of tokens.
+def expected(sym: np.ndarray, first: np.ndarray, m: Chain) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected emissions (symbol, state), moves, starts and state counts of a stream of tokens, and its log10 probability.
 
     ``first`` marks the first token of a text, which follows no other. The stream is cut into segments that
     advance together; what crosses their borders is found first, so that results are those of whole texts.
@@ -227,6 +238,7 @@ def expected(sym: np.ndarray, first: np.ndarray, m: Chain) -> tuple[np.ndarray,
         a = prior * b[t]
         scale[t] = a.sum(1)
         alpha[t] = a / scale[t][:, None]
+    logs = float(np.log10(scale).ravel(order="F")[:n].sum())
     moves = np.zeros((STATES, STATES))
     ends = alpha[-1].copy()
     beta = after / (ends * after).sum(1)[:, None]
@@ -244,7 +256,7 @@ def expected(sym: np.ndarray, first: np.ndarray, m: Chain) -> tuple[np.ndarray,
     gamma[0] = alpha[0] * beta
     g = gamma.transpose(1, 0, 2).reshape(-1, STATES)[:n]
     emitted = np.stack([np.bincount(sym, weights=g[:, k], minlength=len(m.emit)) for k in range(STATES)], axis=1)
-    return emitted, m.move * moves, g[first].sum(0), g.sum(0)
+    return emitted, m.move * moves, g[first].sum(0), g.sum(0), logs
 
 
 def _encoded(v: Vocabulary) -> Callable:
@@ -304,7 +316,7 @@ def _unpacked(batch: pa.RecordBatch, v: Vocabulary, m: Chain) -> Iterator[tuple]
 
 def _pass(v: Vocabulary, m: Chain) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [np.zeros((v.symbols, STATES)), np.zeros((STATES, STATES)), np.zeros(STATES), np.zeros(STATES)]
+        total = [np.zeros((v.symbols, STATES)), np.zeros((STATES, STATES)), np.zeros(STATES), np.zeros(STATES), np.zeros(STATES)]
         out = lambda i, h, rows: pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), h, *(pa.array(rows[:, k]) for k in range(STATES))], names=["i", "h", *SUMS])
         for batch in batches:
             for _, sizes, _, sym, _, h, chain in _unpacked(batch, v, m):
@@ -315,8 +327,8 @@ def _pass(v: Vocabulary, m: Chain) -> Callable:
                     x += y
                 if len(h):
                     yield out(np.full(len(h), v.symbols), pa.array(h.view(np.int64)), emitted[v.symbols :])
-        rows = np.concatenate([total[1], total[2][None], total[3][None], total[0]])
-        ids = np.concatenate([np.arange(-STATES - 2, 0), np.arange(v.symbols)])
+        rows = np.concatenate([total[1], *(x[None] for x in total[2:]), total[0]])
+        ids = np.concatenate([np.arange(-STATES - 3, 0), np.arange(v.symbols)])
         some = np.flatnonzero(rows.any(1))
         yield out(ids[some], pa.nulls(len(some), pa.int64()), rows[some])
 
@@ -324,7 +336,7 @@ def _pass(v: Vocabulary, m: Chain) -> Callable:
 
 
 def trained(train: DataFrame, v: Vocabulary, passes: int = PASSES) -> Chain:
-    """Baum-Welch over all training texts; the sums that reach the driver have a row per symbol of the head and class."""
+    """Baum-Welch over all training texts, at most ``passes``; the sums that reach the driver have a row per symbol of the head and class."""
     m = begun(v)
     if not passes:
         return m
@@ -332,22 +344,26 @@ def trained(train: DataFrame, v: Vocabulary, passes: int = PASSES) -> Chain:
     part = PRIOR / (base.sum() + v.more_base)
     rows, uses = blocks(train.select(F.lit(None).cast("long").alias("doc_id"), "text"), v)
     slim = replace(v, more=None)
+    reached = -math.inf
     for _ in range(passes):
         found = _supplied(rows, uses, m).mapInArrow(_pass(slim, replace(m, more=None)), "i long, h long, " + ", ".join(f"{g} double" for g in SUMS))
         found = found if v.more is None else common.written(found, "sums")
         head = found.where("h is null").groupBy("i").agg(*[F.sum(g).alias(g) for g in SUMS]).toPandas()
-        got = np.zeros((v.symbols + STATES + 2, STATES))
-        got[head["i"].to_numpy(dtype=int) + STATES + 2] = head[SUMS]
+        got = np.zeros((v.symbols + STATES + 3, STATES))
+        got[head["i"].to_numpy(dtype=int) + STATES + 3] = head[SUMS]
         move, start, share = got[:STATES] + 0.1, got[STATES] + 0.1, got[STATES + 1] + 0.1
         more = None
         if v.more is not None:
             sums = found.where("h is not null").groupBy("h").agg(*[F.sum(g).alias(g) for g in SUMS])
             more = v.more.join(sums, "h").select("h", "c", *[(F.col(g) + F.lit(part) * (F.col("c") + 0.5)).alias(e) for g, e in zip(SUMS, EACH, strict=True)])
-        emit, more = _shared(got[STATES + 2 :] + part * base[:, None], more)
+        emit, more = _shared(got[STATES + 3 :] + part * base[:, None], more)
         if more is not None:
             common.dropped(found, m.more)
             train.sparkSession._jvm.System.gc()  # Spark deletes the shuffle files of plans that the driver has let go
         m = Chain(start / start.sum(), move / move.sum(1, keepdims=True), emit, share / share.sum(), more)
+        before, reached = reached, got[STATES + 2, 0] / max(1, v.tokens)
+        if reached - before < GAIN:
+            break
     common.dropped(*[t for t in (rows, uses) if t is not None])
     return m
 
@@ -394,7 +410,7 @@ def scored(documents: DataFrame, counts: DataFrame, v: Vocabulary, m: Chain) ->
     rows = found.mapInArrow(_scored(replace(v, more=None), replace(m, more=None)), "doc_id long, n_tokens long, base double, model double, tail array<bigint>")
     rows = common.written(rows.withColumn("uid", F.monotonically_increasing_id()), "scored")
     common.dropped(*[t for t in (whole, uses) if t is not None])
-    each = rows.select("uid", F.explode("tail").alias("h")).join(counts.where(~in_head(v.tokens)), "h", "left")
+    each = rows.select("uid", F.explode("tail").alias("h")).join(counts.where(F.col("c") < v.least), "h", "left")
     c = F.coalesce("c", F.lit(0)) + 1
     whole = [math.log10(t + w + 1) for t, w in zip(v.class_tokens.tolist(), v.class_words.tolist(), strict=True)]
     part = F.log10(c) - F.get(F.array(*[F.lit(x) for x in whole]), F.col("h").bitwiseAND(31).cast("int"))

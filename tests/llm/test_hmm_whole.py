@@ -40,5 +40,5 @@ def test_expectations_of_a_long_text_are_those_of_the_whole():
                 a += w / w.sum()
         s += norm(f[0] * g[0])
     first = np.concatenate([np.arange(len(o)) == 0 for o in texts])
-    emitted, moves, start, _ = hmm.expected(np.concatenate(texts), first, m)
+    emitted, moves, start, *_ = hmm.expected(np.concatenate(texts), first, m)
     assert np.allclose(emitted, e) and np.allclose(moves, a) and np.allclose(start, s)

@@ -280,7 +280,8 @@ def test_forward_and_expectations_match_enumeration():
     sym, sizes = np.concatenate(texts), np.array([4, 1, 3])
     assert np.allclose(hmm.forward(sym, sizes, m), [np.log10(sum(weight[k].values())) for k in range(3)])
     first = np.array([1, 0, 0, 0, 1, 1, 0, 0], dtype=bool)
-    emitted, moves, start, share = hmm.expected(sym, first, m)
+    emitted, moves, start, share, logs = hmm.expected(sym, first, m)
+    assert np.isclose(logs, sum(np.log10(sum(weight[k].values())) for k in range(3)))
     e, a, s = np.zeros((6, hmm.STATES)), np.zeros((hmm.STATES, hmm.STATES)), np.zeros(hmm.STATES)
     for k, o in enumerate(texts):
         z = sum(weight[k].values())
