@@ -2,9 +2,9 @@
 
 A payload is cut where a rolling gear hash of its last 32 bytes has ``MASK`` bits of zeros (with least and
 largest sizes). Spark joins chunk digests over all payloads: each chunk belongs to the payload with the
-least digest that holds it. The store has a row per payload: its ordered chunk list (digests, sizes) and the
-bytes of the chunks it owns. To read a payload back, chunks of other owners are joined in by digest, the list
-is put together and its digest verified.
+least digest that holds it. The store has a row per payload: its manifest (the ordered chunk list as bytes) and
+the bytes of the chunks it owns. To read a payload back, chunks of other owners are joined in by digest, the list
+is put together and its digest verified. A payload's stored form is its manifest and then its chunks, as read.
 """
 
 from __future__ import annotations
@@ -79,9 +79,22 @@ def chunked(data: bytes) -> tuple[list[bytes], list[int]]:
     return [hashlib.sha256(data[a:b]).digest() for a, b in zip(starts, ends)], [b - a for a, b in zip(starts, ends)]
 
 
-def container(digests: list[bytes], sizes: list[int], data: bytes) -> bytes:
-    """The stored form of one payload by itself: its chunk list and chunks."""
-    return MAGIC + struct.pack("<I", len(sizes)) + b"".join(struct.pack("<I", n) + d for n, d in zip(sizes, digests)) + data
+ENTRY = np.dtype([("size", "<u4"), ("digest", "V32")])
+
+
+def manifest(digests: list[bytes], sizes: list[int]) -> bytes:
+    """The ordered chunk list: a mark, the number of chunks, then size and digest of each."""
+    entries = np.empty(len(sizes), dtype=ENTRY)
+    entries["size"], entries["digest"] = sizes, np.frombuffer(b"".join(digests), dtype="V32")
+    return MAGIC + struct.pack("<I", len(sizes)) + entries.tobytes()
+
+
+def listed(data: bytes) -> tuple[list[bytes], list[int]]:
+    """Digests and sizes of a manifest."""
+    if data[:4] != MAGIC:
+        raise ValueError("not a chunk list")
+    entries = np.frombuffer(data, dtype=ENTRY, count=struct.unpack("<I", data[4:8])[0], offset=8)
+    return [x.tobytes() for x in entries["digest"]], entries["size"].tolist()
 
 
 def feature(digests: list[bytes], sizes: list[int], data: bytes) -> str:
@@ -104,12 +117,12 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(pid, pa.binary()), pa.array(digests, pa.list_(pa.binary()))], names=["doc_id", "n_bytes", "pid", "digests"])
 
 
-STORE = "pid binary, digests array<binary>, sizes array<int>, own array<boolean>, data binary"
+STORE = "pid binary, manifest binary, own array<boolean>, data binary"
 
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (text, foreign digests) the rows of the store."""
-    kinds = (pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.binary())
+    kinds = (pa.binary(), pa.binary(), pa.list_(pa.bool_()), pa.binary())
     for batch in batches:
         texts, foreign = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for part in kernel.chunks([t or "" for t in texts], 1 << 22):
@@ -124,8 +137,8 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         kept.append(data[at : at + n])
                         first.add(d)
                     at += n
-                rows.append((hashlib.sha256(data).digest(), digests, sizes, own, b"".join(kept)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds, strict=True)], names=["pid", "digests", "sizes", "own", "data"])
+                rows.append((hashlib.sha256(data).digest(), manifest(digests, sizes), own, b"".join(kept)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds, strict=True)], names=["pid", "manifest", "own", "data"])
 
 
 def _parts(digests: list[bytes], sizes: list[int], own: list[bool], data: bytes) -> dict[bytes, bytes]:
@@ -138,11 +151,11 @@ def _parts(digests: list[bytes], sizes: list[int], own: list[bool], data: bytes)
 
 
 def _offered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """digest, bytes of the wanted chunks of rows (digests, sizes, own, data, wanted)."""
+    """digest, bytes of the wanted chunks of rows (manifest, own, data, wanted)."""
     for batch in batches:
         found: dict[bytes, bytes] = {}
-        for *row, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            parts = _parts(*row)
+        for stored, own, data, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            parts = _parts(*listed(stored), own, data)
             found |= {d: parts[d] for d in wanted if d in parts}
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["digest", "bytes"])
 
@@ -151,16 +164,17 @@ READ = "pid binary, payload_bytes long, payload_sha256 string, tail_crc32 long,
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (pid, digests, sizes, own, data, foreign chunks) the payload's features; fails if a payload isn't what was stored."""
+    """Of (pid, manifest, own, data, foreign chunks) the payload's features; fails if a payload isn't what was stored."""
     kinds = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
     for batch in batches:
         rows = []
-        for pid, digests, sizes, own, data, foreign in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for pid, stored, own, data, foreign in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            digests, sizes = listed(stored)
             parts = _parts(digests, sizes, own, data) | {x["digest"]: x["bytes"] for x in foreign or ()}
             whole = b"".join([parts[d] for d in digests])
             if hashlib.sha256(whole).digest() != pid:
                 raise ValueError(f"payload {pid.hex()} can't be reconstructed")
-            media = container(digests, sizes, whole)
+            media = stored + whole
             rows.append((pid, len(whole), pid.hex(), zlib.crc32(whole[-ALIGN:]), len(media), hashlib.sha256(media).hexdigest(), feature(digests, sizes, whole)))
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 7, kinds, strict=True)], names=["pid", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
@@ -202,7 +216,7 @@ def read(stored: DataFrame, foreign: DataFrame) -> DataFrame:
     whole = stored.where(F.forall("own", lambda x: x)).withColumn("foreign", F.lit(None).cast("array<struct<digest:binary,bytes:binary>>"))
     wanted = foreign.groupBy("owner").agg(F.collect_set("digest").alias("wanted"))
     few = foreign.count() <= BROADCAST_ROWS
-    offers = stored.join(F.broadcast(wanted) if few else wanted, stored["pid"] == wanted["owner"]).select("digests", "sizes", "own", "data", "wanted")
+    offers = stored.join(F.broadcast(wanted) if few else wanted, stored["pid"] == wanted["owner"]).select("manifest", "own", "data", "wanted")
     chunks = offers.mapInArrow(_offered, "digest binary, bytes binary").dropDuplicates(["digest"])
     filled = foreign.select("pid", "digest").join(chunks, "digest").groupBy("pid").agg(F.collect_list(F.struct("digest", "bytes")).alias("foreign"))
     partly = stored.where(F.exists("own", lambda x: ~x)).join(filled, "pid", "left").select(*whole.columns)
