@@ -1,10 +1,11 @@
 """Deterministic sharded WARC writer and reader.
 
 Records are range-sorted by page id into shards of about ``SHARD_BYTES`` of payload, whose bounds come
-from a histogram of ids (at most ``BINS`` bins a round, heavy bins cut again). Each task writes its
-shard in id order and rolls to a new file once ``ROLL_BYTES`` are compressed. Files are written under
-temporary names; the driver renames those that successful tasks list, then writes the manifest. Headers
-and digests are made anew from the payload, with a fixed date, so that the same table gives the same bytes.
+from a histogram of ids (``BINS`` bins, then every bin above a shard's size is cut into ``CUT`` again until
+none is or it holds a single id). Each task writes its shard in id order and rolls to a new file once
+``ROLL_BYTES`` are compressed. Files are written under temporary names; tasks rename those that successful
+tasks have listed, and then the driver writes the manifest, a row per file. Headers and digests are made
+anew from the payload, with a fixed date, so that the same table gives the same bytes.
 """
 
 from __future__ import annotations
@@ -18,13 +19,14 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
+#: For tables of many TB, pass sizes of about 1 GB to ``write``: the driver holds a bound per shard and a row per file.
 SHARD_BYTES, ROLL_BYTES = 16 << 20, 4 << 20
-BINS, ROUNDS = 4096, 3
+BINS, CUT = 4096, 16
 #: Payloads of at least this many bytes are compared.
 MIN_DEDUP_BYTES = 0
 #: Most repeated digests that are broadcast; beyond it, a shuffled join takes over.
@@ -96,53 +98,63 @@ def parsed(data: bytes) -> tuple:
     return number("Page-Id"), n, digest, fields["WARC-Type"], number("Refers-To-Page"), payload
 
 
-def _bounds(sizes: DataFrame) -> list[int]:
-    """First ids of the shards after the first, from (page_id, bytes) of all pages."""
+def place(col: str | Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are at most the column: a binary search in an array that is folded once."""
+    held = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << k) for k in range(len(bounds).bit_length() - 1, -1, -1)])
+    x = F.col(col) if isinstance(col, str) else col
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(held, at + s - 1) <= x, at + s).otherwise(at)) if bounds else F.lit(0)
+
+
+def _bounds(sizes: DataFrame, shard_bytes: int) -> list[int]:
+    """First ids of the shards after the first, from (page_id, bytes) of the pages with an id.
+
+    A round brings to the driver ``BINS`` rows, or ``CUT`` for each bin above a shard's size: bounded by the number of shards.
+    """
     low, high, total = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum("bytes")).first()
-    if low is None or total <= SHARD_BYTES:
+    if low is None or total <= shard_bytes:
         return []
-    bins: dict[int, int] = {}
-    ranges = [(low, high + 1)]
-    for _ in range(ROUNDS):
-        width = max(1, -(-sum(b - a for a, b in ranges) // BINS))
-        inside = F.lit(False)
-        for a, b in ranges:
-            inside |= (F.col("page_id") >= a) & (F.col("page_id") < b)
-        start = F.lit(None).cast("long")
-        for a, b in reversed(ranges):
-            start = F.when((F.col("page_id") >= a) & (F.col("page_id") < b), a + F.floor((F.col("page_id") - a) / width) * width).otherwise(start)
-        found = dict(sizes.where(inside).groupBy(start.alias("start")).agg(F.sum("bytes")).collect())  # at most BINS rows and one per range
-        bins = {k: v for k, v in bins.items() if not any(a <= k < b for a, b in ranges)} | found
-        heavy = sorted(k for k, v in found.items() if v > SHARD_BYTES)[:64]
-        ranges = [(k, min(k + width, high + 1)) for k in heavy]
-        if not ranges or width == 1:
-            break
+    width = max(1, -(-(high - low + 1) // BINS))
+    start = F.lit(low) + F.floor((F.col("page_id") - low) / width) * width
+    bins = {k: (v, width) for k, v in sizes.groupBy(start.alias("start")).agg(F.sum("bytes")).collect()}
+    while heavy := sorted(k for k, (v, w) in bins.items() if v > shard_bytes and w > 1):
+        width = max(-(-bins[k][1] // CUT) for k in heavy)
+        at = F.get(F.split(F.lit(",".join(map(str, heavy))), ",").cast("array<bigint>"), place("page_id", heavy) - 1)
+        ends = F.get(F.split(F.lit(",".join(str(k + bins[k][1]) for k in heavy)), ",").cast("array<bigint>"), place("page_id", heavy) - 1)
+        inside = sizes.withColumn("at", at).where(F.col("at").isNotNull() & (F.col("page_id") < ends))
+        found = inside.groupBy((F.col("at") + F.floor((F.col("page_id") - F.col("at")) / width) * width).alias("start")).agg(F.sum("bytes")).collect()
+        for k in heavy:
+            del bins[k]
+        bins |= {k: (v, width) for k, v in found}
     out, held = [], 0
     for k in sorted(bins):
-        if held and held + bins[k] > SHARD_BYTES:
+        if held and held + bins[k][0] > shard_bytes:
             out.append(k)
             held = 0
-        held += bins[k]
+        held += bins[k][0]
     return out
 
 
-def write(pages: DataFrame, to: str) -> list[dict]:
+def write(pages: DataFrame, to: str, shard_bytes: int | None = None, roll_bytes: int | None = None) -> list[dict]:
     """Write ``pages`` (page_id, url, html) as gzip WARC files under ``to``; returns the manifest, which stands there too.
 
-    A null html is an empty payload, a null url ``urn:none``; a null page_id goes to the first shard, and is a
-    response only if no page with an id has its payload. Rows that repeat a page_id are records of their own,
+    A null html is an empty payload, a null url ``urn:none``; pages without a page_id come first, in shards of their
+    own by the hash of url and html, and are responses only if no page with an id has their payload. Rows that repeat a page_id are records of their own,
     all of the same type if their payloads are equal. An empty table gives a manifest without files.
     """
     spark = pages.sparkSession
     common.reachable(spark)
     rows = common.narrow(pages, "page_id", "url", "html").withColumn("html", F.coalesce("html", F.lit(""))).withColumn("sha", F.unhex(F.sha1("html")))
+    shard_bytes, roll_bytes = shard_bytes or SHARD_BYTES, roll_bytes or ROLL_BYTES
     marked = rows.select("page_id", "sha", F.octet_length("html").cast("long").alias("bytes"))
     firsts = marked.where(F.col("bytes") >= MIN_DEDUP_BYTES).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
     firsts = common.written(firsts, "firsts")
     few = firsts.count() <= BROADCAST_DIGESTS
-    bounds = _bounds(marked)
-    n = len(bounds) + 1
-    at = F.when(F.col("page_id").isNull(), 0).otherwise(F.expr(_step("page_id", bounds)))
+    bounds = _bounds(marked.where("page_id is not null").select("page_id", "bytes"), shard_bytes)
+    unnamed = marked.where("page_id is null").agg(F.count("*"), F.sum("bytes")).first()
+    first = -(-max(1, unnamed[1]) // shard_bytes) if unnamed[0] else 0
+    n = first + len(bounds) + 1
+    at = F.when(F.col("page_id").isNull(), F.pmod(F.xxhash64("url", "html"), F.lit(max(1, first))).cast("int")).otherwise(place("page_id", bounds) + first)
     out = rows.join(F.broadcast(firsts) if few else firsts, "sha", "left").select(at.alias("shard"), "page_id", "url", "html", "first")
     out = out.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "page_id", "html", "url")
     temp = f"{to}/_temporary"
@@ -164,7 +176,7 @@ def write(pages: DataFrame, to: str) -> list[dict]:
 
         for batch in batches:
             for s, page, url, html, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if sink is None or s != shard or state[0] >= ROLL_BYTES:
+                if sink is None or s != shard or state[0] >= roll_bytes:
                     close()
                     shard, roll = s, roll + 1 if s == shard else 0
                     name, state = f"{uuid.uuid4().hex}.warc.gz", [0, 0, hashlib.sha256()]
@@ -177,36 +189,37 @@ def write(pages: DataFrame, to: str) -> list[dict]:
         close()
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done) if done else [()] * 5, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["file", "temp", "bytes", "records", "sha256"])
 
-    listed = sorted(out.mapInArrow(save, "file string, temp string, bytes long, records long, sha256 string").collect())  # a row per file
+    listed = common.written(out.mapInArrow(save, "file string, temp string, bytes long, records long, sha256 string"), "files")
+
+    def commit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rename the listed files; what a lost task has renamed already is left."""
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(to)
+        for batch in batches:
+            for file, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if system.get_file_info(f"{base}/_temporary/{name}").type != fs.FileType.NotFound:
+                    system.move(f"{base}/_temporary/{name}", f"{base}/{file}")
+                elif system.get_file_info(f"{base}/{file}").type == fs.FileType.NotFound:
+                    raise OSError(f"{file} can't be committed")
+            yield batch.slice(0, 0)
+
+    listed.select("file", "temp").mapInArrow(commit, "file string, temp string").count()
     path = spark._jvm.org.apache.hadoop.fs.Path
     system = path(to).getFileSystem(spark._jsc.hadoopConfiguration())
     system.mkdirs(path(to))
-    for x in listed:
-        if not system.rename(path(f"{temp}/{x['temp']}"), path(f"{to}/{x['file']}")):
-            raise OSError(f"{x['file']} can't be committed")
-    manifest = [{k: x[k] for k in ("file", "bytes", "records", "sha256")} for x in listed]
+    manifest = [{k: x[k] for k in ("file", "bytes", "records", "sha256")} for x in listed.orderBy("file").collect()]
     stream = system.create(path(f"{to}/_manifest.tmp"), True)
     stream.write(bytearray(json.dumps(manifest, indent=1).encode()))
     stream.close()
     system.rename(path(f"{to}/_manifest.tmp"), path(f"{to}/_manifest.json"))
     system.delete(path(temp), True)
-    common.dropped(firsts)
+    common.dropped(firsts, listed)
     return manifest
 
 
-def _step(col: str, bounds: list[int]) -> str:
-    """SQL for how many of the sorted bounds are at most the column: a balanced tree of comparisons."""
-    def tree(a: int, b: int) -> str:
-        if a == b:
-            return str(a)
-        m = (a + b) // 2
-        return f"if({col} < {bounds[m]}L, {tree(a, m)}, {tree(m + 1, b)})"
-
-    return tree(0, len(bounds))
-
-
 def shard_of(page_id: int, bounds: list[int]) -> int:
-    """The rule of ``_step`` in plain Python, for tests."""
+    """The rule of ``place`` in plain Python, for tests."""
     return bisect.bisect_right(bounds, page_id)
 
 

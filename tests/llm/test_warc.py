@@ -64,12 +64,23 @@ def test_headers_and_damage():
         raise AssertionError("damage isn't seen")
 
 
-def test_shards():
-    import duckdb
-
-    bounds = [5, 9, 100, 101]
-    for i in (-1, 4, 5, 8, 9, 99, 100, 101, 500):
-        assert duckdb.sql(f"select {warc._step('x', bounds).replace('L', '')} from (select {i} as x)").fetchall() == [(warc.shard_of(i, bounds),)]
+def test_shards(spark):
+    ids = [-1, 4, 5, 8, 9, 99, 100, 101, 500]
+    frame = spark.createDataFrame([(i,) for i in ids], "x long")
+    for bounds in ([], [5], [5, 9, 100], [5, 9, 100, 101]):
+        assert [r[0] for r in frame.select(warc.place("x", bounds)).collect()] == [warc.shard_of(i, bounds) for i in ids]
+
+
+def test_heavy_ranges_of_ids_are_cut(spark, monkeypatch):
+    """Ids in a hundred dense clumps far apart, and one id with many rows: no shard but that id's holds more than its size."""
+    ids = [c * 10**12 + i for c in range(100) for i in range(40)] + [7 * 10**13 + 5] * 300
+    sizes = spark.createDataFrame([(i, 10) for i in ids], "page_id long, bytes long")
+    monkeypatch.setattr(warc, "BINS", 8)
+    bounds = warc._bounds(sizes, 100)
+    held = {}
+    for i in ids:
+        held[warc.shard_of(i, bounds)] = held.get(warc.shard_of(i, bounds), 0) + 10
+    assert sorted(held.values())[-2] <= 100 and max(held.values()) <= 3100 and len(held) >= 400
 
 
 def test_empty(spark, tmp_path: Path):
