@@ -1,7 +1,7 @@
 """Quality rules with cross-document line frequency; DataFrame functions only.
 
 Base counts come from each whole text alone. The method hashes every normalised line, counts the distinct
-documents of each host (``source``) that hold it, removes lines above the host's limits (``cleaned``), and rejects
+documents of each host (``source``) that hold it, removes lines above the limit (``cleaned``), and rejects
 documents that lose the most part of their words.
 """
 
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_WORDS = 50
-#: A line is removed if more documents of its host hold it than this number and this share (per cent) of the host's documents.
-LINE_DOCS, LINE_PERCENT = 10, 1
+#: A line is removed if more documents of its host hold it than this number, whatever the host's size.
+LINE_DOCS = 10
 #: A document is depleted if more than this share (per cent) of its words stands in removed lines.
 DEPLETED_PERCENT = 50
 #: Most frequent lines that are broadcast; beyond it, a shuffled join takes over.
@@ -71,24 +71,21 @@ def held_lines(docs: DataFrame) -> DataFrame:
     return each.select("host", F.xxhash64("l").alias("line"), "doc_id").distinct()
 
 
-def frequent(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """h (host), l: the lines above their host's limits; written."""
-    hosts = docs.groupBy(F.col("source").alias("h")).agg(F.countDistinct("doc_id").alias("docs"))
+def frequent(lines: DataFrame) -> DataFrame:
+    """h (host), l: the lines above the limit; written."""
     counts = lines.groupBy("host", "line").agg(F.count("*").alias("n"))
-    often = counts.where(F.col("n") > LINE_DOCS)
-    often = often.join(hosts, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") * 100 > F.col("docs") * LINE_PERCENT)
-    return common.written(often.select("h", F.col("line").alias("l")), "often")
+    return common.written(counts.where(F.col("n") > LINE_DOCS).select(F.col("host").alias("h"), F.col("line").alias("l")), "often")
 
 
 def cleaned(documents: DataFrame) -> DataFrame:
-    """``documents`` with the lines above their host's limits taken out of each text; the others stay as they are, in order.
+    """``documents`` with the lines above the limit of their host taken out of each text; the others stay as they are, in order.
 
     A null text stays null. Rows that repeat a doc_id are one document for line counts. Few frequent lines are
     broadcast by host; beyond ``BROADCAST_LINES`` each document gets its own ones by a shuffled join.
     """
     docs = common.narrow(documents, "doc_id", "text", "source")
     lines = common.written(held_lines(docs), "lines")
-    often = frequent(docs, lines)
+    often = frequent(lines)
     if often.count() <= BROADCAST_LINES:
         gone = F.broadcast(often.groupBy(F.col("h").alias("_host")).agg(F.collect_set("l").alias("_gone")))
         d = documents.join(gone, F.col("source").eqNullSafe(F.col("_host")), "left")
@@ -109,10 +106,11 @@ def quality(documents: DataFrame) -> DataFrame:
     A null source is a host of its own.
     """
     docs = common.narrow(documents, "doc_id", "text", "source").withColumn("whole", F.col("text"))
-    d = cleaned(docs).select("doc_id", F.col("whole").alias("text"), _long(F.size(words(F.coalesce("text", F.lit(""))))).alias("_left"))
+    left = F.when(~F.col("text").eqNullSafe(F.col("whole")), _long(F.size(words(F.coalesce("text", F.lit(""))))))
+    d = cleaned(docs).select("doc_id", F.col("whole").alias("text"), left.alias("_left"))
     base = common.written(base_counts(d).drop("text"), "base")
     base = base.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
-    lost = base.groupBy(F.col("doc_id").alias("_id")).agg(F.sum("n_words").alias("_words"), F.sum(F.col("n_words") - F.col("_left")).alias("removed_words"))
+    lost = base.groupBy(F.col("doc_id").alias("_id")).agg(F.sum("n_words").alias("_words"), F.sum(F.col("n_words") - F.coalesce("_left", "n_words")).alias("removed_words"))
     out = base.join(lost, F.col("doc_id").eqNullSafe(F.col("_id")))
     kept = ~F.col("base_failed") & ~(F.col("removed_words") * 100 > F.col("_words") * DEPLETED_PERCENT)
     return out.withColumn("kept", kept).drop("_id", "_left", "_words")
