@@ -14,6 +14,8 @@ longer than a class.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,35 +42,37 @@ TERM = r"\p{L}+"
 SPAN = "array<struct<s:int,e:int,v:string>>"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, not once per element of the lambdas that use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def running(a: Column) -> Column:
     """Running sums of an array of numbers, by blocks of about the square root of its size."""
-    size = F.greatest(F.lit(1), F.floor(F.sqrt(F.size(a))).cast("int"))
-    add = lambda x, y: x + y
-    total = lambda x: F.aggregate(x, F.lit(0), add)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / size).cast("int")), lambda k: total(F.slice(a, k * size + 1, size)))
+    total = lambda x: F.aggregate(x, F.lit(0), lambda y, z: y + z)
 
-    def upto(i: Column) -> Column:
-        whole = F.floor(i / size).cast("int")
-        return total(F.slice(blocks, F.lit(1), whole)) + total(F.slice(a, whole * size + 1, i - whole * size + 1))
+    def sums(a: Column, k: Column) -> Column:
+        block = lambda i: F.floor(i / k).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), block(F.size(a) - 1)), lambda b: total(F.slice(a, b * k + 1, k)))
+        before = lambda blocks: F.transform(blocks, lambda _, i: total(F.slice(blocks, F.lit(1), i)))
+        inside = lambda i: total(F.slice(a, block(i) * k + 1, i - block(i) * k + 1))
+        return bound(bound(blocks, before), lambda held: F.transform(a, lambda _, i: F.get(held, block(i)) + inside(i)))
 
-    return F.when(F.size(a) > 0, F.transform(a, lambda _, i: upto(i))).otherwise(F.array().cast("array<int>"))
+    root = lambda a: F.greatest(F.lit(1), F.floor(F.sqrt(F.size(a))).cast("int"))
+    return F.when(F.size(a) > 0, bound(a, lambda a: bound(root(a), lambda k: sums(a, k)))).otherwise(F.array().cast("array<int>"))
 
 
 def matches(df: DataFrame, text: str, pattern: str, to: str, gate: Column) -> DataFrame:
     """Adds ``to``: the leftmost, non-overlapping matches (start and end in code points, value)."""
-    hits, gaps, starts = f"_{to}_hits", f"_{to}_gaps", f"_{to}_starts"
+    hits, gaps = f"_{to}_hits", f"_{to}_gaps"
     df = df.withColumn(hits, F.when(gate, F.regexp_extract_all(text, F.lit(pattern), 0)))
-    df = df.withColumn(gaps, F.when(F.size(hits) > 0, F.split(text, pattern, -1)))
-    steps = F.transform(hits, lambda h, i: F.length(F.get(F.col(gaps), i)) + F.when(i > 0, F.length(F.get(F.col(hits), i - 1))).otherwise(0))
-    df = df.withColumn(f"_{to}_steps", F.when(F.size(hits) > 0, steps))
-    df = df.withColumn(starts, F.when(F.size(hits) > 0, running(F.col(f"_{to}_steps"))))
-
-    def span(h: Column, i: Column) -> Column:
-        s = F.get(F.col(starts), i)
-        return F.struct(s.alias("s"), (s + F.length(h)).alias("e"), h.alias("v"))
-
-    found = F.when(F.size(hits) > 0, F.transform(hits, span)).otherwise(F.array().cast(SPAN))
-    return df.withColumn(to, found).drop(hits, gaps, starts, f"_{to}_steps")
+    df = df.withColumn(gaps, F.when(F.size(hits) > 0, F.transform(F.split(text, pattern, -1), F.length)))
+    size = F.size(hits)
+    own = F.concat(F.array(F.lit(0)), F.transform(F.slice(hits, F.lit(1), size - 1), F.length))
+    starts = running(F.zip_with(F.slice(gaps, F.lit(1), size), own, lambda g, h: g + h))
+    span = lambda h, s: F.struct(s.alias("s"), (s + F.length(h)).alias("e"), h.alias("v"))
+    found = F.when(size > 0, F.zip_with(hits, starts, span)).otherwise(F.array().cast(SPAN))
+    return df.withColumn(to, found).drop(hits, gaps)
 
 
 def luhn(digits: Column) -> Column:
@@ -110,8 +114,8 @@ def class_of(t: Column) -> Column:
 
 def with_classes(text: Column) -> Column:
     """The distinct terms of a text, and the classes of those longer than a class."""
-    t = F.array_distinct(terms(text))
-    return F.concat(t, F.array_distinct(F.transform(F.filter(t, lambda x: F.length(x) > STEM), class_of)))
+    classes = lambda t: F.array_distinct(F.transform(F.filter(t, lambda x: F.length(x) > STEM), class_of))
+    return bound(F.array_distinct(terms(text)), lambda t: F.concat(t, classes(t)))
 
 
 def _entities() -> Column:

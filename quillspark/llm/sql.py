@@ -44,10 +44,7 @@ lines AS (
   SELECT doc_id, source, l, sum(len(string_split(l, ' '))) AS nw
   FROM (SELECT doc_id, source, trim(regexp_replace(translate(unnest(ls), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+', ' ', 'g')) AS l FROM d)
   GROUP BY ALL),
-often AS (
-  SELECT lines.source, l FROM lines JOIN (SELECT source, count(DISTINCT doc_id) AS docs FROM documents GROUP BY source) h
-    ON lines.source IS NOT DISTINCT FROM h.source
-  GROUP BY lines.source, l, docs HAVING count(*) > 10 AND count(*) * 100 > docs),
+often AS (SELECT source, l FROM lines GROUP BY source, l HAVING count(*) > 10),
 gone AS (
   SELECT lines.doc_id, sum(nw) AS nw, sum(CASE WHEN often.l IS NULL THEN 0 ELSE nw END) AS removed
   FROM lines LEFT JOIN often ON lines.l = often.l AND lines.source IS NOT DISTINCT FROM often.source GROUP BY lines.doc_id),

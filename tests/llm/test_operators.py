@@ -75,14 +75,12 @@ def test_sketch_estimates_similarity():
 def test_line_quality(docs, corpus):
     got = collections.Counter(tuple(r) for r in line_quality.quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect())
     norm = lambda x: " ".join(WORD.findall(x.translate(LOWER)))
-    host, size = collections.defaultdict(set), collections.defaultdict(set)
+    host = collections.defaultdict(set)
     for i, t, _, s, *_ in corpus:
-        size[s].add(i)
         for x in (t or "").split("\n"):
             if norm(x):
                 host[s, norm(x)].add(i)
-    counted = {s: len(v - {None}) for s, v in size.items()}
-    often = {k for k, v in host.items() if len(v) > 10 and len(v) * 100 > counted[k[0]]}
+    often = {k for k, v in host.items() if len(v) > 10}
     total, gone = collections.Counter(), collections.Counter()
     for i, t, _, s, *_ in corpus:
         for x in (t or "").split("\n"):
@@ -199,6 +197,33 @@ def test_chunks_round_trip(docs, corpus):
     assert all(len(v) == 1 for v in by_text.values())
 
 
+def plain_media(p):
+    """The stored form and the feature of a payload, byte by byte."""
+    h, start, parts = 0, 0, []
+    for i, b in enumerate(p):
+        h = ((h << 1) + int(chunk_store.gear()[b])) & 0xFFFFFFFF
+        size = i + 1 - start
+        if size == chunk_store.MOST or i + 1 == len(p) or size >= chunk_store.LEAST and h >> (32 - chunk_store.MASK) == 0:
+            parts.append(p[start : i + 1])
+            start = i + 1
+    stored = b"CDC1" + len(parts).to_bytes(4, "little") + b"".join(len(x).to_bytes(4, "little") + hashlib.sha256(x).digest() for x in parts) + p
+    n = collections.Counter(p)
+    entropy = -sum(v / len(p) * math.log2(v / len(p)) for v in n.values())
+    return len(stored), sha(stored), f"chunks={len(parts)};distinct={len(set(parts))};longest={max(map(len, parts))};sum={sum(p)};bytes={len(n)};entropy={abs(entropy):.4f}"
+
+
+def test_stored_form_and_feature(docs, corpus):
+    want = {}
+    for _, t, *_ in corpus:
+        b = (t or "").encode()
+        p = b.ljust(max(64, -(-len(b) // 64) * 64), b"\0")
+        want[sha(p)] = plain_media(p)
+    for r in chunk_store.round_trip(docs).collect():
+        size, digest, feature = want[r["payload_sha256"]]
+        assert (r["media_bytes"], r["media_sha256"]) == (size, digest)
+        assert r["feature"].rsplit("=", 1)[0] == feature.rsplit("=", 1)[0] and abs(float(r["feature"].rsplit("=", 1)[1])) == pytest.approx(float(feature.rsplit("=", 1)[1]), abs=1.5e-4)
+
+
 def test_gear_hash_is_the_rolling_one():
     data = bytes(range(256)) * 70
     h, want = 0, []
@@ -218,8 +243,8 @@ def test_store_holds_each_chunk_once(docs):
     found = chunk_store.index(docs)
     stored, _ = chunk_store.store(docs, found)
     own = collections.Counter()
-    for r in stored.select("pid", "digests", "own").distinct().collect():
-        own.update(bytes(d) for d, mine in zip(r["digests"], r["own"]) if mine)
+    for r in stored.select("pid", "manifest", "own").distinct().collect():
+        own.update(d for d, mine in zip(chunk_store.listed(bytes(r["manifest"]))[0], r["own"]) if mine)
     every = {bytes(d) for r in found.collect() for d in r["digests"]}
     assert set(own) == every and max(own.values()) == 1
 
