@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +83,11 @@ def reachable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+def utf8(texts: pa.Array) -> list[bytes]:
+    """The texts of an Arrow column in UTF-8; a null one is empty."""
+    return [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+
+
 def narrow(docs: DataFrame, *cols: str) -> DataFrame:
     """Only the columns an operator reads, so that others can't clash with its own."""
     return docs.select(*[F.col(f"`{c}`") for c in cols])

@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from . import common, kernel
 
-STATES, PASSES, SEGMENT = 4, 4, 64
+STATES, PASSES, SEGMENT = 4, 3, 64
+#: Tokens whose expectations are held at a time.
+RUN = 1 << 17
 #: log10 per token.
 GAIN = 1e-3
 HEAD, HEAD_COUNT = 1 << 20, 5
@@ -42,10 +44,6 @@ def tokens(texts: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate([h, END]) for h in kernel.word_hashes(texts, tagged=True)]
 
 
-def _texts(column: pa.Array) -> list[bytes]:
-    return [(t or "").encode("utf-8", "replace") for t in column.to_pylist()]
-
-
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     k, back = np.unique(np.concatenate(keys), return_inverse=True)
     return k, np.bincount(back, weights=np.concatenate(counts)).astype(np.int64)
@@ -55,7 +53,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys, counts = [], []
     out = lambda: pa.RecordBatch.from_arrays([pa.array(keys[0].view(np.int64)), pa.array(counts[0])], names=["h", "n"])
     for batch in batches:
-        texts = _texts(batch.column(0))
+        texts = common.utf8(batch.column(0))
         for part in kernel.chunks(texts, 4 << 20):
             k, n = np.unique(np.concatenate(tokens([texts[i] for i in part])), return_counts=True)
             keys.append(k)
@@ -137,16 +135,16 @@ def head_least(counts: DataFrame) -> int:
 def vocabulary(counts: DataFrame) -> Vocabulary:
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     least = head_least(counts)
-    head = counts.where(F.col("c") >= least).toPandas()  # at most HEAD rows
+    head = counts.where(F.col("c") >= least).toArrow()  # at most HEAD rows
     tail = counts.where(F.col("c") < HEAD_COUNT).groupBy(F.col("h").bitwiseAND(31).alias("k")).agg(F.sum("c"), F.count("*")).collect()
     more = counts.where((F.col("c") < least) & (F.col("c") >= HEAD_COUNT))
     base = more.agg(F.sum(F.col("c") + 0.5)).first()[0]
-    keys = head["h"].to_numpy(dtype=np.int64).view(np.uint64)
+    keys = head["h"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
     sums = np.zeros((2, CLASSES), dtype=np.int64)
     for k, c, w in tail:
         sums[:, k] = c, w
-    return Vocabulary(keys[order], head["c"].to_numpy(dtype=np.int64)[order], sums[0], sums[1], n, v, least, more if base else None, base or 0.0)
+    return Vocabulary(keys[order], head["c"].to_numpy().astype(np.int64)[order], sums[0], sums[1], n, v, least, more if base else None, base or 0.0)
 
 
 @dataclass
@@ -195,25 +193,50 @@ def begun(v: Vocabulary) -> Chain:
     return Chain(even, 0.7 * np.eye(STATES) + 0.3 / STATES, emit, even, more)
 
 
+def _depths(whole: np.ndarray) -> np.ndarray:
+    """Of each segment how many in a row, up to and with it, are whole."""
+    at = np.arange(len(whole))
+    return at - np.maximum.accumulate(np.where(whole, -1, at))
+
+
+def _by_depth(depth: np.ndarray) -> Iterator[np.ndarray]:
+    """Segments of depth 1, of depth 2, and so on."""
+    order = np.argsort(depth, kind="stable")
+    ends = np.searchsorted(depth[order], np.arange(1, int(depth.max(initial=0)) + 2))
+    for low, high in zip(ends, ends[1:]):
+        yield order[low:high]
+
+
 def _borders(b: np.ndarray, f: np.ndarray, m: Chain) -> tuple[np.ndarray, np.ndarray]:
-    """Forward values before each segment, and backward values after it up to a factor, of a stream cut into segments."""
+    """Forward values before each segment, and backward values after it up to a factor, of a stream cut into segments.
+
+    Segments in which no text starts (whole ones) carry values across by the product of their steps; chains of them advance together.
+    """
     rows = b.shape[1]
-    through, last, whole = np.repeat(np.eye(STATES)[None], rows, 0), np.zeros((rows, STATES)), np.ones(rows, dtype=bool)
+    unit = lambda x: x / x.sum(-1, keepdims=True)
+    whole = ~f.any(0)
+    cut = np.flatnonzero(~whole)
+    steps, place = b[:, whole], np.cumsum(whole) - 1
+    through = np.repeat(np.eye(STATES)[None], steps.shape[1], 0)
+    for t in range(len(b)):
+        through = (through.reshape(-1, STATES) @ m.move).reshape(through.shape) * steps[t][:, None, :]
+        if t % 16 == 15:  # often enough for the exponents of doubles
+            through /= through.sum((1, 2))[:, None, None]
+    own, starts = b[:, cut], f[:, cut]
+    last = np.zeros((len(cut), STATES))
     for t in range(len(b)):
-        whole &= ~f[t]
-        to = (through.reshape(-1, STATES) @ m.move).reshape(through.shape) * b[t][:, None, :]
-        through = np.where(whole[:, None, None], to / to.sum((1, 2))[:, None, None], through)
-        last = last @ m.move * b[t]
-        last[f[t]] = m.start * b[t][f[t]]
-        last /= np.maximum(last.sum(1), 1e-300)[:, None]
-    before, after = np.full((rows, STATES), 1 / STATES), np.ones((rows, STATES))
-    for r in range(rows - 1):
-        a = before[r] @ through[r] if whole[r] else last[r]
-        before[r + 1] = a / a.sum()
-    for r in range(rows - 1, 0, -1):
-        a = through[r] @ after[r] if whole[r] else through[r].sum(1)
-        after[r - 1] = a / a.sum()
-    return before, after
+        last = unit(np.where(starts[t][:, None], m.start, last @ m.move) * own[t] + 1e-300)
+    head, opens = np.ones((len(cut), STATES)), starts.argmax(0)
+    for t in range(len(b) - 1, -1, -1):
+        head = np.where((t < opens)[:, None], unit((own[t] * head) @ m.move.T), head)
+    before, after = np.full((rows + 1, STATES), 1 / STATES), np.ones((rows + 1, STATES))
+    before[cut + 1], after[cut] = last, unit(head)
+    for r in _by_depth(_depths(whole)):
+        before[r + 1] = unit((before[r][:, None, :] @ through[place[r]])[:, 0])
+    for r in _by_depth(_depths(whole[::-1])):
+        r = rows - 1 - r
+        after[r] = unit((through[place[r]] @ after[r + 1][:, :, None])[:, :, 0])
+    return before[:-1], after[1:]
 
 
 def expected(sym: np.ndarray, first: np.ndarray, m: Chain) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
@@ -246,11 +269,12 @@ def expected(sym: np.ndarray, first: np.ndarray, m: Chain) -> tuple[np.ndarray,
     gamma[-1] = ends * beta
     for t in range(SEGMENT - 2, -1, -1):
         w = b[t + 1] * beta / scale[t + 1][:, None]
-        go = ~f[t + 1]
-        moves += alpha[t][go].T @ w[go]
+        w[f[t + 1]] = 0.0
+        moves += alpha[t].T @ w
         if t < SEGMENT - 2:
             gamma[t + 1] = alpha[t + 1] * beta
-        beta = np.where(go[:, None], w @ m.move.T, 1.0)
+        beta = w @ m.move.T
+        beta[f[t + 1]] = 1.0
     go = ~f[0][1:]
     moves += ends[:-1][go].T @ (b[0] * beta / scale[0][:, None])[1:][go]
     gamma[0] = alpha[0] * beta
@@ -264,7 +288,7 @@ def _encoded(v: Vocabulary) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _texts(batch.column(1))
+            texts = common.utf8(batch.column(1))
             for part in kernel.chunks(texts, 4 << 20):
                 own = tokens([texts[i] for i in part])
                 sizes, h = np.array([len(x) for x in own], dtype=np.int32), np.concatenate(own)
@@ -296,6 +320,11 @@ def _supplied(rows: DataFrame, uses: DataFrame | None, m: Chain) -> DataFrame:
     return rows.join(found, "block", "left").select("ids", "sizes", "sym", "rare", F.coalesce("own", F.array().cast(own)).alias("own"))
 
 
+def _sent(m: Chain) -> Chain:
+    """The chain as tasks get it."""
+    return replace(m, emit=m.emit.astype(np.float32), more=None)
+
+
 def _unpacked(batch: pa.RecordBatch, v: Vocabulary, m: Chain) -> Iterator[tuple]:
     """Per block: its ids, sizes, symbols, hashes outside the head, hashes with own emissions, and a chain with those after the others."""
     for i in range(batch.num_rows):
@@ -305,28 +334,41 @@ def _unpacked(batch: pa.RecordBatch, v: Vocabulary, m: Chain) -> Iterator[tuple]
         own = batch.column(4)[i].values
         h = own.field(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
         order = np.argsort(h)
-        h, e = h[order], np.stack([own.field(k + 1).to_numpy(zero_copy_only=False) for k in range(STATES)], axis=1)[order]
+        h, e = h[order], np.stack([own.field(k + 1).to_numpy(zero_copy_only=False) for k in range(STATES)], axis=1)[order].astype(np.float32)
         to = len(v.keys) + (rare & np.uint64(31)).astype(np.int64)
         if len(h):
             at = np.minimum(np.searchsorted(h, rare), len(h) - 1)
             to = np.where(h[at] == rare, v.symbols + at, to)
-        local = np.concatenate([np.arange(v.symbols), to])[sym]
+        local = np.concatenate([np.arange(v.symbols, dtype=np.int64), to])[sym]
         yield batch.column(0)[i].values, sizes, sym, local, rare, h, replace(m, emit=np.concatenate([m.emit, e]))
 
 
+def _runs(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Tokens of whole texts, about ``RUN`` at a time."""
+    ends = np.cumsum(sizes)
+    a = 0
+    while a < ends[-1]:
+        i = min(int(np.searchsorted(ends, a + RUN)), len(ends) - 1)
+        yield a, int(ends[i])
+        a = int(ends[i])
+
+
 def _pass(v: Vocabulary, m: Chain) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [np.zeros((v.symbols, STATES)), np.zeros((STATES, STATES)), np.zeros(STATES), np.zeros(STATES), np.zeros(STATES)]
-        out = lambda i, h, rows: pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), h, *(pa.array(rows[:, k]) for k in range(STATES))], names=["i", "h", *SUMS])
+        out = lambda i, h, rows: pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), h, *(pa.array(rows[:, k], pa.float32()) for k in range(STATES))], names=["i", "h", *SUMS])
         for batch in batches:
             for _, sizes, _, sym, _, h, chain in _unpacked(batch, v, m):
+                more = np.zeros((len(h), STATES))
                 first = np.zeros(len(sym), dtype=bool)
                 first[np.cumsum(sizes) - sizes] = True
-                emitted, *others = expected(sym, first, chain)
-                for x, y in zip(total, [emitted[: v.symbols], *others], strict=True):
-                    x += y
+                for a, b in _runs(sizes):
+                    emitted, *others = expected(sym[a:b], first[a:b], chain)
+                    more += emitted[v.symbols :]
+                    for x, y in zip(total, [emitted[: v.symbols], *others], strict=True):
+                        x += y
                 if len(h):
-                    yield out(np.full(len(h), v.symbols), pa.array(h.view(np.int64)), emitted[v.symbols :])
+                    yield out(np.full(len(h), v.symbols), pa.array(h.view(np.int64)), more)
         rows = np.concatenate([total[1], *(x[None] for x in total[2:]), total[0]])
         ids = np.concatenate([np.arange(-STATES - 3, 0), np.arange(v.symbols)])
         some = np.flatnonzero(rows.any(1))
@@ -346,20 +388,24 @@ def trained(train: DataFrame, v: Vocabulary, passes: int = PASSES) -> Chain:
     slim = replace(v, more=None)
     reached = -math.inf
     for _ in range(passes):
-        found = _supplied(rows, uses, m).mapInArrow(_pass(slim, replace(m, more=None)), "i long, h long, " + ", ".join(f"{g} double" for g in SUMS))
+        found = _supplied(rows, uses, m).mapInArrow(_pass(slim, _sent(m)), "i long, h long, " + ", ".join(f"{g} float" for g in SUMS))
+        found = found.groupBy("i", "h").agg(*[F.sum(g).alias(g) for g in SUMS])
         found = found if v.more is None else common.written(found, "sums")
-        head = found.where("h is null").groupBy("i").agg(*[F.sum(g).alias(g) for g in SUMS]).toPandas()
+        head = found.where("h is null").drop("h").toArrow()
         got = np.zeros((v.symbols + STATES + 3, STATES))
-        got[head["i"].to_numpy(dtype=int) + STATES + 3] = head[SUMS]
+        at = head["i"].to_numpy() + STATES + 3
+        for k, g in enumerate(SUMS):
+            got[at, k] = head[g].to_numpy()
+        del head
         move, start, share = got[:STATES] + 0.1, got[STATES] + 0.1, got[STATES + 1] + 0.1
         more = None
         if v.more is not None:
-            sums = found.where("h is not null").groupBy("h").agg(*[F.sum(g).alias(g) for g in SUMS])
-            more = v.more.join(sums, "h").select("h", "c", *[(F.col(g) + F.lit(part) * (F.col("c") + 0.5)).alias(e) for g, e in zip(SUMS, EACH, strict=True)])
+            more = v.more.join(found.where("h is not null").drop("i"), "h").select("h", "c", *[(F.col(g) + F.lit(part) * (F.col("c") + 0.5)).alias(e) for g, e in zip(SUMS, EACH, strict=True)])
         emit, more = _shared(got[STATES + 3 :] + part * base[:, None], more)
         if more is not None:
             common.dropped(found, m.more)
-            train.sparkSession._jvm.System.gc()  # Spark deletes the shuffle files of plans that the driver has let go
+        del found
+        train.sparkSession._jvm.System.gc()  # Spark deletes the shuffle files of plans that the driver has let go
         m = Chain(start / start.sum(), move / move.sum(1, keepdims=True), emit, share / share.sum(), more)
         before, reached = reached, got[STATES + 2, 0] / max(1, v.tokens)
         if reached - before < GAIN:
@@ -407,7 +453,7 @@ def scored(documents: DataFrame, counts: DataFrame, v: Vocabulary, m: Chain) ->
     common.reachable(documents.sparkSession)
     whole, uses = blocks(common.narrow(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")), v)
     found = _supplied(whole, uses, m)
-    rows = found.mapInArrow(_scored(replace(v, more=None), replace(m, more=None)), "doc_id long, n_tokens long, base double, model double, tail array<bigint>")
+    rows = found.mapInArrow(_scored(replace(v, more=None), _sent(m)), "doc_id long, n_tokens long, base double, model double, tail array<bigint>")
     rows = common.written(rows.withColumn("uid", F.monotonically_increasing_id()), "scored")
     common.dropped(*[t for t in (whole, uses) if t is not None])
     each = rows.select("uid", F.explode("tail").alias("h")).join(counts.where(F.col("c") < v.least), "h", "left")

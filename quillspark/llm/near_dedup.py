@@ -92,7 +92,7 @@ def may_link(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) ->
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_pylist()
-        texts = [(t or "").encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
+        texts = common.utf8(batch.column(1))
         for run in kernel.chunks(texts, 1 << 20):
             sets = [kernel.shingle_set(h, SHINGLE) for h in kernel.word_hashes([texts[i] for i in run])]
             full = [s for s in sets if len(s)]
@@ -127,7 +127,7 @@ def _listed(fine: bool) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t or "").encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
+            texts = common.utf8(batch.column(1))
             for part in kernel.chunks(texts, 1 << 19):
                 sets = [kernel.shingle_set(h, SHINGLE) for h in kernel.word_hashes([texts[i] for i in part])]
                 some = [i for i, s in zip(part, sets, strict=True) if len(s)]
