@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, not once per use of it in nested lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def bounded_score(c: Column) -> Column:
     """Rounded half to even, within 0 and 100."""
     return F.least(F.greatest(F.bround(c, 0), F.lit(0)), F.lit(100)).cast("int")

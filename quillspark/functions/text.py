@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented letters of Western European texts and what is left without their accents.
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+
+def decompositions() -> dict[str, str]:
+    """Of each character that compatibility decomposition (NFKD) changes what is left of it without combining marks; Hangul syllables stay."""
+    out = {}
+    for i in (*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, sys.maxunicode + 1)):
+        c = chr(i)
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if plain != c and not unicodedata.combining(c):
+            out[c] = plain
+    return out
+
+
+_PLAIN = decompositions()
+#: Characters with one character left, and that; those with more left.
+ACCENTED = "".join(c for c, x in _PLAIN.items() if len(x) == 1)
+PLAIN = "".join(x for x in _PLAIN.values() if len(x) == 1)
+LONGER = {c: x for c, x in _PLAIN.items() if len(x) != 1}
+MANY = "".join(LONGER)
 
 #: Word borders that hold for letters of every script; Java's own \b depends on its version.
 START, STOP = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
@@ -23,8 +41,15 @@ def text_of(c: Column) -> Column:
 
 
 def without_accents(c: Column) -> Column:
-    """Canonical accents of the letters in ``ACCENTED``, and combining marks, removed."""
-    return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"\p{M}+", "")
+    """Compatibility decomposition (NFKD) without combining marks: accents go, ligatures and full-width forms become plain letters.
+
+    Characters that become several ones are looked up one by one, in texts that hold any.
+    """
+    entries = F.split(F.lit("\n".join(f"{k}\t{v}" for k, v in LONGER.items() if "\n" not in v)), "\n")
+    table = F.map_from_entries(F.transform(entries, lambda x: F.struct(F.substring(x, 1, 1).alias("k"), F.substring(x, 3, 99).alias("v"))))
+    spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    whole = F.when(F.translate(c, MANY, "") != c, spelled).otherwise(c)
+    return F.regexp_replace(F.translate(whole, ACCENTED, PLAIN), r"\p{M}+", "")
 
 
 def squeezed(c: Column) -> Column:
@@ -47,7 +72,11 @@ def folded_label(c: Column) -> Column:
     return squeezed(F.lower(without_accents(text_of(c))))
 
 
-def skill_key(c: Column, aliases: dict[str, str] | None = None) -> Column:
+# Spellings of one skill.
+SKILL_ALIASES = {"postegresql": "postgresql", "graphana": "grafana"}
+
+
+def skill_key(c: Column, aliases: dict[str, str] | None = SKILL_ALIASES) -> Column:
     """Folded, without spaces, of [a-z0-9+#.] only; then by an alias table."""
     key = F.regexp_replace(folded_label(c), "[^a-z0-9+#.]", "")
     if not aliases:
@@ -92,6 +121,39 @@ def contains_fact(hay: Column, fact: Column) -> Column:
     return (fact == "") | hay.contains(fact) | F.forall(substantial_tokens(fact), lambda t: hay.contains(t) | tight.contains(t))
 
 
+def guarded(c: Column) -> Column:
+    """Lower case with French accents, everything but letters, digits, + and # one space, and a space at both ends."""
+    low = F.replace(F.lower(text_of(c)), F.lit("’"), F.lit("'"))
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(low, "[^a-z0-9+#àâäéèêëîïôöùûüç]+", " ")), F.lit(" "))
+
+
+# Superscript letters of extracted text, lines of page footers, arrows that a renderer lacks.
+SUPERSCRIPTS, LETTERS = "ʳᵉᵐᵒᵃ", "remoa"
+FOOTER = r"(?iu)^(?:cv\s+cr[ée]é\s+sur|[0-9]+\s*/\s*[0-9]+|[0-9]+\s*/\s*[0-9]+\s+cv\s+cr[ée]é\s+sur)$"
+ARROWS = ("\u2794", "\uf0e0")
+
+
+def repaired(c: Column) -> Column:
+    """Superscript letters as plain ones."""
+    return F.translate(text_of(c), SUPERSCRIPTS, LETTERS)
+
+
+def footer(line: Column) -> Column:
+    return squeezed(line).rlike(FOOTER)
+
+
+def without_footers(c: Column) -> Column:
+    """The lines that aren't page footers."""
+    return F.array_join(F.filter(F.split(text_of(c), "\n"), lambda x: ~footer(x)), "\n")
+
+
+def renderable(c: Column) -> Column:
+    out = text_of(c)
+    for x in ARROWS:
+        out = F.replace(out, F.lit(x), F.lit("->"))
+    return out
+
+
 def contains_strictly(hay: Column, value: Column) -> Column:
     return (F.length(value) < 5) | hay.contains(value)
 
@@ -115,7 +177,7 @@ def slug(c: Column) -> Column:
 
 
 def escaped(c: Column) -> Column:
-    out = text_of(c)
+    out = renderable(c)
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return out

@@ -80,6 +80,7 @@ def unseen(rows: DataFrame, history: DataFrame, *keys: str) -> DataFrame:
 
 
 def stage_durations(events: DataFrame, key: str) -> DataFrame:
-    """Adds seconds since the event before of the same key; null for the first."""
+    """Adds micros (whole) and seconds since the event before of the same key; null for the first."""
     before = F.lag("ts").over(W.partitionBy(key).orderBy("ts", "event_id"))
-    return events.withColumn("seconds", (F.unix_micros("ts") - F.unix_micros(before)) / 1e6)
+    d = events.withColumn("micros", F.unix_micros("ts") - F.unix_micros(before))
+    return d.withColumn("seconds", F.col("micros") / 1e6)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,16 +13,37 @@ from quillspark.operators.sanitize import CONTACTS
 # Detectors in the order in which the first one names a string, and the letters of acronyms.
 DETECTORS = {
     "email": CONTACTS["email"],
-    "phone_fr": r"(?:\+33|\b0[67])(?:[ .-]?[0-9]{2}){4}\b",
+    "phone_fr": r"(?<![0-9])(?:\+33\s?|0[67])(?:[ .\-]?[0-9]{2}){4}\b",
     "linkedin_profile": r"(?i)(?:https?://)?(?:www\.)?(?:[a-z]{2}\.)?linkedin\.com/\S+|lnkd\.in/\S+",
     "github_profile": r"(?i)\bgithub\.com/\S+",
-    "url": r"(?i)https?://\S+|www\.\S+",
+    "url": r"(?i)https?://\S+|www\.\S+|\b(?:[a-z0-9-]+\.)+(?:com|fr|net|org|io|ai|dev|co)\b(?:/\S*)?",
 }
+LINKEDIN = r"(?i)\b(?:[a-z]{2}\.)?linkedin(?:\.com)?(?:/\S*)?\b|\blinkedin\b"
+CONTACT_LABEL = r"(?iu)(?<![\p{L}\p{N}_])(?:coordonn[ée]es?|contact|t[ée]l(?:[ée]phone)?|email|mail|e-mail|linkedin|site\s+web)(?![\p{L}\p{N}_])\s*:?"
+# Words before .NET that make it a technology, not a domain.
+DOTNET = ("api", "application", "applications", "asp", "c#", "dot", "framework", "mvc", "react", "stack", "web")
 CAPITALS = "A-ZÉÈÀÂÊÎÔÛÄËÏÖÜÇ"
 ACRONYM = rf"(?<![\p{{L}}\p{{N}}_])[{CAPITALS}]{{2,}}(?![\p{{L}}\p{{N}}_])"
 TITLE_RUN = rf"(?<![\p{{L}}\p{{N}}_])(?:[{CAPITALS}][A-Za-zÀ-ÿ]+\s+)+[{CAPITALS}A-Za-zÀ-ÿ]{{2,}}(?![\p{{L}}\p{{N}}_])"
 LOCATION = r"(?iu)(?:📌|(?<![\p{L}])(?:lieu|localisation)\s*[:\-])\s*([^\n|•]+?\(\s*[0-9]{2,3}\s*\))"
 
+# First words of headings, in order.
+HEADINGS = (
+    ("profile", "profil|résumé|resume|summary|présentation|a propos|à propos"),
+    ("skills", "comp[ée]tences|skills|expertises|technologies|environnements? techniques?"),
+    ("education", "formations?|formation académique|dipl[oô]mes?|certifications?"),
+    ("experience", "exp[ée]riences?|exp[ée]riences? professionnelles?|parcours professionnel|missions?"),
+)
+MONTHS = "janvier|février|fevrier|mars|avril|mai|juin|juillet|août|aout|septembre|octobre|novembre|décembre|decembre"
+ROLE_WORDS = r"cdi|cdd|freelance|stage|consultant|consultante|développeur|developpeur|engineer|lead|tech\s*lead|business\s*analyst|rpa|chef\s+de\s+projet"
+SKILLS_START = r"(?iu)^comp[ée]tences(?:\s+techniques?)?$"
+SKILLS_STOP = r"(?iu)^(?:exp[ée]riences?|parcours|missions?|formations?|dipl[oô]mes?|certifications?|langues?|centres?\s+d['’]int[ée]r[êe]t|loisirs?|projets?|r[ée]alisations?|coordonn[ée]es?|contact)(?![\p{L}\p{N}_])"
+
+
+# Ranges of dates, marks of a degree, headings whose content is looked for, and where a section ends.
+DATE_RANGE = r"(?iu)(?:[0-9]{2}/[0-9]{4}|[0-9]{4})\s*(?:[-–—]|à|a|au|to)\s*(?:[0-9]{2}/[0-9]{4}|[0-9]{4}|aujourd|présent|present|ce\s+jour)"
+DEGREE = r"bachelor|master|mast[eè]re|licence|dut|bts|mba|doctorat|ing[eé]nieur|dipl[oô]me|certificat|certification|formation|titre\s+professionnel|universit[ée]|école|ecole|school|campus|institute|institut|academy"
+
 DOCUMENT = (
     "name string, title string, formations array<struct<date:string,degree:string,school:string>>, skills array<struct<category:string,items:array<string>>>,"
     " experiences array<struct<date:string,role:string,sections:array<struct<heading:string,content:array<string>>>>>"
@@ -38,7 +61,7 @@ def strings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         F.transform(
             "experiences",
             lambda e, i: F.concat(
-                F.array(entry(path("experiences[", i, "].date"), e["date"]), entry(path("experiences[", i, "].role"), e["role"])),
+                F.array(*[entry(path("experiences[", i, f"].{f}"), e[f]) for f in ("date", "role", "company_highlight") if f in fields(docs, "experiences")]),
                 F.flatten(
                     F.transform(
                         e["sections"],
@@ -56,13 +79,78 @@ def strings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(key, F.explode(every).alias("x")).select(key, "x.path", "x.value").where("value is not null")
 
 
+def dotnet(match: Column) -> Column:
+    """Whether a match of the web address pattern is a technology name such as React.NET."""
+    token = F.regexp_replace(F.trim(match), r"^[.,;:()\[\]{}]+|[.,;:()\[\]{}]+$", "")
+    name = F.lower(F.regexp_replace(token, r"(?i)\.net$", ""))
+    bare = ~(F.lower(token).contains("://") | F.lower(token).startswith("www.") | token.contains("/"))
+    return F.lower(token).endswith(".net") & bare & name.isin(*DOTNET)
+
+
 def contact_category(value: Column) -> Column:
+    """The first detector that finds something; technology names that end with .NET are no web addresses."""
     out = F.lit(None).cast("string")
     for name, pattern in reversed(DETECTORS.items()):
-        out = F.when(value.rlike(pattern), name).otherwise(out)
+        hit = value.rlike(pattern)
+        if name == "url":
+            hit &= F.exists(F.regexp_extract_all(value, F.lit(pattern), 0), lambda m: ~dotnet(m))
+        out = F.when(hit, name).otherwise(out)
     return out
 
 
+def _tidied(text: Column) -> Column:
+    for pattern, to in ((r"\(\s*\)", ""), (r"\s+([,;:])", "$1"), (r"\s+\.(?!\s*(?:NET|Net|net)\b)", "."), (r"(?:\s*[-–—|•]\s*){2,}", " - "), (r"^[\s,;:|•\-–—]+|[\s,;:|•\-–—]+$", "")):
+        text = F.regexp_replace(text, pattern, to)
+    return squeezed(text)
+
+
+def without_contacts(value: Column) -> Column:
+    """A string without e-mails, numbers, profiles, web addresses and their labels, its punctuation tidied; a lone label of a removed contact becomes ``Contact``."""
+    had = value.rlike(DETECTORS["email"]) | value.rlike(DETECTORS["phone_fr"])
+    left = value
+    for pattern in (DETECTORS["email"], DETECTORS["phone_fr"], LINKEDIN, DETECTORS["github_profile"]):
+        left = F.regexp_replace(left, pattern, "")
+    # Technology names are set apart by a private mark, so that the address pattern doesn't see their dot.
+    names = "|".join(n.replace("#", r"\#") for n in DOTNET)
+    left = F.regexp_replace(left, rf"(?i)(?<![A-Za-z0-9.#-])({names})\.(net)(?![\w/])", "$1\uf8ff$2")
+    left = F.regexp_replace(F.regexp_replace(left, DETECTORS["url"], ""), "\uf8ff", ".")
+    plain = F.regexp_replace(F.regexp_replace(left, CONTACT_LABEL, ""), r"(?i)\(\s*(?:site\s+web|linkedin|contact)\s*\)", "")
+    return F.when(had & squeezed(left).rlike(r"(?i)^contact\s*:?,?$"), "Contact").otherwise(_tidied(plain))
+
+
+def _mapped(docs: DataFrame, change: Callable[[Column], Column]) -> DataFrame:
+    """A structured document with each string changed; entries of arrays that this empties are dropped, sections and their contents stay."""
+    some = lambda x: F.coalesce(F.trim(x), F.lit("")) != ""
+    texts = lambda a: F.filter(F.transform(a, change), some)
+
+    def parts(c: str, x: Column, names: tuple[str, ...]) -> list[Column]:
+        return [change(x[n]).alias(n) for n in names if n in fields(docs, c)]
+
+    formation = lambda x: F.struct(*parts("formations", x, ("date", "degree", "school")))
+    skill = lambda s: F.struct(change(s["category"]).alias("category"), texts(s["items"]).alias("items"))
+    section = lambda s: F.struct(change(s["heading"]).alias("heading"), texts(s["content"]).alias("content"))
+    experience = lambda e: F.struct(*parts("experiences", e, ("date", "role", "company_highlight")), F.transform(e["sections"], section).alias("sections"))
+    d = docs.withColumns({"name": change(F.col("name")), "title": change(F.col("title"))})
+    d = d.withColumn("formations", F.filter(F.transform("formations", formation), lambda x: some(x["date"]) | some(x["degree"]) | some(x["school"])))
+    d = d.withColumn("skills", F.filter(F.transform("skills", skill), lambda s: some(s["category"]) | (F.size(s["items"]) > 0)))
+    return d.withColumn("experiences", F.transform("experiences", experience))
+
+
+def fields(docs: DataFrame, column: str) -> list[str]:
+    """Names of the fields of an array of structs."""
+    return docs.schema[column].dataType.elementType.names
+
+
+def sanitised_document(docs: DataFrame) -> DataFrame:
+    """A structured document without contacts in any string, and without what is then empty."""
+    return _mapped(docs, without_contacts)
+
+
+def without_identity(docs: DataFrame, terms: str = "forbidden") -> DataFrame:
+    """A structured document without the whole words of the array column ``terms`` in any string, and without what is then empty."""
+    return _mapped(docs, lambda c: F.when(F.size(F.col(terms)) > 0, _tidied(without_terms(c, F.col(terms)))).otherwise(c))
+
+
 def contacts_in(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, categories, paths of documents with a contact; never a value."""
     hits = strings(docs, key).withColumn("category", contact_category(F.col("value"))).where("category is not null")
@@ -130,17 +218,41 @@ def role_fragments(role: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda x: (F.length(x) >= 4) & ((F.size(substantial_tokens(fidelity(x))) >= 2) | x.rlike(ACRONYM))))
 
 
+def experience_like(formation: Column) -> Column:
+    """A formation that is an experience: a range of dates and a role word, and no mark of a degree or school."""
+    of = lambda n: F.trim(text_of(formation[n]))
+    whole = F.concat_ws(" ", of("date"), of("degree"), of("school"))
+    return of("date").rlike(DATE_RANGE) & whole.rlike(word(ROLE_WORDS)) & ~F.concat_ws(" ", of("degree"), of("school")).rlike(word(DEGREE))
+
+
+def has_body(experience: Column) -> Column:
+    """Whether a section of an experience has a heading or content."""
+    text = lambda c: F.trim(text_of(c)) != ""
+    return F.coalesce(F.exists(experience["sections"], lambda s: text(s["heading"]) | F.coalesce(F.exists(s["content"], text), F.lit(False))), F.lit(False))
+
+
+def integrity_codes() -> Column:
+    """Array of (code, place) of the structural faults of a document's formations and experiences, in order; places count from 1."""
+    text = lambda c: F.trim(text_of(c))
+    issue = lambda when, code, i: F.when(when, F.struct(F.lit(code).alias("code"), (i + 1).cast("string").alias("place")))
+
+    def formation(f: Column, i: Column) -> Column:
+        stub = (text(f["date"]) != "") & (text(f["degree"]) == "") & (text(f["school"]) == "")
+        return F.array(issue(experience_like(f), "experience_misclassified_as_formation", i), issue(~experience_like(f) & stub, "empty_formation_stub", i))
+
+    def experience(e: Column, i: Column) -> Column:
+        dated, named, body = text(e["date"]) != "", text(e["role"]) != "", has_body(e)
+        lone = (F.size("experiences") > 1) & (dated | named) & ~body & (fidelity(e["role"]) != "projets academiques")
+        return F.array(issue(body & ~dated & ~named, "headerless_experience_sections", i), issue(lone, "experience_header_without_body", i), issue(dated & ~named & ~body, "empty_experience_date_stub", i))
+
+    none = F.array().cast("array<struct<code:string,place:string>>")
+    found = [F.coalesce(F.flatten(F.transform(c, f)), none) for c, f in (("formations", formation), ("experiences", experience))]
+    return F.array_compact(F.concat(*found))
+
+
 def integrity_issues(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, code of structural faults of a document."""
-    blank = lambda c: F.trim(text_of(c)) == ""
-    codes = F.array(
-        F.when(blank(F.col("title")), "title_missing"),
-        F.when(F.coalesce(F.size("experiences"), F.lit(0)) <= 0, "experiences_missing"),
-        F.when(F.exists("experiences", lambda e: blank(e["role"])), "experience_role_missing"),
-        F.when(F.exists("experiences", lambda e: F.size(e["sections"]) <= 0), "experience_without_sections"),
-        F.when(F.exists("skills", lambda s: F.size(s["items"]) <= 0), "skill_category_empty"),
-    )
-    return docs.select(key, F.explode(F.array_compact(codes)).alias("code"))
+    """key, code, place of structural faults of a document that would break its layout."""
+    return docs.select(key, F.explode(integrity_codes()).alias("x")).select(key, "x.code", "x.place")
 
 
 def skills_lines(text: Column, start: str | None = None, stop: str | None = None) -> Column:
@@ -193,22 +305,10 @@ def heading_kind(line: Column) -> Column:
     return F.when(fits & (raw != ""), out)
 
 
-# First words of headings, in order.
-HEADINGS = (
-    ("profile", "profil|résumé|resume|summary|présentation|a propos|à propos"),
-    ("skills", "comp[ée]tences|skills|expertises|technologies|environnements? techniques?"),
-    ("education", "formations?|formation académique|dipl[oô]mes?|certifications?"),
-    ("experience", "exp[ée]riences?|exp[ée]riences? professionnelles?|parcours professionnel|missions?"),
-)
-MONTHS = "janvier|février|fevrier|mars|avril|mai|juin|juillet|août|aout|septembre|octobre|novembre|décembre|decembre"
-ROLE_WORDS = r"cdi|cdd|freelance|stage|consultant|consultante|développeur|developpeur|engineer|lead|tech\s*lead|business\s*analyst|rpa|chef\s+de\s+projet"
-SKILLS_START = r"(?iu)^comp[ée]tences(?:\s+techniques?)?$"
-SKILLS_STOP = r"(?iu)^(?:exp[ée]riences?|parcours|missions?|formations?|dipl[oô]mes?|certifications?|langues?|centres?\s+d['’]int[ée]r[êe]t|loisirs?|projets?|r[ée]alisations?|coordonn[ée]es?|contact)(?![\p{L}\p{N}_])"
-
-
 def experience_start(line: Column) -> Column:
-    """A date at the start, and a role word or a word of three capitals; a bare year isn't enough."""
+    """A date at the start, a role word or a word of three capitals, and a range, a month with its year or a year with text; a bare year isn't enough."""
     x = F.trim(text_of(line))
-    date = x.rlike(rf"(?iu)^(?:(?:[0-9]{{2}}/)?[0-9]{{4}}\s*(?:[-–—]|à|a|au|to)\s*(?:(?:[0-9]{{2}}/)?[0-9]{{4}}|aujourd|présent|present|ce\s+jour)|(?:{MONTHS})\s+[0-9]{{4}}|(?:19|20)[0-9]{{2}}\b.+)")
-    who = x.rlike(word(ROLE_WORDS)) | x.rlike(rf"(?<![\p{{L}}])[{CAPITALS}]{{3,}}(?![\p{{L}}])")
-    return date & who & ~x.rlike(r"^(?:19|20)[0-9]{2}$")
+    starts = x.rlike(rf"(?iu)^(?:(?:[0-9]{{2}}/[0-9]{{4}}|[0-9]{{4}})\s*(?:[-–—]|à|a|au|to)\s*(?:[0-9]{{2}}/[0-9]{{4}}|[0-9]{{4}}|aujourd|présent|present|ce\s+jour)|(?:{MONTHS})\s+[0-9]{{4}}|[0-9]{{4}}(?![\p{{L}}\p{{N}}_]).+)(?:(?<=[\p{{L}}\p{{N}}_])(?![\p{{L}}\p{{N}}_])|(?<![\p{{L}}\p{{N}}_])(?=[\p{{L}}\p{{N}}_]))")
+    who = x.rlike(word(ROLE_WORDS)) | x.rlike(rf"(?<![\p{{L}}\p{{N}}_])[{CAPITALS}]{{3,}}(?![\p{{L}}\p{{N}}_])")
+    when = x.rlike(DATE_RANGE) | x.rlike(rf"(?iu)^(?:{MONTHS})\s+[0-9]{{4}}") | x.rlike(r"^(?:19|20)[0-9]{2}(?![\p{L}\p{N}_]).+")
+    return starts & who & when & ~fidelity(x).rlike(r"^(?:19|20)[0-9]{2}$")

@@ -239,7 +239,7 @@ def retryable_requests(spark, d):
 @query
 def low_scores(spark, d):
     k = scalars.json_number(F.col("payload"), "$.k")
-    return log(spark, d).withColumn("score", k).where("score < 60").orderBy(F.desc("ts")).limit(20).select("event_id", "score")
+    return log(spark, d).withColumn("score", k).where("score < 60").orderBy(F.desc("ts"), "event_id").limit(20).select("event_id", "score")
 
 
 @query
@@ -297,7 +297,7 @@ def history_anti_join(spark, d):
 @query
 def stage_durations(spark, d):
     s = ops.stage_durations(log(spark, d), "user_id")
-    return s.groupBy("event_type").agg(F.count("seconds").alias("n"), F.sum((F.col("seconds") * 1e6).cast("long")).alias("micros"))
+    return s.groupBy("event_type").agg(F.count("seconds").alias("n"), F.sum("micros").alias("micros"))
 
 
 @query
@@ -401,7 +401,7 @@ def eval_assertions(spark, d):
     """Cases demand two words, forbid one, and hold a page limit."""
     docs = table(spark, d, "documents")
     cases = docs.select(F.col("doc_id").alias("id"), F.lit("ready").alias("expected_status"), F.array(F.lit("the"), F.lit("and")).alias("required_terms"), F.lit("(?i)token").alias("forbidden"), F.lit(2).alias("max_pages"))
-    results = docs.where("doc_id % 10 > 0").select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "en", "ready").otherwise("failed").alias("status"), "text", F.ceil(F.col("n_chars") / 3000).alias("pages"))
+    results = docs.select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "en", "ready").otherwise("failed").alias("status"), "text", F.ceil(F.col("n_chars") / 3000).alias("pages"))
     return qa.evaluated(cases, results).select("id", "passed", F.array_join("failures", ",").alias("failures"))
 
 
@@ -472,7 +472,7 @@ def visible_requests(spark, d):
 def request_detail(spark, d):
     """Requests with the number, total and newest of their versions."""
     v = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("versions"), F.max("l_linenumber").alias("newest"))
-    o = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
+    o = table(spark, d, "orders")
     return o.join(v, o["o_orderkey"] == v["l_orderkey"], "left").select("o_orderkey", F.coalesce("versions", F.lit(0)).alias("versions"), "newest")
 
 

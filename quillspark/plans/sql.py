@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from quillspark.functions.text import ACCENTED, PLAIN
 from quillspark.operators import intents, qa, sanitize, segment
 from quillspark.operators.profile import ATS_WORDS, MISSION_WORDS
 from quillspark.operators.taxonomy import KEYWORDS
@@ -20,7 +19,7 @@ def has(words: str) -> str:
 
 
 def fold(c: str) -> str:
-    return rf"regexp_replace(translate({c}, '{ACCENTED}', '{PLAIN}'), '\p{{M}}+', '', 'g')"
+    return rf"regexp_replace(strip_accents({c}), '\p{{M}}+', '', 'g')"
 
 
 def fidelity(c: str) -> str:
@@ -108,9 +107,8 @@ ORACLE_SQL: dict[str, str] = {
     "required_fact_coverage": f"""
         WITH f AS (SELECT item_id AS fact_id, {fidelity("coalesce(text, '')")} AS fact FROM benchmark), t AS (SELECT doc_id AS text_id, {fidelity("coalesce(text, '')")} AS hay FROM documents),
         w AS (SELECT fact_id, fact, list_filter(string_split(fact, ' '), lambda x: length(x) >= 3) AS ws FROM f)
-        SELECT fact_id, text_id FROM w, (SELECT *, replace(hay, ' ', '') AS tight, list_distinct(string_split(hay, ' ')) AS hs FROM t)
-        WHERE len(list_filter(list_intersect(list_distinct(string_split(fact, ' ')), hs), lambda x: length(x) >= 4)) = len(list_filter(list_distinct(string_split(fact, ' ')), lambda x: length(x) >= 4))
-          AND (contains(hay, fact) OR len(list_filter(ws, lambda x: NOT contains(hay, x) AND NOT contains(tight, x))) = 0)""",
+        SELECT fact_id, text_id FROM w, (SELECT *, replace(hay, ' ', '') AS tight FROM t)
+        WHERE contains(hay, fact) OR len(list_filter(ws, lambda x: NOT contains(hay, x) AND NOT contains(tight, x))) = 0""",
     "block_coverage": """
         SELECT conv_id, overlap FROM (
           SELECT conv_id, round(len(list_intersect(a, b)) / len(a), 6) AS overlap FROM (
@@ -140,11 +138,11 @@ ORACLE_SQL: dict[str, str] = {
     "queue_stats": f"SELECT coalesce(status, 'total') AS state, count(*) AS n FROM {REQUESTS} GROUP BY ROLLUP (status)",
     "stale_processing": f"SELECT id FROM {REQUESTS} WHERE status = 'processing' AND locked < (SELECT max(o_orderdate) FROM orders) - INTERVAL 365 DAY",
     "retryable_requests": f"SELECT id FROM {REQUESTS} WHERE status = 'failed' AND created < (SELECT max(o_orderdate) FROM orders) - INTERVAL 365 DAY",
-    "low_scores": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS score FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) < 60 ORDER BY ts DESC LIMIT 20",
+    "low_scores": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS score FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) < 60 ORDER BY ts DESC, event_id LIMIT 20",
     "status_digest": """
         WITH e AS (SELECT CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'ready' WHEN 'signup' THEN 'processing' WHEN 'click' THEN 'draft_ready' ELSE 'unknown' END AS status FROM events)
-        SELECT status, count(*) AS n, any_value(total) AS total, any_value(r) AS ready_rate, any_value(dr) AS draft_ready_rate, any_value(b) AS blocked_rate, 0.0 AS needs_human_review_rate
-        FROM e, (SELECT count(*) AS total, round(count(*) FILTER (status = 'ready') * 100.0 / count(*), 1) AS r, round(count(*) FILTER (status = 'draft_ready') * 100.0 / count(*), 1) AS dr, round(count(*) FILTER (status = 'failed') * 100.0 / count(*), 1) AS b FROM e) GROUP BY status""",
+        SELECT status, count(*) AS n, any_value(total) AS total, any_value(r) AS ready_rate, any_value(dr) AS draft_ready_rate, any_value(b) AS blocked_rate, CAST(0 AS DOUBLE) AS needs_human_review_rate
+        FROM e, (SELECT count(*) AS total, round(count(*) FILTER (status = 'ready') * CAST(100 AS DOUBLE) / count(*), 1) AS r, round(count(*) FILTER (status = 'draft_ready') * CAST(100 AS DOUBLE) / count(*), 1) AS dr, round(count(*) FILTER (status = 'failed') * CAST(100 AS DOUBLE) / count(*), 1) AS b FROM e) GROUP BY status""",
     "top_error_prefixes": "SELECT substring(trim(props), 1, 60) AS error, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1 ORDER BY n DESC, error LIMIT 5",
     "source_profile_by_time": "SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY event_type",
     "event_sequences": f"SELECT user_id, n, md5(sequence) AS sequence, terminal, first_profile FROM {SUMMARY}",
@@ -190,8 +188,8 @@ ORACLE_SQL: dict[str, str] = {
           FROM documents d LEFT JOIN (SELECT doc_id, count(DISTINCT code) AS k FROM {ISSUES} GROUP BY doc_id) i ON i.doc_id = d.doc_id) GROUP BY ALL""",
     "eval_assertions": """
         SELECT doc_id AS id, len(f) = 0 AS passed, array_to_string(f, ',') AS failures FROM (
-          SELECT doc_id, list_filter([CASE WHEN doc_id % 10 = 0 OR lang <> 'en' THEN 'status' END, CASE WHEN doc_id % 10 = 0 OR NOT contains(text, 'the') OR NOT contains(text, 'and') THEN 'required_terms' END,
-            CASE WHEN doc_id % 10 > 0 AND regexp_matches(text, '(?i)token') THEN 'forbidden' END, CASE WHEN doc_id % 10 > 0 AND ceil(n_chars / 3000) > 2 THEN 'max_pages' END], lambda x: x IS NOT NULL) AS f FROM documents)""",
+          SELECT doc_id, list_filter([CASE WHEN lang IS DISTINCT FROM 'en' THEN 'status' END, CASE WHEN NOT contains(text, 'the') OR NOT contains(text, 'and') THEN 'required_terms' END,
+            CASE WHEN regexp_matches(text, '(?i)token') THEN 'forbidden' END, CASE WHEN ceil(n_chars / 3000) > 2 THEN 'max_pages' END], lambda x: x IS NOT NULL) AS f FROM documents)""",
     "issue_code_extraction": "SELECT * FROM (VALUES (1, 'a_b,c', 2, 1), (2, '', NULL, NULL), (3, '', NULL, NULL)) v(id, codes, hard, soft)",
     "skills_dedup": f"SELECT p_brand, {SKILL_KEY} AS skill_key, arg_min(p_name, p_partkey) AS value, min(p_partkey) AS ord FROM part GROUP BY 1, 2",
     "skill_groups": """
@@ -205,7 +203,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN upper(lang) ELSE lang END AS name, CASE WHEN doc_id % 3 = 0 THEN 'B' || (doc_id % 2 + 1) END AS level FROM documents) GROUP BY source, lower(trim(name))""",
     "table_query": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderpriority LIKE '1%' ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
     "visible_requests": "SELECT o_orderkey, o_custkey FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND lower(c_mktsegment) = 'building')",
-    "request_detail": "SELECT o_orderkey, coalesce(n, 0) AS versions, newest FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, max(l_linenumber) AS newest FROM lineitem GROUP BY 1) v ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT'",
+    "request_detail": "SELECT o_orderkey, coalesce(n, 0) AS versions, newest FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, max(l_linenumber) AS newest FROM lineitem GROUP BY 1) v ON l_orderkey = o_orderkey",
     "snapshot_update": "SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, count(*) AS n FROM orders GROUP BY 1",
     "string_scalars": f"""
         SELECT p_partkey, substring({CODE}, 1, 80) AS code, regexp_replace(regexp_replace({fold("c")}, '[^a-zA-Z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, replace(c, '&', '&amp;') AS escaped, upper(string_split(c, ' ')[1]) AS first_name,
@@ -257,10 +255,12 @@ ORACLE_SQL |= {
     "retry_options": f"""
         SELECT doc_id, NOT sparse AS force_new_page, CASE WHEN sparse THEN 2850 ELSE 2600 END AS dense_chars, CASE WHEN sparse THEN 130 ELSE 170 END AS reserve FROM (
           SELECT doc_id, bool_or(code IN ('last_page_sparse', 'page_too_sparse')) AS sparse, bool_or(code = 'page_too_dense') AS dense FROM {ISSUES} GROUP BY doc_id) WHERE sparse OR dense""",
-    "contact_paths": rf"""
+    "contact_paths": r"""
         SELECT doc_id, array_to_string(list_sort(list_distinct(list(c))), ',') AS categories, count(*) AS paths FROM (
-          SELECT doc_id, CASE WHEN regexp_matches(x, '{PIECE["email"]}') THEN 'email' WHEN regexp_matches(x, '(?:\+33|\b0[67])(?:[ .-]?[0-9]{{2}}){{4}}\b') THEN 'phone_fr' WHEN regexp_matches(x, '(?i)linkedin\.com/\S+|lnkd\.in/\S+') THEN 'linkedin_profile'
-            WHEN regexp_matches(x, '(?i)\bgithub\.com/\S+') THEN 'github_profile' WHEN regexp_matches(x, '(?i)https?://\S+|www\.\S+') THEN 'url' END AS c
+          SELECT doc_id, CASE WHEN regexp_matches(x, '(?i)\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b') THEN 'email' WHEN regexp_matches(x, '(?:^|[^0-9])(?:\+33\s?|0[67])(?:[ .\-]?[0-9]{2}){4}\b') THEN 'phone_fr'
+            WHEN regexp_matches(x, '(?i)linkedin\.com/\S+|lnkd\.in/\S+') THEN 'linkedin_profile' WHEN regexp_matches(x, '(?i)\bgithub\.com/\S+') THEN 'github_profile'
+            WHEN len(list_filter(regexp_extract_all(x, '(?i)https?://\S+|www\.\S+|\b(?:[a-z0-9-]+\.)+(?:com|fr|net|org|io|ai|dev|co)\b(?:/\S*)?'),
+              lambda v: NOT regexp_full_match(v, '(?i)(?:api|applications?|asp|c#|dot|framework|mvc|react|stack|web)\.net'))) > 0 THEN 'url' END AS c
           FROM (SELECT doc_id, unnest(list_concat([string_split(text, chr(10))[1]], string_split(text, chr(10)))) AS x FROM documents)) WHERE c IS NOT NULL GROUP BY doc_id""",
     "heading_kinds": "SELECT * FROM (VALUES (1, 'skills'), (2, NULL), (3, 'education'), (4, 'experience'), (5, NULL)) v(id, kind)",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from pathlib import Path
 
 import duckdb
@@ -23,7 +24,7 @@ def oracle():
 
 def plain(rows, columns):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    tidy = lambda v: round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    tidy = lambda v: round(float(v), 6) if isinstance(v, (int, float, Decimal)) and not isinstance(v, bool) else str(v)
     return sorted((tuple(None if r[i] is None else tidy(r[i]) for i in order) for r in rows), key=str)
 
 

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from quillspark.operators import layout, structured
 
 
-def document(i, title="Dev", skills=(), experiences=(), source=""):
-    return (i, "JANE", title, [], [(c, list(x)) for c, x in skills], [(d, r, [(h, list(c)) for h, c in s]) for d, r, s in experiences], source)
+def document(i, title="Dev", skills=(), experiences=(), source="", formations=()):
+    return (i, "JANE", title, list(formations), [(c, list(x)) for c, x in skills], [(d, r, [(h, list(c)) for h, c in s]) for d, r, s in experiences], source)
 
 
 def frame(spark, *rows):
@@ -41,8 +41,30 @@ def test_entities_and_places(spark):
 
 
 def test_integrity(spark):
-    d = frame(spark, document(1, title=" "), document(2, skills=[("A", [])], experiences=[("2020", "", [])]))
-    assert sorted(tuple(r) for r in structured.integrity_issues(d).collect()) == [(1, "experiences_missing"), (1, "title_missing"), (2, "experience_role_missing"), (2, "experience_without_sections"), (2, "skill_category_empty")]
+    d = frame(
+        spark,
+        document(1, formations=[("2019 - 2021", "Consultant Java", "ACME"), ("2018", " ", None), ("2015 - 2017", "Master", "Consultant école")]),
+        document(2, experiences=[("", "", [("Missions", [])]), ("2020", "Lead", [("", [])]), ("2021", None, []), (None, "Projets académiques", [])]),
+        document(3, experiences=[("2020", "Lead", [])]),
+    )
+    want = [(1, "empty_formation_stub", "2"), (1, "experience_misclassified_as_formation", "1"), (2, "empty_experience_date_stub", "3"), (2, "experience_header_without_body", "2"), (2, "experience_header_without_body", "3"), (2, "headerless_experience_sections", "1")]
+    assert sorted(tuple(r) for r in structured.integrity_issues(d).collect()) == want
+
+
+def test_contacts_are_taken_out(spark):
+    want = {
+        "React.NET et API.NET": "React.NET et API.NET", "voir example.com/me ici": "voir ici", "Contact : a.b@c.fr": "Contact", "Email: a@b.fr, Java": "Java", "Projet Th@Bot": "Projet Th@Bot",
+        "Dev (linkedin.com/in/x)": "Dev", "tel 06 12 34 56 78": "", "": "",
+    }
+    d = spark.createDataFrame([(k,) for k in want], "t string").select("t", structured.without_contacts(F.col("t")).alias("x"), structured.contact_category(F.col("t")).alias("c"))
+    got = {r["t"]: (r["x"], r["c"]) for r in d.collect()}
+    assert {k: v[0] for k, v in got.items()} == want
+    assert got["React.NET et API.NET"][1] is None and got["voir example.com/me ici"][1] == "url" and got["tel 06 12 34 56 78"][1] == "phone_fr"
+    d = frame(spark, document(1, title="a@b.fr", skills=[("A", ["x@y.fr", "Java"]), ("", ["z@y.fr"])], experiences=[("2020", "Lead 0612345678", [("h", ["b@c.fr", "ok"])])]))
+    r = structured.sanitised_document(d).first()
+    assert r["title"] == "" and [(s["category"], s["items"]) for s in r["skills"]] == [("A", ["Java"])] and r["experiences"][0]["role"] == "Lead" and r["experiences"][0]["sections"][0]["content"] == ["ok"]
+    r = structured.without_identity(d.withColumn("title", F.lit("Jane BARO, Lead")).withColumn("forbidden", F.array(F.lit("Baro")))).first()
+    assert r["title"] == "Jane, Lead"
 
 
 def test_lines_and_items(spark):
