@@ -40,6 +40,10 @@ FINE, FINE_UNEQUAL = 1024, 176
 SALTS = 8
 #: Leaders with which a member is compared in the first step.
 LEADERS = 4
+#: Rows of small columns per task.
+ROWS_PER_TASK = 50_000
+#: Rows of small columns that a set of shingles counts for.
+SET_ROWS = 30
 #: Most document ids that are broadcast (8 bytes each); beyond it, a shuffled join takes over.
 BROADCAST_IDS = 1_000_000
 
@@ -176,25 +180,33 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     ra = nodes.select(F.col("node").alias("a"), F.col("regs").alias("ra"), F.col("n_shingles").alias("na"))
     rb = nodes.select(F.col("node").alias("b"), F.col("regs").alias("rb"), F.col("n_shingles").alias("nb"))
     both = pairs.join(ra, "a").join(rb, "b").select("a", "b", "ra", "rb", "na", "nb")
-    likely = common.written(both.mapInArrow(_estimated, "a long, b long"), "likely")
+    likely = common.written(_packed(both, 4 * pairs.count()).mapInArrow(_estimated, "a long, b long"), "likely")
     ids = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-    sets = common.written(_of_nodes(docs, nodes.join(ids, "node", "left_semi").select("node", "doc_id", "digest")), "sets")
+    size = likely.count()
+    sets = _of_nodes(docs, nodes.join(ids, "node", "left_semi").select("node", "doc_id", "digest"))
+    sets = common.written(_packed(sets, SET_ROWS * size), "sets")
     sa, sb = (sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
-    out = common.written(likely.join(sa, "a").join(sb, (likely["b"] == sb["b"]) & _similar("sa", "sb")).select("a", likely["b"]), "links")
+    out = common.written(_packed(likely.join(sa, "a").join(sb, (likely["b"] == sb["b"]) & _similar("sa", "sb")).select("a", likely["b"]), SET_ROWS * size), "links")
     common.dropped(likely, sets)
     return out
 
 
+def _packed(df: DataFrame, rows: int) -> DataFrame:
+    """At most one partition per ``ROWS_PER_TASK`` of about ``rows`` rows, and eight: a small table isn't dealt to as many tasks as a large one. Never more than there are."""
+    return df.coalesce(8 + rows // ROWS_PER_TASK)
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, comp (smallest id reachable) of every id in the links (a, b): least neighbours and pointer jumps, to a fixed point."""
-    both = common.written(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    now = common.written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
+    size = 2 * links.count()
+    both = common.written(_packed(links.select("a", "b").union(links.select("b", "a")).distinct(), size), "edges")
+    now = common.written(_packed(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), size), "labels")
     while True:
         near = both.join(now.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
         nearer = now.join(near, "id").select("id", F.col("comp").alias("was"), F.least("comp", "near").alias("via"))
         root = now.select(F.col("id").alias("via"), F.col("comp").alias("root"))
         step = nearer.join(root, "via").select("id", F.least("via", "root").alias("comp"), (F.least("via", "root") != F.col("was")).alias("moved"))
-        after = common.written(step, "labels")
+        after = common.written(_packed(step, size), "labels")
         moved = after.where("moved").limit(1).count()
         common.dropped(now)
         now = after
@@ -223,9 +235,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     slim = sig.select("doc_id", "digest", "n_shingles")
     none = F.lit(None).cast("long")
     member = slim.join(classes, "digest").select("doc_id", "n_shingles", "rep", "node").union(slim.where("digest is null").select("doc_id", "n_shingles", none, none))
-    member = common.written(member, "members")
+    rows = sig.count()
+    member = common.written(_packed(member, rows), "members")
     leads = classes.where("node is not null").select("node", "rep")
-    nodes = common.written(sig.withColumnRenamed("row", "node").join(leads, "node").select("node", "rep", "doc_id", "digest", "n_shingles", "regs"), "nodes")
+    nodes = sig.withColumnRenamed("row", "node").join(leads, "node").select("node", "rep", "doc_id", "digest", "n_shingles", "regs")
+    nodes = common.written(_packed(nodes, 4 * rows), "nodes")
     common.dropped(sig)
 
     width = 2 * ROWS
@@ -235,13 +249,14 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     parts = bands.groupBy("key", "salt").agg(F.min("node").alias("sub"), F.count("*").alias("n"))
     tops = parts.groupBy("key").agg(F.min("sub").alias("top"), F.sum("n").alias("total")).where("total > 1").drop("total")
     leaders = parts.join(tops, "key").select("key", "salt", "sub", "top")
-    shared = common.written(bands.join(leaders, ["key", "salt"]).select("key", "band", "node", "sub", "top"), "shared")
+    shared = common.written(_packed(bands.join(leaders, ["key", "salt"]).select("key", "band", "node", "sub", "top"), rows * BANDS), "shared")
+    held = shared.count()
     first = shared.where("node != sub").select(F.col("sub").alias("a"), F.col("node").alias("b")).union(shared.where("sub != top and node = sub").select(F.col("top").alias("a"), F.col("sub").alias("b")))
     # Of a member's leaders (at most two per band) those of most bands; what this leaves untested is left to the exact step below.
     best = W.partitionBy("b").orderBy(F.desc("n"), "a")
     first = first.groupBy("a", "b").agg(F.count("*").alias("n")).withColumn("i", F.row_number().over(best)).where(F.col("i") <= LEADERS).select("a", "b")
-    first = common.written(first, "first")
-    found = common.written(_links(first, nodes, docs).union(_same_ids(member)), "found")
+    first = common.written(_packed(first, held), "first")
+    found = common.written(_packed(_links(first, nodes, docs).union(_same_ids(member)), held), "found")
     comps = components(found)
 
     owner = F.coalesce("comp", "node")
@@ -250,7 +265,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         """Rows of the buckets that still have more than one component, and each such bucket's main one."""
         marked = shared.select("key", "band", "node").join(comps.withColumnRenamed("id", "node"), "node", "left").select("key", "band", "node", owner.alias("comp"))
         mixed = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
-        rows = common.written(marked.join(mixed, "key", "left_semi"), "open")
+        rows = common.written(_packed(marked.join(mixed, "key", "left_semi"), held), "open")
         sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"))
         return rows, sizes.groupBy("key").agg(F.max_by(F.struct("comp", "low", "high"), F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"), "m.low", "m.high")
 
@@ -259,17 +274,18 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     ends = before.join(main, "key").where("comp != main").select("node", F.explode(F.array("low", "high")).alias("y")).where("node != y")
     ends = ends.select(F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b"), "node").groupBy("a", "b", "node").agg(F.count("*").alias("n"))
     ends = ends.withColumn("i", F.row_number().over(W.partitionBy("node").orderBy(F.desc("n"), "a", "b"))).where(F.col("i") <= LEADERS).select("a", "b").distinct()
-    found = common.written(found.union(_links(ends.join(first, ["a", "b"], "left_anti"), nodes, docs)), "found")
+    second = common.written(_packed(ends.join(first, ["a", "b"], "left_anti"), held), "second")
+    found = common.written(_packed(found.union(_links(second, nodes, docs)), held), "found")
     comps = components(found)
     open_, main = unsettled(comps)
     fine = _of_nodes(docs, nodes.join(open_.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "digest"), fine=True)
     about = nodes.select("node", F.col("n_shingles").alias("n"), keys.alias("keys"))
-    full = common.written(open_.join(fine.withColumnRenamed("s", "fine"), "node").join(about, "node").join(main.select("key", "main"), "key"), "fine")
-    common.dropped(shared, before, open_, first)
+    full = common.written(_packed(open_.join(fine.withColumnRenamed("s", "fine"), "node").join(about, "node").join(main.select("key", "main"), "key"), 4 * held), "fine")
+    common.dropped(shared, before, open_, first, second)
     comps = _late(docs, nodes, full, found, comps)
     low = comps.withColumnRenamed("id", "node").join(nodes.select("node", "rep"), "node")
     least = low.groupBy("comp").agg(F.min("rep").alias("least"))
-    labels = common.written(low.join(least, "comp").select("node", "least"), "labels")
+    labels = common.written(_packed(low.join(least, "comp").select("node", "least"), rows), "labels")
     common.dropped(full, nodes, found)
     some, alone = member.where("rep is not null"), member.where("rep is null")
     result = some.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("least", "rep").alias("component_id"))
@@ -295,9 +311,10 @@ def _late(docs: DataFrame, nodes: DataFrame, full: DataFrame, found: DataFrame,
     x = common.written(outside.alias("x").join(full.alias("y"), meet, "left_semi"), "outside")
     y = common.written(full.alias("y").join(x.alias("x"), meet, "left_semi"), "inside")
     need = x.select("node").union(y.select("node")).distinct()
-    sets = common.written(_of_nodes(docs, nodes.join(need, "node", "left_semi").select("node", "doc_id", "digest")), "sets")
+    size = SET_ROWS * (x.count() + y.count())
+    sets = common.written(_packed(_of_nodes(docs, nodes.join(need, "node", "left_semi").select("node", "doc_id", "digest")), size), "sets")
     like = meet & _similar("x.s", "y.s")
-    full_x, full_y = (common.written(t.join(sets, "node"), "members") for t in (x, y.where("comp != main")))
+    full_x, full_y = (common.written(_packed(t.join(sets, "node"), size), "members") for t in (x, y.where("comp != main")))
     main = y.where("comp = main").join(sets, "node")
     joined = full_x.alias("x").join(main.alias("y"), like, "left_semi").select(F.least("node", "main").alias("a"), F.greatest("node", "main").alias("b")).distinct()
     joined = common.written(joined, "joined")
