@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.scalars import bound
 from quillspark.functions.text import contains_fact, fidelity, substantial_tokens, text_of, tokens
 
 # Least overlap, and the rule for numbered placeholders.
@@ -19,8 +20,11 @@ SOFT_CODES = (
 
 
 def grams(c: Column) -> Column:
-    """Distinct runs of three characters."""
-    return F.when(F.length(c) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    """Distinct runs of three characters; the text is split once, so that a run doesn't cost a walk from the start."""
+    some = F.array().cast("array<string>")
+    runs = lambda x: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(x) - 3), lambda i: F.concat(F.get(x, i), F.get(x, i + 1), F.get(x, i + 2))))
+    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    return F.coalesce(bound(letters(c), lambda x: F.when(F.size(x) >= 3, runs(x))), some)
 
 
 def facts_found(facts: DataFrame, texts: DataFrame, fact_id: str, fact: str, text_id: str, text: str) -> DataFrame:
@@ -33,7 +37,7 @@ def facts_found(facts: DataFrame, texts: DataFrame, fact_id: str, fact: str, tex
     f = facts.select(F.col(fact_id).alias("fact_id"), fidelity(F.col(fact)).alias("fact")).where("fact != ''")
     t = texts.select(F.col(text_id).alias("text_id"), fidelity(F.col(text)).alias("hay"))
     runs = f.select("fact_id", F.explode(F.array_distinct(F.flatten(F.transform(substantial_tokens(F.col("fact")), grams)))).alias("run"))
-    held = t.select("text_id", F.explode(F.array_union(grams(F.col("hay")), grams(F.replace("hay", F.lit(" "), F.lit(""))))).alias("run"))
+    held = t.select("text_id", F.explode(bound(F.col("hay"), lambda h: F.array_union(grams(h), grams(F.replace(h, F.lit(" "), F.lit("")))))).alias("run"))
     held = held.join(runs.select("run").distinct(), "run", "left_semi")
     known = held.groupBy("run").agg(F.count("*").alias("n"))
     rarest = runs.join(known, "run", "left").groupBy("fact_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), F.col("run")))["run"].alias("run"))

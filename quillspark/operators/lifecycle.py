@@ -80,3 +80,39 @@ def version_gate(status: Column, qa_status: Column, passed: Column) -> Column:
         .when((status == "ready") & ~ok, "ready_without_passing_report")
         .when((status == "draft_ready") & ok, "draft_with_passing_report")
     )
+
+
+def owned(rows: DataFrame, owner: Column, metadata: str = "metadata", field: str = "owner") -> DataFrame:
+    """Rows whose JSON metadata name the owner; null or unreadable metadata has none."""
+    return rows.where(F.get_json_object(metadata, f"$.{field}") == owner)
+
+
+# Labels of requests, and their progress in per cent.
+LABELS = {
+    "needs_human_review": "Validation humaine", "draft_ready": "Brouillon prêt", "ready": "Prêt à télécharger", "qa_failed": "Contrôle qualité", "failed": "À corriger", "dead_letter": "À corriger",
+    "revision_requested": "À corriger", "extraction_done": "Mise au format W hub", "processing": "Analyse du CV", "submitted": "En attente", "cancelled": "Annulé", "archived": "Archivé",
+}
+
+
+def label(status: Column, events: Column) -> Column:
+    """What a request is called by its status and the types of its events; a status of review or draft outweighs an earlier ready event."""
+    had = lambda e: F.coalesce(F.array_contains(events, e), F.lit(False))
+    named = F.when(status.isin("needs_human_review", "draft_ready"), status).when((status == "ready") | had("ready"), "ready")
+    named = F.coalesce(named, F.when(status.isin("qa_failed", "failed", "dead_letter", "revision_requested"), status), F.when(had("extraction_done"), "extraction_done"), F.when((status == "processing") | had("worker_claimed"), "processing"), status)
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv]), named), F.lit("En attente"))
+
+
+def progress(status: Column, events: Column) -> Column:
+    """Per cent of the way that a request has gone."""
+    had = lambda e: F.coalesce(F.array_contains(events, e), F.lit(False))
+    return (
+        F.when((status == "ready") | had("ready") | (status == "draft_ready"), 100)
+        .when(status == "needs_human_review", 50)
+        .when(status.isin("failed", "dead_letter"), 100)
+        .when(status == "qa_failed", 85)
+        .when(had("extraction_done"), 60)
+        .when((status == "processing") | had("worker_claimed"), 35)
+        .when(status == "revision_requested", 20)
+        .when(status.isin("cancelled", "archived"), 0)
+        .otherwise(15)
+    )

@@ -502,3 +502,34 @@ def stream_failure_counts(spark, d):
     q = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name).select(F.unix_micros("start").alias("start"), "n")
+
+
+@query
+def owner_rows(spark, d):
+    """Events whose JSON names an owner."""
+    return lifecycle.owned(log(spark, d), F.lit("7"), "payload", "k").select("event_id", "user_id")
+
+
+@query
+def status_labels(spark, d):
+    """Requests with the types of their customer's events, mapped to those of a request."""
+    known = F.when(F.col("event_type") == "purchase", "ready").when(F.col("event_type") == "signup", "worker_claimed").when(F.col("event_type") == "click", "extraction_done")
+    seen = log(spark, d).groupBy(F.col("user_id").alias("o_custkey")).agg(F.collect_set(known).alias("types"))
+    o = table(spark, d, "orders").join(seen, "o_custkey", "left")
+    status = F.when(F.col("o_orderstatus") == "O", "submitted").when(F.col("o_orderstatus") == "P", "draft_ready").otherwise("cancelled")
+    return o.select(lifecycle.label(status, F.col("types")).alias("label"), lifecycle.progress(status, F.col("types")).alias("percent")).groupBy("label", "percent").agg(F.count("*").alias("n"))
+
+
+@query
+def integrity_issues(spark, d):
+    """Orders as structured documents: their line items are formations (returned ones) and experiences (the others)."""
+    text = lambda c, v: F.when(c, v).otherwise("")
+    n = F.col("l_linenumber")
+    section = F.struct(F.lit("Missions").alias("heading"), F.array().cast("array<string>").alias("content"))
+    body = F.when(F.col("l_linestatus") == "O", F.array(section)).otherwise(F.array().cast("array<struct<heading:string,content:array<string>>>"))
+    experience = F.struct("l_linenumber", "l_partkey", "l_suppkey", text(n % 3 > 0, "2019 - 2021").alias("date"), text(n % 2 > 0, "Lead").alias("role"), body.alias("sections"))
+    formation = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.lit("2019 - 2021").alias("date"), text(n % 2 > 0, "Consultant Java").alias("degree"), text(n % 3 == 0, "Ecole").alias("school"))
+    returned = F.col("l_returnflag") == "R"
+    sort = lambda c, when: F.array_sort(F.collect_list(F.when(when, c)))
+    docs = table(spark, d, "lineitem").groupBy("l_orderkey").agg(sort(formation, returned).alias("formations"), sort(experience, ~returned).alias("experiences"))
+    return structured.integrity_issues(docs, "l_orderkey").groupBy("l_orderkey", "code").agg(F.count("*").alias("n"))

@@ -264,3 +264,20 @@ ORACLE_SQL |= {
           FROM (SELECT doc_id, unnest(list_concat([string_split(text, chr(10))[1]], string_split(text, chr(10)))) AS x FROM documents)) WHERE c IS NOT NULL GROUP BY doc_id""",
     "heading_kinds": "SELECT * FROM (VALUES (1, 'skills'), (2, NULL), (3, 'education'), (4, 'experience'), (5, NULL)) v(id, kind)",
 }
+
+ORACLE_SQL |= {
+    "owner_rows": "SELECT event_id, user_id FROM events WHERE json_extract_string(props, '$.k') = '7'",
+    "status_labels": """
+        SELECT label, percent, count(*) AS n FROM (
+          SELECT CASE WHEN s = 'draft_ready' THEN 'Brouillon prêt' WHEN r THEN 'Prêt à télécharger' WHEN x THEN 'Mise au format W hub' WHEN w THEN 'Analyse du CV' WHEN s = 'submitted' THEN 'En attente' ELSE 'Annulé' END AS label,
+            CAST(CASE WHEN r OR s = 'draft_ready' THEN 100 WHEN x THEN 60 WHEN w THEN 35 WHEN s = 'cancelled' THEN 0 ELSE 15 END AS INT) AS percent
+          FROM (SELECT CASE o_orderstatus WHEN 'O' THEN 'submitted' WHEN 'P' THEN 'draft_ready' ELSE 'cancelled' END AS s, coalesce(r, false) AS r, coalesce(x, false) AS x, coalesce(w, false) AS w FROM orders
+            LEFT JOIN (SELECT user_id, bool_or(event_type = 'purchase') AS r, bool_or(event_type = 'click') AS x, bool_or(event_type = 'signup') AS w FROM events GROUP BY user_id) e ON user_id = o_custkey)) GROUP BY ALL""",
+    "integrity_issues": """
+        WITH l AS (SELECT l_orderkey, l_linenumber AS n, l_returnflag = 'R' AS f, l_linestatus = 'O' AS body, count(*) FILTER (l_returnflag <> 'R') OVER (PARTITION BY l_orderkey) AS k FROM lineitem)
+        SELECT l_orderkey, code, count(*) AS n FROM (
+          SELECT l_orderkey, unnest(list_filter([
+            CASE WHEN f AND n % 2 > 0 AND n % 3 > 0 THEN 'experience_misclassified_as_formation' END, CASE WHEN f AND n % 2 = 0 AND n % 3 > 0 THEN 'empty_formation_stub' END,
+            CASE WHEN NOT f AND body AND n % 3 = 0 AND n % 2 = 0 THEN 'headerless_experience_sections' END, CASE WHEN NOT f AND NOT body AND k > 1 AND (n % 3 > 0 OR n % 2 > 0) THEN 'experience_header_without_body' END,
+            CASE WHEN NOT f AND NOT body AND n % 3 > 0 AND n % 2 = 0 THEN 'empty_experience_date_stub' END], lambda c: c IS NOT NULL)) AS code FROM l) GROUP BY ALL""",
+}
