@@ -24,8 +24,8 @@ MIXED, BUSINESS = "autres", "projet|realisation|certification|formation|langue|a
 LEAST_FACT, LEAST_ITEM, LEAST_LOOKUP = 12, 18, 20
 FALLBACK_TITLES = ("consultant it", "consultant", "dev", "developpeur")
 TECHNICAL = ("environnement technique", "environnements techniques", "stack technique", "stacks techniques", "technologies")
-SYNTHESIS = ("synthese mission", "synthese w hub")
-ENTITY_STOP = ("w", "hub", "cv", "profil", "competences", "experiences", "formations", "missions", "mission", "cles", "environnement", "technique", "consultant", "consultante", "chef", "projet", "developpeur", "architecte")
+SYNTHESIS = "synthese"
+ENTITY_STOP = ("cv", "profil", "competences", "experiences", "formations", "missions", "mission", "cles", "environnement", "technique", "consultant", "consultante", "chef", "projet", "developpeur", "architecte")
 
 ITEMS = "array<struct<section:string,fact:string>>"
 ISSUE = "array<struct<code:string,place:string,fact:string>>"
@@ -210,12 +210,12 @@ def rendered_issues(docs: DataFrame, key: str = "doc_id", rendered: str = "rende
     return d.select(key, F.explode(F.concat(*[f.cast(ISSUE) for f in found])).alias("x")).select(key, "x.*")
 
 
-def issues(docs: DataFrame, key: str = "doc_id", source: str = "source", forbidden: str | None = None, synthesis: bool = False) -> DataFrame:
+def issues(docs: DataFrame, key: str = "doc_id", source: str = "source", forbidden: str | None = None, synthesis: bool = False, brand: str = "") -> DataFrame:
     """key, code, place, fact, severity of every fault of a structured document against its source.
 
     Docs have the columns of a structured document (experiences with company_highlight), ``source`` and, if named, an
     array of forbidden identity terms. A code in neither list of severities is hard. With ``synthesis`` the rules that
-    forbid shortening are left out. Documents repeated by key each report their own.
+    forbid shortening are left out; ``brand`` is a name whose syntheses they forbid besides those of missions. Documents repeated by key each report their own.
     """
     row = docs.withColumn("_row", F.monotonically_increasing_id())
     every = strings(row, "_row")
@@ -234,8 +234,8 @@ def issues(docs: DataFrame, key: str = "doc_id", source: str = "source", forbidd
     ]
     if not synthesis:
         short = F.lit(False)
-        for x in SYNTHESIS:
-            short |= j.contains(x)
+        for x in ("mission", *([brand] if brand else [])):
+            short |= j.contains(F.concat(F.lit(f"{SYNTHESIS} "), fidelity(F.lit(x))))
         found.append(one(short, "unexpected_synthesis_section", F.lit("")))
         found.append(where(given, _absent("experience_location_missing_from_json", locations(F.col(source)), j)))
         found.append(where(given, _absent("source_coverage_missing_section", business_facts(F.col(source)), j, lambda x: x["fact"], lambda x: x["section"])))

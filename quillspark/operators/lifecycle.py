@@ -90,16 +90,20 @@ def owned(rows: DataFrame, owner: Column, metadata: str = "metadata", field: str
 # Labels of requests, and their progress in per cent.
 LABELS = {
     "needs_human_review": "Validation humaine", "draft_ready": "Brouillon prêt", "ready": "Prêt à télécharger", "qa_failed": "Contrôle qualité", "failed": "À corriger", "dead_letter": "À corriger",
-    "revision_requested": "À corriger", "extraction_done": "Mise au format W hub", "processing": "Analyse du CV", "submitted": "En attente", "cancelled": "Annulé", "archived": "Archivé",
+    "revision_requested": "À corriger", "extraction_done": "Mise au format", "processing": "Analyse du CV", "submitted": "En attente", "cancelled": "Annulé", "archived": "Archivé",
 }
 
 
-def label(status: Column, events: Column) -> Column:
-    """What a request is called by its status and the types of its events; a status of review or draft outweighs an earlier ready event."""
+def label(status: Column, events: Column, brand: str = "") -> Column:
+    """What a request is called by its status and the types of its events; a status of review or draft outweighs an earlier ready event.
+
+    ``brand`` is the name of the format that an extracted request is put into.
+    """
     had = lambda e: F.coalesce(F.array_contains(events, e), F.lit(False))
     named = F.when(status.isin("needs_human_review", "draft_ready"), status).when((status == "ready") | had("ready"), "ready")
     named = F.coalesce(named, F.when(status.isin("qa_failed", "failed", "dead_letter", "revision_requested"), status), F.when(had("extraction_done"), "extraction_done"), F.when((status == "processing") | had("worker_claimed"), "processing"), status)
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv]), named), F.lit("En attente"))
+    labels = LABELS | {"extraction_done": f"{LABELS['extraction_done']} {brand}".strip()}
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]), named), F.lit("En attente"))
 
 
 def progress(status: Column, events: Column) -> Column:

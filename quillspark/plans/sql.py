@@ -269,7 +269,7 @@ ORACLE_SQL |= {
     "owner_rows": "SELECT event_id, user_id FROM events WHERE json_extract_string(props, '$.k') = '7'",
     "status_labels": """
         SELECT label, percent, count(*) AS n FROM (
-          SELECT CASE WHEN s = 'draft_ready' THEN 'Brouillon prêt' WHEN r THEN 'Prêt à télécharger' WHEN x THEN 'Mise au format W hub' WHEN w THEN 'Analyse du CV' WHEN s = 'submitted' THEN 'En attente' ELSE 'Annulé' END AS label,
+          SELECT CASE WHEN s = 'draft_ready' THEN 'Brouillon prêt' WHEN r THEN 'Prêt à télécharger' WHEN x THEN 'Mise au format' WHEN w THEN 'Analyse du CV' WHEN s = 'submitted' THEN 'En attente' ELSE 'Annulé' END AS label,
             CAST(CASE WHEN r OR s = 'draft_ready' THEN 100 WHEN x THEN 60 WHEN w THEN 35 WHEN s = 'cancelled' THEN 0 ELSE 15 END AS INT) AS percent
           FROM (SELECT CASE o_orderstatus WHEN 'O' THEN 'submitted' WHEN 'P' THEN 'draft_ready' ELSE 'cancelled' END AS s, coalesce(r, false) AS r, coalesce(x, false) AS x, coalesce(w, false) AS w FROM orders
             LEFT JOIN (SELECT user_id, bool_or(event_type = 'purchase') AS r, bool_or(event_type = 'click') AS x, bool_or(event_type = 'signup') AS w FROM events GROUP BY user_id) e ON user_id = o_custkey)) GROUP BY ALL""",

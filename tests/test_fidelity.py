@@ -50,12 +50,12 @@ def test_issues_and_severities(spark):
     d = spark.createDataFrame(
         [
             row(1, experiences=FULL, skills=SKILLS),
-            row(2, name="Jane Baro", title="Directrice Marketing", experiences=bad, skills=[("x", ["Mme Baro", "Analyse des besoins 1", "Analyse des besoins 2", "Analyse des besoins 3", "Synthèse W hub"])], forbidden=["Baro"]),
+            row(2, name="Jane Baro", title="Directrice Marketing", experiences=bad, skills=[("x", ["Mme Baro", "Analyse des besoins 1", "Analyse des besoins 2", "Analyse des besoins 3", "Synthèse Acme"])], forbidden=["Baro"]),
             row(3, title=None, source=""),
         ],
         SCHEMA,
     )
-    found = fidelity.issues(d, forbidden="forbidden").cache()
+    found = fidelity.issues(d, forbidden="forbidden", brand="ACME").cache()
     by = {i: sorted({r["code"] for r in found.where(f"doc_id = {i}").collect()}) for i in (1, 2, 3)}
     assert by[1] == [] and by[3] == []
     assert by[2] == sorted(
