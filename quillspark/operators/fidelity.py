@@ -73,7 +73,7 @@ def relevant(section: Column, fact: Column) -> Column:
 
 def _marked(text: Column) -> Column:
     """Of each line: itself, whether it opens an item, and its text without bullets (empty if that's excluded)."""
-    lines = F.transform(F.split(compact(text), "\n"), F.trim)
+    lines = F.transform(F.split(compact(text), "\n"), lambda x: F.trim(x))
     bare = lambda x: _cut(x, r"✓•\-* ")
 
     def facts(x: Column) -> Column:
@@ -175,7 +175,7 @@ def competences_covered(expected: Column, actual: Column, least: float = 0.70) -
 
 def required_facts(experiences: Column, highlights: bool = True) -> Column:
     """Distinct facts that a rendered document must show: dates, companies, parts of roles, contents; of at least four characters."""
-    long = lambda a: F.filter(F.transform(a, F.trim), lambda x: F.length(x) >= 4)
+    long = lambda a: F.filter(F.transform(a, lambda x: F.trim(x)), lambda x: F.length(x) >= 4)
 
     def of(e: Column) -> Column:
         head = [text_of(e["date"])] + ([text_of(e["company_highlight"])] if highlights else [])
@@ -263,7 +263,7 @@ def _experience_faults(e: Column, number: Column, source: Column, text: Column)
     roles = F.transform(F.filter(role_fragments(e["role"]), lambda x: ~contains_fact(source, fidelity(x))), lambda x: issue("experience_role_fact_absent_from_source", x))
 
     def content(section: Column) -> Column:
-        items = F.filter(F.transform(F.coalesce(section["content"], F.array().cast("array<string>")), F.trim), lambda x: x != "")
+        items = F.filter(F.transform(F.coalesce(section["content"], F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
         allowed = technical_allowed(source, section["heading"]) | (F.trim(text_of(section["heading"])) == "")
         bad = lambda x: F.when(~allowed, issue("synthetic_technical_environment", x)).when(~contains_strictly(source, fidelity(x)), issue("experience_content_rewritten_or_absent_from_source", x))
         return F.array_compact(F.transform(items, bad))

@@ -39,7 +39,7 @@ def _nothing() -> Column:
 
 def _lines(text: Column) -> Column:
     """Lines with text, trimmed."""
-    return F.filter(F.transform(F.split(text_of(text), "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text_of(text), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _trimmed(text: Column) -> Column:

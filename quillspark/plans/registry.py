@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import scalars, text
-from quillspark.operators import coverage, intents, layout, lifecycle, limits, ops, packing, profile, qa, sanitize, segment, structured, taxonomy
+from quillspark.operators import blocks, coverage, display, intents, layout, lifecycle, limits, ops, packing, profile, qa, sanitize, segment, structured, taxonomy, workflow
 from quillspark.plans.sql import ORACLE_SQL
 from quillspark.sources.files import download_name, safe_file_name, updated
 from quillspark.sources.query import TableQuery
@@ -533,3 +533,133 @@ def integrity_issues(spark, d):
     sort = lambda c, when: F.array_sort(F.collect_list(F.when(when, c)))
     docs = table(spark, d, "lineitem").groupBy("l_orderkey").agg(sort(formation, returned).alias("formations"), sort(experience, ~returned).alias("experiences"))
     return structured.integrity_issues(docs, "l_orderkey").groupBy("l_orderkey", "code").agg(F.count("*").alias("n"))
+
+
+@query
+def sanitized_blocks(spark, d):
+    """Documents as blocks, with two common words as terms, one of which is the candidate's own name."""
+    b = table(spark, d, "documents").select("doc_id", "text", F.array(F.lit("the"), F.lit(" and "), F.lit("")).alias("terms"), F.lit("And").alias("first_name"))
+    return blocks.sanitised(b).select("doc_id", F.md5("text").alias("text"), "n_linkedin", "n_email", "n_phone", "n_url", "n_identity")
+
+
+@query
+def rationale_guard(spark, d):
+    return table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_if(blocks.unsafe_rationale(F.col("text"))).alias("unsafe"))
+
+
+@query
+def skills_display_quality(spark, d):
+    """Suppliers as documents: the parts that they sell, by type; economy ones are unsorted, standard ones their continuation."""
+    sold = table(spark, d, "lineitem").select("l_suppkey", F.col("l_partkey").alias("p_partkey")).join(table(spark, d, "part"), "p_partkey")
+    kind = F.when(F.col("p_type") == "ECONOMY", "Autres").when(F.col("p_type") == "STANDARD", "Autres — suite").otherwise(F.col("p_type"))
+    rows = sold.groupBy("l_suppkey", kind.alias("category")).agg(F.collect_list(F.col("p_name")).alias("items"))
+    return display.skill_flags(rows, "l_suppkey")
+
+
+@query
+def draft_warnings(spark, d):
+    """Events as issues of drafts."""
+    code = F.when(F.col("event_type") == "click", "page_too_dense").when(F.col("event_type") == "error", "bad_page_break").otherwise(F.col("event_type"))
+    page = F.get_json_object("payload", "$.k").try_cast("int") % 5
+    shown = display.draft_warning(code, F.when(page > 1, F.concat(F.lit("a\n\t b "), F.col("event_type"))), F.lit("s"), page)
+    return log(spark, d).select(shown.alias("warning")).groupBy("warning").agg(F.count("*").alias("n"))
+
+
+@query
+def quality_labels(spark, d):
+    """Profiles of documents by label, and prices as scores."""
+    p = profile.profiled(table(spark, d, "documents").select("text")).select(display.profile_label(F.col("profile")).alias("label"), display.clamped(F.col("chars") / 40).alias("score"))
+    return p.groupBy("label", "score").agg(F.count("*").alias("n"))
+
+
+@query
+def packing_options(spark, d):
+    """Orders as documents, quantities of their items as heights."""
+    o = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("h")))), lambda x: x["h"]).alias("h"))
+    o = o.select("l_orderkey", display.packing_options(F.col("h")).alias("o"))
+    return o.select("l_orderkey", "o.force_new_page", "o.density_profile", "o.readability_reserve", (F.size("o.breaks") > 0).alias("breaks"))
+
+
+@query
+def enqueued_jobs(spark, d):
+    q = workflow.enqueued(requests(spark, d), F.lit("2000-01-01").cast("timestamp"))
+    return q.groupBy("priority", "attempts", "backoff_type", "backoff_ms").agg(F.count("*").alias("n"), F.sum(workflow.retry_delay(F.lit(3))).alias("delay"))
+
+
+def _failures(spark, d):
+    """Errors of the log as failures of the request with the user's number."""
+    k = F.get_json_object("payload", "$.k")
+    error = F.concat(F.lit("reformulation: fidelity_issues=[a"), k, F.lit(", b]; hard_count="), k, F.lit(" soft_count=1"))
+    status = F.when(F.col("value") > 100, "dead_letter").otherwise("failed")
+    return log(spark, d).where("event_type = 'error'").select(F.col("user_id").alias("id"), F.col("ts").alias("at"), status.alias("status"), error.alias("error"), F.concat(F.lit("m"), F.repeat(k, F.lit(400))).alias("message"))
+
+
+@query
+def failed_requests(spark, d):
+    """The snapshot after all failures."""
+    r = requests(spark, d).select("id", "status", F.lit(None).cast("string").alias("last_error"), F.lit(None).cast("timestamp").alias("updated_at"))
+    snapshot, _ = workflow.failed(r, _failures(spark, d), F.lit("2025-01-01").cast("timestamp"))
+    return snapshot.groupBy("status").agg(F.count("*").alias("n"), F.sum(F.length("last_error")).alias("chars"), F.count("updated_at").alias("updated"))
+
+
+@query
+def failure_events(spark, d):
+    _, events = workflow.failed(requests(spark, d).select("id", "status", F.lit("").alias("last_error"), F.lit(None).cast("timestamp").alias("updated_at")), _failures(spark, d), F.lit("2025-01-01").cast("timestamp"))
+    field = lambda f: F.get_json_object("payload", f"$.{f}")
+    return events.groupBy("event_type", field("error_category").alias("category"), field("fidelity_issues").alias("issues"), field("fidelity_hard_count").alias("hard")).agg(F.count("*").alias("n"))
+
+
+def _comments(spark, d):
+    """Snapshot with versions, and user turns as comments, six seconds apart, on the order with the conversation's number. Every second turn repeats its predecessor's first words."""
+    r = requests(spark, d).select("id", "status", F.when(F.col("id") % 3 > 0, F.col("id")).alias("current_version_id"))
+    v = r.where("current_version_id is not null").select(F.col("current_version_id").alias("id"), (F.col("id") % 4 + 1).alias("version_number"), F.lit("draft").alias("qa_status"), F.when(F.col("id") % 2 == 0, "{}").alias("structured_json"), F.lit("{}").alias("qa_report"))
+    body = F.when(F.col("turn") % 4 < 2, "Remonter en page 1").when(F.col("turn") % 4 == 2, " ").otherwise(F.concat(F.lit("Autre "), F.col("turn")))
+    c = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("comment_id"), F.col("conv_id").alias("request_id"), body.alias("body"), F.col("role").alias("category"), F.timestamp_seconds(F.col("turn") * 6).alias("created_at"))
+    return r, v, c
+
+
+@query
+def revision_comments(spark, d):
+    """Accepted comments, with what their events say; comments of the first two seconds' turns are there already in every fifth request."""
+    r, v, c = _comments(spark, d)
+    old = r.where("id % 5 = 0").select(F.col("id").alias("request_id"), F.col("current_version_id").alias("version_id"), F.lit("Remonter en page 1").alias("body"), F.lit("revision").alias("comment_type"), F.lit(False).alias("resolved"), F.timestamp_seconds(F.lit(-1)).alias("created_at"))
+    accepted, _, events = workflow.commented(r, v, old, c, F.lit("2025-01-01").cast("timestamp"))
+    e = events.select("request_id", "created_at", F.get_json_object("payload", "$.version_number").cast("long").alias("version_number"), F.get_json_object("payload", "$.from_status").alias("from_status"))
+    return accepted.join(e, ["request_id", "created_at"]).select("comment_id", "request_id", "version_id", "body", "version_number", "from_status")
+
+
+@query
+def revision_snapshot(spark, d):
+    r, v, c = _comments(spark, d)
+    none = c.select("request_id", F.col("request_id").alias("version_id"), "body", F.lit("revision").alias("comment_type"), F.lit(True).alias("resolved"), "created_at")
+    _, snapshot, _ = workflow.commented(r, v, none, c, F.lit("2025-01-01").cast("timestamp"))
+    return snapshot.groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query
+def layout_only_reuse(spark, d):
+    r, v, c = _comments(spark, d)
+    made = c.select("request_id", "body", F.lit("revision").alias("comment_type"), (F.col("comment_id") % 100 > 3).alias("resolved"))
+    return workflow.reusable(r, v, made).select("request_id", "version_id", "version_number")
+
+
+@query
+def resolved_comments(spark, d):
+    _, _, c = _comments(spark, d)
+    made = c.select("comment_id", "request_id", F.lit("revision").alias("comment_type"), (F.col("comment_id") % 3 == 0).alias("resolved"))
+    return workflow.resolved(made, requests(spark, d).where("status = 'failed'")).groupBy("resolved").agg(F.count("*").alias("n"))
+
+
+@query
+def request_states(spark, d):
+    """The log's types as those of requests: clicks change nothing."""
+    to = F.when(F.col("event_type") == "signup", "worker_claimed").when(F.col("event_type") == "purchase", "ready").when(F.col("event_type") == "error", "failed").otherwise("extraction_done")
+    return workflow.states(log(spark, d).withColumn("event_type", to), "user_id")
+
+
+@query
+def version_history(spark, d):
+    """Orders as versions, their items as issues."""
+    issue = F.struct(F.when(F.col("l_returnflag") == "R", "").otherwise(F.col("l_returnflag")).alias("code"), F.when(F.col("l_linestatus") == "O", F.lit("late ")).otherwise("").alias("message"), F.lit("cut").alias("snippet"))
+    o = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", issue.alias("x")))), lambda y: y["x"]).alias("x"))
+    return o.select("l_orderkey", workflow.history(F.col("l_orderkey") % 7, F.when(F.col("l_orderkey") % 2 == 0, "passed"), F.col("x")).alias("body"))

@@ -281,3 +281,69 @@ ORACLE_SQL |= {
             CASE WHEN NOT f AND body AND n % 3 = 0 AND n % 2 = 0 THEN 'headerless_experience_sections' END, CASE WHEN NOT f AND NOT body AND k > 1 AND (n % 3 > 0 OR n % 2 > 0) THEN 'experience_header_without_body' END,
             CASE WHEN NOT f AND NOT body AND n % 3 > 0 AND n % 2 = 0 THEN 'empty_experience_date_stub' END], lambda c: c IS NOT NULL)) AS code FROM l) GROUP BY ALL""",
 }
+
+JOBS = "(SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'submitted' WHEN 'P' THEN 'processing' ELSE 'failed' END AS status, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey END AS version FROM orders)"
+COMMENTS = "(SELECT conv_id * 100 + turn AS comment_id, conv_id AS request_id, turn, CASE WHEN turn % 4 < 2 THEN 'Remonter en page 1' WHEN turn % 4 = 2 THEN '' ELSE 'Autre ' || turn END AS body, turn * 6 AS t FROM conversations)"
+FAILURES = "(SELECT user_id AS id, ts AS t, CASE WHEN value > 100 THEN 'dead_letter' ELSE 'failed' END AS status, json_extract_string(props, '$.k') AS k FROM events WHERE event_type = 'error' AND user_id IN (SELECT o_orderkey FROM orders))"
+
+
+def without(c: str, w: str) -> str:
+    """A word taken out, twice, since a border may serve two of them."""
+    once = lambda x: rf"regexp_replace({x}, '(?i)(^|[^\p{{L}}\p{{M}}\p{{N}}_]){w}($|[^\p{{L}}\p{{M}}\p{{N}}_])', '\1\2', 'g')"
+    return once(once(c))
+
+
+ORACLE_SQL |= {
+    "sanitized_blocks": rf"""
+        WITH a AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+          b AS (SELECT *, '(?i)(?:https?://)?(?:www\.)?linkedin\.com/in/[^\s,;]+' AS p FROM a), c AS (SELECT doc_id, len(regexp_extract_all(t, p)) AS n_linkedin, regexp_replace(t, p, '', 'g') AS t FROM b),
+          e AS (SELECT *, '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_.+-]*@[\p{{L}}\p{{N}}_.-]+\.[A-Za-z]{{2,}}\b' AS p FROM c), f AS (SELECT doc_id, n_linkedin, len(regexp_extract_all(t, p)) AS n_email, regexp_replace(t, p, '', 'g') AS t FROM e),
+          g AS (SELECT *, '(?:(?:\+33|0)\s*[1-9](?:[\s.-]*[0-9]{{2}}){{4}})' AS p FROM f), h AS (SELECT doc_id, n_linkedin, n_email, len(regexp_extract_all(t, p)) AS n_phone, regexp_replace(t, p, '', 'g') AS t FROM g),
+          i AS (SELECT doc_id, n_linkedin, n_email, n_phone, len(regexp_extract_all(t, '(?i)https?://[^\s,;]+')) AS n_url, regexp_replace(t, '(?i)https?://[^\s,;]+', '', 'g') AS t FROM h)
+        SELECT doc_id, n_linkedin, n_email, n_phone, n_url, len(list_filter(regexp_extract_all(t, '[\p{{L}}\p{{M}}\p{{N}}_]+'), lambda w: lower(w) = 'the')) AS n_identity,
+          md5(array_to_string(list_filter(list_transform(string_split({without("t", "the")}, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10))) AS text FROM i""",
+    "rationale_guard": r"""
+        SELECT role, count(*) AS n, count(*) FILTER (
+          regexp_matches(coalesce(text, ''), '(?i)(?:[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}|(?:\+?[0-9][0-9\-().\s]{7,}[0-9])|https?://[^\s]+|linkedin\.com/[^\s]+|/(?:in|pub)/[a-z0-9_-]+)')
+          OR regexp_matches(coalesce(text, ''), '(?:^|[^\p{L}\p{N}_])[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]+(?:\s+[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]+){2,}(?:$|[^\p{L}\p{N}_])')) AS unsafe FROM conversations GROUP BY role""",
+    "skills_display_quality": """
+        WITH s AS (SELECT l_suppkey, p_type IN ('ECONOMY', 'STANDARD') AS o, p_type = 'STANDARD' AS more, regexp_replace(lower(p_name), '[^a-z0-9+#.]', '', 'g') AS k FROM lineitem JOIN part ON l_partkey = p_partkey),
+          t AS (SELECT l_suppkey, count(*) AS total, count(*) FILTER (o) AS others, count(*) - count(DISTINCT k) AS again, bool_or(more) AS more FROM s GROUP BY l_suppkey)
+        SELECT l_suppkey, 'too_many_skill_items' AS code, total AS n, total FROM t WHERE total > 60
+        UNION ALL SELECT l_suppkey, 'too_many_autres_items', others, total FROM t WHERE others > 8 OR others / total > 0.2
+        UNION ALL SELECT l_suppkey, 'autres_dominates_skills', others, total FROM t WHERE others / total > 0.25
+        UNION ALL SELECT l_suppkey, 'duplicate_skill_items', again, total FROM t WHERE again > 0
+        UNION ALL SELECT l_suppkey, 'continued_autres_category', 1, NULL FROM t WHERE more""",
+    "draft_warnings": """
+        SELECT CASE WHEN p > 0 THEN 'Page ' || p || ' · ' ELSE '' END || CASE event_type WHEN 'click' THEN 'Page trop dense' WHEN 'error' THEN 'Saut de page à reprendre' ELSE 'Point qualité à vérifier' END
+          || ' — ' || CASE WHEN p > 1 THEN 'a b ' || event_type ELSE 's' END AS warning, count(*) AS n
+        FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS INT) % 5 AS p FROM events) GROUP BY ALL""",
+    "quality_labels": f"""
+        SELECT CASE profile WHEN 'normal' THEN 'CV standard' WHEN 'senior_long' THEN 'CV senior long' WHEN 'ats' THEN 'CV ATS / jobboard' WHEN 'scanned' THEN 'Extraction faible' WHEN 'two_column' THEN 'CV en colonnes'
+            WHEN 'graphic' THEN 'CV graphique' WHEN 'risky' THEN 'CV risqué' ELSE 'Profil source inconnu' END AS label, CAST(greatest(0, least(100, floor(chars / 40 + 0.5))) AS INT) AS score, count(*) AS n
+        FROM ({PROFILE}) GROUP BY ALL""",
+    "packing_options": """
+        SELECT l_orderkey, NOT short AS force_new_page, 'balanced' AS density_profile, 130 AS readability_reserve, NOT short AND (total > 24 OR (total > 21 AND total - last >= 10)) AS breaks FROM (
+          SELECT l_orderkey, count(*) <= 8 AND sum(h) <= 120 AND max(h) <= 30 AS short, sum(CASE WHEN i = 1 THEN least(h, 21) ELSE h END) AS total, arg_max(h, i) AS last
+          FROM (SELECT l_orderkey, CAST(l_quantity AS INT) AS h, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(l_quantity AS INT)) AS i FROM lineitem) GROUP BY l_orderkey)""",
+    "enqueued_jobs": "SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 100 WHEN '2-HIGH' THEN 50 ELSE 10 END AS priority, 3 AS attempts, 'exponential' AS backoff_type, 5000 AS backoff_ms, count(*) AS n, count(*) * 20000 AS delay FROM orders GROUP BY ALL",
+    "failed_requests": f"""
+        WITH f AS (SELECT id, arg_max(status, t) AS s, arg_max(k, t) AS k FROM {FAILURES} GROUP BY id)
+        SELECT coalesce(s, r.status) AS status, count(*) AS n, sum(CASE WHEN k IS NOT NULL THEN least(500, 1 + 400 * len(k)) END) AS chars, count(s) AS updated FROM {JOBS} r LEFT JOIN f USING (id) GROUP BY ALL""",
+    "failure_events": f"""
+        SELECT status AS event_type, 'source_fidelity' AS category, '["a' || k || '","b"]' AS issues, k AS hard, count(*) AS n FROM {FAILURES} GROUP BY ALL""",
+    "revision_comments": f"""
+        WITH RECURSIVE c AS (SELECT c.*, r.version, r.status FROM {COMMENTS} c JOIN {JOBS} r ON request_id = id WHERE body <> '' AND NOT (id % 5 = 0 AND body LIKE 'Rem%' AND t <= 9)),
+          k AS (SELECT request_id, body, min(t) AS t FROM c GROUP BY ALL UNION ALL SELECT k.request_id, k.body, (SELECT min(c.t) FROM c WHERE c.request_id = k.request_id AND c.body = k.body AND c.t > k.t + 10) FROM k WHERE k.t IS NOT NULL)
+        SELECT comment_id, request_id, version AS version_id, body, CASE WHEN version IS NOT NULL THEN version % 4 + 1 END AS version_number, status AS from_status FROM c SEMI JOIN k USING (request_id, body, t)""",
+    "revision_snapshot": f"SELECT CASE WHEN id IN (SELECT request_id FROM {COMMENTS} WHERE body <> '') THEN 'revision_requested' ELSE status END AS status, count(*) AS n FROM {JOBS} GROUP BY ALL",
+    "layout_only_reuse": f"SELECT id AS request_id, version AS version_id, version % 4 + 1 AS version_number FROM {JOBS} WHERE version % 2 = 0 AND id IN (SELECT request_id FROM {COMMENTS} WHERE turn <= 3 AND body LIKE 'Rem%')",
+    "resolved_comments": f"SELECT comment_id % 3 = 0 OR request_id IN (SELECT id FROM {JOBS} WHERE status = 'failed') AS resolved, count(*) AS n FROM {COMMENTS} GROUP BY ALL",
+    "request_states": """
+        SELECT user_id, coalesce(arg_max(s, (ts, event_id)) FILTER (s IS NOT NULL), 'submitted') AS status, count(s) AS n_changes, count(*) FILTER (s = 'processing') AS claims
+        FROM (SELECT *, CASE event_type WHEN 'signup' THEN 'processing' WHEN 'purchase' THEN 'ready' WHEN 'error' THEN 'failed' END AS s FROM events) GROUP BY user_id""",
+    "version_history": """
+        SELECT l_orderkey, 'Historique utile: version V' || (l_orderkey % 7) || ' (qa=' || CASE WHEN l_orderkey % 2 = 0 THEN 'passed' ELSE 'unknown' END || '). Points qualité précédents: '
+          || string_agg(CASE WHEN l_returnflag = 'R' THEN 'point_qualite' ELSE l_returnflag END || CASE WHEN l_linestatus = 'O' THEN ': late' ELSE ': cut' END, '; ' ORDER BY l_linenumber, l_partkey, l_suppkey) || '.' AS body
+        FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem) WHERE i <= 3 GROUP BY l_orderkey""",
+}
