@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.tables import table
 
-from . import bpe, chunk_store, hmm, lang_id, line_quality, mixing, near_dedup, pii, token_count, warc
+from . import bpe, chunk_store, hmm, lang_id, line_quality, mixing, near_dedup, pii, prefix_trie, simhash, token_count, vector_codes, warc
 from .sql import ORACLE_SQL
 
 WORD_BPE = "word_bpe_49k.json"
@@ -62,6 +62,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE)))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_line_quality": op2_line_quality,
@@ -73,4 +85,7 @@ QUERIES = {
     "op8_hidden_markov": op8_hidden_markov,
     "op9_warc": op9_warc,
     "op10_bpe": op10_bpe,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_simhash_near_dedup": op12_simhash_near_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
 }

@@ -164,3 +164,73 @@ FROM p JOIN b ON b.h = p.h
 """
 
 ORACLE_SQL["op9_warc"] = WARC
+
+
+def _codes(rounds: int, parts: int = 4, entries: int = 256) -> str:
+    """Codebooks after so many rounds, one pair of tables for each, and the codes by the last."""
+
+    def assigned(k: int) -> str:
+        return f"""
+a{k} AS (
+  SELECT row, p.part, min({{'d': CAST(list_dot_product(x, x) - 2 * list_dot_product(x, b) + list_dot_product(b, b) AS BIGINT), 'e': entry}}) AS m
+  FROM part p JOIN b{k} ON b{k}.part = p.part GROUP BY row, p.part)"""
+
+    steps = []
+    for k in range(rounds):
+        steps += [
+            assigned(k),
+            f"""
+m{k} AS (
+  SELECT part, entry, list(CAST(floor(s / n) AS DOUBLE) ORDER BY i) AS b FROM (
+    SELECT part, entry, i, sum(x[i]) AS s, count(*) AS n
+    FROM (SELECT p.part, m.e AS entry, x, unnest(range(1, len(x) + 1)) AS i FROM part p JOIN a{k} ON a{k}.row = p.row AND a{k}.part = p.part)
+    GROUP BY part, entry, i) GROUP BY part, entry),
+b{k + 1} AS (SELECT b{k}.part, b{k}.entry, coalesce(m{k}.b, b{k}.b) AS b FROM b{k} LEFT JOIN m{k} ON m{k}.part = b{k}.part AND m{k}.entry = b{k}.entry)""",
+        ]
+    return rf"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda c: floor(1024 * CAST(c AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(embedding) > 0),
+numbered AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS row FROM v),
+part AS (SELECT row, part, v[part * len(v) // {parts} + 1 : (part + 1) * len(v) // {parts}] AS x FROM numbered, (SELECT unnest(range(0, {parts})) AS part)),
+b0 AS (SELECT part, row AS entry, x AS b FROM part WHERE row < {entries}),
+{",".join([*steps, assigned(rounds)])},
+book AS (SELECT sha256(string_agg(CAST(CAST(c AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, i)) AS s FROM (SELECT part, entry, unnest(b) AS c, unnest(range(1, len(b) + 1)) AS i FROM b{rounds})),
+codes AS (SELECT row, string_agg(printf('%02x', m.e), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{rounds} GROUP BY row)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, s AS codebooks_sha256
+FROM numbered JOIN codes ON codes.row = numbered.row, book
+"""
+
+
+ORACLE_SQL["op11_vector_codes"] = _codes(4)
+
+#: CRC-32 of a decimal number, bit by bit, and the tries of its conversations as sets of beginnings.
+PREFIX_TRIE = r"""
+WITH t AS (
+  SELECT conv_id, turn, md5(CAST(octet_length(encode(coalesce(role, ''))) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS dig, length(coalesce(text, '')) AS n
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(dig ORDER BY turn NULLS FIRST, dig) AS d, list(n ORDER BY turn NULLS FIRST, dig) AS n FROM t GROUP BY conv_id),
+hashed AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), CAST(range(0, 8) AS BIGINT[])), lambda x, i: xor(x >> 1, (x & 1) * 3988292384)))) % 6 AS h FROM own),
+seq AS (
+  SELECT a.conv_id, list_concat(coalesce(b.d[1:h], []), a.d[h + 1:]) AS d, list_concat(coalesce(b.n[1:h], []), a.n[h + 1:]) AS n
+  FROM hashed a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 100),
+pre AS (
+  SELECT conv_id, len(d) AS len, depth, CASE WHEN depth = 0 THEN '' ELSE md5(array_to_string(d[1:depth], ',')) END AS key, CASE WHEN depth = 0 THEN 0 ELSE n[depth] END AS size
+  FROM (SELECT *, unnest(range(0, len(d) + 1)) AS depth FROM seq)),
+node AS (
+  SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, min(size) AS size,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len = depth), '')) AS ends_sha256
+  FROM pre GROUP BY depth, key),
+above AS (SELECT y.depth AS below, y.key AS of, p.depth, p.key FROM node y JOIN pre p ON p.conv_id = y.conv_id AND p.depth <= y.depth),
+kids AS (SELECT depth, key, count(*) AS n FROM above WHERE below = depth + 1 GROUP BY depth, key),
+sums AS (
+  SELECT a.depth, a.key, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END) AS leaves, sum((y.n_convs - 1) * y.size) AS saved
+  FROM above a JOIN node y ON y.depth = a.below AND y.key = a.of LEFT JOIN kids k ON k.depth = y.depth AND k.key = y.key GROUP BY a.depth, a.key)
+SELECT x.conv_id, CAST(x.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, x.n_convs, coalesce(k.n, 0) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, x.ends_sha256
+FROM node x JOIN sums ON sums.depth = x.depth AND sums.key = x.key LEFT JOIN kids k ON k.depth = x.depth AND k.key = x.key
+LEFT JOIN above a ON a.below = x.depth AND a.of = x.key AND a.depth = x.depth - 1 LEFT JOIN node u ON u.depth = a.depth AND u.key = a.key
+"""
+
+ORACLE_SQL["op13_prefix_trie"] = PREFIX_TRIE
