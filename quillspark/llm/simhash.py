@@ -5,8 +5,9 @@ shingles. Texts with equal fingerprints are one node. Nodes link at ``DISTANCE``
 
 Multi-index hashing: the bits are cut into segments. By the pigeonhole principle a linked pair differs in at
 most ``r`` bits in one of the first segments, or in at most ``r - 1`` in one of the others. So each fingerprint
-is filed under its value in each segment, looks under all values of a small Hamming ball around it, and the
-complete distance verifies in the join's condition what it finds there.
+is filed under its value in each segment, and looks under all values of a small Hamming ball around it. Complete
+distances verify what meets there, and a value yields no more links than connect those who met: a spanning forest,
+not all linked pairs of a dense group.
 
 A segment value under which more than ``HOT`` fingerprints are filed would be compared n x n. Its members, and
 all that look there, go another exact way: each is filed under every midpoint, that is under the 2,081 values
@@ -16,7 +17,7 @@ share one are linked, a midpoint has 2,081 at most, and one star of links for ea
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -118,14 +119,44 @@ def _filed(nodes: DataFrame, parts: list[tuple[int, list[int]]]) -> DataFrame:
 
 
 def _looked_up(filed: DataFrame, parts: list[tuple[int, list[int]]]) -> DataFrame:
-    """fp, seg, key: each filed fingerprint under all values of its segment's ball."""
-    by_seg = [filed.where(F.col("seg") == i).select("fp", "seg", F.explode(_around("key", ball)).alias("key")) for i, (_, ball) in enumerate(parts)]
+    """fp, seg, key, owner: each filed fingerprint under all values of its segment's ball; it owns its own value."""
+    by_seg = [filed.where(F.col("seg") == i).select("fp", "seg", F.col("key").alias("own"), F.explode(_around("key", ball)).alias("key")).select("fp", "seg", "key", (F.col("key") == F.col("own")).alias("owner")) for i, (_, ball) in enumerate(parts)]
     out = by_seg[0]
     for x in by_seg[1:]:
         out = out.union(x)
     return out
 
 
+def _spanned(distance: int) -> Callable:
+    """Of rows (visitors, owners) that met under one segment value: links enough to connect all that are within the distance of an owner, one fewer than there are at most.
+
+    Every owner is compared with everyone, vectorised; two visitors meet under another value or segment.
+    """
+
+    def links_of(owners: np.ndarray, everyone: np.ndarray) -> list[tuple[int, int]]:
+        label = np.arange(len(everyone))
+        out = []
+        for i in range(len(owners)):
+            near = np.flatnonzero(np.bitwise_count(everyone ^ owners[i]) <= distance)
+            groups = np.unique(label[near])
+            if len(groups) > 1:
+                # Labels are places of a member: the groups' members named by them are linked to the owner's group.
+                out += [(int(everyone[groups[0]]), int(everyone[g])) for g in groups[1:]]
+                label[np.isin(label, groups)] = groups[0]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs: list[tuple[int, int]] = []
+            for visitors, owners in zip(batch.column(0), batch.column(1), strict=True):
+                own = np.array(owners.as_py(), np.int64).view(np.uint64)
+                pairs += links_of(own, np.concatenate([own, np.array(visitors.as_py(), np.int64).view(np.uint64)]))
+            cols = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[:, 0]), pa.array(cols[:, 1])], names=["a", "b"])
+
+    return run
+
+
 def links(nodes: DataFrame, distance: int = DISTANCE, hot: int = HOT, many: int = MANY) -> DataFrame:
     """Links (a, b) between the distinct fingerprints ``nodes`` (fp), enough of them to connect all that are within the distance; written."""
     parts = segments(3 if nodes.count() <= many else 2, distance)
@@ -143,10 +174,10 @@ def links(nodes: DataFrame, distance: int = DISTANCE, hot: int = HOT, many: int
         star = shared.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a != b").distinct()
     else:
         quiet, star = filed, None
-    a = _looked_up(quiet, parts).select("seg", "key", F.col("fp").alias("a"))
-    b = quiet.select("seg", "key", F.col("fp").alias("b"))
-    near = (a["seg"] == b["seg"]) & (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    found = a.join(b, near).select("a", "b").distinct()
+    met = _looked_up(quiet, parts).groupBy("seg", "key").agg(F.sort_array(F.collect_list(F.struct("owner", "fp"))).alias("met"))
+    met = met.where((F.size("met") > 1) & F.col("met")[F.size("met") - 1]["owner"])
+    common.reachable(nodes.sparkSession)
+    found = met.select(F.filter("met", lambda x: ~x["owner"])["fp"].alias("visitors"), F.filter("met", lambda x: x["owner"])["fp"].alias("owners")).mapInArrow(_spanned(distance), "a long, b long").distinct()
     out = common.written(found.union(star) if star is not None else found, "links")
     common.dropped(filed, crowded, *([quiet] if n else []))
     return out
