@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions.scalars import bound
+
 
 def decompositions() -> dict[str, str]:
     """Of each character that compatibility decomposition (NFKD) changes what is left of it without combining marks; Hangul syllables stay."""
@@ -20,12 +23,13 @@ def decompositions() -> dict[str, str]:
     return out
 
 
-_PLAIN = decompositions()
-#: Characters with one character left, and that; those with more left.
-ACCENTED = "".join(c for c, x in _PLAIN.items() if len(x) == 1)
-PLAIN = "".join(x for x in _PLAIN.values() if len(x) == 1)
-LONGER = {c: x for c, x in _PLAIN.items() if len(x) != 1}
-MANY = "".join(LONGER)
+@lru_cache(maxsize=1)
+def _plain() -> tuple[str, str, dict[str, str]]:
+    """Characters with one character left, and that; those with more left. Made on first use, on the driver."""
+    table = decompositions()
+    one = {c: x for c, x in table.items() if len(x) == 1}
+    return "".join(one), "".join(one.values()), {c: x for c, x in table.items() if len(x) != 1 and "\n" not in x}
+
 
 #: Word borders that hold for letters of every script; Java's own \b depends on its version.
 START, STOP = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
@@ -40,16 +44,22 @@ def text_of(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def _spelled_out(c: Column, table: dict[str, str]) -> Column:
+    """A text with the characters of a table replaced: those that it holds are looked up once each."""
+    class_ = "[^" + "".join(table) + "]"
+    pairs = F.map_from_entries(F.transform(F.split(F.lit("\n".join(f"{k}\t{v}" for k, v in table.items())), "\n"), lambda x: F.struct(F.substring(x, 1, 1).alias("k"), F.substring(x, 3, 99).alias("v"))))
+    held = F.array_distinct(F.filter(F.split(F.regexp_replace(c, class_, ""), ""), lambda x: x != ""))
+    return F.when(F.size(held) > 0, F.aggregate(held, c, lambda a, x: F.replace(a, x, F.try_element_at(pairs, x)))).otherwise(c)
+
+
 def without_accents(c: Column) -> Column:
     """Compatibility decomposition (NFKD) without combining marks: accents go, ligatures and full-width forms become plain letters.
 
-    Characters that become several ones are looked up one by one, in texts that hold any.
+    The text is bound once, whatever the expression that gives it, and plain ASCII passes as it is.
     """
-    entries = F.split(F.lit("\n".join(f"{k}\t{v}" for k, v in LONGER.items() if "\n" not in v)), "\n")
-    table = F.map_from_entries(F.transform(entries, lambda x: F.struct(F.substring(x, 1, 1).alias("k"), F.substring(x, 3, 99).alias("v"))))
-    spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
-    whole = F.when(F.translate(c, MANY, "") != c, spelled).otherwise(c)
-    return F.regexp_replace(F.translate(whole, ACCENTED, PLAIN), r"\p{M}+", "")
+    accented, plain, longer = _plain()
+    folded = lambda x: F.regexp_replace(F.translate(_spelled_out(x, longer), accented, plain), r"\p{M}+", "")
+    return bound(c, lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), folded(x)).otherwise(x))
 
 
 def squeezed(c: Column) -> Column:
@@ -69,7 +79,15 @@ def taxonomy_text(c: Column) -> Column:
 
 
 def folded_label(c: Column) -> Column:
-    return squeezed(F.lower(without_accents(text_of(c))))
+    """Squeezed, without accents, in folded case: a sharp s is two letters, a final sigma a plain one."""
+    return squeezed(F.replace(F.translate(F.lower(without_accents(text_of(c))), "ς", "σ"), F.lit("ß"), F.lit("ss")))
+
+
+def folded_each(items: Column) -> Column:
+    """The folded labels of an array's texts, for which the folding is written out once in the plan, not once per use."""
+    mark = "\x01"
+    whole = folded_label(F.array_join(F.transform(items, lambda x: F.replace(text_of(x), F.lit(mark), F.lit(" "))), mark))
+    return F.when(F.size(items) > 0, F.transform(F.split(whole, mark), lambda x: F.trim(x))).otherwise(F.array().cast("array<string>"))
 
 
 # Spellings of one skill.
@@ -192,3 +210,41 @@ def first_name(c: Column) -> Column:
 def preview(c: Column, pattern: str, size: int = 80) -> Column:
     out = F.regexp_replace(text_of(c), pattern, "[REDACTED]")
     return F.when(F.length(out) > size, F.concat(F.substring(out, 1, size), F.lit("..."))).otherwise(out)
+
+
+@lru_cache(maxsize=1)
+def _compatible() -> tuple[str, str, dict[str, str], dict[str, str]]:
+    """Characters that compatibility composition (NFKC) changes to one other and that, those that it makes several of, and Latin letters with one mark as one character."""
+    one, many = {}, {}
+    for i in (*range(0x80, 0xAC00), *range(0xF900, 0x10000)):
+        c = chr(i)
+        to = unicodedata.normalize("NFKC", c)
+        if to != c and "\n" not in to:
+            (one if len(to) == 1 else many)[c] = to
+    marked = {}
+    for i in range(0xC0, 0x1F00):
+        parts = unicodedata.normalize("NFD", chr(i))
+        if len(parts) == 2 and parts[0] < "\x80":
+            marked[parts] = chr(i)
+    return "".join(one), "".join(one.values()), many, marked
+
+
+def compatible(c: Column) -> Column:
+    """Compatibility composition (NFKC) of the Basic Multilingual Plane: ligatures and full-width forms as plain letters, a Latin letter and its mark as one."""
+    froms, tos, many, marked = _compatible()
+    table = F.map_from_entries(F.transform(F.split(F.lit("\n".join(f"{k}{v}" for k, v in marked.items())), "\n"), lambda x: F.struct(F.substring(x, 1, 2).alias("k"), F.substring(x, 3, 1).alias("v"))))
+    held = lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit(r"[A-Za-z]\p{M}"), 0))
+    join = lambda x: F.aggregate(held(x), x, lambda a, p: F.replace(a, p, F.coalesce(F.try_element_at(table, p), p)))
+    return bound(c, lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), bound(F.translate(_spelled_out(x, many), froms, tos), join)).otherwise(x))
+
+
+def fidelity_each(items: Column) -> Column:
+    """``fidelity`` of each text of an array; the folding is written out once in the plan."""
+    mark = "\x01"
+    whole = F.lower(without_accents(F.array_join(F.transform(items, lambda x: F.replace(text_of(x), F.lit(mark), F.lit(" "))), mark)))
+
+    def one(x: Column) -> Column:
+        x = F.regexp_replace(F.regexp_replace(x, "[’]", "'"), r"\bpage\s+[0-9]+\s+(?:of|sur)\s+[0-9]+\b", " ")
+        return F.trim(F.regexp_replace(x, "[^a-z0-9+#]+", " "))
+
+    return F.when(F.size(items) > 0, F.transform(F.split(whole, mark), one)).otherwise(F.array().cast("array<string>"))

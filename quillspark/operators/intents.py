@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions.scalars import bound
 from quillspark.functions.text import squeezed, taxonomy_text, text_of, word
 
 # Keywords of the rules, in the order in which they apply.
@@ -58,12 +59,16 @@ def moves_from_last_page(body: Column) -> Column:
 
 
 def error_category(message: Column) -> Column:
-    t = taxonomy_text(message)
-    found = F.regexp_extract_all(t, F.lit(r"(?:primary|fallback)_category_?\s*([a-z_]+)"), 1)
-    out = F.lit(ERROR_DEFAULT)
-    for name, words in reversed(ERRORS):
-        out = F.when(t.rlike(word(words)), name).otherwise(out)
-    return F.when((F.size(found) > 0) & F.forall(found, lambda c: c == "source_fidelity"), "source_fidelity").otherwise(out)
+    """The first category whose words the folded message holds; a message that names categories itself is of source fidelity if all of them are."""
+
+    def of(t: Column) -> Column:
+        found = F.regexp_extract_all(t, F.lit(r"(?:primary|fallback)_category_?\s*([a-z_]+)"), 1)
+        out = F.lit(ERROR_DEFAULT)
+        for name, words in reversed(ERRORS):
+            out = F.when(t.rlike(word(words)), name).otherwise(out)
+        return F.when((F.size(found) > 0) & F.forall(found, lambda c: c == "source_fidelity"), "source_fidelity").otherwise(out)
+
+    return bound(taxonomy_text(message), of)
 
 
 def issue_codes(message: Column) -> Column:

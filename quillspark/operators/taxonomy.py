@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import folded_label, skill_key, squeezed
+from quillspark.functions.scalars import bound
+from quillspark.functions.text import folded_label, skill_key, squeezed, text_of
 
 # Keywords of the categories, in the order in which they are tried.
 KEYWORDS = (
@@ -22,26 +25,43 @@ KEYWORDS = (
 GROUP_SIZE = 6
 
 
-def category(value: Column) -> Column:
-    """The first category with a keyword in the folded value; null without."""
-    t = folded_label(value)
+def category_of_folded(t: Column) -> Column:
+    """The first category of which a folded value holds a keyword; null without. One pattern per category."""
     out = F.lit(None).cast("string")
     for name, words in reversed(KEYWORDS):
-        hit = F.lit(False)
-        for w in words:
-            hit |= t.contains(w)
-        out = F.when(hit, name).otherwise(out)
+        out = F.when(t.rlike("|".join(map(re.escape, words))), name).otherwise(out)
     return out
 
 
+def category(value: Column) -> Column:
+    """The first category with a keyword in the value, which is folded once; null without."""
+    return bound(folded_label(value), category_of_folded)
+
+
 def split_values(c: Column) -> Column:
     """Values between commas, semicolons and spaced slashes, squeezed, without repeats, in order."""
     return F.array_distinct(F.filter(F.transform(F.split(c, r"[,;]|\s/\s"), squeezed), lambda x: x != ""))
 
 
 def top_level_commas(c: Column) -> Column:
-    """Parts between commas that no parenthesis holds."""
-    return F.transform(F.split(c, r",(?![^(]*\))"), lambda x: F.trim(x))
+    """Parts between commas at depth 0 of parentheses, squeezed, without ``,;:•`` at their ends; empty ones are left out.
+
+    Depth is counted from piece to piece between commas: a closing parenthesis at depth 0 counts nothing. A null text has none.
+    """
+    cut = lambda x: F.regexp_replace(squeezed(x), r"^[ ,;:•]+|[ ,;:•]+$", "")
+
+    def depth(before: Column, piece: Column) -> Column:
+        marks = F.filter(F.split(F.regexp_replace(piece, "[^()]", ""), ""), lambda m: m != "")
+        return F.aggregate(marks, before, lambda d, m: F.greatest(d + F.when(m == "(", 1).otherwise(-1), F.lit(0)))
+
+    def step(a: Column, piece: Column) -> Column:
+        held = F.when(a["depth"] > 0, F.concat_ws(",", a["held"], piece)).otherwise(piece)
+        done = F.when((a["depth"] == 0) & a["held"].isNotNull(), F.concat(a["out"], F.array(a["held"]))).otherwise(a["out"])
+        return F.struct(held.alias("held"), depth(a["depth"], piece).alias("depth"), done.alias("out"))
+
+    start = F.struct(F.lit(None).cast("string").alias("held"), F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out"))
+    found = F.aggregate(F.split(text_of(c), ","), start, step, lambda a: F.concat(a["out"], F.array(a["held"])))
+    return F.filter(F.transform(found, cut), lambda x: x != "")
 
 
 def deduplicated(items: DataFrame, key: str) -> DataFrame:

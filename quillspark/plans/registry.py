@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import scalars, text
 from quillspark.operators import blocks, coverage, display, intents, layout, lifecycle, limits, ops, packing, profile, qa, sanitize, segment, structured, taxonomy, workflow
+from quillspark.plans import skills as skill_queries
 from quillspark.plans.sql import ORACLE_SQL
 from quillspark.sources.files import download_name, safe_file_name, updated
 from quillspark.sources.query import TableQuery
@@ -663,3 +664,6 @@ def version_history(spark, d):
     issue = F.struct(F.when(F.col("l_returnflag") == "R", "").otherwise(F.col("l_returnflag")).alias("code"), F.when(F.col("l_linestatus") == "O", F.lit("late ")).otherwise("").alias("message"), F.lit("cut").alias("snippet"))
     o = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", issue.alias("x")))), lambda y: y["x"]).alias("x"))
     return o.select("l_orderkey", workflow.history(F.col("l_orderkey") % 7, F.when(F.col("l_orderkey") % 2 == 0, "passed"), F.col("x")).alias("body"))
+
+
+QUERIES |= skill_queries.QUERIES
