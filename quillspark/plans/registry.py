@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import scalars, text
 from quillspark.operators import blocks, coverage, display, intents, layout, lifecycle, limits, ops, packing, profile, qa, sanitize, segment, structured, taxonomy, workflow
 from quillspark.plans import skills as skill_queries
+from quillspark.plans import skills_sql
 from quillspark.plans.sql import ORACLE_SQL
 from quillspark.sources.files import download_name, safe_file_name, updated
 from quillspark.sources.query import TableQuery
@@ -667,3 +668,4 @@ def version_history(spark, d):
 
 
 QUERIES |= skill_queries.QUERIES
+ORACLE_SQL |= skills_sql.ORACLE_SQL

@@ -4,24 +4,16 @@ from __future__ import annotations
 
 from quillspark.operators import intents, qa, sanitize, segment
 from quillspark.operators.profile import ATS_WORDS, MISSION_WORDS
-from quillspark.operators.taxonomy import KEYWORDS
+from quillspark.plans.words import category_case, fold, q
 
 B, E = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
 
 
-def q(s: str) -> str:
-    return s.replace("'", "''")
-
-
 def has(words: str) -> str:
     """A pattern that finds one of the words, with borders that RE2 can express."""
     return q(f"(?i){B}(?:{words}){E}")
 
 
-def fold(c: str) -> str:
-    return rf"regexp_replace(strip_accents({c}), '\p{{M}}+', '', 'g')"
-
-
 def fidelity(c: str) -> str:
     return rf"trim(regexp_replace(regexp_replace(replace(lower({fold(c)}), '’', ''''), '\bpage\s+[0-9]+\s+(?:of|sur)\s+[0-9]+\b', ' ', 'g'), '[^a-z0-9+#]+', ' ', 'g'))"
 
@@ -80,7 +72,7 @@ SUMMARY = """
  FROM events GROUP BY user_id)
 """
 HEADER = "CASE WHEN length(t) > 80 THEN NULL " + " ".join(f"WHEN regexp_matches(t, '{has(w)}') THEN '{k}'" for k, w in segment.HEADERS) + " END"
-CATEGORY = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(t, {chr(39)}{q(w)}{chr(39)})' for w in ws)} THEN '{q(k)}'" for k, ws in KEYWORDS) + " END"
+CATEGORY = category_case("t")
 SKILL_KEY = rf"regexp_replace({label('p_name')}, '[^a-z0-9+#.]', '', 'g')"
 PIECE = {k: q(v.replace("(?i)", "(?i)")) for k, v in sanitize.CONTACTS.items()}
 CODE = "regexp_replace(lower(trim(c)), '[^a-z0-9_:-]+', '_', 'g')"
