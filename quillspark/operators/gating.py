@@ -39,35 +39,36 @@ def gated_skills(docs: DataFrame, source: str = "source") -> DataFrame:
     skills = _some(F.col("skills"), SKILLS)
     named = lambda s: fidelity_each(F.transform(s, lambda x: text_of(x["category"])))
 
-    def backed(items: Column) -> Column:
+    def backed(items: Column, folded: Column) -> Column:
         trimmed = F.filter(F.transform(_some(items, STRINGS), lambda x: F.trim(text_of(x))), lambda x: x != "")
-        return bound(trimmed, lambda t: bound(fidelity_each(t), lambda n: F.filter(t, lambda x, i: contains_fact(F.col(folded), F.get(n, i)))))
+        return bound(trimmed, lambda t: bound(fidelity_each(t), lambda n: F.filter(t, lambda x, i: contains_fact(folded, F.get(n, i)))))
 
-    def gate(every: Column) -> Column:
-        names = named(every)
-        checked = F.transform(every, lambda s, i: F.struct(s["category"].alias("category"), backed(s["items"]).alias("items"), F.get(names, i).isin(*FAITHFUL).alias("own")))
-        return bound(checked, lambda c: F.when(F.exists(c, lambda s: s["own"]), F.concat(plain(F.filter(c, lambda s: s["own"])), promoted(F.filter(c, lambda s: ~s["own"])))).otherwise(plain(c)))
+    def gate(every: Column, folded: Column, facts: Column) -> Column:
+        checked = lambda names: F.transform(every, lambda s, i: F.struct(s["category"].alias("category"), backed(s["items"], folded).alias("items"), F.get(names, i).isin(*FAITHFUL).alias("own")))
+        return bound(bound(named(every), checked), lambda c: F.when(F.exists(c, lambda s: s["own"]), F.concat(plain(F.filter(c, lambda s: s["own"])), promoted(F.filter(c, lambda s: ~s["own"]), facts))).otherwise(plain(c)))
 
     plain = lambda c: F.transform(F.filter(c, lambda s: F.size(s["items"]) > 0), lambda s: F.struct(s["category"].alias("category"), s["items"].alias("items"))).cast(SKILLS)
 
-    def promoted(others: Column) -> Column:
-        found = F.filter(F.transform(F.flatten(F.transform(others, lambda s: s["items"])), lambda x: F.struct(section_of(F.col(facts), x).alias("section"), x.alias("item"))), lambda x: x["section"].isNotNull())
+    def promoted(others: Column, facts: Column) -> Column:
+        found = F.filter(F.transform(F.flatten(F.transform(others, lambda s: s["items"])), lambda x: F.struct(section_of(facts, x).alias("section"), x.alias("item"))), lambda x: x["section"].isNotNull())
         return bound(found, lambda f: F.transform(F.array_distinct(F.transform(f, lambda x: x["section"])), lambda s: F.struct(s.alias("category"), F.array_distinct(F.transform(F.filter(f, lambda x: x["section"] == s), lambda x: x["item"])).alias("items")))).cast(SKILLS)
 
-    d = d.withColumn(kept, gate(skills))
+    # What lambdas read is bound: a column would be computed again for every item.
+    source_of = F.struct(skills.alias("skills"), F.col(folded).alias("folded"), F.col(facts).alias("facts"))
+    d = d.withColumn(kept, bound(source_of, lambda b: gate(b["skills"], b["folded"], b["facts"])))
     d = d.withColumn(want, keys(source_skills(F.col(source))["skills"]))
     # Facts are looked for in what the skills say, names of the fields included as a reader of the JSON would see them.
     said = lambda s: fidelity(F.to_json(s))
 
-    def put(skills: Column, f: Column) -> Column:
+    def put(skills: Column, f: Column, want: Column) -> Column:
         names = F.transform(skills, lambda s: fidelity(s["category"]))
         at = F.array_position(names, fidelity(f["section"])) - 1
         added = F.transform(skills, lambda s, i: F.struct(s["category"].alias("category"), F.when(i == at, F.array_union(s["items"], F.array(f["fact"]))).otherwise(s["items"]).alias("items")))
         new = F.concat(skills, F.array(F.struct(f["section"].alias("category"), F.array(f["fact"]).alias("items"))).cast(SKILLS))
-        there = contains_fact(said(skills), fidelity(f["fact"])) | covered(f["section"], F.col(want), keys(skills))
+        there = contains_fact(said(skills), fidelity(f["fact"])) | covered(f["section"], want, keys(skills))
         return F.when(there, skills).when(at >= 0, added.cast(SKILLS)).otherwise(new)
 
-    d = d.withColumn(kept, F.aggregate(facts, F.col(kept), put))
+    d = d.withColumn(kept, bound(F.struct(F.col(facts).alias("facts"), F.col(kept).alias("kept"), F.col(want).alias("want")), lambda b: F.aggregate(b["facts"], b["kept"], lambda a, f: put(a, f, b["want"]))))
     return d.withColumn("skills", F.when(F.col(folded) == "", F.col("skills").cast(SKILLS)).otherwise(F.col(kept))).drop(folded, facts, kept, want)
 
 

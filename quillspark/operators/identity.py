@@ -29,11 +29,12 @@ HEADER_MARKS = ("dossier", "competences", "cv", "curriculum", "vitae", "page")
 PAGE = r"(?i)\bpage\s+[0-9]+\s*(?:/|sur|of)?\s*[0-9]*\b"
 #: Lines in which a given first name is looked for, in which one is inferred, and the depths between which none counts.
 KNOWN_LINES, INFERRED_LINES, SHALLOW, DEEP = 250, 50, 12, 20
+#: Most tokens of a line that can be a name: five, and a title before them.
+MOST_TOKENS = 6
 
 _TRIM = r" ,;:/\\()\[\]{}"
 _EDGE = rf"^[{_TRIM}]+|[{_TRIM}]+$"
 _SPACE = r"[\s  -  　]"
-_LINE = "struct<line:string,tokens:array<struct<t:string,n:string>>,header:boolean,at:int>"
 
 
 def _lines(source: Column, most: int) -> Column:
@@ -54,24 +55,33 @@ def _header(line: Column, folded: Column) -> Column:
     )
 
 
-def _facts(docs: DataFrame, source: str, lines: str, facts: str) -> DataFrame:
-    """``docs`` with the first lines, and of each the trimmed line, its tokens with their folded forms, whether it's a header, and its number."""
-    tokens, folds, words = unused(docs.withColumns({lines: F.lit(0), facts: F.lit(0)}), "tokens", "folds", "words")
-    d = docs.withColumn(lines, _lines(F.col(source), KNOWN_LINES))
+def _facts(lines: Column, most: int | None = None) -> Column:
+    """Of each line: itself trimmed, its tokens with their folded forms, whether it's a header, and its place from 0.
+
+    Lines with more than ``most`` tokens have none here and aren't folded: folding is what costs. All that a lambda reads is bound first,
+    since a column would be computed again for every line.
+    """
     trimmed = F.transform(lines, lambda x: F.regexp_replace(x, f"^{_SPACE}+|{_SPACE}+$", ""))
-    d = d.withColumn(tokens, F.transform(trimmed, _tokens)).withColumn(folds, fidelity_each(trimmed)).withColumn(words, fidelity_each(F.flatten(tokens)))
     # Where the tokens of each line begin among all: their sizes summed up, so that the flat array of folded words is dealt back.
-    starts = F.aggregate(tokens, F.array(F.lit(1)), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + F.size(t))))
+    starts = lambda k: F.aggregate(k, F.array(F.lit(1)), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + F.size(t))))
+
+    def some(x: Column) -> Column:
+        t = _tokens(x)
+        return t if most is None else bound(t, lambda k: F.when(F.size(k) <= most, k).otherwise(F.slice(k, 1, 0)))
+
+    def split(t: Column, k: Column) -> Column:
+        told = F.transform(t, lambda x, i: F.when(F.size(F.get(k, i)) > 0, x).otherwise(""))
+        return bound(F.struct(t.alias("lines"), k.alias("tokens"), fidelity_each(told).alias("folds"), fidelity_each(F.flatten(k)).alias("words"), starts(k).alias("starts")), of)
 
     def of(s: Column) -> Column:
         def line(x: Column, i: Column) -> Column:
-            own = F.get(tokens, i)
-            pairs = F.zip_with(own, F.slice(words, F.get(s, i), F.size(own)), lambda t, n: F.struct(t.alias("t"), n.alias("n")))
-            return F.struct(x.alias("line"), pairs.alias("tokens"), _header(x, F.get(folds, i)).alias("header"), i.alias("at"))
+            own = F.get(s["tokens"], i)
+            pairs = F.zip_with(own, F.slice(s["words"], F.get(s["starts"], i), F.size(own)), lambda t, n: F.struct(t.alias("t"), n.alias("n")))
+            return F.struct(x.alias("line"), pairs.alias("tokens"), _header(x, F.get(s["folds"], i)).alias("header"), i.alias("at"))
 
-        return F.transform(trimmed, line)
+        return F.transform(s["lines"], line)
 
-    return d.withColumn(facts, bound(starts, of)).drop(tokens, folds, words)
+    return bound(trimmed, lambda t: bound(F.transform(t, some), lambda k: split(t, k)))
 
 
 def _capital(t: Column) -> Column:
@@ -119,6 +129,11 @@ def _candidates(facts: Column) -> Column:
     return F.flatten(F.array_compact(F.transform(facts, of)))
 
 
+def _best(lines: Column) -> Column:
+    """The chosen candidate of the first lines."""
+    return bound(F.slice(lines, 1, INFERRED_LINES), lambda first: bound(_facts(first, MOST_TOKENS), lambda facts: bound(_candidates(facts), lambda c: _chosen(c, first))))
+
+
 def _chosen(candidates: Column, lines: Column) -> Column:
     """The candidate of least rank and fewest terms: among those of the first lines, or else of those far down whose line stands there as it is."""
     place = lambda c: F.greatest(F.coalesce(F.array_position(lines, c["line"]), F.lit(0)).cast("int") - 1, F.lit(0))
@@ -169,18 +184,19 @@ def identified(docs: DataFrame, source: str = "source", given: str = "candidate_
     ``source``. Without a name, and where no line names it together with others, nothing is forbidden. Null texts are empty; other columns pass as they are,
     but columns named like the two results are replaced.
     """
-    lines, facts, found, line = unused(docs, "lines", "facts", "found", "line")
-    d = _facts(docs, source, lines, facts)
-    d = d.withColumn(found, _candidates(F.slice(facts, 1, INFERRED_LINES))).withColumn(found, _chosen(F.col(found), F.slice(lines, 1, INFERRED_LINES)))
-    d = d.withColumn("first_name", F.coalesce(first_name(F.col(given)), first_name(F.col(found)["first"])))
-    d = d.withColumn(line, _named(F.col(facts), F.col("first_name")))
-    terms = F.when(F.col("first_name").isNotNull() & F.col(line).isNotNull(), _forbidden(F.col(line), F.col("first_name")))
-    return d.withColumn("forbidden", F.coalesce(terms, F.array().cast("array<string>"))).drop(lines, facts, found, line)
+    lines, found, line = unused(docs, "lines", "found", "line")
+    name = first_name(F.col(given))
+    d = docs.withColumn(lines, _lines(F.col(source), KNOWN_LINES)).withColumn(found, F.when(name.isNull(), _best(F.col(lines))))
+    d = d.withColumn("first_name", F.coalesce(name, first_name(F.col(found)["first"])))
+    # Only lines that hold the name in some way are split and folded.
+    both = F.struct(F.col(lines).alias("lines"), F.col("first_name").alias("name"))
+    d = d.withColumn(line, bound(both, lambda b: bound(_facts(F.filter(b["lines"], lambda x: F.upper(x).contains(b["name"]))), lambda f: _named(f, b["name"]))))
+    terms = bound(F.struct(F.col(line).alias("line"), F.col("first_name").alias("name")), lambda b: _forbidden(b["line"], b["name"]))
+    return d.withColumn("forbidden", F.coalesce(F.when(F.col(line).isNotNull(), terms), F.array().cast("array<string>"))).drop(lines, found, line)
 
 
 def inferred(docs: DataFrame, source: str = "source") -> DataFrame:
     """``docs`` with ``inferred_first_name`` and ``inferred_terms`` (null and empty without a confident name) of the first lines alone."""
-    lines, facts, found = unused(docs, "lines", "facts", "found")
-    d = _facts(docs, source, lines, facts)
-    d = d.withColumn(found, _candidates(F.slice(facts, 1, INFERRED_LINES))).withColumn(found, _chosen(F.col(found), F.slice(lines, 1, INFERRED_LINES)))
-    return d.withColumn("inferred_first_name", F.col(found)["first"]).withColumn("inferred_terms", F.coalesce(F.col(found)["forbidden"], F.array().cast("array<string>"))).drop(lines, facts, found)
+    (found,) = unused(docs, "found")
+    d = docs.withColumn(found, _best(_lines(F.col(source), INFERRED_LINES)))
+    return d.withColumn("inferred_first_name", F.col(found)["first"]).withColumn("inferred_terms", F.coalesce(F.col(found)["forbidden"], F.array().cast("array<string>"))).drop(found)

@@ -304,7 +304,7 @@ def with_skills(docs: DataFrame, source: str = "source") -> DataFrame:
     """
     own, found, every, spoken = unused(docs, "own", "found", "every", "spoken")
     skill = lambda s: F.struct(F.trim(text_of(s["category"])).alias("category"), hoisted(s["items"]).alias("h"))
-    kept = F.transform(F.filter(own, lambda s: F.size(s["h"]["remaining"]) > 0), lambda s: F.struct(s["category"].alias("category"), s["h"]["remaining"].alias("items")))
+    kept = F.transform(F.filter(F.col(own), lambda s: F.size(s["h"]["remaining"]) > 0), lambda s: F.struct(s["category"].alias("category"), s["h"]["remaining"].alias("items")))
     # Each step is a column of its own: nested in one expression, lambdas would need too many rounds of analysis.
     d = docs.withColumn(own, F.transform(_some(F.col("skills"), SKILLS), skill)).withColumn(found, source_skills(F.col(source)))
     d = d.withColumn(every, F.concat(kept.cast(SKILLS), F.col(found)["skills"]))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import scalars, text
 from quillspark.operators import blocks, coverage, display, intents, layout, lifecycle, limits, ops, packing, profile, qa, sanitize, segment, structured, taxonomy, workflow
+from quillspark.plans import people
 from quillspark.plans import skills as skill_queries
 from quillspark.plans import skills_sql
 from quillspark.plans.sql import ORACLE_SQL
@@ -667,5 +668,5 @@ def version_history(spark, d):
     return o.select("l_orderkey", workflow.history(F.col("l_orderkey") % 7, F.when(F.col("l_orderkey") % 2 == 0, "passed"), F.col("x")).alias("body"))
 
 
-QUERIES |= skill_queries.QUERIES
-ORACLE_SQL |= skills_sql.ORACLE_SQL
+QUERIES |= skill_queries.QUERIES | people.QUERIES
+ORACLE_SQL |= skills_sql.ORACLE_SQL | people.ORACLE_SQL
