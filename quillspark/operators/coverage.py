@@ -19,6 +19,10 @@ SOFT_CODES = (
 )
 
 
+#: Most characters of facts that go to every task (their automaton takes some fifty bytes for each).
+MOST_FACT_CHARS = 4_000_000
+
+
 def grams(c: Column) -> Column:
     """Distinct runs of three characters; the text is split once, so that a run doesn't cost a walk from the start."""
     some = F.array().cast("array<string>")
@@ -27,15 +31,63 @@ def grams(c: Column) -> Column:
     return F.coalesce(bound(letters(c), lambda x: F.when(F.size(x) >= 3, runs(x))), some)
 
 
-def facts_found(facts: DataFrame, texts: DataFrame, fact_id: str, fact: str, text_id: str, text: str) -> DataFrame:
+def facts_found(facts: DataFrame, texts: DataFrame, fact_id: str, fact: str, text_id: str, text: str, most: int = MOST_FACT_CHARS) -> DataFrame:
     """fact_id, text_id of facts contained in a text as a substring, or by tokens of three or more letters anywhere in it or in its spaceless form.
 
-    Blocking by the rarest run of three characters of the fact's tokens: a text or its spaceless form must hold
-    it, so facts meet texts by an equality join on one run. A fact without such a token is in every text;
-    an empty one matches nothing here.
+    A text that holds a fact as a substring holds its tokens too, so the tokens decide. Facts of at most ``most`` characters in all, which
+    are counted first, go to every task as one automaton, and each text is walked through it: nothing is shuffled. Beyond that, facts meet texts by the rarest run of
+    three characters of their tokens. A fact without such a token is in every text (a pair for each, by the rule); an empty one matches nothing here.
     """
     f = facts.select(F.col(fact_id).alias("fact_id"), fidelity(F.col(fact)).alias("fact")).where("fact != ''")
     t = texts.select(F.col(text_id).alias("text_id"), fidelity(F.col(text)).alias("hay"))
+    size = f.agg(F.coalesce(F.sum(F.length("fact")), F.lit(0))).first()[0]
+    return _walked(f, t) if size <= most else _met(f, t)
+
+
+def _walked(f: DataFrame, t: DataFrame) -> DataFrame:
+    """Pairs by an automaton of all facts' tokens in each task."""
+    kinds = {x.name: x.dataType.simpleString() for x in (f.schema["fact_id"], t.schema["text_id"])}
+    rows = f.select("fact_id", F.array_distinct(substantial_tokens(F.col("fact"))).alias("tokens")).collect()  # of counted size
+    sent = f.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in rows])
+    kind = f.schema["fact_id"].dataType
+
+    def walk(batches):
+        import ahocorasick
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        automaton, numbers, needs, of, always = ahocorasick.Automaton(), {}, [], [], []
+        for i, (_, own) in enumerate(sent.value):
+            needs.append(len(own))
+            if not own:
+                always.append(i)
+            for x in own:
+                k = numbers.setdefault(x, len(numbers))
+                if k == len(of):
+                    of.append([])
+                    automaton.add_word(x, k)
+                of[k].append(i)
+        if numbers:
+            automaton.make_automaton()
+        for batch in batches:
+            texts, found = [], []
+            for n, hay in enumerate(batch.column(1).to_pylist()):
+                held = {k for x in (hay, hay.replace(" ", "")) for _, k in automaton.iter(x)} if numbers else set()
+                count = {}
+                for k in held:
+                    for i in of[k]:
+                        count[i] = count.get(i, 0) + 1
+                hits = always + [i for i, c in count.items() if c == needs[i]]
+                texts += [n] * len(hits)
+                found += hits
+            ids = pa.array([sent.value[i][0] for i in found], to_arrow_type(kind))
+            yield pa.RecordBatch.from_arrays([ids, batch.column(0).take(pa.array(texts, pa.int64()))], names=["fact_id", "text_id"])
+
+    return t.mapInArrow(walk, f"fact_id {kinds['fact_id']}, text_id {kinds['text_id']}")
+
+
+def _met(f: DataFrame, t: DataFrame) -> DataFrame:
+    """Pairs by an equality join on the rarest run of each fact; a text or its spaceless form must hold it. Texts are joined to the candidates that are left."""
     runs = f.select("fact_id", F.explode(F.array_distinct(F.flatten(F.transform(substantial_tokens(F.col("fact")), grams)))).alias("run"))
     held = t.select("text_id", F.explode(bound(F.col("hay"), lambda h: F.array_union(grams(h), grams(F.replace(h, F.lit(" "), F.lit("")))))).alias("run"))
     held = held.join(runs.select("run").distinct(), "run", "left_semi")

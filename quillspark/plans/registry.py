@@ -20,6 +20,7 @@ from quillspark.plans import skills as skill_queries
 from quillspark.plans import skills_sql
 from quillspark.plans.sql import ORACLE_SQL
 from quillspark.sources.files import download_name, safe_file_name, updated
+from quillspark.sources import shared, sql_functions, versions
 from quillspark.sources.query import TableQuery
 from quillspark.streaming import events as stream
 from quillspark.tables import table
@@ -499,12 +500,18 @@ def numeric_scalars(spark, d):
 
 @query
 def stream_failure_counts(spark, d):
-    """The event log as a stream, drained once; the windows' counts are few."""
-    counts = stream.failure_counts(stream.read(spark, d, pattern="events.parquet"))
-    name = f"failures_{uuid.uuid4().hex}"
-    q = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    """The event log as a stream, drained once in append mode: a window is written when the watermark has passed it, and its state dropped. Two failures years later let all of them out, and stay in a window of their own that isn't."""
+    log_ = stream.read(spark, d, pattern="events.parquet")
+    root = f"{shared.folder(spark)}/failures-{uuid.uuid4().hex}"
+    end = table(spark, d, "events").limit(1).select(*[(F.timestamp_seconds(F.lit(4_000_000_000)) if f.name == "ts" else F.lit("error") if f.name == "event_type" else F.col(f.name)).cast(f.dataType).alias(f.name) for f in log_.schema.fields])
+    # Three batches: the log, an event that moves the watermark, and another in whose batch that watermark holds.
+    table(spark, d, "events").select(*[F.col(f.name).cast(f.dataType) for f in log_.schema.fields]).coalesce(1).write.parquet(f"{root}/in/a")
+    for name in ("b", "c"):
+        end.coalesce(1).write.parquet(f"{root}/in/{name}")
+    source = spark.readStream.schema(log_.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{root}/in")
+    q = stream.failure_counts(source).writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/out")
     q.awaitTermination()
-    return spark.table(name).select(F.unix_micros("start").alias("start"), "n")
+    return spark.read.schema("start timestamp, n long").parquet(f"{root}/out").select(F.unix_micros("start").alias("start"), "n")
 
 
 @query
@@ -668,5 +675,54 @@ def version_history(spark, d):
     return o.select("l_orderkey", workflow.history(F.col("l_orderkey") % 7, F.when(F.col("l_orderkey") % 2 == 0, "passed"), F.col("x")).alias("body"))
 
 
+@query
+def sql_table_functions(spark, d):
+    """Requests by functions that SQL calls with arguments by name."""
+    r = requests(spark, d)
+    last = r.agg(F.max("updated_at")).first()[0]
+    session = sql_functions.registered(r)
+    at = f"TIMESTAMP '{last}'"
+    return session.sql(f"""
+        SELECT 'retryable' AS kind, id, CAST(NULL AS STRING) AS code FROM retryable_requests(hours => 8760, as_of => {at}) WHERE id % 3 = 0
+        UNION ALL SELECT 'stale', id, NULL FROM stale_requests(minutes => 525600, as_of => {at})
+        UNION ALL (SELECT 'claimable', id, safe_code(priority || ' / ' || request_rank(priority)) FROM claimable_requests(as_of => {at}) ORDER BY rank, created_at, id LIMIT 25)
+        UNION ALL SELECT status, n, CAST(CAST(retry_wait(3) AS INT) AS STRING) FROM queue_counts()""")
+
+
+def _results(spark, d):
+    """Line items as results of their order's request: which status they want, and what their report says."""
+    n = F.col("l_partkey")
+    status = F.when(n % 5 == 0, "draft_ready").when(n % 11 == 0, "failed").otherwise("ready")
+    qa_status = F.when(n % 5 == 0, "draft").when(n % 7 == 0, "failed").otherwise("passed")
+    report = F.concat(F.lit('{"passed": '), F.when((n % 5 > 0) & (n % 13 > 0), "true").otherwise("false"), F.lit("}"))
+    place = F.col("l_linenumber").cast("long") * 1_000_000_000 + n * 10_000 + F.col("l_suppkey")
+    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("request_id"), place.alias("ord"), "l_partkey").agg(F.count("*").alias("c")).select(
+        "request_id", "ord", F.when(n % 3 > 0, "{}").alias("structured_json"), report.alias("qa_report"), status.alias("request_status"), qa_status.alias("qa_status"), F.lit("owner").alias("owner"),
+    )
+
+
+@query
+def committed_versions(spark, d):
+    """Two batches of results, the second of which comes twice: versions with their paths, and the request's status after them."""
+    root = f"{shared.folder(spark)}/versions-{uuid.uuid4().hex}"
+    every = _results(spark, d)
+    first, second = every.where("ord % 2 = 0"), every.where("ord % 2 = 1")
+    at = F.lit("2025-01-01").cast("timestamp")
+    for batch, rows in (("q:0", first), ("q:1", second), ("q:1", second)):
+        versions.commit(rows, root, batch, at)
+    v = versions.read(spark, root, "versions")
+    now = versions.current(requests(spark, d).select("id", "status"), root)
+    files = versions.read(spark, root, "artefacts").groupBy("request_id", "version_number").agg(F.count("*").alias("files"))
+    return v.join(files, ["request_id", "version_number"]).join(now.withColumnRenamed("id", "request_id"), "request_id", "left").select("request_id", "version_number", "qa_status", "final_path", "renderer_input_path", "files", "status", "current_version")
+
+
+@query
+def rejected_versions(spark, d):
+    """Results that the gate refuses, by code."""
+    root = f"{shared.folder(spark)}/versions-{uuid.uuid4().hex}"
+    versions.commit(_results(spark, d), root, "q:0", F.lit("2025-01-01").cast("timestamp"))
+    return versions.read(spark, root, "rejected").groupBy("code").agg(F.count("*").alias("n"))
+
+
 QUERIES |= skill_queries.QUERIES | people.QUERIES
 ORACLE_SQL |= skills_sql.ORACLE_SQL | people.ORACLE_SQL

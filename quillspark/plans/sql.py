@@ -339,3 +339,23 @@ ORACLE_SQL |= {
           || string_agg(CASE WHEN l_returnflag = 'R' THEN 'point_qualite' ELSE l_returnflag END || CASE WHEN l_linestatus = 'O' THEN ': late' ELSE ': cut' END, '; ' ORDER BY l_linenumber, l_partkey, l_suppkey) || '.' AS body
         FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem) WHERE i <= 3 GROUP BY l_orderkey""",
 }
+
+ORACLE_SQL["sql_table_functions"] = f"""
+    WITH l AS (SELECT max(created) AS at_ FROM {REQUESTS})
+    SELECT 'retryable' AS kind, id, NULL AS code FROM {REQUESTS}, l WHERE status = 'failed' AND created < at_ - INTERVAL 8760 HOUR AND id % 3 = 0
+    UNION ALL SELECT 'stale', id, NULL FROM {REQUESTS}, l WHERE status = 'processing' AND locked < at_ - INTERVAL 525600 MINUTE
+    UNION ALL SELECT * FROM (SELECT 'claimable', id, priority || '_' || CASE priority WHEN 'urgent' THEN 0 WHEN 'high' THEN 1 ELSE 2 END FROM {REQUESTS}, l WHERE status = 'submitted' AND attempts < 3
+      ORDER BY CASE priority WHEN 'urgent' THEN 0 WHEN 'high' THEN 1 ELSE 2 END, created, id LIMIT 25)
+    UNION ALL SELECT status, count(*), '40' FROM {REQUESTS} GROUP BY status"""
+
+RESULTS = """
+    (SELECT l_orderkey AS request_id, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey AS ord, l_partkey AS n, l_partkey % 3 > 0 AS has,
+       CASE WHEN l_partkey % 5 = 0 THEN 'draft_ready' WHEN l_partkey % 11 = 0 THEN 'failed' ELSE 'ready' END AS s, CASE WHEN l_partkey % 5 = 0 THEN 'draft' WHEN l_partkey % 7 = 0 THEN 'failed' ELSE 'passed' END AS q,
+       l_partkey % 5 > 0 AND l_partkey % 13 > 0 AS ok FROM lineitem GROUP BY ALL)"""
+GATE = "CASE WHEN s = 'failed' THEN 'unsupported_status' WHEN q = 'failed' THEN 'unsupported_qa_status' WHEN s = 'ready' AND NOT ok THEN 'ready_without_passing_report' END"
+ORACLE_SQL["rejected_versions"] = f"SELECT {GATE} AS code, count(*) AS n FROM {RESULTS} WHERE {GATE} IS NOT NULL GROUP BY ALL"
+ORACLE_SQL["committed_versions"] = f"""
+    WITH v AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY ord % 2, ord) AS version_number FROM {RESULTS} WHERE {GATE} IS NULL),
+    p AS (SELECT *, request_id || '/v' || version_number || '/' AS p FROM v)
+    SELECT p.request_id, version_number, q AS qa_status, p || 'final.pdf' AS final_path, CASE WHEN has THEN p || 'input.json' END AS renderer_input_path, CASE WHEN has THEN 3 ELSE 2 END AS files,
+      arg_max(s, version_number) OVER (PARTITION BY p.request_id) AS status, max(version_number) OVER (PARTITION BY p.request_id) AS current_version FROM p"""
