@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import compact, contains_fact, contains_strictly, fidelity, squeezed, text_of, word, year_tokens
+from quillspark.functions.scalars import bound
+from quillspark.functions.text import compact, contains_fact, contains_strictly, fidelity, fidelity_each, squeezed, text_of, word, year_tokens
 from quillspark.operators.coverage import placeholders, severity
 from quillspark.operators.structured import entities, experience_start, holds_term, integrity_codes, locations, role_fragments, strings
 
@@ -22,6 +23,8 @@ EXCLUDED = r"(?iu)@|linkedin|github\.com|https?://|\+33|\b0[67](?:[ .-]?[0-9]{2}
 VALUED = ("realisations", "realisations professionnelles", "exemples de realisations professionnelles", "projets", "projets significatifs", "certifications", "competences", "competences techniques", "competences et outils", "langues", "languages")
 MIXED, BUSINESS = "autres", "projet|realisation|certification|formation|langue|anglais|espagnol|allemand|italien|java|python|react|angular|node|aws|azure|gcp|docker|kubernetes|sql|agile|agiles|scrum|itil|erp|crm|si|rpa|api|devops|cloud|data|bi|cyber|management|pilotage|moa|moe|recette|migration|deploiement|déploiement"
 LEAST_FACT, LEAST_ITEM, LEAST_LOOKUP = 12, 18, 20
+#: Longer lines can't be the heading of a section; words before a colon are at most as long by their pattern.
+LONGEST_HEADING = 80
 FALLBACK_TITLES = ("consultant it", "consultant", "dev", "developpeur")
 TECHNICAL = ("environnement technique", "environnements techniques", "stack technique", "stacks techniques", "technologies")
 SYNTHESIS = "synthese"
@@ -41,9 +44,14 @@ _ENDS, _COLON = r" •✓\-–—\t", r" :•✓\-–—\t"
 def section_name(line: Column) -> Column:
     """The name of a valued section for a line that is its heading, else null."""
     x = squeezed(_cut(line, _COLON))
+    return _named(x, fidelity(x))
+
+
+def _named(x: Column, folded: Column) -> Column:
+    """The same for a line that is cut and squeezed, and its folded form."""
     known = F.create_map(*[F.lit(v) for kv in SECTIONS.items() for v in kv])
     spelled = F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 999))
-    return F.coalesce(F.try_element_at(known, fidelity(x)), F.when(x.rlike(SECTION), spelled))
+    return F.coalesce(F.try_element_at(known, folded), F.when(x.rlike(SECTION), spelled))
 
 
 def inline_section(line: Column) -> Column:
@@ -72,20 +80,33 @@ def relevant(section: Column, fact: Column) -> Column:
 
 
 def _marked(text: Column) -> Column:
-    """Of each line: itself, whether it opens an item, and its text without bullets (empty if that's excluded)."""
+    """Of each line: itself, whether it opens an item, and its text without bullets (empty if that's excluded).
+
+    Lines and what stands before their colon are folded in two strokes for the whole text, and only where they're short enough for a heading.
+    """
     lines = F.transform(F.split(compact(text), "\n"), lambda x: F.trim(x))
     bare = lambda x: _cut(x, r"✓•\-* ")
+    split = r"^([^:：]{3,80})\s*[:：]\s*(.*)$"
+    short = lambda a: fidelity_each(F.transform(a, lambda x: F.when(F.length(x) <= LONGEST_HEADING, x).otherwise("")))
+
+    def of(own: Column) -> Column:
+        plain = F.transform(own, lambda x: squeezed(_cut(x, _COLON)))
+        inline = F.transform(own, lambda x: squeezed(_cut(x, _ENDS)))
+        heads = F.transform(inline, lambda x: squeezed(_cut(F.when(x.rlike(split), F.regexp_extract(x, split, 1)).otherwise(x), _COLON)))
+        values = F.transform(inline, lambda x: F.when(x.rlike(split), F.trim(F.regexp_extract(x, split, 2))).otherwise(""))
+        parts = F.struct(own.alias("own"), plain.alias("plain"), heads.alias("heads"), values.alias("values"), short(plain).alias("folded"), short(heads).alias("folded_heads"))
+        return bound(parts, lambda p: F.transform(p["own"], lambda x, i: facts(x, F.get(p["plain"], i), F.get(p["heads"], i), F.get(p["values"], i), F.get(p["folded"], i), F.get(p["folded_heads"], i))))
 
-    def facts(x: Column) -> Column:
+    def facts(x: Column, plain: Column, head: Column, value: Column, folded: Column, folded_head: Column) -> Column:
         body = F.when(excluded(bare(x)) | (x == ":"), "").otherwise(bare(x))
-        found = inline_section(x)
-        heading = squeezed(_cut(x, _COLON))
+        section = _named(head, folded_head)
+        ends = (plain != "") & (plain.rlike(BOUNDARY) | section.isNotNull() | _named(plain, folded).isNotNull() | experience_start(plain) | plain.rlike(EXPERIENCE_HEADING))
         return F.struct(
-            x.alias("line"), x.rlike(r"^[✓•\-*]\s*\S").alias("opens"), body.alias("body"), found["section"].alias("section"),
-            F.when(excluded(found["value"]), "").otherwise(found["value"]).alias("value"), boundary(x).alias("ends"), F.when(heading.rlike(EXPERIENCE_HEADING), heading).alias("heading"),
+            x.alias("line"), x.rlike(r"^[✓•\-*]\s*\S").alias("opens"), body.alias("body"), section.alias("section"), F.when(excluded(value), "").otherwise(value).alias("value"), ends.alias("ends"),
+            F.when(plain.rlike(EXPERIENCE_HEADING), plain).alias("heading"),
         )
 
-    return F.transform(lines, facts)
+    return bound(lines, of)
 
 
 def _put(out: Column, section: Column, item: Column) -> Column:
@@ -167,12 +188,6 @@ def technical_allowed(source: Column, heading: Column) -> Column:
     return ~n.isin(*TECHNICAL) | F.concat(F.lit(" "), source, F.lit(" ")).contains(F.concat(F.lit(" "), n, F.lit(" ")))
 
 
-def competences_covered(expected: Column, actual: Column, least: float = 0.70) -> Column:
-    """Whether the distinct folded tokens of the actual items hold that share of those expected; true if none is expected."""
-    want, have = (F.array_distinct(F.filter(F.flatten(F.transform(c, lambda x: F.split(fidelity(x), " "))), lambda t: t != "")) for c in (expected, actual))
-    return (F.size(want) == 0) | (F.size(F.array_intersect(want, have)) / F.greatest(F.size(want), F.lit(1)) >= least)
-
-
 def required_facts(experiences: Column, highlights: bool = True) -> Column:
     """Distinct facts that a rendered document must show: dates, companies, parts of roles, contents; of at least four characters."""
     long = lambda a: F.filter(F.transform(a, lambda x: F.trim(x)), lambda x: F.length(x) >= 4)
@@ -280,4 +295,4 @@ def summary(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return g.withColumn("message", F.when(F.col("hard_count") > 0, text))
 
 
-__all__ = ["business_facts", "competences_covered", "experience_items", "issues", "rendered_issues", "required_facts", "section_of", "summary"]
+__all__ = ["business_facts", "experience_items", "issues", "rendered_issues", "required_facts", "section_of", "summary"]

@@ -165,11 +165,11 @@ def with_crumbs(blocks: Column) -> Column:
 def split(docs: DataFrame, key: str = "doc_id", text: str = "text", target: int = TARGET_CHARS) -> DataFrame:
     """key, ord (from 1), kind, block of every row; a text that is null or empty gives no row.
 
-    Each step's array is a column of its own, so that its folds run once per row.
+    Each step reads the array of the one before once, so however the steps are collapsed, a fold runs once per row.
     """
     d = docs.select(key, cut(F.col(text)).alias("b"))
     for step in (repaired, lambda b: sized(b, target), repaired, with_headings, with_crumbs):
-        d = d.select(key, F.when(F.size("b") > 0, step(F.col("b"))).otherwise(F.col("b")).alias("b"))
+        d = d.select(key, step(F.col("b")).alias("b"))
     return d.select(key, F.posexplode("b").alias("ord", "x")).select(key, (F.col("ord") + 1).alias("ord"), "x.kind", F.col("x.text").alias("block"))
 
 

@@ -311,4 +311,4 @@ def experience_start(line: Column) -> Column:
     starts = x.rlike(rf"(?iu)^(?:(?:[0-9]{{2}}/[0-9]{{4}}|[0-9]{{4}})\s*(?:[-–—]|à|a|au|to)\s*(?:[0-9]{{2}}/[0-9]{{4}}|[0-9]{{4}}|aujourd|présent|present|ce\s+jour)|(?:{MONTHS})\s+[0-9]{{4}}|[0-9]{{4}}(?![\p{{L}}\p{{N}}_]).+)(?:(?<=[\p{{L}}\p{{N}}_])(?![\p{{L}}\p{{N}}_])|(?<![\p{{L}}\p{{N}}_])(?=[\p{{L}}\p{{N}}_]))")
     who = x.rlike(word(ROLE_WORDS)) | x.rlike(rf"(?<![\p{{L}}\p{{N}}_])[{CAPITALS}]{{3,}}(?![\p{{L}}\p{{N}}_])")
     when = x.rlike(DATE_RANGE) | x.rlike(rf"(?iu)^(?:{MONTHS})\s+[0-9]{{4}}") | x.rlike(r"^(?:19|20)[0-9]{2}(?![\p{L}\p{N}_]).+")
-    return starts & who & when & ~fidelity(x).rlike(r"^(?:19|20)[0-9]{2}$")
+    return starts & who & when  # a role word or capitals make it more than a year

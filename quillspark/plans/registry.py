@@ -18,6 +18,7 @@ from quillspark.operators import blocks, coverage, display, intents, layout, lif
 from quillspark.plans import people
 from quillspark.plans import skills as skill_queries
 from quillspark.plans import skills_sql
+from quillspark.plans import sources as source_queries
 from quillspark.plans.sql import ORACLE_SQL
 from quillspark.sources.files import download_name, safe_file_name, updated
 from quillspark.sources import shared, sql_functions, versions
@@ -724,5 +725,5 @@ def rejected_versions(spark, d):
     return versions.read(spark, root, "rejected").groupBy("code").agg(F.count("*").alias("n"))
 
 
-QUERIES |= skill_queries.QUERIES | people.QUERIES
-ORACLE_SQL |= skills_sql.ORACLE_SQL | people.ORACLE_SQL
+QUERIES |= skill_queries.QUERIES | people.QUERIES | source_queries.QUERIES
+ORACLE_SQL |= skills_sql.ORACLE_SQL | people.ORACLE_SQL | source_queries.ORACLE_SQL

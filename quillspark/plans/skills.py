@@ -209,3 +209,14 @@ def syntheses(spark, d):
     section = lambda s: F.concat_ws("=", s["heading"], F.array_join(s["content"], ";"))
     every = F.array_join(F.transform("experiences", lambda x: F.array_join(F.transform(x["sections"], section), "/")), "|")
     return out.select("o_orderkey", "synthesis_mode", F.md5(every).alias("experiences"))
+
+
+@query
+def covered_skills(spark, d):
+    """Whether the skills of a brand's parts of some sizes cover those of others, for two names of a section and one that is none."""
+    p = table(spark, d, "part")
+    lists = lambda when: F.collect_list(F.when(when, F.concat_ws(" ", "p_name", F.col("p_size") % 3)))
+    g = p.groupBy("p_brand").agg(lists(F.col("p_partkey") % 40 == 0).alias("want"), lists(F.col("p_partkey") % 7 < 4).alias("have"))
+    of = lambda c: skills.keys(F.array(F.struct(F.lit("x").alias("category"), F.col(c).alias("items"))).cast(SKILLS))
+    section = F.when(F.substring("p_brand", 7, 9).cast("int") % 4 == 0, "Projets").when(F.substring("p_brand", 7, 9).cast("int") % 4 == 1, "COMPÉTENCES").otherwise("Compétences et outils :")
+    return g.select("p_brand", skills.covered(section, of("want"), of("have")).alias("covered"))

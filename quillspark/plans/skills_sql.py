@@ -226,7 +226,14 @@ t AS (
 SELECT o_orderkey, mode AS synthesis_mode, md5(string_agg(body, '|' ORDER BY i)) AS experiences FROM t GROUP BY o_orderkey, mode
 """
 
+COVERED = f"""
+WITH k AS (SELECT p_brand, p_partkey AS n, {KEY("p_name || ' ' || p_size % 3")} AS k FROM part),
+b AS (SELECT p_brand, coalesce(list(DISTINCT k) FILTER (n % 40 = 0), []) AS want, coalesce(list(DISTINCT k) FILTER (n % 7 < 4), []) AS have FROM k GROUP BY p_brand)
+SELECT p_brand, CAST(substring(p_brand, 7) AS INT) % 4 > 0 AND len(want) > 0 AND len(have) > 0 AND len(list_intersect(want, have)) / greatest(len(want), 1) >= 0.7 AS covered FROM b
+"""
+
 ORACLE_SQL = {
+    "covered_skills": COVERED,
     "hoisted_languages": HOISTED,
     "display_skills": DISPLAY,
     "merged_skills": MERGED,

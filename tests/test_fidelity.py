@@ -5,7 +5,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
-from quillspark.operators import fidelity
+from quillspark.operators import fidelity, skills
 
 SCHEMA = (
     "doc_id int, name string, title string, formations array<struct<date:string,degree:string,school:string>>, skills array<struct<category:string,items:array<string>>>,"
@@ -81,7 +81,8 @@ def test_rendered(spark):
 def test_small_rules(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     arr = lambda *x: F.array(*[F.lit(v) for v in x])
-    assert one(fidelity.competences_covered(arr("Java Spring", "SQL"), arr("java", "spring"))) is False and one(fidelity.competences_covered(arr("Java Spring", "SQL", "AWS"), arr("java", "spring", "Sql"))) is True
+    keys = lambda *x: F.array(*[F.lit(k) for k in x])
+    assert one(skills.covered(F.lit("Compétences"), keys("javaspring", "sql"), keys("java", "spring"))) is False and one(skills.covered(F.lit("Compétences"), keys("java", "sql"), keys("java", "sql"))) is True
     assert one(fidelity.full_name(F.lit("Jane Doe"))) is True and one(fidelity.full_name(F.lit("Jane"))) is False and one(fidelity.full_name(F.lit(None).cast("string"))) is False
     facts = F.array(F.struct(F.lit("Projets").alias("section"), F.lit("Migration complète du système").alias("fact")))
     assert one(fidelity.section_of(facts, F.lit("migration complete du systeme"))) == "Projets" and one(fidelity.section_of(facts, F.lit("court"))) is None
