@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +21,8 @@ SOFT_CODES = (
 )
 
 
-#: Most characters of facts that go to every task (their automaton takes some fifty bytes for each).
-MOST_FACT_CHARS = 4_000_000
+#: Most characters of facts whose tokens become patterns and go to every task.
+MOST_FACT_CHARS = 400_000
 
 
 def grams(c: Column) -> Column:
@@ -34,9 +36,10 @@ def grams(c: Column) -> Column:
 def facts_found(facts: DataFrame, texts: DataFrame, fact_id: str, fact: str, text_id: str, text: str, most: int = MOST_FACT_CHARS) -> DataFrame:
     """fact_id, text_id of facts contained in a text as a substring, or by tokens of three or more letters anywhere in it or in its spaceless form.
 
-    A text that holds a fact as a substring holds its tokens too, so the tokens decide. Facts of at most ``most`` characters in all, which
-    are counted first, go to every task as one automaton, and each text is walked through it: nothing is shuffled. Beyond that, facts meet texts by the rarest run of
-    three characters of their tokens. A fact without such a token is in every text (a pair for each, by the rule); an empty one matches nothing here.
+    A text that holds a fact as a substring holds its tokens too, and what stands in a text stands in its spaceless form: so tokens in that form decide.
+    Tokens of at most ``most`` characters in all, which are counted first, become patterns that find all of them in one walk through the text, so that a
+    text leaves its row with the tokens that it holds and nothing is shuffled. Beyond that, facts meet texts by the rarest run of three characters of
+    their tokens. A fact without such a token is in every text (a pair for each, by the rule); an empty one matches nothing here.
     """
     f = facts.select(F.col(fact_id).alias("fact_id"), fidelity(F.col(fact)).alias("fact")).where("fact != ''")
     t = texts.select(F.col(text_id).alias("text_id"), fidelity(F.col(text)).alias("hay"))
@@ -44,46 +47,44 @@ def facts_found(facts: DataFrame, texts: DataFrame, fact_id: str, fact: str, tex
     return _walked(f, t) if size <= most else _met(f, t)
 
 
+def _pattern(words: list[str]) -> str:
+    """A pattern for any of the words, of which none begins another, branching by character."""
+    if len(words) == 1:
+        return re.escape(words[0])
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[0], []).append(w[1:])
+    return "(?:" + "|".join(re.escape(c) + (_pattern(rest) if rest != [""] else "") for c, rest in sorted(heads.items())) + ")"
+
+
+def _layers(words: list[str]) -> list[list[str]]:
+    """The words dealt to lists in none of which a word begins another: by how many of the others begin it."""
+    every, out = set(words), []
+    for w in sorted(every):
+        n = sum(w[:k] in every for k in range(1, len(w)))
+        while len(out) <= n:
+            out.append([])
+        out[n].append(w)
+    return out
+
+
 def _walked(f: DataFrame, t: DataFrame) -> DataFrame:
-    """Pairs by an automaton of all facts' tokens in each task."""
-    kinds = {x.name: x.dataType.simpleString() for x in (f.schema["fact_id"], t.schema["text_id"])}
-    rows = f.select("fact_id", F.array_distinct(substantial_tokens(F.col("fact"))).alias("tokens")).collect()  # of counted size
-    sent = f.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in rows])
-    kind = f.schema["fact_id"].dataType
-
-    def walk(batches):
-        import ahocorasick
-        import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        automaton, numbers, needs, of, always = ahocorasick.Automaton(), {}, [], [], []
-        for i, (_, own) in enumerate(sent.value):
-            needs.append(len(own))
-            if not own:
-                always.append(i)
-            for x in own:
-                k = numbers.setdefault(x, len(numbers))
-                if k == len(of):
-                    of.append([])
-                    automaton.add_word(x, k)
-                of[k].append(i)
-        if numbers:
-            automaton.make_automaton()
-        for batch in batches:
-            texts, found = [], []
-            for n, hay in enumerate(batch.column(1).to_pylist()):
-                held = {k for x in (hay, hay.replace(" ", "")) for _, k in automaton.iter(x)} if numbers else set()
-                count = {}
-                for k in held:
-                    for i in of[k]:
-                        count[i] = count.get(i, 0) + 1
-                hits = always + [i for i, c in count.items() if c == needs[i]]
-                texts += [n] * len(hits)
-                found += hits
-            ids = pa.array([sent.value[i][0] for i in found], to_arrow_type(kind))
-            yield pa.RecordBatch.from_arrays([ids, batch.column(0).take(pa.array(texts, pa.int64()))], names=["fact_id", "text_id"])
-
-    return t.mapInArrow(walk, f"fact_id {kinds['fact_id']}, text_id {kinds['text_id']}")
+    """Pairs by the tokens that each text holds: at every place, a look ahead by each layer's pattern."""
+    f = f.select("fact_id", F.array_distinct(substantial_tokens(F.col("fact"))).alias("tokens"))
+    words = [r[0] for r in f.select(F.explode("tokens")).distinct().collect()]  # of counted size
+    always = f.where(F.size("tokens") == 0).select("fact_id").crossJoin(t.select("text_id"))
+    if not words:
+        return always
+    tight = F.replace(F.col("hay"), F.lit(" "), F.lit(""))
+    found = lambda x: F.array_distinct(F.concat(*[F.regexp_extract_all(x, F.lit(f"(?=({_pattern(layer)}))"), 1) for layer in _layers(words)]))
+    held = t.select("text_id", bound(tight, found).alias("held"))
+    # Each fact is looked up by its longest token, which the fewest texts hold. Only those leave the row, with its tokens beside them.
+    longest = F.array_max(F.transform("tokens", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    keyed = f.where(F.size("tokens") > 0).withColumn("key", longest)
+    keys = F.array(*[F.lit(r[0]) for r in keyed.select("key").distinct().collect()])  # no more than the words
+    some = held.select("text_id", "held", F.array_intersect("held", keys).alias("keys")).where(F.size("keys") > 0)
+    met = some.select("text_id", "held", F.explode("keys").alias("key")).join(F.broadcast(keyed), "key")
+    return met.where(F.size(F.array_except("tokens", "held")) == 0).select("fact_id", "text_id").unionByName(always)
 
 
 def _met(f: DataFrame, t: DataFrame) -> DataFrame:
