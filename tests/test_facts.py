@@ -17,3 +17,16 @@ def test_facts_inside_and_across_words(spark):
     want = sorted((i, j) for i, a in facts.items() for j, b in texts.items() if holds(a, b))
     assert {(1, 10), (2, 11), (3, 12), (4, 12), (5, 13), (7, 10)} <= set(want)
     assert sorted(tuple(r) for r in coverage.facts_found(f, t, "f", "t", "d", "x").collect()) == want
+
+
+def test_both_ways_give_the_same(spark):
+    """Patterns of all tokens, and the join on runs beyond the limit; tokens that begin others, cross word borders, or are absent."""
+    facts = [(1, "java javascript"), (2, "script"), (3, "a b"), (4, ""), (5, "red widget c++"), (6, "jav"), (7, "zzz java"), (8, None)]
+    texts = [(10, "JavaScript and java"), (11, "we sc ript all"), (12, "red wid get, C++!"), (13, None), (14, "jav")]
+    f, t = spark.createDataFrame(facts, "k int, v string"), spark.createDataFrame(texts, "k int, v string")
+    found = [sorted(map(tuple, coverage.facts_found(f, t, "k", "v", "k", "v", most).collect())) for most in (10**6, 0)]
+    assert found[0] == found[1]
+    assert [p for p in found[0] if p[0] != 3] == [(1, 10), (2, 10), (2, 11), (5, 12), (6, 10), (6, 14)]
+    assert [p for p in found[0] if p[0] == 3] == [(3, k) for k in range(10, 15)]
+    nothing = spark.createDataFrame([], "k int, v string")
+    assert coverage.facts_found(nothing, t, "k", "v", "k", "v").count() == 0 == coverage.facts_found(f, nothing, "k", "v", "k", "v").count()
