@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.arrays import unused
 from quillspark.functions.scalars import bound
-from quillspark.functions.text import fidelity_each, first_name, text_of
+from quillspark.functions.text import fidelity_each, first_name, text_of, upper
 
 # Words that no name has, words that end one, titles before one, and words of a document's header.
 REJECTED = (
@@ -87,7 +87,7 @@ def _facts(lines: Column, most: int | None = None) -> Column:
 def _capital(t: Column) -> Column:
     """Whether a token begins with a letter that isn't a small one."""
     first = F.substring(F.regexp_replace(t, _EDGE, ""), 1, 1)
-    return first.rlike(r"^\p{L}") & (F.upper(first) == first)
+    return first.rlike(r"^\p{L}") & (upper(first) == first)
 
 
 def _alone(x: Column) -> Column:
@@ -188,9 +188,10 @@ def identified(docs: DataFrame, source: str = "source", given: str = "candidate_
     name = first_name(F.col(given))
     d = docs.withColumn(lines, _lines(F.col(source), KNOWN_LINES)).withColumn(found, F.when(name.isNull(), _best(F.col(lines))))
     d = d.withColumn("first_name", F.coalesce(name, first_name(F.col(found)["first"])))
-    # Only lines that hold the name in some way are split and folded.
+    # Only lines that hold the name in some way are split and folded: both in Java's upper case, in which a capital sharp s stays.
+    holds = lambda x, name: F.upper(F.replace(x, F.lit("ß"), F.lit("ẞ"))).contains(F.upper(name))
     both = F.struct(F.col(lines).alias("lines"), F.col("first_name").alias("name"))
-    d = d.withColumn(line, bound(both, lambda b: bound(_facts(F.filter(b["lines"], lambda x: F.upper(x).contains(b["name"]))), lambda f: _named(f, b["name"]))))
+    d = d.withColumn(line, bound(both, lambda b: bound(_facts(F.filter(b["lines"], lambda x: holds(x, b["name"]))), lambda f: _named(f, b["name"]))))
     terms = bound(F.struct(F.col(line).alias("line"), F.col("first_name").alias("name")), lambda b: _forbidden(b["line"], b["name"]))
     return d.withColumn("forbidden", F.coalesce(F.when(F.col(line).isNotNull(), terms), F.array().cast("array<string>"))).drop(lines, found, line)
 
