@@ -149,39 +149,43 @@ def skill_items(lines: Column) -> Column:
 def hoisted(items: Column) -> Column:
     """Struct of ``remaining`` items and ``languages``: an item that begins with a spoken language is one, with the level in it and in the items that follow as long as they look like a level.
 
-    A fold with two registers: a language waits, with its level so far, until an item comes that isn't part of it.
+    What an item does depends on the last one before it that doesn't look like a level: so the places of those alone cut the list into runs, each a language with
+    the items of its level, or items that remain. Nothing grows item by item, so a list of any length costs in proportion to it.
     """
 
     def of(given: Column) -> Column:
+        plain = F.transform(given, lambda x: F.trim(text_of(x)))
         bare = F.transform(given, lambda x: _cut(F.trim(text_of(x)), _EDGES))
         tails = F.transform(given, lambda x: _cut(F.regexp_replace(F.trim(text_of(x)), rf"(?iu)^(?:{NAMES})", ""), _EDGES))
-        facts = F.arrays_zip(given.alias("item"), bare.alias("bare"), folded_each(bare).alias("folded"), tails.alias("tail"), folded_each(tails).alias("folded_tail"))
-        return F.aggregate(facts, start, step, done)
+        return bound(F.struct(plain.alias("items"), bare.alias("bare"), tails.alias("tails")), told)
+
+    def told(s: Column) -> Column:
+        level = F.arrays_zip(s["bare"].alias("bare"), folded_each(s["bare"]).alias("folded"), s["items"].alias("item"))
+        opens = lambda x: x["item"].rlike(heading)
+        # An item that opens a language begins with its name, bare or not, so it goes on with none.
+        mark = F.transform(level, lambda x: F.when(opens(x), "o").when(~x["bare"].rlike(heading) & levelled(x["folded"], x["bare"]), "-").otherwise("x"))
+        return bound(F.struct(s["items"].alias("items"), s["bare"].alias("bare"), s["tails"].alias("tails"), folded_each(s["tails"]).alias("folded_tails"), mark.alias("marks")), cut)
+
+    def cut(s: Column) -> Column:
+        starts = F.filter(F.transform(s["marks"], lambda m, i: F.struct(i.alias("at"), m.alias("mark"))), lambda x: (x["mark"] != "-") | (x["at"] == 0))
+        return bound(starts, lambda c: runs(s, F.transform(c, lambda x, k: F.struct(x["mark"].alias("mark"), x["at"].alias("at"), (F.coalesce(F.get(c, k + 1)["at"], F.size(s["items"])) - x["at"]).alias("n")))))
+
+    def runs(s: Column, every: Column) -> Column:
+        def language(r: Column) -> Column:
+            name = F.regexp_extract(F.get(s["items"], r["at"]), rf"(?iu)({NAMES})", 1)
+            name = F.concat(F.upper(F.substring(name, 1, 1)), F.lower(F.substring(name, 2, 99)))
+            own = F.when(levelled(F.get(s["folded_tails"], r["at"]), F.get(s["tails"], r["at"])), F.get(s["tails"], r["at"])).otherwise("")
+            level = F.array_join(F.filter(F.concat(F.array(own), F.slice(s["bare"], r["at"] + 2, r["n"] - 1)), lambda x: x != ""), " ")
+            return F.struct(name.alias("name"), squeezed(_cut(level, _EDGES)).alias("level"))
+
+        def result(e: Column) -> Column:
+            remaining = F.flatten(F.transform(F.filter(e, lambda r: r["mark"] != "o"), lambda r: F.slice(s["items"], r["at"] + 1, r["n"])))
+            return F.struct(remaining.cast(STRINGS).alias("remaining"), F.transform(F.filter(e, lambda r: r["mark"] == "o"), language).cast(LANGUAGES).alias("languages"))
+
+        return bound(every, result)
 
     levelled = lambda folded, raw: (raw != "") & (folded.rlike(LEVEL_PARTS) | folded.isin(*GRADES) | raw.contains(","))
     heading = rf"(?iu)^\s*(?:{NAMES}){STOP}"
-    none = F.lit(None).cast("string")
-    start = F.struct(F.array().cast(STRINGS).alias("remaining"), F.array().cast(LANGUAGES).alias("languages"), none.alias("name"), F.lit("").alias("level"))
-
-    def flushed(a: Column) -> Column:
-        level = squeezed(_cut(a["level"], _EDGES))
-        return F.when(a["name"].isNotNull(), F.concat(a["languages"], F.array(F.struct(a["name"].alias("name"), level.alias("level"))))).otherwise(a["languages"])
-
-    def step(a: Column, x: Column) -> Column:
-        item = F.trim(text_of(x["item"]))
-        goes_on = a["name"].isNotNull() & ~x["bare"].rlike(heading) & levelled(x["folded"], x["bare"])
-        opens = ~goes_on & item.rlike(heading)
-        name = F.regexp_extract(item, rf"(?iu)({NAMES})", 1)
-        name = F.concat(F.upper(F.substring(name, 1, 1)), F.lower(F.substring(name, 2, 99)))
-        level = F.when(levelled(x["folded_tail"], x["tail"]), x["tail"]).otherwise("")
-        return F.struct(
-            F.when(goes_on | opens, a["remaining"]).otherwise(F.concat(a["remaining"], F.array(item))).alias("remaining"),
-            F.when(goes_on, a["languages"]).otherwise(flushed(a)).alias("languages"),
-            F.when(goes_on, a["name"]).when(opens, name).otherwise(none).alias("name"),
-            F.when(goes_on, F.trim(F.concat_ws(" ", a["level"], x["bare"]))).when(opens, level).otherwise("").alias("level"),
-        )
-
-    done = lambda a: F.struct(a["remaining"].alias("remaining"), flushed(a).alias("languages"))
     return bound(_some(items, STRINGS), of)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import json
 
 import pytest
@@ -229,3 +231,13 @@ def test_syntheses(spark):
     assert old[0]["content"][:2] == ["m1", "m2"] and old[0]["content"][2].startswith("Synthèse Q: 1 élément(s)")
     assert out[2]["experiences"][:3] == out[1]["experiences"][:3] and len(out[4]["experiences"][1]["sections"][0]["content"]) == 2
     assert out[7]["experiences"][4]["sections"][0]["content"][0].startswith("Mission ancienne")
+
+
+def test_a_long_list_is_hoisted_in_proportion_to_its_length(spark):
+    """A fold that copies its result item by item needs minutes for so many items."""
+    n = 150_000
+    item = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(i % 5 == 0, "anglais").when(i % 5 == 1, "lu, parlé").when(i % 5 == 2, " B2 ").when(i % 5 == 3, "Jardin").otherwise("courant"))
+    start = time.monotonic()
+    h = spark.range(1).select(skills.hoisted(item).alias("h")).select(F.size("h.remaining"), F.size("h.languages"), F.array_distinct("h.remaining"), F.array_distinct(F.transform("h.languages", lambda x: F.concat_ws(":", x["name"], x["level"])))).first()
+    assert tuple(h) == (2 * n // 5, n // 5, ["Jardin", "courant"], ["Anglais:lu, parlé B2"])
+    assert time.monotonic() - start < 60
