@@ -23,6 +23,8 @@ EXCLUDED = r"(?iu)@|linkedin|github\.com|https?://|\+33|\b0[67](?:[ .-]?[0-9]{2}
 VALUED = ("realisations", "realisations professionnelles", "exemples de realisations professionnelles", "projets", "projets significatifs", "certifications", "competences", "competences techniques", "competences et outils", "langues", "languages")
 MIXED, BUSINESS = "autres", "projet|realisation|certification|formation|langue|anglais|espagnol|allemand|italien|java|python|react|angular|node|aws|azure|gcp|docker|kubernetes|sql|agile|agiles|scrum|itil|erp|crm|si|rpa|api|devops|cloud|data|bi|cyber|management|pilotage|moa|moe|recette|migration|deploiement|déploiement"
 LEAST_FACT, LEAST_ITEM, LEAST_LOOKUP = 12, 18, 20
+#: Lines whose folded form may be that of a section: they begin with its first word or a page's mark, or need folding to tell.
+MAYBE = r"(?i)[^\x00-\x7F]|^[^a-z0-9+#]*(?:exemples|realisations|projets|certifications|competences|langu|autres|page)"
 #: Longer lines can't be the heading of a section; words before a colon are at most as long by their pattern.
 LONGEST_HEADING = 80
 FALLBACK_TITLES = ("consultant it", "consultant", "dev", "developpeur")
@@ -35,10 +37,17 @@ ISSUE = "array<struct<code:string,place:string,fact:string>>"
 
 
 def _cut(c: Column, marks: str) -> Column:
-    return F.regexp_replace(c, f"^[{marks}]+|[{marks}]+$", "")
+    """A text without the given characters at its ends."""
+    return F.btrim(c, F.lit(marks))
 
 
-_ENDS, _COLON = r" •✓\-–—\t", r" :•✓\-–—\t"
+_ENDS, _COLON = " •✓-–—\t", " :•✓-–—\t"
+
+
+def _single_spaced(line: Column) -> Column:
+    """``squeezed`` for a line that isn't null: most hold nothing but single spaces and pass as they are."""
+    wide = lambda x: x.contains("  ") | x.contains("\t") | x.contains("\x0b") | x.contains("\f") | x.contains("\r") | x.contains("\n")
+    return bound(line, lambda x: F.trim(F.when(wide(x), F.regexp_replace(x, r"\s+", " ")).otherwise(x)))
 
 
 def section_name(line: Column) -> Column:
@@ -79,32 +88,51 @@ def relevant(section: Column, fact: Column) -> Column:
     return (f != "") & (s.isin(*VALUED) | ((s == MIXED) & f.rlike(word(BUSINESS))))
 
 
+def _folds_to(fact: Column, least: int) -> Column:
+    """Whether the folded form has at least so many characters. One with as many plain letters needs no folding to tell, unless it may hold a page's mark."""
+    plain = fact.rlike(rf"^(?:[^A-Za-z+#]*[A-Za-z+#]){{{least}}}") & ~fact.rlike(r"[\p{N}\p{So}]")
+    return F.when(plain, F.lit(True)).otherwise(F.length(fidelity(fact)) >= least)
+
+
 def _marked(text: Column) -> Column:
-    """Of each line: itself, whether it opens an item, and its text without bullets (empty if that's excluded).
+    """Of each line: itself, whether it opens an item, and its text without bullets (whether that's excluded is asked only within a section).
 
-    Lines and what stands before their colon are folded in two strokes for the whole text, and only where they're short enough for a heading.
+    Lines and what stands before their colon are folded in two strokes for the whole text, and only where they can be the heading of a section. Each
+    array is bound before the next is made of it: one that isn't is made again for every use.
     """
     lines = F.transform(F.split(compact(text), "\n"), lambda x: F.trim(x))
-    bare = lambda x: _cut(x, r"✓•\-* ")
     split = r"^([^:：]{3,80})\s*[:：]\s*(.*)$"
-    short = lambda a: fidelity_each(F.transform(a, lambda x: F.when(F.length(x) <= LONGEST_HEADING, x).otherwise("")))
+    short = lambda a: F.transform(a, lambda x: F.when((F.length(x) <= LONGEST_HEADING) & x.rlike(MAYBE), x).otherwise(""))
 
     def of(own: Column) -> Column:
-        plain = F.transform(own, lambda x: squeezed(_cut(x, _COLON)))
-        inline = F.transform(own, lambda x: squeezed(_cut(x, _ENDS)))
-        heads = F.transform(inline, lambda x: squeezed(_cut(F.when(x.rlike(split), F.regexp_extract(x, split, 1)).otherwise(x), _COLON)))
-        values = F.transform(inline, lambda x: F.when(x.rlike(split), F.trim(F.regexp_extract(x, split, 2))).otherwise(""))
-        parts = F.struct(own.alias("own"), plain.alias("plain"), heads.alias("heads"), values.alias("values"), short(plain).alias("folded"), short(heads).alias("folded_heads"))
-        return bound(parts, lambda p: F.transform(p["own"], lambda x, i: facts(x, F.get(p["plain"], i), F.get(p["heads"], i), F.get(p["values"], i), F.get(p["folded"], i), F.get(p["folded_heads"], i))))
-
-    def facts(x: Column, plain: Column, head: Column, value: Column, folded: Column, folded_head: Column) -> Column:
-        body = F.when(excluded(bare(x)) | (x == ":"), "").otherwise(bare(x))
-        section = _named(head, folded_head)
-        ends = (plain != "") & (plain.rlike(BOUNDARY) | section.isNotNull() | _named(plain, folded).isNotNull() | experience_start(plain) | plain.rlike(EXPERIENCE_HEADING))
-        return F.struct(
-            x.alias("line"), x.rlike(r"^[✓•\-*]\s*\S").alias("opens"), body.alias("body"), section.alias("section"), F.when(excluded(value), "").otherwise(value).alias("value"), ends.alias("ends"),
-            F.when(plain.rlike(EXPERIENCE_HEADING), plain).alias("heading"),
-        )
+        cuts = F.transform(own, lambda x: F.struct(x.alias("line"), _cut(x, "✓•-* ").alias("bare"), _single_spaced(_cut(x, _COLON)).alias("plain"), _single_spaced(_cut(x, _ENDS)).alias("inline")))
+        return bound(cuts, headed)
+
+    def headed(c: Column) -> Column:
+        def parts(x: Column) -> Column:
+            colon = (x["inline"].contains(":") | x["inline"].contains("：")) & x["inline"].rlike(split)
+            head = F.when(colon, F.regexp_extract(x["inline"], split, 1)).otherwise(x["inline"])
+            return F.struct(_single_spaced(_cut(head, _COLON)).alias("head"), F.when(colon, F.trim(F.regexp_extract(x["inline"], split, 2))).otherwise("").alias("value"))
+
+        return bound(F.transform(c, parts), lambda h: folded(c, h))
+
+    def folded(c: Column, h: Column) -> Column:
+        both = F.struct(short(F.transform(c, lambda x: x["plain"])).alias("plain"), short(F.transform(h, lambda x: x["head"])).alias("heads"))
+        folds = lambda k: F.struct(fidelity_each(k["plain"]).alias("plain"), fidelity_each(k["heads"]).alias("heads"))
+        return bound(bound(both, folds), lambda k: F.transform(c, lambda x, i: facts(x, F.get(h, i), F.get(k["plain"], i), F.get(k["heads"], i))))
+
+    def facts(x: Column, head: Column, folded: Column, folded_head: Column) -> Column:
+        plain, bare = x["plain"], x["bare"]
+        sections = F.struct(_named(head["head"], folded_head).alias("own"), _named(plain, folded).alias("whole"), plain.rlike(EXPERIENCE_HEADING).alias("heading"))
+
+        def told(s: Column) -> Column:
+            ends = (plain != "") & (s["own"].isNotNull() | s["whole"].isNotNull() | s["heading"] | plain.rlike(BOUNDARY) | experience_start(plain))
+            return F.struct(
+                x["line"].alias("line"), x["line"].rlike(r"^[✓•\-*]\s*\S").alias("opens"), F.when(x["line"] == ":", "").otherwise(bare).alias("body"), s["own"].alias("section"),
+                F.when(excluded(head["value"]), "").otherwise(head["value"]).alias("value"), ends.alias("ends"), F.when(s["heading"], plain).alias("heading"),
+            )
+
+        return bound(sections, told)
 
     return bound(lines, of)
 
@@ -134,13 +162,14 @@ def business_facts(text: Column) -> Column:
             F.when(x["line"] == "", a)
             .when(x["section"].isNotNull(), _state(x["section"], F.lit(""), _put(done, x["section"], x["value"])))
             .when(a["now"].isNotNull() & x["ends"], _state(F.lit(None), F.lit(""), done))
-            .when(a["now"].isNull() | (x["body"] == ""), a)
+            .when(a["now"].isNull() | excluded(x["body"]), a)
             .when(x["opens"], _state(a["now"], x["body"], done))
             .otherwise(_state(a["now"], more, a["out"]))
         )
 
     found = F.aggregate(_marked(text), _START(), step, lambda a: _put(a["out"], a["now"], a["item"]))
-    keep = lambda x: (F.length(fidelity(x["fact"])) >= LEAST_FACT) & ~excluded(x["fact"]) & relevant(x["section"], x["fact"])
+    relevant_to = lambda x: bound(fidelity(x["section"]), lambda s: F.when(s.isin(*VALUED), F.lit(True)).when(s == MIXED, fidelity(x["fact"]).rlike(word(BUSINESS))).otherwise(False))
+    keep = lambda x: ~excluded(x["fact"]) & _folds_to(x["fact"], LEAST_FACT) & relevant_to(x)
     return F.array_distinct(F.filter(found, keep))
 
 
@@ -159,13 +188,13 @@ def experience_items(text: Column) -> Column:
             F.when(x["line"] == "", _state(a["now"], F.lit(""), done))
             .when(x["heading"].isNotNull(), _state(x["heading"], F.lit(""), done))
             .when(a["now"].isNotNull() & x["ends"], _state(F.lit(None), F.lit(""), done))
-            .when(a["now"].isNull() | (x["body"] == ""), a)
+            .when(a["now"].isNull() | excluded(x["body"]), a)
             .when(fresh, _state(a["now"], x["body"], done))
             .otherwise(_state(a["now"], F.concat_ws(" ", a["item"], x["body"]), a["out"]))
         )
 
     found = F.aggregate(_marked(text), _START(), step, lambda a: _put(a["out"], a["now"], a["item"]))
-    return F.array_distinct(F.filter(found, lambda x: (F.length(fidelity(x["fact"])) >= LEAST_ITEM) & ~excluded(x["fact"])))
+    return F.array_distinct(F.filter(found, lambda x: ~excluded(x["fact"]) & _folds_to(x["fact"], LEAST_ITEM)))
 
 
 def section_of(facts: Column, item: Column) -> Column:
