@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from quillspark.operators import coverage
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.operators import coverage, fidelity
+
+FACTS = [("Projets", "Refonte du site — : • Langues : Anglais courant et lu"), ("Autres", "Page 1 sur 3 projet de migration")]
 
 
 def test_facts_inside_and_across_words(spark):
@@ -30,3 +35,17 @@ def test_both_ways_give_the_same(spark):
     assert [p for p in found[0] if p[0] == 3] == [(3, k) for k in range(10, 15)]
     nothing = spark.createDataFrame([], "k int, v string")
     assert coverage.facts_found(nothing, t, "k", "v", "k", "v").count() == 0 == coverage.facts_found(f, nothing, "k", "v", "k", "v").count()
+
+
+@pytest.mark.parametrize(("found", "most"), [(fidelity.business_facts, 80), (fidelity.experience_items, 60)])
+def test_each_array_of_lines_is_made_once(spark, found, most):
+    """What is cut or folded line by line is bound: written out for every use (148 and 104 patterns), it is computed for every use."""
+    plan = spark.createDataFrame([(1, "a")], "i int, text string").select(found(F.col("text")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace") <= most
+
+
+def test_lines_with_odd_blanks_and_marks_give_the_same_facts(spark):
+    text = "Projets :\n•  Refonte\tdu   site —\n: \f• Langues : Anglais courant et lu\nAutres\nPage 1 sur 3 projet de migration\n✓ 2 rue X\nMissions\nConcevoir les\t\tinterfaces de paiement."
+    row = spark.createDataFrame([(1, text)], "i int, text string").select(fidelity.business_facts(F.col("text")), fidelity.experience_items(F.col("text"))).first()
+    assert [tuple(x) for x in row[0]] == FACTS
+    assert [tuple(x) for x in row[1]] == [("Missions", "Concevoir les interfaces de paiement.")]
