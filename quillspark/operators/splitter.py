@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.scalars import bound
 from quillspark.functions.text import compact, fidelity, text_of, without_accents
 from quillspark.operators.structured import experience_start, heading_kind
 
@@ -19,6 +20,7 @@ CONTACT = r"(?iu)@|linkedin|https?://|\+33|\b0[67](?:[ .-]?[0-9]{2}){4}\b"
 ADDRESS = r"(?iu)rue|avenue|boulevard|impasse|\b[0-9]{5}\b"
 BODY = r"(?iu)(?<![\p{L}\p{N}_])(?:missions?|livrables?)(?![\p{L}\p{N}_])|environnement\s+technique"
 BRIDGE = r"\b[0-9]+(?: [0-9]+)? competences\b"
+BLANK = " \t\n\x0b\f\r"
 SIDE = ("education", "skills", "header")
 
 BLOCK = "struct<kind:string,text:string>"
@@ -43,7 +45,7 @@ def _lines(text: Column) -> Column:
 
 
 def _trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(BLANK))
 
 
 def cut(text: Column) -> Column:
@@ -83,13 +85,16 @@ def repaired(blocks: Column) -> Column:
     def known(b: Column) -> Column:
         lines = _lines(b["text"])
         turned = (b["kind"] == "education") & F.coalesce(experience_start(F.get(lines, F.lit(0))), F.lit(False))
-        return F.struct(F.when(turned, "experience").otherwise(b["kind"]).alias("kind"), b["text"].alias("text"), F.exists(lines, experience_start).alias("starts"), b["text"].rlike(BODY).alias("body"))
+        # Only of experiences it matters whether they start one, and only of those that do whether they have a body.
+        starts = lambda kind: F.struct(kind.alias("kind"), F.when(kind == "experience", F.exists(lines, experience_start)).otherwise(False).alias("starts"))
+        full = lambda k: F.struct(k["kind"].alias("kind"), b["text"].alias("text"), k["starts"].alias("starts"), F.when(k["starts"], b["text"].rlike(BODY)).otherwise(False).alias("body"))
+        return bound(F.when(turned, "experience").otherwise(b["kind"]), lambda kind: bound(starts(kind), full))
 
     def step(a: Column, b: Column) -> Column:
         own = _block(b["kind"], b["text"])
         experience = b["kind"] == "experience"
         waits, joins = experience & b["starts"] & ~b["body"], experience & ~b["starts"] & a["wait"].isNotNull()
-        joined = _block(a["wait"]["kind"], F.concat(F.regexp_replace(a["wait"]["text"], r"\s+$", ""), F.lit("\n"), F.regexp_replace(b["text"], r"^\s+", "")))
+        joined = _block(a["wait"]["kind"], F.concat(F.rtrim(a["wait"]["text"], F.lit(BLANK)), F.lit("\n"), F.ltrim(b["text"], F.lit(BLANK))))
         return F.struct(
             F.when(waits, own).when(joins, joined).otherwise(_nothing()).alias("wait"),
             F.when(waits, flushed(a)).when(joins, a["out"]).otherwise(F.concat(flushed(a), F.array(own))).alias("out"),
@@ -131,8 +136,8 @@ def with_headings(blocks: Column) -> Column:
     def step(a: Column, b: Column) -> Column:
         n = F.size(a["out"])
         last = F.element_at(a["out"], F.greatest(n, F.lit(1)))
-        ended = F.concat(F.slice(a["out"], F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(_block(last["kind"], F.concat(F.regexp_replace(last["text"], r"\s+$", ""), F.lit("\n"), _trimmed(b["text"]), F.lit("\n")))))
-        first = F.when(a["wait"].isNotNull(), F.concat(a["wait"], F.lit("\n"), F.regexp_replace(b["text"], r"^\s+", ""))).otherwise(b["text"])
+        ended = F.concat(F.slice(a["out"], F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(_block(last["kind"], F.concat(F.rtrim(last["text"], F.lit(BLANK)), F.lit("\n"), _trimmed(b["text"]), F.lit("\n")))))
+        first = F.when(a["wait"].isNotNull(), F.concat(a["wait"], F.lit("\n"), F.ltrim(b["text"], F.lit(BLANK)))).otherwise(b["text"])
         keeps = b["alone"] & (n == 0)
         return F.struct(
             F.when(keeps, F.coalesce(a["wait"], _trimmed(b["text"]))).alias("wait"),
@@ -150,12 +155,12 @@ def with_crumbs(blocks: Column) -> Column:
         n = fidelity(b["text"])
         numbered = n.rlike(BRIDGE) | b["text"].rlike(r"\b[0-9]+\.[0-9]+\b") & n.rlike(r"\b[0-9]+\.[0-9]+\b")
         skills = (following["kind"] == "skills") | fidelity(following["text"]).contains("competences techniques")
-        return (_trimmed(b["text"]) != "") & (F.length(_trimmed(b["text"])) <= CRUMB_CHARS) & b["kind"].isin(*SIDE) & skills & numbered
+        return (_trimmed(b["text"]) != "") & (F.length(_trimmed(b["text"])) <= CRUMB_CHARS) & b["kind"].isin(*SIDE) & numbered & skills
 
     def step(a: Column, b: Column) -> Column:
         own = _block(b["kind"], b["text"])
         joins = a["held"].isNotNull() & crumb(a["held"], b)
-        joined = _block(b["kind"], F.concat(F.regexp_replace(a["held"]["text"], r"\s+$", ""), F.lit("\n"), F.regexp_replace(b["text"], r"^\s+", "")))
+        joined = _block(b["kind"], F.concat(F.rtrim(a["held"]["text"], F.lit(BLANK)), F.lit("\n"), F.ltrim(b["text"], F.lit(BLANK))))
         done = F.when(a["held"].isNotNull(), F.concat(a["out"], F.array(a["held"]))).otherwise(a["out"])
         return F.struct(F.when(joins, _nothing()).otherwise(own).alias("held"), F.when(joins, F.concat(a["out"], F.array(joined))).otherwise(done).alias("out"))
 
@@ -170,7 +175,8 @@ def split(docs: DataFrame, key: str = "doc_id", text: str = "text", target: int
     d = docs.select(key, cut(F.col(text)).alias("b"))
     for step in (repaired, lambda b: sized(b, target), repaired, with_headings, with_crumbs):
         d = d.select(key, step(F.col("b")).alias("b"))
-    return d.select(key, F.posexplode("b").alias("ord", "x")).select(key, (F.col("ord") + 1).alias("ord"), "x.kind", F.col("x.text").alias("block"))
+    # The outer form has no filter on the array's size, which would run every step a second time.
+    return d.select(key, F.posexplode_outer("b").alias("ord", "x")).where("ord is not null").select(key, (F.col("ord") + 1).alias("ord"), "x.kind", F.col("x.text").alias("block"))
 
 
 def assembled(parts: DataFrame, key: str, first_name: Column | None = None) -> DataFrame:

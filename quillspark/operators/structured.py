@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.scalars import bound
 from quillspark.functions.text import contains_fact, fidelity, squeezed, substantial_tokens, text_of, word
 from quillspark.operators.sanitize import CONTACTS
 
@@ -295,14 +296,19 @@ def prefixed(item: Column, prefixes: dict[str, str]) -> tuple[Column, Column]:
 
 def heading_kind(line: Column) -> Column:
     """profile, skills, education or experience for a line that looks like a heading, else null."""
-    raw = F.regexp_replace(F.trim(text_of(line)), r"^[•\-–— ]+|[•\-–— ]+$", "")
-    bare = F.trim(F.regexp_replace(raw, "^:+|:+$", ""))
-    words = F.regexp_count(bare, F.lit(r"[\p{L}\p{N}_]+"))
-    fits = ~raw.rlike(r":\s*\S") & ((words <= 4) | ((F.upper(bare) == bare) & (words <= 8)))
-    out = F.lit(None).cast("string")
-    for kind, names in reversed(HEADINGS):
-        out = F.when(bare.rlike(rf"(?iu)^(?:{names})(?![\p{{L}}\p{{N}}_])"), kind).otherwise(out)
-    return F.when(fits & (raw != ""), out)
+    # The words of a heading stand in the first characters; whether the line is short enough is asked only where they do.
+    head = lambda b: F.substring(b, 1, 64)
+    every = "|".join(names for _, names in HEADINGS)
+
+    def of(raw: Column, bare: Column) -> Column:
+        words = F.regexp_count(bare, F.lit(r"[\p{L}\p{N}_]+"))
+        fits = ~raw.rlike(r":\s*\S") & ((words <= 4) | ((F.upper(bare) == bare) & (words <= 8)))
+        out = F.lit(None).cast("string")
+        for kind, names in reversed(HEADINGS):
+            out = F.when(head(bare).rlike(rf"(?iu)^(?:{names})(?![\p{{L}}\p{{N}}_])"), kind).otherwise(out)
+        return F.when((raw != "") & head(bare).rlike(rf"(?iu)^(?:{every})") & fits, out)
+
+    return bound(F.btrim(text_of(line), F.lit(" •-–—")), lambda raw: bound(F.trim(F.btrim(raw, F.lit(":"))), lambda bare: of(raw, bare)))
 
 
 def experience_start(line: Column) -> Column:
@@ -311,4 +317,5 @@ def experience_start(line: Column) -> Column:
     starts = x.rlike(rf"(?iu)^(?:(?:[0-9]{{2}}/[0-9]{{4}}|[0-9]{{4}})\s*(?:[-–—]|à|a|au|to)\s*(?:[0-9]{{2}}/[0-9]{{4}}|[0-9]{{4}}|aujourd|présent|present|ce\s+jour)|(?:{MONTHS})\s+[0-9]{{4}}|[0-9]{{4}}(?![\p{{L}}\p{{N}}_]).+)(?:(?<=[\p{{L}}\p{{N}}_])(?![\p{{L}}\p{{N}}_])|(?<![\p{{L}}\p{{N}}_])(?=[\p{{L}}\p{{N}}_]))")
     who = x.rlike(word(ROLE_WORDS)) | x.rlike(rf"(?<![\p{{L}}\p{{N}}_])[{CAPITALS}]{{3,}}(?![\p{{L}}\p{{N}}_])")
     when = x.rlike(DATE_RANGE) | x.rlike(rf"(?iu)^(?:{MONTHS})\s+[0-9]{{4}}") | x.rlike(r"^(?:19|20)[0-9]{2}(?![\p{L}\p{N}_]).+")
-    return starts & who & when  # a role word or capitals make it more than a year
+    dated = F.substring(x, 1, 9).rlike(rf"(?iu)^(?:[0-9]|{MONTHS})")  # most lines end here
+    return dated & starts & who & when  # a role word or capitals make it more than a year

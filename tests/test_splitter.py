@@ -78,3 +78,11 @@ def test_assembled(spark):
     d = spark.createDataFrame(rows, "doc_id int, ord int, name string, title string, description string, formations array<string>, skills array<string>, experiences array<string>")
     got = {r["doc_id"]: tuple(r)[1:] for r in splitter.assembled(d, "doc_id").collect()}
     assert got[1] == ("JEAN", "Lead", "a\nb", ["f1", "f2"], ["s"], ["e"]) and got[2][:3] == ("CANDIDAT", "Consultant IT", "")
+
+
+def test_steps_run_once(spark):
+    """A filter on the size of the blocks would run all steps a second time before the rows are made."""
+    d = spark.createDataFrame([(1, "PROFIL\ntexte"), (2, None)], "doc_id int, text string")
+    plan = splitter.split(d)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Filter" in x and "aggregate" in x]
+    assert [(r["doc_id"], r["ord"], r["kind"]) for r in splitter.split(d).collect()] == [(1, 1, "profile")]
