@@ -135,3 +135,12 @@ def test_lines_keep_digits_and_lose_blanks(spark):
     kind = "x array<struct<date:string,company_highlight:string,role:string,sections:array<struct<heading:string,content:array<string>>>>>"
     e = spark.createDataFrame([([("2019", "", "", [("Missions", ["0 premier fait 0", " 1 second fait 1 "])])],)], kind)
     assert e.select(fidelity.required_facts(F.col("x"))).first()[0] == ["2019", "0 premier fait 0", "1 second fait 1"]
+
+
+def test_terms_and_contacts_leave_a_block_with_their_numbers(spark):
+    """Counted by what is gone; texts without a contact's mark aren't searched for it, and letters are compared before borders."""
+    rows = [(1, "The other, THE theme; a.b@example.org\n+33 6 12 34 56 78 the", ["the", "c+"]), (2, "no contact, C+ c+d", ["c+"]), (3, "Été été étés", ["été"])]
+    out = blocks.sanitised(spark.createDataFrame(rows, "i int, text string, terms array<string>").withColumn("first_name", F.lit("x"))).orderBy("i").collect()
+    assert [(r["text"], r["n_email"], r["n_phone"], r["n_identity"]) for r in out] == [("other, theme;", 1, 1, 3), ("no contact, C+ d", 0, 0, 1), ("étés", 0, 0, 2)]
+    pattern = spark.range(1).select(blocks.whole_word(F.lit("c+"))).first()[0]
+    assert pattern == r"(?iuU)(?=c\+)\bc\+\b"
