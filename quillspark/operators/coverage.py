@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.scalars import bound
-from quillspark.functions.text import contains_fact, fidelity, substantial_tokens, text_of, tokens
+from quillspark.functions.text import contains_fact, fidelity, substantial_tokens, text_of, tokens, without_accents
 
 # Least overlap, and the rule for numbered placeholders.
 LEAST_OVERLAP, LEAST_BASE, LEAST_NUMBERS, SPAN_SLACK = 0.65, 8, 3, 2
@@ -37,14 +37,21 @@ def facts_found(facts: DataFrame, texts: DataFrame, fact_id: str, fact: str, tex
     """fact_id, text_id of facts contained in a text as a substring, or by tokens of three or more letters anywhere in it or in its spaceless form.
 
     A text that holds a fact as a substring holds its tokens too, and what stands in a text stands in its spaceless form: so tokens in that form decide.
-    Tokens of at most ``most`` characters in all, which are counted first, become patterns that find all of them in one walk through the text, so that a
-    text leaves its row with the tokens that it holds and nothing is shuffled. Beyond that, facts meet texts by the rarest run of three characters of
+    Of facts of at most ``most`` characters in all, which are counted first, the tokens that the fewest facts have become patterns that find all of them in one walk through the text, so that a
+    text meets the facts whose token it holds and nothing is shuffled. Beyond that, facts meet texts by the rarest run of three characters of
     their tokens. A fact without such a token is in every text (a pair for each, by the rule); an empty one matches nothing here.
     """
     f = facts.select(F.col(fact_id).alias("fact_id"), fidelity(F.col(fact)).alias("fact")).where("fact != ''")
-    t = texts.select(F.col(text_id).alias("text_id"), fidelity(F.col(text)).alias("hay"))
     size = f.agg(F.coalesce(F.sum(F.length("fact")), F.lit(0))).first()[0]
-    return _walked(f, t) if size <= most else _met(f, t)
+    if size <= most:
+        return _walked(f, texts.select(F.col(text_id).alias("text_id"), _tight(F.col(text)).alias("tight")))
+    return _met(f, texts.select(F.col(text_id).alias("text_id"), fidelity(F.col(text)).alias("hay")))
+
+
+def _tight(text: Column) -> Column:
+    """The folded form (``fidelity``) without its spaces. Blanks go first, so that a pattern meets few marks instead of a match per word."""
+    unmarked = lambda x: F.when(x.contains("page"), F.regexp_replace(x, r"\bpage\s+[0-9]+\s+(?:of|sur)\s+[0-9]+\b", " ")).otherwise(x)
+    return F.regexp_replace(F.replace(bound(F.lower(without_accents(text_of(text))), unmarked), F.lit(" "), F.lit("")), "[^a-z0-9+#]+", "")
 
 
 def _pattern(words: list[str]) -> str:
@@ -54,7 +61,15 @@ def _pattern(words: list[str]) -> str:
     heads: dict[str, list[str]] = {}
     for w in words:
         heads.setdefault(w[0], []).append(w[1:])
-    return "(?:" + "|".join(re.escape(c) + (_pattern(rest) if rest != [""] else "") for c, rest in sorted(heads.items())) + ")"
+    return f"(?:{_branches(sorted(heads.items()))})"
+
+
+def _branches(heads: list[tuple[str, list[str]]]) -> str:
+    """Alternatives by first character; of many, a look ahead decides for one half of them, so that a place is compared with few."""
+    if len(heads) <= 3:
+        return "|".join(re.escape(c) + (_pattern(rest) if rest != [""] else "") for c, rest in heads)
+    halves = heads[: len(heads) // 2], heads[len(heads) // 2 :]
+    return "|".join(f"(?=[{''.join(re.escape(c) for c, _ in half)}])(?:{_branches(half)})" for half in halves)
 
 
 def _layers(words: list[str]) -> list[list[str]]:
@@ -68,23 +83,29 @@ def _layers(words: list[str]) -> list[list[str]]:
     return out
 
 
+def _ranked(f: DataFrame) -> DataFrame:
+    """fact_id and tokens of each fact, those that the fewest facts have first, of such the longest."""
+    rows = f.select("fact_id", F.array_distinct(substantial_tokens(F.col("fact"))).alias("tokens"), F.monotonically_increasing_id().alias("row"))
+    each = rows.select("fact_id", "row", F.explode("tokens").alias("x"))
+    known = each.join(each.groupBy("x").agg(F.count("*").alias("n")), "x")
+    return known.groupBy("row", "fact_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", -F.length("x"), "x"))), lambda t: t["x"]).alias("tokens")).drop("row")
+
+
 def _walked(f: DataFrame, t: DataFrame) -> DataFrame:
-    """Pairs by the tokens that each text holds: at every place, a look ahead by each layer's pattern."""
-    f = f.select("fact_id", F.array_distinct(substantial_tokens(F.col("fact"))).alias("tokens"))
-    words = [r[0] for r in f.select(F.explode("tokens")).distinct().collect()]  # of counted size
-    always = f.where(F.size("tokens") == 0).select("fact_id").crossJoin(t.select("text_id"))
+    """Pairs by the first token of each fact, which the fewest facts have: at every place of a text, a look ahead by each layer's pattern of those.
+
+    Only facts whose first token stands in a text are looked at further, by the text itself.
+    """
+    keyed = _ranked(f).withColumn("key", F.get("tokens", F.lit(0)))
+    words = [r[0] for r in keyed.select("key").distinct().collect()]  # of counted size
+    always = f.where(F.size(substantial_tokens(F.col("fact"))) == 0).select("fact_id").crossJoin(t.select("text_id"))
     if not words:
         return always
-    tight = F.replace(F.col("hay"), F.lit(" "), F.lit(""))
-    found = lambda x: F.array_distinct(F.concat(*[F.regexp_extract_all(x, F.lit(f"(?=({_pattern(layer)}))"), 1) for layer in _layers(words)]))
-    held = t.select("text_id", bound(tight, found).alias("held"))
-    # Each fact is looked up by its longest token, which the fewest texts hold. Only those leave the row, with its tokens beside them.
-    longest = F.array_max(F.transform("tokens", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    keyed = f.where(F.size("tokens") > 0).withColumn("key", longest)
-    keys = F.array(*[F.lit(r[0]) for r in keyed.select("key").distinct().collect()])  # no more than the words
-    some = held.select("text_id", "held", F.array_intersect("held", keys).alias("keys")).where(F.size("keys") > 0)
-    met = some.select("text_id", "held", F.explode("keys").alias("key")).join(F.broadcast(keyed), "key")
-    return met.where(F.size(F.array_except("tokens", "held")) == 0).select("fact_id", "text_id").unionByName(always)
+    found = F.array_distinct(F.concat(*[F.regexp_extract_all("tight", F.lit(f"(?=({_pattern(layer)}))"), 1) for layer in _layers(words)]))
+    # The outer form has no filter on the array's size, which would walk through each text a second time.
+    some = t.select("text_id", "tight", F.explode_outer(found).alias("key")).where("key is not null")
+    met = some.join(F.broadcast(keyed), "key")
+    return met.where(F.forall("tokens", lambda x: F.col("tight").contains(x))).select("fact_id", "text_id").unionByName(always)
 
 
 def _met(f: DataFrame, t: DataFrame) -> DataFrame:
