@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.scalars import bound
-from quillspark.functions.text import text_of, word
+from quillspark.functions.text import START, STOP, text_of, word
 
 # Patterns of contact data and of lines to drop.
 CONTACTS = {
@@ -56,12 +56,16 @@ def tidied(text: Column) -> Column:
     return F.trim(text)
 
 
+#: A first letter is compared before the border before it, which is slow to tell: those of the phrases of noise, and of the board's name.
+NOISE_LINE, BOARD_LINE = (rf"(?iu)(?=[{letters}]){START}(?:{words}){STOP}" for letters, words in (("ctpvmds", NOISE), ("h", BOARD)))
+
+
 def noise_line(line: Column) -> Column:
     low = F.lower(line)
     mention = F.lit(False)
     for w in BOARD_WITH:
         mention |= low.contains(w)
-    return line.rlike(word(NOISE)) | (line.rlike(word(BOARD)) & mention)
+    return line.rlike(NOISE_LINE) | (line.rlike(BOARD_LINE) & mention)
 
 
 def _stripped(text: Column, kinds: tuple[str, ...]) -> Column:
@@ -82,7 +86,9 @@ def line_facts(text: Column) -> Column:
     A line's address test may ask whether the line before it was a dropped street or address line. That depends on
     the raw line alone, so a look at the neighbour within the row's own array is enough: no window, no shuffle.
     """
-    lines = F.transform(F.split(F.regexp_replace(text_of(text), "\r\n?", "\n"), "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    blank = lambda c: c.rlike(r"(?U)\s")
+    trimmed = lambda x: F.when(blank(F.substring(x, 1, 1)) | blank(F.substring(x, -1, 1)), F.regexp_replace(x, r"(?U)^\s+|\s+$", "")).otherwise(x)
+    lines = F.transform(F.split(F.regexp_replace(text_of(text), "\r\n?", "\n"), "\n"), trimmed)
     bare = lambda c: F.regexp_replace(c, r"(?U)^[^\w]+", "")
     counts = [f"n_{k}" for k in CONTACTS]
 
