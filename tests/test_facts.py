@@ -49,3 +49,12 @@ def test_lines_with_odd_blanks_and_marks_give_the_same_facts(spark):
     row = spark.createDataFrame([(1, text)], "i int, text string").select(fidelity.business_facts(F.col("text")), fidelity.experience_items(F.col("text"))).first()
     assert [tuple(x) for x in row[0]] == FACTS
     assert [tuple(x) for x in row[1]] == [("Missions", "Concevoir les interfaces de paiement.")]
+
+
+def test_each_text_is_walked_once(spark):
+    """A filter on the tokens found would walk through each text a second time."""
+    f, t = spark.createDataFrame([(1, "data base"), (2, "house")], "f int, t string"), spark.createDataFrame([(10, "database"), (11, "houses")], "d int, x string")
+    found = coverage.facts_found(f, t, "f", "t", "d", "x")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Filter" in x and "regexp_extract_all" in x]
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 10), (2, 11)]
