@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,14 +21,20 @@ SECTIONS = {
 SECTION = r"(?iu)^(?:(?:exemples?\s+de\s+)?r[ée]alisations?(?:\s+professionnelles?)?|projets?(?:\s+significatifs?)?|certifications?|comp[ée]tences?(?:\s+(?:techniques?|et\s+outils?))?|lang(?:ues|uages)|autres)$"
 BOUNDARY = r"(?iu)^(?:processus\s+m[ée]tiers|loisirs?|formations?|dipl[oô]mes?|exp[ée]riences?|parcours|mots[-\s]?cl[ée]s?|contact|coordonn[ée]es?)(?![\p{L}\p{N}_])"
 EXPERIENCE_HEADING = r"(?iu)^(?:missions?(?:\s+cl[ée]s?)?|responsabilit[ée]s?|r[ée]alisations?|livrables?(?:\s+cl[ée]s?)?|activit[ée]s?|t[âa]ches?)\s*:?$"
+#: What a line begins with if it's a heading of an experience.
+HEADING_BEGINS = r"(?iu)^[ :•✓\-–—\t]*+(?:mission|responsabilit|r[ée]alisation|livrable|activit|t[âa]che)"
 EXCLUDED = r"(?iu)@|linkedin|github\.com|https?://|\+33|\b0[67](?:[ .-]?[0-9]{2}){4}\b|rue|avenue|boulevard|impasse|all[ée]e|\b[0-9]{5}\b|cv envoyé par hellowork|données personnelles|donnees personnelles"
 VALUED = ("realisations", "realisations professionnelles", "exemples de realisations professionnelles", "projets", "projets significatifs", "certifications", "competences", "competences techniques", "competences et outils", "langues", "languages")
 MIXED, BUSINESS = "autres", "projet|realisation|certification|formation|langue|anglais|espagnol|allemand|italien|java|python|react|angular|node|aws|azure|gcp|docker|kubernetes|sql|agile|agiles|scrum|itil|erp|crm|si|rpa|api|devops|cloud|data|bi|cyber|management|pilotage|moa|moe|recette|migration|deploiement|déploiement"
 LEAST_FACT, LEAST_ITEM, LEAST_LOOKUP = 12, 18, 20
 #: Lines whose folded form may be that of a section: they begin with its first word or a page's mark, or need folding to tell.
 MAYBE = r"(?i)[^\x00-\x7F]|^[^a-z0-9+#]*(?:exemples|realisations|projets|certifications|competences|langu|autres|page)"
-#: Longer lines can't be the heading of a section; words before a colon are at most as long by their pattern.
+#: No heading's pattern matches longer lines.
 LONGEST_HEADING = 80
+#: So many plain letters before any digit stay when a line is folded, but for the start of a page's mark: more than a section's name has.
+TOO_LONG = r"^(?:[^A-Za-z\p{N}\p{So}]*+[A-Za-z]){60}"
+#: Parts of which excluded lines hold one in lower case, or a character of the class: digits, marks, and what equals a plain letter but for its case.
+TELLTALES, TELLTALE = ("ue", "linkedin", "github.com", "http", "boulevard", "impasse", "all", "hellowork", "personnelles"), r"[@+0-9\u017F\u0130\u0131\u212A]"
 FALLBACK_TITLES = ("consultant it", "consultant", "dev", "developpeur")
 TECHNICAL = ("environnement technique", "environnements techniques", "stack technique", "stacks techniques", "technologies")
 SYNTHESIS = "synthese"
@@ -46,8 +54,7 @@ _ENDS, _COLON = " •✓-–—\t", " :•✓-–—\t"
 
 def _single_spaced(line: Column) -> Column:
     """``squeezed`` for a line that isn't null: most hold nothing but single spaces and pass as they are."""
-    wide = lambda x: x.contains("  ") | x.contains("\t") | x.contains("\x0b") | x.contains("\f") | x.contains("\r") | x.contains("\n")
-    return bound(line, lambda x: F.trim(F.when(wide(x), F.regexp_replace(x, r"\s+", " ")).otherwise(x)))
+    return bound(line, lambda x: F.trim(F.when(x.rlike(r"[\t\n\x0b\f\r]|  "), F.regexp_replace(x, r"\s+", " ")).otherwise(x)))
 
 
 def section_name(line: Column) -> Column:
@@ -60,7 +67,7 @@ def _named(x: Column, folded: Column) -> Column:
     """The same for a line that is cut and squeezed, and its folded form."""
     known = F.create_map(*[F.lit(v) for kv in SECTIONS.items() for v in kv])
     spelled = F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 999))
-    return F.coalesce(F.try_element_at(known, folded), F.when(x.rlike(SECTION), spelled))
+    return F.coalesce(F.try_element_at(known, folded), F.when((F.length(x) <= LONGEST_HEADING) & x.rlike(SECTION), spelled))
 
 
 def inline_section(line: Column) -> Column:
@@ -79,7 +86,13 @@ def boundary(line: Column) -> Column:
 
 def excluded(line: Column) -> Column:
     """Contact data, addresses and notices, which no coverage rule asks for; empty lines too."""
-    return (F.trim(line) == "") | line.rlike(EXCLUDED)
+
+    def maybe(x: Column) -> Column:
+        low = lambda y: reduce(lambda a, b: a | b, [y.contains(t) for t in TELLTALES])
+        return x.rlike(TELLTALE) | bound(F.lower(x), low)
+
+    # The pattern tries all of its alternatives at every character, so few lines get to it.
+    return (F.trim(line) == "") | (maybe(line) & line.rlike(EXCLUDED))
 
 
 def relevant(section: Column, fact: Column) -> Column:
@@ -89,20 +102,55 @@ def relevant(section: Column, fact: Column) -> Column:
 
 
 def _folds_to(fact: Column, least: int) -> Column:
-    """Whether the folded form has at least so many characters. One with as many plain letters needs no folding to tell, unless it may hold a page's mark."""
-    plain = fact.rlike(rf"^(?:[^A-Za-z+#]*[A-Za-z+#]){{{least}}}") & ~fact.rlike(r"[\p{N}\p{So}]")
+    """Whether the folded form has at least so many characters. Plain letters before any digit stay, but for four that may begin a page's mark."""
+    plain = fact.rlike(rf"^(?:[^A-Za-z+#\p{{N}}\p{{So}}]*+[A-Za-z+#]){{{least + 4}}}")
     return F.when(plain, F.lit(True)).otherwise(F.length(fidelity(fact)) >= least)
 
 
+def _may_name(x: Column) -> Column:
+    """Whether the folded form of a text may be the name of a section."""
+    return ((F.length(x) <= LONGEST_HEADING) | ~x.rlike(TOO_LONG)) & x.rlike(MAYBE)
+
+
+def _opens(line: Column) -> Column:
+    """Whether a trimmed line opens an item: a bullet and something after it."""
+    return F.substring(line, 1, 1).isin("✓", "•", "-", "*") & (F.length(line) > 1)
+
+
+def _body(line: Column) -> Column:
+    return F.when(line == ":", "").otherwise(_cut(line, "✓•-* "))
+
+
+def _lines(text: Column) -> Column:
+    return F.transform(F.split(compact(text), "\n"), lambda x: F.trim(x))
+
+
+def _experience_heading(line: Column) -> Column:
+    """The heading within an experience that a trimmed line is, else null. The words that they begin with are asked for first."""
+    return bound(F.when(line.rlike(HEADING_BEGINS), _single_spaced(_cut(line, _COLON))), lambda x: F.when((F.length(x) <= LONGEST_HEADING) & x.rlike(EXPERIENCE_HEADING), x))
+
+
+def _ends(line: Column) -> Column:
+    """``boundary`` of a trimmed line that is no heading within an experience; what needs folding is asked last."""
+    split = r"^([^:：]{3,80})\s*[:：]"
+    named = lambda x: _named(x, F.when(_may_name(x), fidelity(x)).otherwise("")).isNotNull()
+
+    def of(plain: Column) -> Column:
+        inline = bound(_single_spaced(_cut(line, _ENDS)), lambda x: F.when((x.contains(":") | x.contains("：")) & x.rlike(split), F.regexp_extract(x, split, 1)).otherwise(x))
+        both = F.array_distinct(F.array(plain, _single_spaced(_cut(inline, _COLON))))
+        return (plain != "") & (F.substring(plain, 1, 32).rlike(BOUNDARY) | experience_start(plain) | F.exists(both, named))
+
+    return bound(_single_spaced(_cut(line, _COLON)), of)
+
+
 def _marked(text: Column) -> Column:
-    """Of each line: itself, whether it opens an item, and its text without bullets (whether that's excluded is asked only within a section).
+    """Of each line: itself, whether it opens an item or ends a section, the section that it opens and its value, and its text without bullets (whether that's excluded is asked only within a section).
 
     Lines and what stands before their colon are folded in two strokes for the whole text, and only where they can be the heading of a section. Each
     array is bound before the next is made of it: one that isn't is made again for every use.
     """
-    lines = F.transform(F.split(compact(text), "\n"), lambda x: F.trim(x))
     split = r"^([^:：]{3,80})\s*[:：]\s*(.*)$"
-    short = lambda a: F.transform(a, lambda x: F.when((F.length(x) <= LONGEST_HEADING) & x.rlike(MAYBE), x).otherwise(""))
+    short = lambda a: F.transform(a, lambda x: F.when(_may_name(x), x).otherwise(""))
 
     def of(own: Column) -> Column:
         cuts = F.transform(own, lambda x: F.struct(x.alias("line"), _cut(x, "✓•-* ").alias("bare"), _single_spaced(_cut(x, _COLON)).alias("plain"), _single_spaced(_cut(x, _ENDS)).alias("inline")))
@@ -122,24 +170,24 @@ def _marked(text: Column) -> Column:
         return bound(bound(both, folds), lambda k: F.transform(c, lambda x, i: facts(x, F.get(h, i), F.get(k["plain"], i), F.get(k["heads"], i))))
 
     def facts(x: Column, head: Column, folded: Column, folded_head: Column) -> Column:
-        plain, bare = x["plain"], x["bare"]
-        sections = F.struct(_named(head["head"], folded_head).alias("own"), _named(plain, folded).alias("whole"), plain.rlike(EXPERIENCE_HEADING).alias("heading"))
+        plain = x["plain"]
+        sections = F.struct(_named(head["head"], folded_head).alias("own"), _named(plain, folded).alias("whole"), ((F.length(plain) <= LONGEST_HEADING) & plain.rlike(EXPERIENCE_HEADING)).alias("heading"))
 
         def told(s: Column) -> Column:
-            ends = (plain != "") & (s["own"].isNotNull() | s["whole"].isNotNull() | s["heading"] | plain.rlike(BOUNDARY) | experience_start(plain))
+            ends = (plain != "") & (s["own"].isNotNull() | s["whole"].isNotNull() | s["heading"] | F.substring(plain, 1, 32).rlike(BOUNDARY) | experience_start(plain))
             return F.struct(
-                x["line"].alias("line"), x["line"].rlike(r"^[✓•\-*]\s*\S").alias("opens"), F.when(x["line"] == ":", "").otherwise(bare).alias("body"), s["own"].alias("section"),
-                F.when(excluded(head["value"]), "").otherwise(head["value"]).alias("value"), ends.alias("ends"), F.when(s["heading"], plain).alias("heading"),
+                x["line"].alias("line"), _opens(x["line"]).alias("opens"), F.when(x["line"] == ":", "").otherwise(x["bare"]).alias("body"), s["own"].alias("section"),
+                F.when(excluded(head["value"]), "").otherwise(head["value"]).alias("value"), ends.alias("ends"),
             )
 
         return bound(sections, told)
 
-    return bound(lines, of)
+    return bound(_lines(text), of)
 
 
 def _put(out: Column, section: Column, item: Column) -> Column:
     """The items found so far, and the one that ends now if there's any."""
-    return F.when(section.isNotNull() & (item != ""), F.concat(out, F.array(F.struct(section.alias("section"), _cut(squeezed(item), _COLON).alias("fact"))))).otherwise(out)
+    return F.when(section.isNotNull() & (item != ""), F.concat(out, F.array(F.struct(section.alias("section"), _cut(_single_spaced(item), _COLON).alias("fact"))))).otherwise(out)
 
 
 _START = lambda: F.struct(F.lit(None).cast("string").alias("now"), F.lit("").alias("item"), F.array().cast(ITEMS).alias("out"))
@@ -180,20 +228,21 @@ def experience_items(text: Column) -> Column:
     its continuation (a small letter or a mark at its start). A null text has none.
     """
     goes_on = r"^(?:[a-zàâçéèêëîïôûùüÿñæœ]|[,;:.)])"
+    closed = lambda c: F.substring(F.rtrim(c, F.lit(" \t\n\x0b\f\r")), -1, 1).isin(".", "!", "?", "…")
 
-    def step(a: Column, x: Column) -> Column:
+    def step(a: Column, line: Column, heading: Column) -> Column:
         done = _put(a["out"], a["now"], a["item"])
-        fresh = x["opens"] | (a["item"] == "") | (a["item"].rlike(r"[.!?…]\s*$") & ~x["body"].rlike(goes_on))
+        within = lambda x: F.when(excluded(x), a).when(_opens(line) | (a["item"] == "") | (closed(a["item"]) & ~F.substring(x, 1, 1).rlike(goes_on)), _state(a["now"], x, done)).otherwise(_state(a["now"], F.concat_ws(" ", a["item"], x), a["out"]))
         return (
-            F.when(x["line"] == "", _state(a["now"], F.lit(""), done))
-            .when(x["heading"].isNotNull(), _state(x["heading"], F.lit(""), done))
-            .when(a["now"].isNotNull() & x["ends"], _state(F.lit(None), F.lit(""), done))
-            .when(a["now"].isNull() | excluded(x["body"]), a)
-            .when(fresh, _state(a["now"], x["body"], done))
-            .otherwise(_state(a["now"], F.concat_ws(" ", a["item"], x["body"]), a["out"]))
+            F.when(line == "", _state(a["now"], F.lit(""), done))
+            .when(heading.isNotNull(), _state(heading, F.lit(""), done))
+            .when(a["now"].isNull(), a)
+            .when(_ends(line), _state(F.lit(None), F.lit(""), done))
+            .otherwise(bound(_body(line), within))
         )
 
-    found = F.aggregate(_marked(text), _START(), step, lambda a: _put(a["out"], a["now"], a["item"]))
+    # Lines outside of experiences, most of a source, are only asked whether they're headings.
+    found = F.aggregate(_lines(text), _START(), lambda a, x: bound(_experience_heading(x), lambda h: step(a, x, h)), lambda a: _put(a["out"], a["now"], a["item"]))
     return F.array_distinct(F.filter(found, lambda x: ~excluded(x["fact"]) & _folds_to(x["fact"], LEAST_ITEM)))
 
 

@@ -58,3 +58,19 @@ def test_each_text_is_walked_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.split("\n") if "Filter" in x and "regexp_extract_all" in x]
     assert sorted(tuple(r) for r in found.collect()) == [(1, 10), (2, 11)]
+
+
+def test_lines_outside_of_experiences_and_long_rules(spark):
+    """A section's name behind a long rule ends an experience as the SQL has it; so do page marks beside it, and a sentence may end before blanks."""
+    item = "Concevoir les interfaces"
+    text = f"{item} de rien\nMissions :\n• {item} de paiement.\t-\nPuis une phrase entière ici\n{'=' * 90} Projets\n{item} perdues\nLivrables clés\n{item} page 1 sur 3 rue X\n{item} a\n{'page 1 sur 3 ' * 9}Langues\n{item} perdues\nMissions\n•\n* {item} b"
+    found = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(fidelity.experience_items(F.col("t"))).collect()
+    assert [tuple(x) for x in found[0][0]] == [("Missions", f"{item} de paiement."), ("Missions", "Puis une phrase entière ici"), ("Livrables clés", f"{item} a"), ("Missions", f"{item} b")]
+    assert found[1][0] == found[2][0] == []
+
+
+def test_only_lines_that_may_hold_contacts_get_to_their_pattern(spark):
+    lines = {"a@b": True, "LinkedIn": True, "LİNKEDIN": True, "lıNKEDIN": True, "GitHub.com/x": True, "HTTPS://x": True, "+33": True, "06 12 34 56 78": True, "12, Rue X": True, "AVENUE": True, "impaſſe": True, "Allée": True, "ALLEE": True, "75001": True, "": True, " ": True}
+    lines |= {"CV envoyé par HelloWork": True, "Données personnelles": True, "allo": False, "http": False, "quelques": False, "1234": False, "github": False, "personnelles": False}
+    found = spark.createDataFrame(list(lines.items()), "t string, x boolean").select("t", "x", fidelity.excluded(F.col("t")).alias("e"), F.expr("trim(t) = ''") | F.col("t").rlike(fidelity.EXCLUDED)).collect()
+    assert [r for r in found if r["x"] != r["e"] or r["e"] != r[3]] == []
