@@ -36,7 +36,7 @@ SOURCE = "visual_pdf_blocks"
 
 
 def _fold(c: Column) -> Column:
-    return F.regexp_replace(folded_label(c), r"^[ :;•\-–—]+|[ :;•\-–—]+$", "")
+    return F.btrim(folded_label(c), F.lit(" :;•-–—"))
 
 
 def _heading(folded: Column) -> Column:
@@ -44,7 +44,13 @@ def _heading(folded: Column) -> Column:
 
 
 def _footer(c: Column) -> Column:
-    return squeezed(c).rlike(FOOTER)
+    """Whether a text is a page's footer; few begin as one does."""
+    return text_of(c).rlike(r"^\s*+[cC0-9]") & squeezed(c).rlike(FOOTER)
+
+
+def _single_spaced(x: Column) -> Column:
+    """``squeezed`` for a text that isn't null: most hold nothing but single spaces."""
+    return F.trim(F.when(x.rlike(r"[\t\n\x0b\f\r]|  "), F.regexp_replace(x, r"\s+", " ")).otherwise(x))
 
 
 def _sentence(item: Column, folded: Column) -> Column:
@@ -54,7 +60,7 @@ def _sentence(item: Column, folded: Column) -> Column:
 
 def _items(line: Column) -> Column:
     """A line's items between commas that no parenthesis holds; the line itself if they're no more than one."""
-    x = F.regexp_replace(squeezed(line), r"^[ ,;:•]+|[ ,;:•]+$", "")
+    x = F.btrim(_single_spaced(line), F.lit(" ,;:•"))
     parts = bound(top_level_commas(x), lambda p: F.when(F.size(p) > 1, p).otherwise(F.array(x)))
     return F.when(x == "", F.array().cast("array<string>")).when(x.contains(","), parts).otherwise(F.array(x))
 
@@ -64,7 +70,7 @@ def lines(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
 
     Places are rounded to a tenth; blocks at one place stand in the order of ``ord``. A null text has no lines.
     """
-    split = F.transform(F.split(F.regexp_replace(text_of(F.col("text")), "\r", "\n"), "\n"), lambda x: F.regexp_replace(squeezed(x), "^[ •]+|[ •]+$", ""))
+    split = F.transform(F.split(F.regexp_replace(text_of(F.col("text")), "\r", "\n"), "\n"), lambda x: F.btrim(_single_spaced(x), F.lit(" •")))
     b = blocks.where(~_footer(F.trim(text_of(F.col("text"))))).select(F.col(key), "page", F.round("y0", 1).alias("y"), F.round("x0", 1).alias("x"), "ord", F.posexplode(split).alias("i", "line"))
     b = b.where((F.col("line") != "") & ~_footer(F.col("line")))
     pos = F.row_number().over(W.partitionBy(key).orderBy("page", "y", "x", "ord", "i"))
@@ -92,16 +98,19 @@ def skills(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     categories or items, else 0.9 (0.5 if a footer or an oversized item had come through; the rules above leave none).
     """
     m = marked(lines(blocks, key), key)
-    some = m.where("started and not stopped and heading is null and category is not null")
-    parts = some.select(key, "category", "pos", F.posexplode(_items(F.col("line"))).alias("i", "item"))
-    parts = parts.where((F.col("item") != "") & ~_footer(F.col("item"))).where(~_sentence(F.col("item"), _fold(F.col("item"))))
-    once = parts.groupBy(key, "category", "item").agg(F.min(F.struct("pos", "i")).alias("at"))
-    lists = once.groupBy(key, "category").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))), lambda x: x["item"]).alias("items"))
-    first = m.where("not stopped and heading is not null").groupBy(key, F.col("heading").alias("category")).agg(F.min("pos").alias("at"))
-    ranked = F.array_sort(F.collect_list(F.struct("at", "category", "items")))
-    found = lists.join(first, [key, "category"]).groupBy(key).agg(F.transform(ranked, lambda x: F.struct(x["category"].alias("category"), x["items"].alias("items"))).cast(SKILLS).alias("skills"))
-    seen = m.groupBy(key).agg(F.max("anchor").alias("started"))
-    d = seen.join(found, key, "left").withColumn("skills", F.coalesce("skills", F.array().cast(SKILLS)))
+    # One walk gives headings (without an item), items, and of other lines only whether they open the section: neither lines nor windows are made again for each.
+    item = F.when(F.expr("started and not stopped and heading is null and category is not null"), _items(F.col("line")))
+    heading = F.expr("not stopped and heading is not null")
+    of = m.select(key, "anchor", "pos", "category", heading.alias("opens"), F.posexplode_outer(item).alias("i", "item"))
+    good = (F.col("item") != "") & ~_footer(F.col("item")) & ~_sentence(F.col("item"), _fold(F.col("item")))
+    of = of.select(key, "anchor", "opens", "category", F.when(good, F.col("item")).alias("item"), (F.shiftleft(F.col("pos").cast("long"), 32) + F.coalesce("i", F.lit(0))).alias("at"))
+    of = of.withColumn("category", F.when(F.col("opens") | F.col("item").isNotNull(), F.col("category")))
+    once = of.groupBy(key, "category", "item").agg(F.min("at").alias("at"), F.max("anchor").alias("started"))
+    listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("item").isNotNull(), F.struct("at", "item")))), lambda x: x["item"])
+    lists = once.groupBy(key, "category").agg(listed.alias("items"), F.min(F.when(F.col("item").isNull(), F.col("at"))).alias("at"), F.max("started").alias("started"))
+    whole = F.col("category").isNotNull() & (F.size("items") > 0) & F.col("at").isNotNull()
+    ranked = F.array_sort(F.collect_list(F.when(whole, F.struct("at", "category", "items"))))
+    d = lists.groupBy(key).agg(F.transform(ranked, lambda x: F.struct(x["category"].alias("category"), x["items"].alias("items"))).cast(SKILLS).alias("skills"), F.max("started").alias("started"))
     return d.select(key, "skills", *_confidence(F.col("skills"), F.col("started")))
 
 

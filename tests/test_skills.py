@@ -241,3 +241,12 @@ def test_a_long_list_is_hoisted_in_proportion_to_its_length(spark):
     h = spark.range(1).select(skills.hoisted(item).alias("h")).select(F.size("h.remaining"), F.size("h.languages"), F.array_distinct("h.remaining"), F.array_distinct(F.transform("h.languages", lambda x: F.concat_ws(":", x["name"], x["level"])))).first()
     assert tuple(h) == (2 * n // 5, n // 5, ["Jardin", "courant"], ["Anglais:lu, parlé B2"])
     assert time.monotonic() - start < 60
+
+
+def test_visual_lines_are_walked_once(spark):
+    """Headings, items and whether a section opens come of one walk: the windows over a document's lines stand in the plan once, and nothing is joined to itself."""
+    plan = visual.skills(spark.createDataFrame([(1, 0, 1.0, 1.0, 1, "x")], BLOCK))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and sum("row_number" in x and "Window" in x for x in plan.split("\n")) == 1
+    rows = [(1, 0, 1.0, float(i), i, t) for i, t in enumerate(["Compétences\f :", " \t•  Java  : ", " 3  / 6 ", "a,\ta ; , b\r•b.,", "CV  créé sur", "Mainframe", "Ops", "x (1,  2), y", "cobol", "Langues", "z"])]
+    found = visual.skills(spark.createDataFrame(rows, BLOCK).repartition(3)).first()
+    assert pairs(found["skills"]) == [("Java", ["a", "b", "b."]), ("Ops", ["x (1, 2)", "y", "cobol"])] and found["confidence"] == 0.4
