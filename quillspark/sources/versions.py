@@ -51,12 +51,14 @@ def _path(kind: str) -> Column:
 
 
 def numbered(results: DataFrame, before: DataFrame) -> DataFrame:
-    """Results with ``code`` (of the gate; null if they may be saved) and ``version_number``, which goes on from those of ``before`` per request, in the order of ``ord``."""
+    """Results with ``code`` (of the gate; null if they may be saved), ``version_number``, which goes on from those of ``before`` per request, in the order of ``ord``, and ``newest``: whether it's the request's last."""
     code = version_gate(F.col("request_status"), F.col("qa_status"), F.get_json_object("qa_report", "$.passed").try_cast("boolean"))
     last = before.groupBy("request_id").agg(F.max("version_number").alias("_last"))
     d = results.withColumn("code", code).join(last, "request_id", "left")
-    saved = F.sum(F.col("code").isNull().cast("long")).over(W.partitionBy("request_id").orderBy("ord").rowsBetween(W.unboundedPreceding, 0))
-    return d.withColumn("version_number", F.when(F.col("code").isNull(), F.coalesce("_last", F.lit(0)) + saved)).drop("_last")
+    one, own = F.col("code").isNull().cast("long"), W.partitionBy("request_id").orderBy("ord")
+    d = d.withColumn("_saved", F.sum(one).over(own.rowsBetween(W.unboundedPreceding, 0))).withColumn("_all", F.sum(one).over(own.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    d = d.withColumn("version_number", F.when(F.col("code").isNull(), F.coalesce("_last", F.lit(0)) + F.col("_saved")))
+    return d.withColumn("newest", F.col("code").isNull() & (F.col("_saved") == F.col("_all"))).drop("_last", "_saved", "_all")
 
 
 def commit(results: DataFrame, root: str, batch: str, at: Column, tries: int = 10) -> int:
@@ -76,12 +78,11 @@ def commit(results: DataFrame, root: str, batch: str, at: Column, tries: int = 1
         d = spark.read.parquet(f"{data}/results")
         ok = d.where("code is null").withColumn("renderer_input_path", F.when(F.col("structured_json").isNotNull(), _path("input"))).withColumns({"final_path": _path("final"), "qa_path": _path("qa"), "created_at": at})
         files = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("path"), F.lit(FILES[k][1]).alias("content_type")) for k, c in (("input", F.col("renderer_input_path")), ("final", F.col("final_path")), ("qa", F.col("qa_path")))])
-        last = ok.groupBy("request_id").agg(F.max_by(F.struct("version_number", F.col("request_status").alias("status")), "version_number").alias("x")).select("request_id", "x.*", at.alias("ready_at"))
         payload = F.to_json(F.struct("version_number", "qa_status"))
         tables = {
             "versions": ok,
             "artefacts": ok.select("request_id", "version_number", F.explode(files).alias("f"), "owner").select("request_id", "version_number", "f.*", "owner").where("path is not null"),
-            "statuses": last,
+            "statuses": ok.where("newest").select("request_id", "version_number", F.col("request_status").alias("status"), at.alias("ready_at")),
             "events": ok.select("request_id", F.col("request_status").alias("event_type"), payload.alias("payload"), "created_at"),
             "rejected": d.where("code is not null"),
         }

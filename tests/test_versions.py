@@ -76,3 +76,13 @@ def test_sql_functions(spark):
     assert ids("SELECT id FROM claimable_requests() ORDER BY rank, created_at, id LIMIT 5") == [4]
     assert sorted(map(tuple, sql("SELECT * FROM queue_counts()").collect())) == [("failed", 2), ("processing", 1), ("submitted", 2)]
     assert tuple(sql("SELECT request_rank('high'), retry_wait(3), retry_wait(1, base => 2D), safe_code(' A b!'), safe_code(NULL)").first()) == (1, 40.0, 2.0, "a_b_", "unknown")
+
+
+def test_the_newest_of_a_batch_is_known_from_its_numbering(spark, tmp_path):
+    """The status of a request follows without another grouping of its versions; refused results, first or last, are never the newest."""
+    rows = [good(1, 1, qa_status="failed"), good(1, 2), good(1, 3, request_status="draft_ready", qa_status="draft", qa_report=None), good(1, 4, request_status="failed"), good(2, 1, qa_status="failed")]
+    before = spark.createDataFrame([(1, 4)], "request_id long, version_number long")
+    found = versions.numbered(spark.createDataFrame(rows, RESULT).repartition(3), before).select("request_id", "ord", "version_number", "newest").collect()
+    assert sorted(map(tuple, found)) == [(1, 1, None, False), (1, 2, 5, False), (1, 3, 6, True), (1, 4, None, False), (2, 1, None, False)]
+    versions.commit(spark.createDataFrame(rows, RESULT), tmp_path.as_uri(), "a", AT())
+    assert [tuple(r)[:3] for r in versions.read(spark, tmp_path.as_uri(), "statuses").collect()] == [(1, 2, "draft_ready")]
