@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.arrays import unused
+from quillspark.functions.scalars import bound
 from quillspark.functions.text import text_of
 from quillspark.operators.blocks import unsafe_rationale
 
@@ -76,12 +77,13 @@ def checked(plans: DataFrame, blocks: DataFrame, key: str = "doc_id", raw: str =
     d = parsed(plans, raw).join(known, key, "left")
     none = F.array().cast("array<string>")
     used = F.flatten(F.transform("zones", lambda z: F.coalesce(z["ids"], none)))
-    doubled = F.filter(F.array_distinct(used), lambda i: F.size(F.filter(used, lambda j: j.eqNullSafe(i))) > 1)
+    doubled = lambda u: F.filter(F.array_distinct(u), lambda i: F.size(F.filter(u, lambda j: j.eqNullSafe(i))) > 1)
     faults = lambda code, subjects: F.transform(subjects, lambda s: F.struct(F.lit(code).alias("code"), text_of(s).alias("subject"))).cast(FAULT)
     rationale = F.array_compact(F.array(F.when(F.length("rationale") > LONGEST_RATIONALE, F.lit("rationale_too_long")), F.when(unsafe_rationale(F.col("rationale")), F.lit("unsafe_rationale"))))
     readable = ~F.exists("parse_faults", lambda f: f["code"].isin("invalid_json", "not_an_object"))
+    # The ids used are read for each of them, so they're bound: else they'd be taken from the JSON again for each.
     contract = F.concat(
-        faults("unknown_block", F.array_except(F.array_distinct(used), F.coalesce(F.col(ids), none))), faults("doubled_block", doubled), faults("missing_block", F.array_except(F.coalesce(F.col(required), none), used)),
+        bound(used, lambda u: F.concat(faults("unknown_block", F.array_except(F.array_distinct(u), F.coalesce(F.col(ids), none))), faults("doubled_block", doubled(u)), faults("missing_block", F.array_except(F.coalesce(F.col(required), none), u)))),
         F.transform(rationale, lambda c: F.struct(c.alias("code"), F.lit("").alias("subject"))).cast(FAULT),
     )
     every = F.array_sort(F.concat(F.col("parse_faults"), F.when(readable, contract).otherwise(F.array().cast(FAULT))))

@@ -250,3 +250,9 @@ def test_visual_lines_are_walked_once(spark):
     rows = [(1, 0, 1.0, float(i), i, t) for i, t in enumerate(["Compétences\f :", " \t•  Java  : ", " 3  / 6 ", "a,\ta ; , b\r•b.,", "CV  créé sur", "Mainframe", "Ops", "x (1,  2), y", "cobol", "Langues", "z"])]
     found = visual.skills(spark.createDataFrame(rows, BLOCK).repartition(3)).first()
     assert pairs(found["skills"]) == [("Java", ["a", "b", "b."]), ("Ops", ["x (1, 2)", "y", "cobol"])] and found["confidence"] == 0.4
+
+
+def test_the_ids_of_a_plan_are_taken_once(spark):
+    """Written out for every use, they'd be flattened for each id of the plan."""
+    plan = plans.checked(spark.createDataFrame([(1, "{}")], "doc_id int, raw string"), spark.createDataFrame([(1, "a", True)], "doc_id int, block_id string, required boolean"))
+    assert plan._jdf.queryExecution().analyzed().toString().count("flatten(") == 1
